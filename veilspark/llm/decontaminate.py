@@ -4,9 +4,9 @@ Texts and items become sequences of words (A-Z lower-cased, ASCII punctuation
 dropped). Every window of an item's own length is a possible near copy; one
 with at most ``floor(rate * words)`` word edits is a match.
 
-* A window can only match if all but that many of its words are words of some
-  item. Running counts over the batch drop the other windows; none that
-  matches is lost.
+* A window can only match if all but that many of its words, and all but three
+  times that many of its word triples, occur in some item. Running counts over
+  the batch drop the other windows; none that matches is lost.
 * The windows left are embedded by CGK random walks (Chakraborty, Goldenberg,
   Koucky, 2016): one symbol is put out per step, and a random bit that depends
   on step and symbol decides whether to go on to the next word, so that few
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import words
 
-WALKS, BANDS, SAMPLES = 4, 10, 2
+WALKS, BANDS, SAMPLES = 4, 6, 2
 SYMBOLS = 4096
 #: Words of the items in one broadcast block: 8 bytes each and as much again for the index.
 ITEM_WORDS = 2_000_000
@@ -44,6 +44,8 @@ MIN_WORDS = 5
 _rng = np.random.default_rng(7)
 _SAMPLED = _rng.random((WALKS, BANDS * SAMPLES))
 _PAD = 0
+#: Odd multipliers for the length, the samples of a band and the end.
+_KEY = _rng.integers(1 << 40, 1 << 62, SAMPLES + 2, dtype=np.uint64) | np.uint64(1)
 
 
 def _walk_bits(steps: int, walk: int) -> np.ndarray:
@@ -51,25 +53,32 @@ def _walk_bits(steps: int, walk: int) -> np.ndarray:
 
 
 def embed(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, walk: int) -> np.ndarray:
-    """(windows, BANDS) band keys of the windows ``symbols[start:start+length]`` in one walk."""
-    n = len(start)
+    """(BANDS, windows) band keys of the windows ``symbols[start:start+length]`` in one walk.
+
+    Windows with one start share their walk; past its end a window puts out padding.
+    """
+    first, own = np.unique(start, return_inverse=True)
     steps = int(2 * length.max())
-    out = np.zeros((steps, n), np.int32)
-    at = np.zeros(n, np.int64)
+    put = np.zeros((steps, len(first)), np.int64)  # the symbol, and above it the place it was read at
+    at = np.zeros(len(first), np.int64)
     bits = _walk_bits(steps, walk)
+    last = len(symbols) - 1
     for t in range(steps):
-        inside = at < length
-        s = np.where(inside, symbols[start + np.minimum(at, length - 1)], _PAD)
-        out[t] = s
+        s = symbols[np.minimum(first + at, last)]
+        put[t] = s | at << 32
         at += bits[t, s & (SYMBOLS - 1)]
-    places = (_SAMPLED[walk][None, :] * (1.8 * length)[:, None]).astype(np.int64)
-    sampled = out[places, np.arange(n)[:, None]].astype(np.uint64)
-    keys = np.empty((n, BANDS), np.uint64)
+    flat, columns = put.ravel(), len(first)
+    end = length << 32
+    reach = 1.8 * length
+    base = length.astype(np.uint64) * _KEY[0]
+    keys = np.empty((BANDS, len(start)), np.uint64)
     for band in range(BANDS):
-        h = length.astype(np.uint64) * np.uint64(BANDS) + np.uint64(band)
+        h = base + np.uint64(band)
         for k in range(SAMPLES):
-            h = words.mix(h * np.uint64(0x9E3779B97F4A7C15) ^ sampled[:, band * SAMPLES + k])
-        keys[:, band] = h
+            seen = flat[(_SAMPLED[walk, band * SAMPLES + k] * reach).astype(np.int64) * columns + own]
+            seen[seen >= end] = _PAD
+            h += (seen & 0xFFFFFFFF).astype(np.uint64) * _KEY[k + 1]
+        keys[band] = h * _KEY[-1]
     return keys
 
 
@@ -102,6 +111,7 @@ class ItemIndex:
         length = np.array([len(h) for h in hashes])
         self.edits = np.floor(rate * length + 1e-9).astype(np.int64)
         self.lengths = np.unique(length)
+        self.triples = np.unique(np.concatenate([self.triple(x, np.arange(len(x) - 2)) for x in self.items]))
         self.slack = {int(n): int(np.floor(rate * n + 1e-9)) for n in self.lengths}
         flat = np.concatenate(self.items)
         start = np.concatenate(([0], np.cumsum(length)[:-1]))
@@ -109,8 +119,8 @@ class ItemIndex:
         for walk in range(WALKS):
             keys = embed(flat, start, length, walk)
             for band in range(BANDS):
-                order = np.argsort(keys[:, band], kind="stable")
-                self.tables.append((keys[order, band], order))
+                order = np.argsort(keys[band], kind="stable")
+                self.tables.append((keys[band][order], order))
         seen = np.zeros(1 << 16, bool)
         seen[(self.vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.seen = seen
@@ -120,6 +130,12 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         return np.where(self.vocab[at] == h, at + 1, 0).astype(np.int64)
 
+    @staticmethod
+    def triple(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = words.mix(symbols[at].astype(np.uint64) + np.uint64(1 << 40))
+        h = words.mix(h ^ symbols[at + 1].astype(np.uint64))
+        return words.mix(h ^ symbols[at + 2].astype(np.uint64))
+
     def lookup(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
         maybe = np.flatnonzero(self.seen[(h & np.uint64(0xFFFF)).astype(np.int64)])
@@ -127,18 +143,42 @@ class ItemIndex:
         return out
 
     def windows(self, symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths of the windows inside one text that have enough item words."""
-        known = np.concatenate(([0], np.cumsum(symbols > 0)))
+        """Starts and lengths of the windows inside one text that can match some item.
+
+        An edit changes one word and three word triples, so that a match of n
+        words with e edits has n - e words and n - 2 - 3e triples of the items.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(symbols):
+            return none
+        known = symbols > 0
+        cum_words = np.concatenate(([0], np.cumsum(known)))
+        at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+        at = at[np.isin(self.triple(symbols, at), self.triples)]
+        hit = np.zeros(len(symbols), np.int64)
+        hit[at] = 1
+        cum_triples = np.concatenate(([0], np.cumsum(hit)))
+        needed = {int(n): int(n) - 2 - 3 * self.slack[int(n)] for n in self.lengths}
+        least, longest = min(needed.values()), int(self.lengths[-1])
+        if least > 0:
+            # only starts with ``least`` triples within reach of the longest window
+            if len(at) < least:
+                return none
+            i = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] <= longest - 3)
+            mark = np.zeros(len(symbols) + 1, np.int64)
+            np.add.at(mark, np.maximum(at[i + least - 1] - longest + 3, 0), 1)
+            np.add.at(mark, at[i] + 1, -1)
+            near = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        else:
+            near = np.arange(len(symbols))
         starts, lengths = [], []
-        for n in self.lengths:
-            if n > len(symbols):
-                break
-            enough = known[n:] - known[:-n] >= n - self.slack[int(n)]
-            s = np.flatnonzero(enough)
+        for n in map(int, self.lengths):
+            s = near[: np.searchsorted(near, len(symbols) - n, side="right")]
+            s = s[(cum_triples[s + max(n - 2, 0)] - cum_triples[s] >= needed[n]) & (cum_words[s + n] - cum_words[s] >= n - self.slack[n])]
             s = s[doc[s] == doc[s + n - 1]]
             starts.append(s)
             lengths.append(np.full(len(s), n))
-        return (np.concatenate(starts), np.concatenate(lengths)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.concatenate(starts), np.concatenate(lengths)
 
     def matches(self, symbols: np.ndarray, doc: np.ndarray):
         """(start, item position, edits) of every window that matches and was found by the bands."""
@@ -150,13 +190,13 @@ class ItemIndex:
                 keys = embed(symbols, s, n, walk)
                 for band in range(BANDS):
                     table, order = self.tables[walk * BANDS + band]
-                    low = np.searchsorted(table, keys[:, band], "left")
-                    count = np.searchsorted(table, keys[:, band], "right") - low
-                    w = np.flatnonzero(count)
+                    low = np.searchsorted(table, keys[band], "left")
+                    w = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == keys[band])
                     if len(w):
-                        rep = np.repeat(w, count[w])
-                        step = np.arange(len(rep)) - np.repeat(np.cumsum(count[w]) - count[w], count[w])
-                        found.append(rep * len(self.items) + order[low[rep] + step])
+                        low = low[w]
+                        count = np.searchsorted(table, keys[band][w], "right") - low
+                        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                        found.append(np.repeat(w, count) * len(self.items) + order[np.repeat(low, count) + step])
             if not found:
                 continue
             pair = np.unique(np.concatenate(found))
