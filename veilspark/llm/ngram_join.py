@@ -36,7 +36,7 @@ ROWS, BANDS = 5, 50
 BLOCK = 1024
 #: Ids sent to all workers at once: 8 bytes each, so at most 32 MB; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-SEED_ROUNDS = 2
+SEED_ROUNDS = 3
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**31, ROWS * BANDS, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -137,20 +137,22 @@ def _verified(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _tree_pairs(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        comps = pd.factorize(pdf["comp"])[0]
+        fp, comp = pdf["fp"].to_numpy(), pd.factorize(pdf["comp"])[0]
+        number, names = pd.factorize(fp)
         maps = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-        n = pdf["n"].to_numpy()
+        n, block = pdf["n"].to_numpy(), pdf["block"].to_numpy()
         p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        sides = [np.flatnonzero(pdf["block"].to_numpy() == x) for x in ((p,) if p == q else (p, q))]
-        trees = [sigtree.SignatureTree(n[s], maps[s], comps[s]) for s in sides if len(s)]
-        out = []
-        if len(trees) == len(sides):
+        found = []
+        for rows in pdf.groupby("key", sort=False).indices.values():
+            sides = [rows[block[rows] == x] for x in ((p,) if p == q else (p, q))]
+            if not all(len(s) for s in sides):
+                continue
+            trees = [sigtree.SignatureTree(n[s], maps[s], comp[s]) for s in sides]
             for i, j in sigtree.dual_traversal(trees[0], trees[1] if p != q else None, num, den):
-                out.append((sides[0][i], sides[-1][j]))
-        fp = pdf["fp"].to_numpy()
-        a = fp[np.concatenate([x for x, _ in out])] if out else fp[:0]
-        b = fp[np.concatenate([y for _, y in out])] if out else fp[:0]
-        return pd.DataFrame({"a": a, "b": b})
+                a, b = number[sides[0][i]], number[sides[-1][j]]
+                found.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
 
     return run
 
@@ -185,25 +187,33 @@ def jaccard_components(
     cands = scratch.save(keyed.join(centres, "key").select("key", "fp", "centre"), "candidates")
     wanted = scratch.save(cands.select("fp").distinct().join(classes.select("fp", "least"), "fp").select(F.col("least").alias("doc")).distinct(), "wanted")
     n_wanted = wanted.count()
-    links = None
     if n_wanted:
         run, schema = _full_sets(width)
         keep = base.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, base["doc"].eqNullSafe(wanted["doc"]), "left_semi")
         sets = scratch.save(keep.select("txt").mapInArrow(run, schema).dropDuplicates(["fp"]), "sets")
         edges = cands.where("fp <> centre").groupBy("fp").agg(F.min("centre").alias("b")).select(F.col("fp").alias("a"), "b")
         links = scratch.save(_verified(edges, sets, num, den), "seeds")
+        comp = scratch.save(connected_components(links, "a", "b", scratch), "components")
         for round_ in range(SEED_ROUNDS):
-            comp = connected_components(links, "a", "b", scratch)
             member = cands.select("key", "fp").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
             state = scratch.save(member, "members")
-            open_ = state.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"), F.min_by(F.struct("fp", "comp"), F.xxhash64("fp", F.lit(round_))).alias("centre")).where("c0 <> c1")
-            rest = state.join(open_.select("key", "members", "centre"), "key")
+            open_ = state.groupBy("key").agg(
+                F.min("comp").alias("c0"),
+                F.max("comp").alias("c1"),
+                F.count("*").alias("members"),
+                F.min("fp").alias("least"),
+                F.min_by(F.struct("fp", "comp"), F.xxhash64("fp", F.lit(round_))).alias("centre"),
+                F.bit_xor(F.xxhash64("fp")).alias("x0"),
+                F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"),
+            )
+            # of the keys with the very same members, one is enough
+            open_ = open_.where("c0 <> c1").groupBy("members", "x0", "x1").agg(*[F.min_by(c, "key").alias(c) for c in ("least", "centre")], F.min("key").alias("key"))
+            rest = state.join(open_.select("key", "members", "least", "centre"), "key")
             if round_ < SEED_ROUNDS - 1:
                 more = rest.where("comp <> centre.comp").groupBy("fp").agg(F.min("centre.fp").alias("b")).select(F.col("fp").alias("a"), "b")
             else:
                 more = _by_trees(rest, sets, num, den)
-            links = scratch.save(links.union(_verified(more, sets, num, den)), "links")
-        comp = connected_components(links, "a", "b", scratch)
+            comp = _absorb(comp, scratch.save(_verified(more, sets, num, den), "links"), scratch)
         named = classes.select("fp", "least").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
         least = named.groupBy("comp").agg(F.min("least").alias("component"))
         named = named.join(least, "comp").select("fp", "component")
@@ -220,14 +230,30 @@ def jaccard_components(
     )
 
 
+def _absorb(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after further links, by the components of the components."""
+    old = comp.select(F.col("node"), F.col("component"))
+    ends = links.select("a", "b").join(old.toDF("a", "ca"), "a", "left").join(old.toDF("b", "cb"), "b", "left")
+    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = connected_components(ends, "a", "b", scratch)
+    merged = old.join(over.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = over.toDF("node", "component").join(old, "node", "left_anti")
+    return scratch.save(merged.unionByName(fresh), "components")
+
+
 def _by_trees(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct candidate pairs of the groups in ``rest`` (key, fp, comp, members)."""
+    """Distinct candidate pairs of the groups in ``rest`` (key, fp, comp, members, least).
+
+    Groups of one block that have the same smallest member go to one task, at
+    most ``BANDS`` of them; bigger groups are dealt by pairs of blocks.
+    """
     blocks: Column = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rest.select("key", "fp", "comp", blocks.alias("nb")).join(sets.select("fp", "n", "bits"), "fp")
+    dealt = rest.select("key", "fp", "comp", "least", blocks.alias("nb")).join(sets.select("fp", "n", "bits"), "fp")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp", F.lit("block")), "nb").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("key", "fp", "comp", "n", "bits", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    pairs = dealt.groupBy("key", "p", "q").applyInPandas(_tree_pairs(num, den), "a binary, b binary")
+    big = F.when(F.col("nb") > 1, F.col("key"))
+    dealt = dealt.select("key", "fp", "comp", "n", "bits", "block", "least", big.alias("big"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    pairs = dealt.groupBy("least", "big", "p", "q").applyInPandas(_tree_pairs(num, den), "a binary, b binary")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

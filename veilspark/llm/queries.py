@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, quality
+from . import decontaminate, line_dedup, mixing, ngram_join, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Shares of the mixture by domain of ``labels``.
+MIX_WEIGHTS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """Domain of each labelled document: toxic, else low or clean by quality."""
+    name = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", name.alias("domain"))
+
+
+def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), domains_of(_table(spark, sf_dir, "labels")), "domain", MIX_WEIGHTS)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.2)
 
@@ -45,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
+    "op4_mix_to_targets": op4_mix_to_targets,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
