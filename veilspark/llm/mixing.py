@@ -24,7 +24,9 @@ from .stage import Scratch
 
 MAX_DOCS = 20_000
 INDICATORS = 32
-STEPS, STEP = 60, 1.5
+#: Times that a word's share in some domain exceeds its share in the sample, at least.
+LIFT = 3.0
+STEPS, STEP = 30, 1.5
 
 
 def _features(text: Column) -> dict[str, Column]:
@@ -81,7 +83,8 @@ def fit_domains(
     ``labelled`` has the id and a domain name; rows with a null in either are
     ignored, and of several labels the smallest name holds. Presence and
     absence of words count, not their number. The words kept are the ``INDICATORS`` with the
-    largest mutual information with the domain, and all style classes.
+    largest mutual information with the domain, of those at least ``LIFT`` times
+    as common in some domain as in the sample, and all style classes.
     """
     sample = labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.min(domain_col).alias("__k"))
     sample = sample.orderBy(F.xxhash64("__i"), "__i").limit(max_docs)
@@ -101,8 +104,9 @@ def fit_domains(
         for here, size in ((F.col(f"n{i}"), F.col("n")), (F.lit(totals[k]) - F.col(f"n{i}"), F.lit(all_docs) - F.col("n"))):
             info = info + F.when((here > 0) & (size > 0), here * F.log(here * F.lit(float(all_docs)) / (size * F.lit(float(totals[k]))))).otherwise(0.0)
     ranked = per.withColumn("info", info).where((F.col("n") >= 5) | F.col("w").startswith("#"))
-    if __import__("os").environ.get("DBG"): ranked.withColumn("mi", F.col("info")/all_docs).orderBy(F.desc("info")).show(60)
-    top = ranked.where(~F.col("w").startswith("#")).orderBy(F.desc("info"), "w").limit(INDICATORS).collect()
+    lift = [F.col(f"n{i}") / F.col("n") * F.lit(all_docs / totals[k]) for i, k in enumerate(domains)]
+    telling = F.greatest(*lift, F.lit(0.0)) >= LIFT
+    top = ranked.where(~F.col("w").startswith("#") & telling).orderBy(F.desc("info"), "w").limit(INDICATORS).collect()
     styles = ranked.where(F.col("w").startswith("#")).collect()
     prior = [math.log(totals[k] / all_docs) for k in domains]
     weights = {}
