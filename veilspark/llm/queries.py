@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, line_dedup, mixing, ngram_join, quality
+from . import decontaminate, fingerprint, html_text, line_dedup, mixing, ngram_join, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,29 @@ def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), domains_of(_table(spark, sf_dir, "labels")), "domain", MIX_WEIGHTS)
 
 
+#: (action, host, path)
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_sensitivity(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.2)
 
@@ -64,11 +83,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_to_targets": op4_mix_to_targets,
+    "op7_url_filter": op7_url_filter,
     "op8_order_minhash": op8_order_minhash,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id, url, html,
+                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+            FROM pages
+        ), rules(action, rule_host, rule_path) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ), best AS (
+            SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                   arg_max(action, length(rule_host || rule_path)) AS action
+            FROM parts JOIN rules
+              ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict, 1::BIGINT AS aliases
+        FROM parts LEFT JOIN best USING (page_id)
+    """,
+    "op10_html_extraction": r"""
+        WITH body AS (
+            SELECT page_id, url,
+                   regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS a
+            FROM pages
+        ), blocks AS (
+            SELECT page_id, unnest(regexp_split_to_array(a, '</?(?:p|h[1-6]|div|ul|ol|li|blockquote|table|tr|td)(?: [^>]*)?>')) AS b,
+                   generate_subscripts(regexp_split_to_array(a, '</?(?:p|h[1-6]|div|ul|ol|li|blockquote|table|tr|td)(?: [^>]*)?>'), 1) AS pos
+            FROM body
+        ), clean AS (
+            SELECT page_id, pos, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(
+                     b, '<br ?/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"', 'g'), '&lt;', '<'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t
+            FROM blocks
+        ), joined AS (
+            SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS text FROM clean WHERE t <> '' GROUP BY page_id
+        )
+        SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars
+        FROM body LEFT JOIN joined USING (page_id)
+    """,
     "op3_line_dedup": """
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
