@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, line_dedup, mixing, ngram_join, quality, url_filter
+from . import decontaminate, fingerprint, html_text, line_dedup, lm_score, mixing, ngram_join, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,13 @@ def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), domains_of(_table(spark, sf_dir, "labels")), "domain", MIX_WEIGHTS)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = quality.fold(F.col("doc_id"), 7)
+    scored = lm_score.score_texts(docs, docs.where(remainder != 2))
+    return scored.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: (action, host, path)
 URL_RULES = [
     ("allow", "org", "/"),
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_to_targets": op4_mix_to_targets,
+    "op5_lm_score": op5_lm_score,
     "op7_url_filter": op7_url_filter,
     "op8_order_minhash": op8_order_minhash,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_lm_score": op5_lm_score,
     "op7_url_filter": r"""
         WITH parts AS (
             SELECT page_id, url, html,
