@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, line_dedup, lm_score, mixing, ngram_join, quality, url_filter
+from . import decontaminate, fingerprint, html_text, line_dedup, lm_score, mixing, ngram_join, quality, token_count, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,15 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits in every document: 16 code points at a third give way to its first 24; its last 8 go in at two thirds."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text)
+    edit = lambda at, deleted, inserted: F.struct(at.cast("long").alias("at"), F.lit(deleted).cast("long").alias("deleted"), inserted.alias("inserted"))
+    edits = F.array(edit(F.floor(n / 3), 16, F.substring(text, 1, 24)), edit(F.floor(2 * n / 3), 0, F.right(text, F.lit(8))))
+    return token_count.count_tokens(_table(spark, sf_dir, "documents").withColumn("edits", edits), edits_col="edits")
+
+
 #: (action, host, path)
 URL_RULES = [
     ("allow", "org", "/"),
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_to_targets": op4_mix_to_targets,
     "op5_lm_score": op5_lm_score,
+    "op6_edit_token_counts": op6_edit_token_counts,
     "op7_url_filter": op7_url_filter,
     "op8_order_minhash": op8_order_minhash,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -99,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_lm_score": op5_lm_score,
+    "op6_edit_token_counts": op6_edit_token_counts,
     "op7_url_filter": r"""
         WITH parts AS (
             SELECT page_id, url, html,
