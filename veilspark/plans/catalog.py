@@ -2,13 +2,351 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import geometry as G
+from ..functions import text as X
+from ..operators import api_keys, cards, crypto, frames, layout, personal, pipeline, seeds, stateful, stats
+from ..sources import logs
+from ..streaming import scans as streaming
+from . import scan
+from .catalog_sql import ORACLES
+from .config import ScanConfig
+
+STRINGS = ("Apache License", "Version 2.0", "pathetic")
+CONFIG = ScanConfig(strings=STRINGS)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _table(spark, d, "documents")
+
+
+def _secrets(spark: SparkSession, d: str) -> DataFrame:
+    """A text per order that holds an address of each network, a card and a key, made from the order's key."""
+    k = F.col("o_orderkey").cast("string")
+    md = F.md5(k.cast("binary"))
+    more = F.md5(F.concat(k, F.lit("b")).cast("binary"))
+    eth = F.concat(F.lit("0x"), F.left(md, F.lit(32)), F.when(F.col("o_orderkey") % 2 == 0, F.upper(F.left(more, F.lit(8)))).otherwise(F.left(more, F.lit(8))))
+    sol = F.concat(F.translate(md, "0", "z"), F.lit("Qm"))
+    btc = F.concat(F.lit("1"), F.translate(md, "0", "z"))
+    body = F.lpad(k, 15, "4")
+    total = F.lit(0)
+    for i in range(1, 16):
+        v = F.substring(body, i, 1).cast("int") * (2 if i % 2 else 1)
+        total = total + F.when(v > 9, v - 9).otherwise(v)
+    card = F.concat(body, F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
+    hint = F.when(F.col("o_orderkey") % 3 == 0, F.lit(" Exp 12/27 CVV 123")).otherwise(F.lit(""))
+    key = F.concat(F.lit("AKIA"), F.upper(F.left(md, F.lit(16))))
+    text = F.concat(F.lit("eth "), eth, F.lit("\n\n\n\n\n\n\n\nsol "), sol, F.lit("\n\n\n\n\n\n\n\nbtc "), btc, F.lit("\n\n\n\n\n\n\n\n"), card, hint, F.lit("\n\n\n\n\n\n\n\n"), key)
+    return _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+def _long(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def tokens_layout(spark, d):
+    t = layout.tokens(_docs(spark, d))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("line_no").alias("last_line"), F.sum("x").alias("sum_x"), F.sum("w").alias("sum_w"), F.max(F.col("x") + F.col("w")).alias("right_edge"))
+
+
+def tokens_split(spark, d):
+    t = layout.split_words(layout.tokens(_docs(spark, d)))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.col("x") + F.col("w")).cast("long").alias("sum_right"), F.max("sub").alias("most_sub"))
+
+
+def box_geometry(spark, d):
+    t = layout.tokens(_docs(spark, d))
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    nxt = t.withColumns({"b" + c: F.lead(c).over(w) for c in "xywh"})
+    a, b = G.box(), G.box("b")
+    return nxt.groupBy("doc_id").agg(
+        F.sum(G.area(a)).alias("area"),
+        F.sum(G.center(a)[0]).cast("long").alias("center_x"),
+        F.sum(F.when(G.same_line(a, b), 1).otherwise(0)).cast("long").alias("same_line"),
+        F.round(F.sum(G.distance(a, b)), 3).alias("distance"),
+    )
+
+
+def box_merge(spark, d):
+    return layout.tokens(_docs(spark, d)).groupBy("doc_id").agg(*G.merged())
+
+
+def consecutive_runs(spark, d):
+    t = layout.tokens(_docs(spark, d)).where(F.col("text").rlike(r"[0-9]"))
+    r = layout.runs(t, "doc_id", ["y", "x", "ord"], 50, 3)
+    return r.groupBy("doc_id", "run").agg(F.count("*").alias("n"), *G.merged())
+
+
+def dictionary_words(spark, d):
+    return seeds.dictionary(_docs(spark, d))
+
+
+def dictionary_hits(spark, d):
+    docs = _docs(spark, d)
+    hits = seeds.word_hits(layout.tokens(docs), seeds.dictionary(docs))
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.countDistinct("word").alias("n_distinct"))
+
+
+def seed_detections(spark, d):
+    docs = _docs(spark, d)
+    out = seeds.detect(layout.tokens(docs), seeds.dictionary(docs))
+    return out.select("doc_id", "part", "confidence", "preview", "x", "y", "w", "h", F.col("metadata")["word_count"].cast("long").alias("word_count"), F.col("metadata")["expected_count"].alias("expected_count"))
+
+
+def digit_repair(spark, d):
+    docs = _docs(spark, d)
+    line = X.one_line(F.col("text"))
+    fixed = X.repair_digits(line)
+    return docs.select("doc_id", F.md5(fixed.cast("binary")).alias("repaired"), (fixed != line).alias("changed"))
+
+
+def card_candidates(spark, d):
+    c = cards.candidates(_docs(spark, d))
+    return c.select("doc_id", F.md5(F.col("number").cast("binary")).alias("number_md5"), X.luhn_ok(F.col("number")).alias("luhn_ok"), X.card_network(F.col("number")).alias("network"), X.ends_preview(F.col("number"), 4).alias("preview"))
+
+
+def _card_rows(det):
+    m = F.col("metadata")
+    return det.select("doc_id", "part", "confidence", "preview", "x", "y", "w", "h", m["has_expiry"].alias("has_expiry"), m["has_cvv"].alias("has_cvv"), m["card_network"].alias("network"))
+
+
+def card_detections(spark, d):
+    return _card_rows(cards.detect(_docs(spark, d)))
+
+
+def card_detections_orders(spark, d):
+    return _card_rows(cards.detect(_secrets(spark, d)))
+
+
+def crypto_detections(spark, d):
+    m = F.col("metadata")
+    return crypto.detect(_secrets(spark, d)).select("doc_id", "part", "confidence", "preview", "x", "y", "w", "h", m["network"].alias("network"), m["address_format"].alias("address_format"), m["address_length"].alias("address_length"))
+
+
+def api_key_matches(spark, d):
+    both = _docs(spark, d).select("doc_id", "text").unionByName(_secrets(spark, d).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
+    return api_keys.first_matches(both).select("doc_id", "service", "description", "confidence", F.md5(F.col("match").cast("binary")).alias("match_md5"))
+
+
+def api_key_services(spark, d):
+    return api_keys.first_matches(_docs(spark, d)).groupBy("service").agg(F.count("*").alias("n_docs"))
+
+
+def api_key_detections(spark, d):
+    return api_keys.detect(_docs(spark, d)).select("doc_id", F.col("metadata")["service"].alias("service"), "confidence", "preview", "x", "y", "w", "h")
+
+
+def personal_exact(spark, d):
+    return personal.detect(_docs(spark, d), list(STRINGS)).select("doc_id", "part", "confidence", "preview", "x", "y", "w", "h", F.col("metadata")["string_type"].alias("string_type"))
+
+
+def personal_classify(spark, d):
+    c = _table(spark, d, "customer")
+    text = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@mail.example"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("+1 555 "), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))).when(F.col("c_custkey") % 4 == 2, F.concat(F.col("c_custkey").cast("string"), F.lit(" Main Rd"))).otherwise(F.col("c_name"))
+    return c.select("c_custkey", X.classify_personal(text).alias("kind"), X.mask(text).alias("masked"))
+
+
+def personal_fuzzy(spark, d):
+    """Licence lines and toxic words with a letter off, in the lines of documents."""
+    docs = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
+    return personal.approximate(docs, ["Apache Licence, Version 2.0", "patethic"], threshold=85.0).select("doc_id", "part", "score")
+
+
+def _scan(spark, d):
+    docs = _docs(spark, d)
+    return scan.detections(docs, CONFIG, seeds.dictionary(docs))
+
+
+def _raw(spark, d):
+    return scan.raw_detections(_docs(spark, d), CONFIG)
+
+
+def scan_detections(spark, d):
+    return _scan(spark, d).select("doc_id", "type", "confidence", "preview", *_long("x", "y", "w", "h"), "action", "rank")
+
+
+def action_threshold(spark, d):
+    r = _raw(spark, d)
+    return r.groupBy("type", pipeline.action(F.col("confidence")).alias("action")).agg(F.count("*").alias("n"))
+
+
+def scan_summary(spark, d):
+    docs = _docs(spark, d)
+    return pipeline.summary(docs, pipeline.with_actions(_raw(spark, d)))
+
+
+def scan_top(spark, d):
+    ranked = pipeline.ranked(pipeline.with_actions(_raw(spark, d)))
+    return scan.top_action(ranked).select("doc_id", "type", "confidence", "preview")
+
+
+def iou_pairs(spark, d):
+    """Pairs of overlapping detections in one document; a document has few."""
+    r = pipeline.with_actions(_raw(spark, d)).select("doc_id", "det_ord", "x", "y", "w", "h")
+    b = r.select("doc_id", F.col("det_ord").alias("other"), *[F.col(c).alias("b" + c) for c in "xywh"])
+    return r.join(b, "doc_id").where("det_ord < other").where(G.iou_at_least(G.box(), G.box("b"))).groupBy("doc_id").agg(F.count("*").alias("n_pairs"))
+
+
+def log_roundtrip(spark, d):
+    """Detections as redacted JSON lines, every seventh line broken, read back and counted."""
+    dets = pipeline.with_actions(_raw(spark, d))
+    line = F.to_json(F.struct(F.lit("2024-01-01T00:00:00").alias("timestamp"), "type", "confidence", F.lit("[REDACTED]").alias("text"), F.array("x", "y", "w", "h").alias("bounding_box"), "action"))
+    lines = dets.select(F.when(F.col("doc_id") % 7 == 3, F.lit("{not json")).otherwise(line).alias("value"))
+    return logs.parse(lines).groupBy("type", "action", "text").agg(F.count("*").alias("n"), F.sum(F.element_at("bounding_box", 2)).cast("long").alias("sum_y"))
+
+
+def stats_counts(spark, d):
+    return stats.log_counts(pipeline.log_rows(pipeline.with_actions(_raw(spark, d))))
+
+
+def detection_rates(spark, d):
+    """Labelled documents as cases: a low-quality one should have no blur, any other may (per source)."""
+    docs = _docs(spark, d)
+    fired = pipeline.with_actions(_raw(spark, d)).select("doc_id").distinct().withColumn("fired", F.lit(True))
+    cases = docs.select("doc_id", "source").join(_table(spark, d, "labels"), "doc_id").join(fired, "doc_id", "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
+    positive = F.col("toxic") == 1
+    return cases.groupBy("source").agg(stats.rate(F.col("fired"), positive).alias("tp_rate"), stats.rate(F.col("fired"), ~positive).alias("fp_rate"), F.count("*").alias("n_cases"))
+
+
+def missed_types(spark, d):
+    """Types that documents with an e-mail sign or a licence line should show, and did not."""
+    docs = _docs(spark, d)
+    expected = F.filter(F.array(F.when(F.col("text").contains("token"), "api_key"), F.when(F.col("text").contains("License"), "personal_string")), lambda t: t.isNotNull())
+    found = pipeline.with_actions(_raw(spark, d)).groupBy("doc_id").agg(F.collect_set("type").alias("types"))
+    cases = docs.select("doc_id", expected.alias("expected")).join(found, "doc_id", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+    missed = F.array_except("expected", "types")
+    return cases.select("doc_id", F.size("expected").cast("long").alias("n_expected"), F.array_join(F.array_sort(missed), ",").alias("missed"), (F.size(missed) == 0).alias("passed"))
+
+
+def word_overlap(spark, d):
+    """How much of each conversation turn's words the turn before already had."""
+    c = _table(spark, d, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    out = c.withColumn("before", before).where("before IS NOT NULL")
+    return out.select("conv_id", "turn", F.round(stats.word_overlap(F.col("text"), F.col("before")), 9).alias("overlap"), (stats.word_overlap(F.col("text"), F.col("before")) > 0.8).alias("success"))
+
+
+def percentiles_low(spark, d):
+    return stats.percentiles(_table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, before=True)
+
+
+def percentiles_high(spark, d):
+    p = stats.percentiles(_table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, before=False)
+    return p.withColumn("advice", stats.recommendation(F.col("p95"))).withColumn("accepted", stats.verdict(F.lit(1.0), F.lit(0.0), F.col("p95")))
+
+
+def frame_gate(spark, d):
+    c = _table(spark, d, "conversations")
+    return stateful.change_gate(c, "conv_id", "turn", "text").groupBy("conv_id").agg(F.count("*").alias("n_frames"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
+
+
+def frame_sampling(spark, d):
+    e = _table(spark, d, "events")
+    return stateful.sample(e, "event_type", "ts", 1 / 3600).select("event_type", "event_id")
+
+
+def _errors(spark, d):
+    return _table(spark, d, "events").where("event_type = 'error'")
+
+
+def privacy_holds(spark, d):
+    return stateful.holds(_errors(spark, d), "user_id", "ts", "24 hours")
+
+
+def hold_early_return(spark, d):
+    manual = _table(spark, d, "events").where("event_type = 'login'")
+    return stateful.early_return(privacy_holds(spark, d), manual, "user_id", "ts")
+
+
+def hold_return_scene(spark, d):
+    other = _table(spark, d, "events").where("event_type <> 'error'")
+    return stateful.scene_before(other, privacy_holds(spark, d), "user_id", "ts", "event_type")
+
+
+def pause_filter(spark, d):
+    e = _table(spark, d, "events")
+    left = stateful.without_pauses(e, "user_id", "ts", "event_id", F.col("event_type") == "logout", F.col("event_type") == "login")
+    return left.groupBy("user_id").agg(F.count("*").alias("n_events"), F.sum("event_id").alias("sum_id"))
+
+
+def ui_states(spark, d):
+    e = _table(spark, d, "events")
+    state = stateful.ui_state(F.col("value").isNotNull() & (F.col("value") >= 1), F.col("event_type") == "error", F.col("value") > 100)
+    return e.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def running_counts(spark, d):
+    e = _table(spark, d, "events").withColumn("one", F.when(F.col("event_type") == "error", 1).otherwise(0).cast("long"))
+    r = stateful.running_count(e, "user_id", ["ts", "event_id"], "one")
+    return r.groupBy("user_id").agg(F.max("total").alias("total"), F.sum("total").alias("area"))
+
+
+def frame_fractions(spark, d):
+    """Turns of a conversation as frames of 16 x 16 x 3 bytes: changed share against the turn before."""
+    data = F.substring(F.rpad(F.encode("text", "utf-8"), 768, F.lit(" ").cast("binary")), 1, 768)
+    c = _table(spark, d, "conversations").select("conv_id", "turn", data.alias("data"))
+    c = c.withColumn("before", F.lag("data").over(Window.partitionBy("conv_id").orderBy("turn")))
+    fraction = frames.fraction_udf(16, 16, 3)("data", "before")
+    return c.select("conv_id", "turn", fraction.alias("fraction")).withColumn("changed", frames.is_changed(F.col("fraction")))
+
+
+def frame_inversion(spark, d):
+    data = F.substring(F.rpad(F.encode("text", "utf-8"), 768, F.lit(" ").cast("binary")), 1, 768)
+    c = _table(spark, d, "conversations").select("conv_id", "turn", data.alias("data"))
+    return c.select("conv_id", "turn", F.md5(frames.invert_udf(16, 16, 3)("data")).alias("frame_md5"), (frames.invert_udf(16, 16, 3)("data") != F.col("data")).alias("inverted"))
+
+
+def _run_stream(spark, name: str, stream: DataFrame) -> DataFrame:
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return streaming.to_table(stream, f"{root}/out", f"{root}/state")
+
+
+def _stream_of(spark, d, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    # as a pattern, the path can be a file or a folder of files
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def stream_cards(spark, d):
+    out = _run_stream(spark, "cards", streaming.card_candidates(_stream_of(spark, d, "documents"), "doc_id", "text"))
+    return out.select("doc_id", F.md5(F.col("number").cast("binary")).alias("number_md5"))
+
+
+def stream_gate(spark, d):
+    out = _run_stream(spark, "gate", streaming.change_gate(_stream_of(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text"))
+    return out.groupBy("conv_id").agg(F.count("*").alias("n_frames"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
+
+
+def stream_holds(spark, d):
+    """Holds that are over when the stream ends: the watermark has passed them."""
+    errors = _stream_of(spark, d, "events").where("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _run_stream(spark, "holds", streaming.holds(errors, "user_id", "ts", "24 hours"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        tokens_layout, tokens_split, box_geometry, box_merge, consecutive_runs, dictionary_words, dictionary_hits, seed_detections,
+        digit_repair, card_candidates, card_detections, card_detections_orders, crypto_detections, api_key_matches, api_key_services,
+        api_key_detections, personal_exact, personal_classify, personal_fuzzy, scan_detections, action_threshold, scan_summary, scan_top,
+        iou_pairs, log_roundtrip, stats_counts, detection_rates, missed_types, word_overlap, percentiles_low, percentiles_high, frame_gate,
+        frame_sampling, privacy_holds, hold_early_return, hold_return_scene, pause_filter, ui_states, running_counts, frame_fractions,
+        frame_inversion, stream_cards, stream_gate, stream_holds,
+    )
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return scan_detections(spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
