@@ -36,7 +36,8 @@ ROWS, BANDS = 5, 50
 BLOCK = 1024
 #: Ids sent to all workers at once: 8 bytes each, so at most 32 MB; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-SEED_ROUNDS = 3
+#: Rounds before the trees, and tests of one set in each: they only save the trees work.
+SEED_ROUNDS, SEED_TESTS = 4, 4
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**31, ROWS * BANDS, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -195,14 +196,15 @@ def jaccard_components(
         links = scratch.save(_verified(edges, sets, num, den), "seeds")
         comp = scratch.save(connected_components(links, "a", "b", scratch), "components")
         for round_ in range(SEED_ROUNDS):
-            member = cands.select("key", "fp").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
+            grown = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "fp")
+            member = cands.select("key", "fp").join(grown, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
             state = scratch.save(member, "members")
             open_ = state.groupBy("key").agg(
                 F.min("comp").alias("c0"),
                 F.max("comp").alias("c1"),
                 F.count("*").alias("members"),
                 F.min("fp").alias("least"),
-                F.min_by(F.struct("fp", "comp"), F.xxhash64("fp", F.lit(round_))).alias("centre"),
+                F.max_by(F.struct("fp", "comp"), F.struct("size", F.xxhash64("fp", F.lit(round_)))).alias("centre"),
                 F.bit_xor(F.xxhash64("fp")).alias("x0"),
                 F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"),
             )
@@ -210,7 +212,9 @@ def jaccard_components(
             open_ = open_.where("c0 <> c1").groupBy("members", "x0", "x1").agg(*[F.min_by(c, "key").alias(c) for c in ("least", "centre")], F.min("key").alias("key"))
             rest = state.join(open_.select("key", "members", "least", "centre"), "key")
             if round_ < SEED_ROUNDS - 1:
-                more = rest.where("comp <> centre.comp").groupBy("fp").agg(F.min("centre.fp").alias("b")).select(F.col("fp").alias("a"), "b")
+                # each set outside is tested against a few members of the largest component it shares a key with
+                tests = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("fp", "centre.fp").alias("h"), F.col("centre.fp").alias("b")))), 1, SEED_TESTS)
+                more = rest.where("comp <> centre.comp").groupBy("fp").agg(tests.alias("t")).select(F.col("fp").alias("a"), F.explode("t.b").alias("b"))
             else:
                 more = _by_trees(rest, sets, num, den)
             comp = _absorb(comp, scratch.save(_verified(more, sets, num, den), "links"), scratch)
