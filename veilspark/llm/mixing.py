@@ -4,8 +4,10 @@ A naive Bayes classifier fitted on a labelled table gives every document a
 posterior over domains. Then nonnegative rates (expected copies of a document)
 are fitted so that the expected tokens of each domain,
 ``A_k = sum(rate * tokens * P(k))``, come closest to the targets in scaled
-least squares: projected gradient steps ``rate <- max(0, rate - step * sum_k
-P(k) (A_k - T_k) / S_k)``, with S_k the domain's tokens at rate 1. Each step is
+least squares: projected gradient steps ``rate <- max(least, rate - step * sum_k
+P(k) (A_k - T_k) / S_k)``, with S_k the domain's tokens at rate 1. The least
+rate is 0, or ``LEAST_RATE`` for a document more likely than not from a domain
+that is wanted at all, so that a weak classifier drops no such document. Each step is
 one distributed aggregate. Documents with equal posteriors have equal rates
 through all steps, so the aggregate runs over tokens summed per posterior
 (rounded to 1/1000: a number of rows that does not grow with the corpus).
@@ -24,6 +26,8 @@ from .stage import Scratch
 
 MAX_DOCS = 20_000
 INDICATORS = 32
+#: Rate that documents keep that are more likely than not from a domain with a weight.
+LEAST_RATE = 0.05
 #: Times that a word's share in some domain exceeds its share in the sample, at least.
 LIFT = 3.0
 STEPS, STEP = 30, 1.5
@@ -84,7 +88,8 @@ def fit_domains(
     ignored, and of several labels the smallest name holds. Presence and
     absence of words count, not their number. The words kept are the ``INDICATORS`` with the
     largest mutual information with the domain, of those at least ``LIFT`` times
-    as common in some domain as in the sample, and all style classes.
+    as common in some domain as in the sample and too telling for chance, and
+    all style classes.
     """
     sample = labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.min(domain_col).alias("__k"))
     sample = sample.orderBy(F.xxhash64("__i"), "__i").limit(max_docs)
@@ -106,12 +111,18 @@ def fit_domains(
     ranked = per.withColumn("info", info).where((F.col("n") >= 5) | F.col("w").startswith("#"))
     lift = [F.col(f"n{i}") / F.col("n") * F.lit(all_docs / totals[k]) for i, k in enumerate(domains)]
     telling = F.greatest(*lift, F.lit(0.0)) >= LIFT
-    top = ranked.where(~F.col("w").startswith("#") & telling).orderBy(F.desc("info"), "w").limit(INDICATORS).collect()
+    # twice the information is chi-squared where word and domain are independent: by chance alone
+    # one sample in twenty has a single word over this bound
+    tested = ranked.where(~F.col("w").startswith("#")).count()
+    sure = F.col("info") >= math.log(max(tested, 1)) + 3.0
+    top = ranked.where(~F.col("w").startswith("#") & telling & sure).orderBy(F.desc("info"), "w").limit(INDICATORS).collect()
     styles = ranked.where(F.col("w").startswith("#")).collect()
     prior = [math.log(totals[k] / all_docs) for k in domains]
     weights = {}
     for r in [*top, *styles]:
-        share = [(r[f"n{i}"] + 0.5) / (totals[k] + 1.0) for i, k in enumerate(domains)]
+        # one pseudo-document with the word's share in the whole sample: rare words say little about small domains
+        overall = (r["n"] + 0.5) / (all_docs + 1.0)
+        share = [(r[f"n{i}"] + overall) / (totals[k] + 1.0) for i, k in enumerate(domains)]
         weights[r["w"]] = [math.log(p) for p in share]
         if r["w"][0] != "#":  # the word's absence counts too; of the styles each text has one of each kind
             for i, p in enumerate(share):
@@ -120,13 +131,15 @@ def fit_domains(
     return DomainModel(domains, prior, weights)
 
 
-def _rate(posterior: str, residuals: list[list[float]]) -> Column:
-    """Rate of a document after the steps with these scaled residuals."""
+def _rate(posterior: str, residuals: list[list[float]], wanted: list[int]) -> Column:
+    """Rate of a document after the steps with these scaled residuals; ``wanted`` are the domains with a weight."""
     if not residuals:
         return F.lit(1.0)
     history = ", ".join(f"array({', '.join(f'{x!r}D' for x in e)})" for e in residuals)
     push = " + ".join(f"{posterior}[{k}] * e[{k}]" for k in range(len(residuals[0])))
-    return F.expr(f"aggregate(array({history}), 1.0D, (rate, e) -> greatest(0.0D, rate - {STEP}D * ({push})))")
+    likely = " + ".join([f"{posterior}[{k}]" for k in wanted] or ["0.0D"])
+    least = f"CASE WHEN {likely} >= 0.5D THEN {LEAST_RATE}D ELSE 0.0D END"
+    return F.expr(f"aggregate(array({history}), 1.0D, (rate, e) -> greatest({least}, rate - {STEP}D * ({push})))")
 
 
 @dataclass
@@ -135,6 +148,7 @@ class Mixture:
     targets: list[float]  # tokens
     achieved: list[float]
     residuals: list[list[float]]
+    wanted: list[int]
 
 
 def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float], *, steps: int = STEPS) -> Mixture:
@@ -147,10 +161,11 @@ def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float],
     base = [float(x or 0) for x in scored.agg(*sums(F.lit(1.0))).first()]
     total_weight = sum(weights.get(k, 0.0) for k in domains)
     if not total_weight or not sum(base):
-        return Mixture(domains, base, base, [])
+        return Mixture(domains, base, base, [], [])
     share = [weights.get(k, 0.0) / total_weight for k in domains]
     lead = max(range(len(domains)), key=lambda k: share[k])
     targets = [s / share[lead] * base[lead] for s in share]
+    wanted = [k for k, s in enumerate(share) if s > 0]
     residuals, achieved, before = [], base, math.inf
     for _ in range(steps):
         e = [(a - t) / max(b, 1e-9) for a, t, b in zip(achieved, targets, base, strict=True)]
@@ -159,8 +174,8 @@ def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float],
             break
         before = loss
         residuals.append(e)
-        achieved = [float(x or 0) for x in scored.agg(*sums(_rate("__p", residuals))).first()]
-    return Mixture(domains, targets, achieved, residuals)
+        achieved = [float(x or 0) for x in scored.agg(*sums(_rate("__p", residuals, wanted))).first()]
+    return Mixture(domains, targets, achieved, residuals, wanted)
 
 
 def mix(
@@ -190,7 +205,7 @@ def mix(
     scored = scratch.save(model.with_posteriors(base).select("__i", F.size("__words").cast("long").alias("__tokens"), "__p"), "posteriors")
     cells = scratch.save(scored.groupBy("__p").agg(F.sum("__tokens").cast("double").alias("__tokens")).coalesce(8), "cells")
     mixture = fit_rates(cells, model.domains, weights)
-    rate = _rate("__p", mixture.residuals)
+    rate = _rate("__p", mixture.residuals, mixture.wanted)
     out = scored.withColumn("rate", rate)
     luck = F.pmod(F.xxhash64("__i", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return out.select(
