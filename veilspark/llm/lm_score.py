@@ -4,8 +4,14 @@ Words and word pairs of the training texts are counted over the whole corpus.
 A count c is kept as its level ``1 + floor(log_BASE c)``: the filter gets the
 n-gram with each level up to its own, so that probing levels until one misses
 gives the level back. The filter is cut into blocks by hash range; its blocks
-are built in parallel, each from the n-grams of its range, and then sent to
-the workers. Pairs that occurred once are left to smoothing (``MIN_PAIR``).
+are built in parallel, each from the n-grams of its range. Pairs that occurred
+once are left to smoothing (``MIN_PAIR``).
+
+Each entry has ``BITS_PER_ENTRY`` bits at every size of the corpus. A filter of
+at most ``MAX_FILTER_BYTES`` is sent to the workers. A larger one stays where
+its blocks are built: the distinct n-grams of each batch of texts go to the
+block of their hash range, and their levels come back to the batch. Both ways
+read the same bits and give the same scores.
 
 P(w | v) = L * c(v, w) / c(v) + (1 - L) * (c(w) + 1) / (N + V + 1) with counts
 read from the filter, where L = LAMBDA * c(v) / (c(v) + DOUBT): rare words say
@@ -25,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words
 from .stage import Scratch
@@ -32,8 +39,9 @@ from .stage import Scratch
 BASE, PROBES, LAMBDA, DOUBT = 1.5, 2, 0.5, 5.0
 MIN_PAIR = 2
 #: Bits of the filter for each entry, and the most bytes that are sent to a worker.
-#: A larger filter is scaled down to it, with more false hits, never fewer entries.
 BITS_PER_ENTRY, MAX_FILTER_BYTES = 12, 64 << 20
+#: Texts, in bytes, whose n-grams are asked for together where the filter is not sent, and n-grams probed at once.
+ASK_BYTES, PROBE_BLOCK = 8 << 20, 1 << 20
 HOT_WORDS = 1 << 20
 FLUSH_TOKENS = 1 << 21
 MAX_LEVEL = 64
@@ -41,7 +49,7 @@ MAX_LEVEL = 64
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xD6E8FEB86659FD93)
-_LOW16 = np.uint64(16)
+_LOW16, _HIGH = np.uint64(16), ~np.uint64(0xFFFF)
 
 
 def _pairs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -62,19 +70,25 @@ def _sequences(column: pa.Array, limit: int = words.CHUNK_BYTES):
         yield chunk, w, v, bounds
 
 
+def _cuts(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bounds of the hash ranges in sorted hashes."""
+    edge = np.searchsorted(h, (np.arange(1, buckets, dtype=np.uint64)) << np.uint64(64 - int(math.log2(buckets)))) if buckets > 1 else np.zeros(0, np.int64)
+    return np.concatenate(([0], edge, [len(h)]))
+
+
+def _high48(h: np.ndarray) -> bytes:
+    """Hashes without their lowest 16 bits, which the filter does not read."""
+    return np.ascontiguousarray((h >> _LOW16).view(np.uint16).reshape(-1, 4)[:, :3]).tobytes()
+
+
 def _counted(hashes: list[np.ndarray], buckets: int, kind: int):
     h, c = np.unique(np.concatenate(hashes), return_counts=True)
-    edge = np.searchsorted(h, (np.arange(1, buckets, dtype=np.uint64)) << np.uint64(64 - int(math.log2(buckets)))) if buckets > 1 else np.zeros(0, np.int64)
-    cuts = np.concatenate(([0], edge, [len(h)]))
+    cuts = _cuts(h, buckets)
     for b in range(buckets):
         x, y = cuts[b], cuts[b + 1]
         if y > x:
             own = h[x:y]
-            if kind:  # the lowest 16 bits of a pair's hash are not kept
-                packed = np.ascontiguousarray((own >> _LOW16).view(np.uint16).reshape(-1, 4)[:, :3])
-            else:
-                packed = own
-            yield kind, b, packed.tobytes(), c[x:y].astype(np.uint32).tobytes()
+            yield kind, b, _high48(own) if kind else own.tobytes(), c[x:y].astype(np.uint32).tobytes()
 
 
 def _count(buckets: int):
@@ -139,26 +153,36 @@ def _places(h: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray
     return (g >> np.uint64(8)) % size
 
 
+def _block(packed: bytes, levels: bytes, n: int, per_entry: float) -> tuple[int, bytes]:
+    """Size in bits and bits of the filter of one hash range."""
+    h, level = np.frombuffer(packed, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64)
+    size = max(64, int(n * per_entry) // 64 * 64)
+    block = np.zeros(size, np.uint8)
+    each = np.repeat(h, level)
+    step = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
+    for p in range(PROBES):
+        block[_places(each, step, p, np.uint64(size)).astype(np.int64)] = 1
+    return size, np.packbits(block, bitorder="little").tobytes()
+
+
 def _fill(per_entry: float):
     def run(batches):
         for batch in batches:
             kinds, buckets, entries = (batch.column(k).to_pylist() for k in (0, 1, 4))
             bits, sizes = [], []
             for packed, levels, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), entries, strict=True):
-                h, level = np.frombuffer(packed, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64)
-                size = max(64, int(n * per_entry) // 64 * 64)
-                block = np.zeros(size, np.uint8)
-                each = np.repeat(h, level)
-                step = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
-                for p in range(PROBES):
-                    block[_places(each, step, p, np.uint64(size)).astype(np.int64)] = 1
-                bits.append(np.packbits(block, bitorder="little").tobytes())
+                size, block = _block(packed, levels, n, per_entry)
+                bits.append(block)
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["kind", "bucket", "size", "bits"])
 
     return run, "kind int, bucket int, size long, bits binary"
 
 
+#: Middle of the count range of each level.
+_MIDDLE = np.concatenate(([0.0], [(max(1.0, BASE ** (j - 1)) + max(1.0, BASE**j)) / 2 if j > 2 else float(j) for j in range(1, MAX_LEVEL)]))
+
+
 class LogFrequencyFilter:
     """Counts of n-grams, read by repeated membership probes."""
 
@@ -176,6 +200,9 @@ class LogFrequencyFilter:
 
     def counts(self, h: np.ndarray, kind: int) -> np.ndarray:
         """Middle of the count range of each n-gram's level; 0 for those not found."""
+        return _MIDDLE[self.levels(h, kind)]
+
+    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
         block = np.full(len(h), kind * self.buckets, np.int64)
         if self.shift is not None:
             block += (h >> self.shift).astype(np.int64)
@@ -191,43 +218,133 @@ class LogFrequencyFilter:
             if not len(alive):
                 break
             level[alive] = j
-        middle = np.concatenate(([0.0], [(max(1.0, BASE ** (j - 1)) + max(1.0, BASE**j)) / 2 if j > 2 else float(j) for j in range(1, MAX_LEVEL)]))
-        return middle[level]
+        return level
 
 
-def _score(get):
+class AnsweredLevels:
+    """Counts of the n-grams of one batch of texts, from the levels that the hash ranges sent back."""
+
+    def __init__(self, grams: tuple[np.ndarray, np.ndarray], levels: tuple[np.ndarray, np.ndarray]):
+        self.grams, self.found = grams, levels
+
+    def counts(self, h: np.ndarray, kind: int) -> np.ndarray:
+        return _MIDDLE[self.found[kind][np.searchsorted(self.grams[kind], h & _HIGH)]]
+
+
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct words and pairs of the texts, as far as the filter reads their hashes."""
+    one, two = zip(*((np.unique(w & _HIGH), np.unique(_pairs(v, w) & _HIGH)) for _, w, v, _ in _sequences(column)), strict=True)
+    return np.unique(np.concatenate(one)), np.unique(np.concatenate(two))
+
+
+def _deal(batches):
+    """Texts in numbered batches of about ``ASK_BYTES``, one row for each."""
+    number, held, size = TaskContext.get().partitionId() << 20, [], 0
+
+    def flush():
+        table = pa.Table.from_batches(held).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "docs"])
+
+    for batch in batches:
+        offsets = words.utf8(batch.column(1))[1]
+        offsets = offsets + np.arange(len(offsets))  # an empty text counts as well
+        for a, b in words.pieces(offsets, ASK_BYTES):
+            more = int(offsets[b] - offsets[a])
+            if held and size + more > ASK_BYTES:
+                yield flush()
+                number, held, size = number + 1, [], 0
+            held.append(pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in (0, 1)], names=["i", "x"]))
+            size += more
+    if held:
+        yield flush()
+
+
+def _dealt(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+
+
+def _ask(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = []
+                for kind, h in enumerate(_grams(_dealt(blob).column(1))):
+                    cuts = _cuts(h, buckets)
+                    rows += [(kind, b, _high48(h[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
+                k, b, h = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.binary())], names=["batch", "kind", "bucket", "h"])
+
+    return run, "batch long, kind int, bucket int, h binary"
+
+
+def _answer(asked: pa.Table, block: pa.Table) -> pa.Table:
+    """Levels of the n-grams of one hash range, for each batch of texts that has some."""
+    n = asked.num_rows
+    blobs = asked.column("h").to_pylist()
+    found = [np.zeros(0, np.uint8)]
+    if n:
+        blocks = [(0, 0, *_block(*(block.column(k)[0].as_py() for k in ("packed", "levels", "entries")), float(BITS_PER_ENTRY)))] if block.num_rows else []
+        lm, h = LogFrequencyFilter(1, blocks), _unpack(b"".join(blobs), 1)
+        found += [lm.levels(h[a : a + PROBE_BLOCK], 0).astype(np.uint8) for a in range(0, len(h), PROBE_BLOCK)]
+    found = np.concatenate(found)
+    ends = np.cumsum([len(x) // 6 for x in blobs])
+    levels = [x.tobytes() for x in np.split(found, ends[:-1])] if n else []
+    return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
+
+
+def _score_answered(get, schema: pa.Schema):
+    def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _dealt(dealt.column("docs")[0].as_py())
+        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        level = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        grams = _grams(docs.column(1))
+        lm = AnsweredLevels(grams, (level[: len(grams[0])], level[len(grams[0]) :]))
+        return pa.Table.from_batches(_scores(docs, lm, get(), dealt.column("batch")[0].as_py() << 24)).cast(schema)
+
+    return run
+
+
+def _scores(batch: pa.RecordBatch, lm, model: dict, row: int):
+    """Scored texts; ``lm`` gives the counts of words and pairs."""
     names = ["row", "i", "n_tokens", "hot_known", "hot_sum", "score", "cold"]
+    hot_words, hot_counts = model["hot_words"], model["hot_counts"]
+    total, n_texts = model["N"] + model["V"] + 1.0, max(model["texts"], 1)
+    for chunk, w, v, bounds in _sequences(batch.column(1)):
+        distinct, own = np.unique(w, return_inverse=True)
+        at = np.minimum(np.searchsorted(hot_words, distinct), max(len(hot_words) - 1, 0))
+        hot = hot_words[at] == distinct if len(hot_words) else np.zeros(len(distinct), bool)
+        logs = np.where(hot, np.log10(np.where(hot, hot_counts[at] if len(hot_words) else 0, 0) + 1.0), 0.0)
+        cuts = bounds[:-1]
+        hot_sum, hot_known = np.add.reduceat(logs[own], cuts), np.add.reduceat(hot[own].astype(np.int64), cuts)
+        c = lm.counts(distinct, 0)
+        single = (c + 1.0) / total
+        before = np.empty(len(w))
+        before[1:] = c[own[:-1]]
+        before[cuts] = n_texts
+        pair = lm.counts(_pairs(v, w), 1)
+        follow = np.minimum(pair / np.maximum(before, 1.0), 1.0) * (before > 0)
+        trust = LAMBDA * before / (before + DOUBT)
+        p = trust * follow + (1 - trust) * single[own]
+        score = np.add.reduceat(np.log10(p), cuts)
+        cold = ~hot[own]
+        n_cold = np.concatenate(([0], np.cumsum(np.add.reduceat(cold.astype(np.int64), cuts)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(n_cold), pa.array(w[cold].view(np.int64)))
+        n = chunk.n_docs
+        rows = np.arange(row, row + n)
+        row += n
+        yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0).slice(chunk.first, n), pa.array(np.diff(bounds)), pa.array(hot_known), pa.array(hot_sum), pa.array(score), lists], names=names)
 
+
+def _score(get):
     def run(batches):
         model = get()
-        lm, hot_words, hot_counts = model["filter"], model["hot_words"], model["hot_counts"]
-        total, n_texts = model["N"] + model["V"] + 1.0, max(model["texts"], 1)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for chunk, w, v, bounds in _sequences(batch.column(1)):
-                distinct, own = np.unique(w, return_inverse=True)
-                at = np.minimum(np.searchsorted(hot_words, distinct), max(len(hot_words) - 1, 0))
-                hot = hot_words[at] == distinct if len(hot_words) else np.zeros(len(distinct), bool)
-                logs = np.where(hot, np.log10(np.where(hot, hot_counts[at] if len(hot_words) else 0, 0) + 1.0), 0.0)
-                cuts = bounds[:-1]
-                hot_sum, hot_known = np.add.reduceat(logs[own], cuts), np.add.reduceat(hot[own].astype(np.int64), cuts)
-                c = lm.counts(distinct, 0)
-                single = (c + 1.0) / total
-                before = np.empty(len(w))
-                before[1:] = c[own[:-1]]
-                before[cuts] = n_texts
-                pair = lm.counts(_pairs(v, w), 1)
-                follow = np.minimum(pair / np.maximum(before, 1.0), 1.0) * (before > 0)
-                trust = LAMBDA * before / (before + DOUBT)
-                p = trust * follow + (1 - trust) * single[own]
-                score = np.add.reduceat(np.log10(p), cuts)
-                cold = ~hot[own]
-                n_cold = np.concatenate(([0], np.cumsum(np.add.reduceat(cold.astype(np.int64), cuts)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(n_cold), pa.array(w[cold].view(np.int64)))
-                n = chunk.n_docs
-                rows = np.arange(row, row + n)
-                row += n
-                yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0).slice(chunk.first, n), pa.array(np.diff(bounds)), pa.array(hot_known), pa.array(hot_sum), pa.array(score), lists], names=names)
+            yield from _scores(batch, model["filter"], model, row)
+            row += batch.num_rows
 
     return run
 
@@ -260,9 +377,10 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     size = vocabulary.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("word") == int(END.astype(np.int64)), F.col("n")))).first()
     n_tokens, n_words, n_texts = int(size[0] or 0), int(size[1]), int(size[2] or 0)
     entries = gathered.where("packed IS NOT NULL").agg(F.sum("entries")).first()[0] or 0
-    per_entry = min(float(BITS_PER_ENTRY), MAX_FILTER_BYTES * 8 / max(entries, 1))
-    run, schema = _fill(per_entry)
-    blocks = gathered.where("packed IS NOT NULL").select("kind", "bucket", "packed", "levels", "entries").mapInArrow(run, schema).collect()
+    packed_blocks = gathered.where("packed IS NOT NULL").select("kind", "bucket", "packed", "levels", "entries")
+    sent_whole = entries * BITS_PER_ENTRY <= MAX_FILTER_BYTES * 8
+    run, schema = _fill(float(BITS_PER_ENTRY))
+    blocks = packed_blocks.mapInArrow(run, schema).collect() if sent_whole else []
     per_level = vocabulary.groupBy(F.floor(F.log2(F.col("n"))).alias("l")).agg(F.count("*").alias("k")).orderBy(F.desc("l")).collect()
     least, have = None, 0
     for r in per_level:
@@ -280,7 +398,19 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     sent = spark.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("i", base.schema["i"].dataType)])
     schema = schema.add("n_tokens", "long").add("hot_known", "long").add("hot_sum", "double").add("score", "double").add("cold", T.ArrayType(T.LongType()))
-    scored = scratch.save(base.mapInArrow(_score(lambda: sent.value), schema), "scored")
+    if sent_whole:
+        scored = base.mapInArrow(_score(lambda: sent.value), schema)
+    else:
+        dealt = scratch.save(base.mapInArrow(_deal, "batch long, docs binary"), "dealt")
+        run, asks = _ask(buckets)
+        # a range's group of asks follows the texts, its block the training texts: more texts are dealt to copies of the block
+        copies = max(1, math.ceil(base.rdd.getNumPartitions() / max(1, learn.rdd.getNumPartitions())))
+        asked = dealt.mapInArrow(run, asks).withColumn("copy", F.pmod("batch", F.lit(copies)).cast("int"))
+        copied = packed_blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        by = ["kind", "bucket", "copy"]
+        answered = asked.groupBy(*by).cogroup(copied.groupBy(*by)).applyInArrow(_answer, "batch long, kind int, bucket int, levels binary")
+        scored = dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(_score_answered(lambda: sent.value, to_arrow_schema(schema)), schema)
+    scored = scratch.save(scored, "scored")
     rare = scored.select("row", F.explode("cold").alias("word")).join(vocabulary, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("cold_sum"), F.count("*").alias("cold_known"))
     out = scored.drop("cold").join(rare, "row", "left")
     width = math.log10(n_tokens + n_words + 1)
