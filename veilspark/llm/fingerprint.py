@@ -30,6 +30,7 @@ PARTITION_ROWS = 20_000
 def numbered_kmers(chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of (k-mer, earlier occurrences in the text) in text order, and their bounds."""
     hashes, bounds = words.shingle_hashes(chunk, K)
+    number = np.zeros(len(hashes), np.uint64)
     for d in range(chunk.n_docs):
         a, b = bounds[d], bounds[d + 1]
         if b - a > 1:
@@ -39,9 +40,8 @@ def numbered_kmers(chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
             if same.any():
                 first = np.concatenate(([True], ~same))
                 place = np.arange(b - a)
-                number = place - np.maximum.accumulate(np.where(first, place, 0))
-                hashes[a:b][order] = words.mix(run + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return hashes, bounds
+                number[a:b][order] = place - np.maximum.accumulate(np.where(first, place, 0))
+    return words.mix(hashes + number * np.uint64(0x9E3779B97F4A7C15)), bounds
 
 
 def order_minhash(column: pa.Array) -> np.ndarray:
