@@ -4,8 +4,9 @@ The pages of a host are merged into one tree of element paths (tag, class and
 id). For each path the tree knows on how many pages it is, how its sequences of
 child elements are spread over pages (presentation), and how its texts are
 spread (content). A node whose presentation hardly varies and whose text is the
-same on page after page has low importance; branches without any important
-node are removed from each page. The tree is a table with one row per host and
+same on page after page has low importance; a branch is removed from a page if
+none of its nodes there with text of its own is important, at any depth. The
+tree is a table with one row per host and
 path, made by grouped counts; no host's pages meet in one task.
 
 The element names and classes that HTML reserves for menus, headers, footers,
@@ -50,6 +51,8 @@ NO_WORDS = frozenset(
     "skip complementary contentinfo search".split()
 )
 ROOTS = frozenset(("article", "main"))
+# fixed values: elements that may stand in a head; any other start tag, or text, ends a head left open
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=\"'>/]+)", re.S)
@@ -86,9 +89,11 @@ def parse(source: str) -> Node:
     while at < end:
         m = _TOKEN.search(source, at)
         if m is None:
+            _end_head(stack, source[at:])
             stack[-1].items.append(source[at:])
             break
         if m.start() > at:
+            _end_head(stack, source[at : m.start()])
             stack[-1].items.append(source[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -103,6 +108,10 @@ def parse(source: str) -> Node:
                 if stack[k].tag in ("td", "th", "table", "article", "body") and tag not in BLOCK:
                     break
             continue
+        if tag == "body":
+            _close(stack, "head", stop=())
+        elif tag not in HEAD:
+            _end_head(stack, tag)
         if tag in PARAGRAPH_ENDS:
             _close(stack, "p", stop=("td", "th", "table", "button", "object"))
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -117,6 +126,11 @@ def parse(source: str) -> Node:
     return top
 
 
+def _end_head(stack: list[Node], text: str) -> None:
+    if stack[-1].tag == "head" and text.strip():
+        del stack[-1]
+
+
 def _close(stack: list[Node], tag: str, stop: tuple[str, ...]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
@@ -168,7 +182,8 @@ def _text_size(node: Node, links: bool = False) -> int:
 
 
 def main_text(top: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the page's own text, joined by two line feeds. low: paths of low importance."""
+    """Blocks of the page's own text, joined by two line feeds. low: paths whose own text is of low importance."""
+    kept = _important(top, low) if low else set()
     roots, todo = [], [top]
     while todo:
         n = todo.pop()
@@ -196,7 +211,7 @@ def main_text(top: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
             open_.append(x)
         elif x.tag == "br":
             open_.append(" ")
-        elif x.banned or x.path in low and _removable(x):
+        elif x.banned or x.path in low and id(x) not in kept and _removable(x):
             if x.tag in BLOCK:
                 flush()
         else:
@@ -208,6 +223,15 @@ def main_text(top: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
+def _important(top: Node, low: frozenset[int] | set[int]) -> set[int]:
+    """Ids of the nodes whose branch has, at any depth, a node with text of its own that is not of low importance."""
+    kept = set()
+    for n in reversed(list(walk(top))):  # children before their parents
+        if not n.banned and (any(id(k) in kept for k in _children(n)) or n.path not in low and _own_text(n)):
+            kept.add(id(n))
+    return kept
+
+
 def _inside(root: Node, node: Node) -> bool:
     return any(n is node for n in walk(root))
 
@@ -274,11 +298,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     base = pages.select(F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
     tree = scratch.save(style_tree(base, "u", "h"), "tree")
     own = (1 - F.lit(GAMMA)) * F.col("presentation") + F.lit(GAMMA) * F.coalesce("content", "presentation")
-    judged = tree.where(F.col("pages") >= LEAST_PAGES).withColumn("own", own)
-    # a branch counts as its most important element; depth by depth this is a maximum over its paths' parents
-    kids = judged.where("content IS NOT NULL").groupBy("host", F.col("parent").alias("path")).agg(F.max("own").alias("below"))
-    low = judged.join(kids, ["host", "path"], "left").where(F.greatest("own", F.coalesce("below", F.lit(0.0))) < THRESHOLD)
-    low = low.where("content IS NOT NULL").groupBy("host").agg(F.collect_set("path").alias("low")).select(F.col("host").alias("__host"), "low")
+    low = tree.where(F.col("pages") >= LEAST_PAGES).where("content IS NOT NULL").where(own < THRESHOLD)
+    low = low.groupBy("host").agg(F.collect_set("path").alias("low")).select(F.col("host").alias("__host"), "low")
     out = base.withColumn("__page_host", host_of(F.col("u"))).join(low, F.col("__page_host") == F.col("__host"), "left")
     done = out.select("i", "u", "h", "low").mapInArrow(_extract, base.select("i", "u").schema.add("text", "string").add("n_chars", "long"))
     return done.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", "n_chars")
