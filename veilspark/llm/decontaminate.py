@@ -15,6 +15,9 @@ with at most ``floor(rate * words)`` word edits is a match.
   items that agree there are candidates. ``WALKS`` walks times ``BANDS`` bands
   bring the recall at the largest number of edits to the target (measured in
   the tests).
+* Walks drift apart with length, so that items of ``LONG`` words or more go
+  another way: a match shares at least words - 2 - 3 * edits word triples with
+  its own item, and every window that does is a candidate. None is lost.
 * Candidates are verified by the exact edit distance.
 
 Items go to the workers in blocks of at most ``ITEM_WORDS`` words: the size of
@@ -40,6 +43,8 @@ SYMBOLS = 4096
 ITEM_WORDS = 2_000_000
 WINDOW_BLOCK = 1 << 15
 MIN_WORDS = 5
+#: Words from which an item's candidates come from shared triples, if a match must share ``LEAST_SHARED`` of them.
+LONG, LEAST_SHARED = 60, 8
 
 _rng = np.random.default_rng(7)
 _SAMPLED = _rng.random((WALKS, BANDS * SAMPLES))
@@ -113,14 +118,23 @@ class ItemIndex:
         self.lengths = np.unique(length)
         self.triples = np.unique(np.concatenate([self.triple(x, np.arange(len(x) - 2)) for x in self.items]))
         self.slack = {int(n): int(np.floor(rate * n + 1e-9)) for n in self.lengths}
-        flat = np.concatenate(self.items)
-        start = np.concatenate(([0], np.cumsum(length)[:-1]))
+        long = (length >= LONG) & (length - 2 - 3 * self.edits >= LEAST_SHARED)
+        self.long_lengths = np.unique(length[long])
+        walked = np.flatnonzero(~long)
         self.tables = []
-        for walk in range(WALKS):
-            keys = embed(flat, start, length, walk)
-            for band in range(BANDS):
-                order = np.argsort(keys[band], kind="stable")
-                self.tables.append((keys[band][order], order))
+        if len(walked):
+            flat = np.concatenate([self.items[i] for i in walked])
+            start = np.concatenate(([0], np.cumsum(length[walked])[:-1]))
+            for walk in range(WALKS):
+                keys = embed(flat, start, length[walked], walk)
+                for band in range(BANDS):
+                    order = np.argsort(keys[band], kind="stable")
+                    self.tables.append((keys[band][order], walked[order]))
+        own = [np.unique(self.triple(self.items[i], np.arange(length[i] - 2))) for i in np.flatnonzero(long)]
+        keys = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.long_triples = keys[order]
+        self.long_items = np.repeat(np.flatnonzero(long), [len(x) for x in own])[order]
         seen = np.zeros(1 << 16, bool)
         seen[(self.vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.seen = seen
@@ -181,8 +195,15 @@ class ItemIndex:
         return np.concatenate(starts), np.concatenate(lengths)
 
     def matches(self, symbols: np.ndarray, doc: np.ndarray):
-        """(start, item position, edits) of every window that matches and was found by the bands."""
+        """(start, item position, edits) of every window that matches and was found by the bands.
+
+        Of long items, those that can be the best of their document.
+        """
         start, length = self.windows(symbols, doc)
+        long = np.isin(length, self.long_lengths)
+        if long.any():
+            yield from self.long_matches(symbols, doc, start[long], length[long])
+            start, length = start[~long], length[~long]
         for a in range(0, len(start), WINDOW_BLOCK):
             s, n = start[a : a + WINDOW_BLOCK], length[a : a + WINDOW_BLOCK]
             found = []
@@ -209,6 +230,38 @@ class ItemIndex:
                 yield s[w][ok], item[ok], d[ok]
 
 
+    def long_matches(self, symbols: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray):
+        """Matches of long items among their windows, which are counted by the triples of each item."""
+        inside = np.zeros(len(symbols) + 1, np.int64)
+        np.add.at(inside, start, 1)
+        np.add.at(inside, start + length - 2, -1)
+        at = np.flatnonzero(np.cumsum(inside) > 0)
+        key = self.triple(symbols, at)
+        low = np.searchsorted(self.long_triples, key, "left")
+        count = np.searchsorted(self.long_triples, key, "right") - low
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        item = self.long_items[np.repeat(low, count) + step]
+        order = np.argsort(item, kind="stable")  # places stay in order
+        item, at = item[order], np.repeat(at, count)[order]
+        firsts = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1]))) if len(item) else []
+        for a, b in zip(firsts, [*firsts[1:], len(item)], strict=True):
+            g, place = int(item[a]), at[a:b]
+            n, most = len(self.items[g]), int(self.edits[g])
+            s = start[length == n]
+            shared = np.searchsorted(place, s + n - 2) - np.searchsorted(place, s)
+            enough = shared >= n - 2 - 3 * most
+            s, least = s[enough], -(-(n - 2 - shared[enough]) // 3)  # no window has fewer edits than that
+            for d in np.unique(doc[s]):
+                own = doc[s] == d
+                t, bound = s[own], least[own]
+                first = t[[np.argmin(bound)]]
+                limit = min(most, int(edit_distances(symbols, first, self.items, np.array([g]))[0]))
+                t = t[bound <= limit]
+                edits = edit_distances(symbols, t, self.items, np.full(len(t), g))
+                ok = edits <= most
+                yield t[ok], np.full(int(ok.sum()), g), edits[ok]
+
+
 def _normal_words(column: pa.Array, limit: int = words.CHUNK_BYTES):
     return words.word_chunks(column, lower=True, strip_punct=True, limit=limit)
 
