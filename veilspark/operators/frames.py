@@ -82,5 +82,31 @@ def invert_udf(height: int, width: int, channels: int):
     return pandas_udf(run, "binary")
 
 
+def tall_fraction_udf(width: int, channels: int, pad: bytes = b" "):
+    """As ``fraction_udf`` for frames whose height follows their data; the shorter of a pair is padded to the longer."""
+
+    def run(now: pd.Series, before: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(now, before, strict=True):
+            if b is None:
+                out.append(1.0)
+            else:
+                height = -(-max(len(a), len(b)) // (width * channels))
+                a, b = (pixels(x.ljust(height * width * channels, pad), height, width, channels) for x in (a, b))
+                out.append(change_fraction(gray(a), gray(b)))
+        return pd.Series(out, dtype=float)
+
+    return pandas_udf(run, "double")
+
+
+def tall_invert_udf(width: int, channels: int):
+    """As ``invert_udf`` for frames of whole rows whose height follows their data."""
+
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: invert_if_dark(pixels(d, len(d) // (width * channels), width, channels)).tobytes())
+
+    return pandas_udf(run, "binary")
+
+
 def is_changed(fraction: Column) -> Column:
     return fraction >= FRAME_CHANGE

@@ -290,19 +290,26 @@ def running_counts(spark, d):
     return r.groupBy("user_id").agg(F.max("total").alias("total"), F.sum("total").alias("area"))
 
 
+def _text_frame() -> Column:
+    """The whole text as rows of 16 x 3 bytes, at least 16 of them, filled up with blanks."""
+    data = F.encode("text", "utf-8")
+    size = F.greatest(F.lit(768), F.ceil(F.octet_length(data) / 48) * 48).cast("int")
+    return F.rpad(data, size, F.lit(" ").cast("binary"))
+
+
 def frame_fractions(spark, d):
-    """Turns of a conversation as frames of 16 x 16 x 3 bytes: changed share against the turn before."""
-    data = F.substring(F.rpad(F.encode("text", "utf-8"), 768, F.lit(" ").cast("binary")), 1, 768)
+    """Turns of a conversation as frames of 16 x 3 bytes a row: changed share against the turn before."""
+    data = _text_frame()
     c = _table(spark, d, "conversations").select("conv_id", "turn", data.alias("data"))
     c = c.withColumn("before", F.lag("data").over(Window.partitionBy("conv_id").orderBy("turn")))
-    fraction = frames.fraction_udf(16, 16, 3)("data", "before")
+    fraction = frames.tall_fraction_udf(16, 3)("data", "before")
     return c.select("conv_id", "turn", fraction.alias("fraction")).withColumn("changed", frames.is_changed(F.col("fraction")))
 
 
 def frame_inversion(spark, d):
-    data = F.substring(F.rpad(F.encode("text", "utf-8"), 768, F.lit(" ").cast("binary")), 1, 768)
+    data = _text_frame()
     c = _table(spark, d, "conversations").select("conv_id", "turn", data.alias("data"))
-    return c.select("conv_id", "turn", F.md5(frames.invert_udf(16, 16, 3)("data")).alias("frame_md5"), (frames.invert_udf(16, 16, 3)("data") != F.col("data")).alias("inverted"))
+    return c.select("conv_id", "turn", F.md5(frames.tall_invert_udf(16, 3)("data")).alias("frame_md5"), (frames.tall_invert_udf(16, 3)("data") != F.col("data")).alias("inverted"))
 
 
 def _run_stream(spark, name: str, stream: DataFrame) -> DataFrame:
