@@ -312,8 +312,12 @@ def frame_inversion(spark, d):
     return c.select("conv_id", "turn", F.md5(frames.tall_invert_udf(16, 3)("data")).alias("frame_md5"), (frames.tall_invert_udf(16, 3)("data") != F.col("data")).alias("inverted"))
 
 
+def _stream_root(spark, name: str) -> str:
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+
+
 def _run_stream(spark, name: str, stream: DataFrame) -> DataFrame:
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    root = _stream_root(spark, name)
     return streaming.to_table(stream, f"{root}/out", f"{root}/state")
 
 
@@ -329,7 +333,8 @@ def stream_cards(spark, d):
 
 
 def stream_gate(spark, d):
-    out = _run_stream(spark, "gate", streaming.change_gate(_stream_of(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text"))
+    root = _stream_root(spark, "gate")
+    out = streaming.change_gate_table(_stream_of(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", f"{root}/out", f"{root}/state")
     return out.groupBy("conv_id").agg(F.count("*").alias("n_frames"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
 
 

@@ -1,11 +1,9 @@
-"""Streaming forms: holds by session windows, change gate with state, scan per micro-batch."""
+"""Streaming forms: holds by session windows, change gate with stored last values, scan per micro-batch."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import cards
 
@@ -16,21 +14,33 @@ def holds(triggers: DataFrame, key: str, ts: str, hold: str, late: str = "10 sec
     return s.select(key, F.col("s.start").alias("hold_start"), F.col("s.end").alias("hold_end"), "n_triggers")
 
 
-def change_gate(frames: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, order, changed) with the last value of each key as state; rows of a batch are taken in order."""
-    def run(k, batches, state):
-        seen, last = (True, state.get[0]) if state.exists else (False, None)
-        for pdf in batches:
-            pdf = pdf.sort_values(order)
-            out = []
-            for v in pdf[value]:
-                out.append(not seen or v != last)
-                seen, last = True, v
-            yield pd.DataFrame({key: pdf[key], order: pdf[order], "changed": out})
-        state.update((last,))
-
-    types = {f.name: f.dataType.simpleString() for f in frames.schema}
-    return frames.groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, {order} {types[order]}, changed boolean", f"last {types[value]}", "append", GroupStateTimeout.NoTimeout)
+def change_gate_table(frames: DataFrame, key: str, order: str, value: str, path: str, checkpoint: str) -> DataFrame:
+    """(key, order, changed) of a stream over what there is, written to Parquet and read.
+
+    The rows of a micro-batch are compared in order by a window, which spills
+    and does not see how they are cut for Python. The last value of each key is
+    a table that each micro-batch reads and writes anew under its own number, so
+    that one that is run again gives the same rows.
+    """
+    spark = frames.sparkSession
+    w = Window.partitionBy(key).orderBy("__new", order)
+    place = F.struct("__new", order)
+    last_schema = frames.select(key, order, value).schema
+    schema = frames.select(key, order).schema.add("changed", "boolean")
+
+    def gate(batch: DataFrame, number: int) -> None:
+        rows = batch.select(key, order, value, F.lit(1).alias("__new"))
+        if number:
+            last = batch.sparkSession.read.schema(last_schema).parquet(f"{path}-last/{number - 1}")
+            rows = rows.unionByName(last.withColumn("__new", F.lit(0)))
+        changed = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
+        rows.withColumn("changed", changed).where("__new = 1").select(key, order, "changed").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = rows.groupBy(key).agg(F.max(place).alias("__at"), F.max_by(value, place).alias(value))
+        last.select(key, F.col(f"__at.{order}").alias(order), value).write.mode("overwrite").parquet(f"{path}-last/{number}")
+
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    frames.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path).select(key, order, "changed")
 
 
 def card_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
