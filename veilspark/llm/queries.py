@@ -108,8 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_lm_score": op5_lm_score,
-    "op6_edit_token_counts": op6_edit_token_counts,
     "op7_url_filter": r"""
         WITH parts AS (
             SELECT page_id, url, html,
