@@ -1,7 +1,6 @@
-from veilspark.llm import queries
-from veilspark.plans import catalog
+import __spark_entry__
 
 
-def test_oracles_are_sql():
-    assert all(isinstance(q, str) for q in (catalog.ORACLES | queries.ORACLES).values())
-    assert {"op5_lm_score", "op6_edit_token_counts"} <= set(queries.QUERIES)
+def test_oracles_are_sql_of_registered_queries():
+    oracles, queries = __spark_entry__.oracle_sql(), __spark_entry__.queries()
+    assert all(isinstance(q, str) for q in oracles.values()) and set(oracles) <= set(queries)
