@@ -30,5 +30,51 @@ def test_branches_without_own_text_still_go(spark):
 
 def test_open_head():
     for page in ("<head><title>t</title><body><p>x</p></body>", "<html><head><meta charset=utf-8><p>x", "<head><title>t</title>x"):
-        assert html_text.main_text(html_text.parse(page)) == "x"
-    assert html_text.main_text(html_text.parse("<head> <template><p>no</p></template> <title>t</title></head><body>x")) == "x"
+        assert html_text.main_text(page) == "x"
+    assert html_text.main_text("<head> <template><p>no</p></template> <title>t</title></head><body>x") == "x"
+
+
+def test_what_names_side_matter():
+    assert all(map(html_text.side_matter, ("ad", "ad-slot", "cookie-notice", "comments", "related-posts", "sidebar_left")))
+    assert not any(map(html_text.side_matter, ("ad-hoc", "related-work", "entry-content", "post", "body", "")))
+    page = '<article><header><h1>T</h1></header><p class="related-work">x <math><mi>y</mi></math></p><p class="ad-slot">no</p><footer>no</footer></article>'
+    assert html_text.main_text(page) == "T\n\nx y"
+
+
+def test_low_paths_decide_inside_an_article():
+    page = html_text.Page("<body><article><p>one</p><div><p>two</p></div></article></body>")
+    low = {p for p, c in zip(page.paths, page.contents) if c}
+    assert html_text.kept_text(page) == "one\n\ntwo" and html_text.kept_text(page, low) == ""
+    first = next(p for p, c in zip(page.paths, page.contents) if c)
+    assert html_text.kept_text(page, {first}) == "two"
+
+
+def test_importance_of_a_grandchild_keeps_the_branch(spark):
+    got = extracted(spark, "<html><body><article><div>Share this <span><b>own words {k}</b></span></div><div class='x'>Same on all</div></article></body></html>", 8)
+    assert all(got[k] == f"Share this own words {k}" for k in range(8))
+
+
+def test_a_form_around_the_page_is_no_side_matter(spark):
+    got = extracted(spark, "<html><body><form><div>unique words of page {k}</div></form><div class='ad'>x{k}</div></body></html>")
+    assert all(got[k] == f"unique words of page {k}" for k in range(6))
+
+
+def test_tree_against_plain_counts(spark):
+    import math
+    from collections import Counter
+
+    rows = [(k, f"http://h{k % 3}.org/", f"<body><div>{'same' if k % 2 else k}</div><p>t{k % 4}<b>x</b></p></body>") for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tree = {(r.host, r.path): r for r in html_text.style_tree(html_text.observations(html_text.parsed_pages(df))).collect()}
+    texts = {}
+    for k, url, source in rows:
+        for path, _, content, _, _ in html_text.Page(source).observed():
+            texts.setdefault((f"h{k % 3}.org", path), []).append(content)
+    for key, contents in texts.items():
+        counts = Counter(c for c in contents if c)
+        if counts:
+            mean = sum(n * math.log(n) for n in counts.values()) / sum(counts.values())
+            assert abs(tree[key].content - max(0.0, 1 - mean / math.log(len(contents) + html_text.UNSEEN_PAGES))) < 1e-9
+        else:
+            assert tree[key].content is None
+        assert tree[key].pages == len(contents)

@@ -268,10 +268,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text():
-    assert html_text.main_text(html_text.parse(PAGE)) == "Head & line\n\nOne two three. four\n\nFive <6\n\nx\n\ny"
-    assert html_text.main_text(html_text.parse("")) == ""
-    assert html_text.main_text(html_text.parse("plain <b>text")) == "plain text"
-    assert html_text.main_text(html_text.parse("<p>a<p>b</div></p><td>c")) == "a\n\nb\n\nc"
+    assert html_text.main_text(PAGE) == "Head & line\n\nOne two three. four\n\nFive <6\n\nx\n\ny"
+    assert html_text.main_text("") == ""
+    assert html_text.main_text("plain <b>text") == "plain text"
+    assert html_text.main_text("<p>a<p>b</div></p><td>c") == "a\n\nb\n\nc"
 
 
 def test_style_tree_drops_what_every_page_has(spark):

@@ -2,55 +2,72 @@
 
 The pages of a host are merged into one tree of element paths (tag, class and
 id). For each path the tree knows on how many pages it is, how its sequences of
-child elements are spread over pages (presentation), and how its texts are
-spread (content). A node whose presentation hardly varies and whose text is the
-same on page after page has low importance; a branch is removed from a page if
-none of its nodes there with text of its own is important, at any depth. The
-tree is a table with one row per host and
-path, made by grouped counts; no host's pages meet in one task.
-
-The element names and classes that HTML reserves for menus, headers, footers,
-sidebars, notices, adverts, forms and comments have no importance from the
-start. Inside an ``article`` or ``main`` element, which marks its text as the
-page's own, only branches that are mostly links can be of low importance.
+child elements are spread (presentation), and how its texts are spread
+(content). A node whose presentation hardly varies and whose text is the same
+on page after page has low importance; a branch goes from a page if none of its
+nodes with text of its own is important, at any depth. The tree is a table with
+one row per host and path, made by grouped counts; no host's pages meet in one
+task, and what a page needs to know of the tree comes back by path.
+
+Importance starts from a prior. Elements that HTML reserves for menus, headers,
+footers, sidebars and controls have none. Those whose class, id or role names
+such a part, and forms, have a small one, which the site itself can overrule:
+where such an element holds most of the text of its pages, it is no side matter
+(a form around a whole page). A ``header`` inside ``article``, ``main`` or
+``section`` is the article's own and counts as text; a ``footer`` never does.
+
+Each page is parsed once. The parse, its text in pieces by node, is written to
+the shared folder; deciding and joining work on that.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stage import Scratch
 from .url_filter import host_of
 
-#: Importance below which a branch goes, and pages of a host that a judgement needs.
-THRESHOLD, LEAST_PAGES = 0.2, 4
+#: Importance below which a branch goes.
+THRESHOLD = 0.2
+#: Share of the content in a node's importance; the rest is presentation.
 GAMMA = 0.9
+#: Pages with other texts that every site is taken to have beside those seen: a few equal pages say little.
+UNSEEN_PAGES = 2
+#: Prior of elements that are named like side matter.
+PRIOR = 0.1
 
 # fixed values: element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea title head select".split())
+RAW = frozenset("script style noscript template iframe object svg canvas textarea title head select".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table caption colgroup tbody "
     "td tfoot th thead tr ul".split()
 )
 PARAGRAPH_ENDS = BLOCK - {"html", "body", "td", "th", "tr", "caption"}
-# fixed values: elements and words of class names, ids and roles that are never the page's own text
-NO_TEXT = RAW | frozenset("nav header footer aside form button menu dialog search fieldset".split())
-NO_WORDS = frozenset(
+# fixed values: elements that are never the page's own text, and those that hardly ever are
+NO_TEXT = RAW | frozenset("nav footer aside button menu dialog search".split())
+DOUBTFUL = frozenset("form fieldset".split())
+# fixed values: words that name side matter in classes, ids and roles, and words that say nothing beside them
+SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner navigation nav navbar menu breadcrumb "
     "breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login share sharing social related recommended comment comments disqus reply replies respond pagination pager toolbar "
     "skip complementary contentinfo search".split()
 )
-ROOTS = frozenset(("article", "main"))
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box button buttons btn col column container content div footer form group header holder icons inner "
+    "item items left link links list main module outer page panel post posts right row section site slot text thread title to top "
+    "unit widget widgets wrap wrapper".split()
+)
 # fixed values: elements that may stand in a head; any other start tag, or text, ends a head left open
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 
@@ -58,33 +75,44 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=\"'>/]+)", re.S)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "path", "items", "banned", "root")
+    __slots__ = ("tag", "name", "path", "items", "banned", "doubtful", "inside")
 
-    def __init__(self, tag, name, path, banned, root):
-        self.tag, self.name, self.path, self.banned, self.root = tag, name, path, banned, root
+    def __init__(self, tag, name, path, banned, doubtful, inside):
+        self.tag, self.name, self.path, self.banned, self.doubtful, self.inside = tag, name, path, banned, doubtful, inside
         self.items = []  # child nodes and strings, in order
 
 
+def side_matter(mark: str) -> bool:
+    """Whether one word of a class, id or role names side matter: ``ad-slot`` does, ``ad-hoc`` does not."""
+    parts = [w for w in re.split(r"[^a-z]+", mark) if w]
+    return any(w in SIDE_WORDS for w in parts) and all(w in SIDE_WORDS or w in PLAIN_WORDS for w in parts)
+
+
+def _signed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
 def _element(tag: str, attrs: str, parent: Node) -> Node:
-    values = {}
+    banned, doubtful, name = tag in NO_TEXT or tag == "header" and not parent.inside, tag in DOUBTFUL, tag
     if attrs:
+        values = {}
         for m in _ATTR.finditer(attrs):
             values.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
-    marks = f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}".strip().lower()
-    banned = tag in NO_TEXT or "hidden" in values or values.get("aria-hidden") == "true" or bool(_HIDDEN.search(values.get("style", "")))
-    if marks and not banned and tag not in ("body", "html"):
-        banned = not NO_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", marks))
-    name = f"{tag}.{values.get('class', '')}#{re.sub(r'[0-9]+', '0', values.get('id', ''))}" if marks else tag
-    path = xxhash.xxh64_intdigest(f"{parent.path}/{name}".encode()) - (1 << 63)
-    return Node(tag, name, path, banned, parent.root or tag in ROOTS)
+        banned = banned or "hidden" in values or values.get("aria-hidden") == "true" or bool(_HIDDEN.search(values.get("style", "")))
+        marks = f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}".strip().lower()
+        if marks:
+            doubtful = doubtful or tag not in ("body", "html") and any(map(side_matter, marks.split()))
+            name = f"{tag}.{values.get('class', '')}#{_DIGITS.sub('0', values.get('id', ''))}"
+    return Node(tag, name, _signed(f"{parent.path}/{name}"), banned, doubtful, parent.inside or tag in ("article", "main", "section"))
 
 
 def parse(source: str) -> Node:
     """Tree of the page. Unknown end tags are ignored; what is left open ends with its parent."""
-    top = Node("", "", 0, False, False)
+    top = Node("", "", 0, False, False, False)
     stack, at, end = [top], 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
@@ -148,142 +176,170 @@ def _own_text(node: Node) -> str:
     return _SPACE.sub(" ", " ".join(x for x in node.items if isinstance(x, str))).strip()
 
 
-def walk(node: Node):
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        yield n
-        todo.extend(reversed(_children(n)))
-
-
-def observations(top: Node):
-    """(path, parent path, style, content) of each element; content 0 without text of its own."""
-    todo = [(top, 0)]
-    while todo:
-        node, parent = todo.pop()
-        kids = [k for k in _children(node) if k.tag not in RAW]
-        if node is not top:
-            style = xxhash.xxh64_intdigest(" ".join(dict.fromkeys(k.name for k in kids)).encode()) - (1 << 63)
-            text = _own_text(node)
-            yield node.path, parent, style, xxhash.xxh64_intdigest(text.encode()) - (1 << 63) if text else 0
-        todo.extend((k, node.path) for k in kids)
-
-
-def _text_size(node: Node, links: bool = False) -> int:
-    total, todo = 0, [(node, node.tag == "a")]
-    while todo:
-        n, inside = todo.pop()
-        for x in n.items:
-            if isinstance(x, str):
-                total += len(x.strip()) if inside or not links else 0
-            elif not x.banned:
-                todo.append((x, inside or x.tag == "a"))
-    return total
-
-
-def main_text(top: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the page's own text, joined by two line feeds. low: paths whose own text is of low importance."""
-    kept = _important(top, low) if low else set()
-    roots, todo = [], [top]
-    while todo:
-        n = todo.pop()
-        for k in reversed(_children(n)):
-            if not k.banned:
-                todo.append(k)
-        if n.tag in ROOTS:
-            roots.append(n)
-            todo = [k for k in todo if not k.root or not _inside(n, k)]
-    blocks, open_ = [], []
-
-    def flush():
-        if open_:
-            text = _SPACE.sub(" ", html.unescape("".join(open_))).strip()
-            if text:
-                blocks.append(text)
-            open_.clear()
-
-    todo = list(reversed(roots or [top]))
-    while todo:
-        x = todo.pop()
-        if x is None:
-            flush()
-        elif isinstance(x, str):
-            open_.append(x)
-        elif x.tag == "br":
-            open_.append(" ")
-        elif x.banned or x.path in low and id(x) not in kept and _removable(x):
-            if x.tag in BLOCK:
-                flush()
+class Page:
+    """What deciding needs of a page: its nodes, parents first, and its text in pieces of (node, block, text)."""
+
+    def __init__(self, source: str):
+        self.paths, self.parents, self.doubtful, self.styles, self.contents, self.sizes = [], [], [], [], [], []
+        self.owners, self.blocks, self.texts = [], [], []
+        block, todo = 0, [(parse(source), -1)]
+        while todo:
+            x, parent = todo.pop()
+            if x is None:
+                block += 1
+            elif isinstance(x, str):
+                self._piece(parent, block, x)
+            elif x.tag == "br":
+                self._piece(parent, block, " ")
+            elif x.banned:
+                block += x.tag in BLOCK
+            else:
+                if x.tag in BLOCK:
+                    block += 1
+                    todo.append((None, -1))
+                node = len(self.paths)
+                self._node(x, parent)
+                todo.extend((k, node) for k in reversed(x.items))
+        for k in range(len(self.paths) - 1, 0, -1):
+            self.sizes[self.parents[k]] += self.sizes[k]
+
+    def _node(self, x: Node, parent: int) -> None:
+        text = _own_text(x)
+        self.paths.append(x.path)
+        self.parents.append(parent)
+        self.doubtful.append(x.doubtful)
+        self.styles.append(_signed(" ".join(dict.fromkeys(k.name for k in _children(x) if k.tag not in RAW))))
+        self.contents.append(_signed(text) or 1 if text else 0)
+        self.sizes.append(len(text))
+
+    def _piece(self, node: int, block: int, text: str) -> None:
+        if self.owners and self.owners[-1] == node and self.blocks[-1] == block:
+            self.texts[-1] += text
         else:
-            if x.tag in BLOCK or x is top:
-                flush()
-                todo.append(None)
-            todo.extend(reversed(x.items))
-    flush()
+            self.owners.append(node)
+            self.blocks.append(block)
+            self.texts.append(text)
+
+    def observed(self) -> list[tuple]:
+        """Distinct (path, style, content), whether the path's first, and a doubtful node's share of the page's text."""
+        out, seen = {}, set()
+        for path, style, content, doubt, size in zip(self.paths, self.styles, self.contents, self.doubtful, self.sizes, strict=True):
+            if (path, style, content) not in out:
+                out[path, style, content] = (path not in seen, size / self.sizes[0] if doubt and self.sizes[0] else None)
+                seen.add(path)
+        return [(*k, *v) for k, v in out.items()]
+
+
+def kept_text(page, low: frozenset[int] | set[int] = frozenset(), cleared: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the page's own text, joined by two line feeds.
+
+    ``low``: paths whose own text is of low importance on the site. ``cleared``:
+    paths named like side matter that hold most of the site's text.
+    """
+    n = len(page.paths)
+    aside, important = [False] * n, [False] * n
+    has_text = [False] * n
+    for owner, text in zip(page.owners, page.texts, strict=True):
+        has_text[owner] = has_text[owner] or not text.isspace()
+    for k in range(n):  # parents before their children
+        up = page.parents[k]
+        aside[k] = up >= 0 and aside[up] or page.doubtful[k] and page.paths[k] not in cleared
+    for k in range(n - 1, -1, -1):
+        if not aside[k]:
+            important[k] = important[k] or has_text[k] and page.paths[k] not in low
+            if important[k] and page.parents[k] >= 0:
+                important[page.parents[k]] = True
+    blocks, open_, at = [], [], None
+    for owner, block, text in zip([*page.owners, 0], [*page.blocks, -1], [*page.texts, ""], strict=True):
+        if block != at:
+            joined = _SPACE.sub(" ", html.unescape("".join(open_))).strip()
+            if joined:
+                blocks.append(joined)
+            open_, at = [], block
+        if important[owner]:
+            open_.append(text)
     return "\n\n".join(blocks)
 
 
-def _important(top: Node, low: frozenset[int] | set[int]) -> set[int]:
-    """Ids of the nodes whose branch has, at any depth, a node with text of its own that is not of low importance."""
-    kept = set()
-    for n in reversed(list(walk(top))):  # children before their parents
-        if not n.banned and (any(id(k) in kept for k in _children(n)) or n.path not in low and _own_text(n)):
-            kept.add(id(n))
-    return kept
+def main_text(source: str, low: frozenset[int] | set[int] = frozenset(), cleared: frozenset[int] | set[int] = frozenset()) -> str:
+    """The own text of one page."""
+    return kept_text(Page(source), low, cleared)
 
 
-def _inside(root: Node, node: Node) -> bool:
-    return any(n is node for n in walk(root))
+_PAGE = "paths array<long>, parents array<int>, doubtful array<boolean>, owners array<int>, blocks array<int>, texts array<string>"
+_SEEN = "seen array<struct<path: long, style: long, content: long, first: boolean, share: double>>"
+_SEEN_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64()), ("first", pa.bool_()), ("share", pa.float64())]))
+#: Pages in one Arrow batch of parses.
+PAGES = 64
 
 
-def _removable(node: Node) -> bool:
-    if not node.root:
-        return True
-    size = _text_size(node)
-    return node.tag not in ROOTS and size > 0 and _text_size(node, links=True) >= 0.5 * size
+def _parse_pages(batches):
+    row = TaskContext.get().partitionId() << 40
+    for whole in batches:
+        for a in range(0, whole.num_rows, PAGES):
+            batch = whole.slice(a, PAGES)
+            pages = [Page(x or "") for x in batch.column(2).to_pylist()]
+            seen = [[dict(zip(("path", "style", "content", "first", "share"), o, strict=True)) for o in p.observed()] for p in pages]
+            lists = [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in (("paths", pa.int64()), ("parents", pa.int32()), ("doubtful", pa.bool_()), ("owners", pa.int32()), ("blocks", pa.int32()), ("texts", pa.string()))]
+            number = pa.array(range(row, row + len(pages)), pa.int64())
+            row += len(pages)
+            yield pa.RecordBatch.from_arrays([number, batch.column(0), batch.column(1), *lists, pa.array(seen, _SEEN_TYPE)], names=["page", "i", "u", "paths", "parents", "doubtful", "owners", "blocks", "texts", "seen"])
 
 
-def _observe(batches):
-    """Counted (host, path, parent, style, content) of a batch of pages."""
-    for batch in batches:
-        count = Counter()
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            count.update((host, *x) for x in set(observations(parse(source or ""))))
-        if count:
-            rows = list(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3, 4)], pa.array(list(count.values()), pa.int64())],
-                names=["host", "path", "parent", "style", "content", "n"],
-            )
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page with a number of its own, host, nodes, pieces of text and observations. Save it before use."""
+    base = pages.select(F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
+    schema = T.StructType([T.StructField("page", T.LongType()), *base.schema.fields[:2], *T.StructType.fromDDL(_PAGE).fields, *T.StructType.fromDDL(_SEEN).fields])
+    return base.mapInArrow(_parse_pages, schema).withColumn("host", host_of(F.col("u")))
+
+
+def observations(parsed: DataFrame) -> DataFrame:
+    """(page, host, path, style, content, first, share) of the pages' nodes."""
+    return parsed.select("page", "host", F.explode("seen").alias("o")).select("page", "host", "o.*")
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, parent, pages, presentation, content): entropy-based importance of each element path.
+def style_tree(seen: DataFrame) -> DataFrame:
+    """(host, path, pages, presentation, content, share): the merged tree with the importance of each path.
 
     presentation is the entropy of the child sequences, content one minus the
-    mean entropy of the texts over pages, both in logarithms to the number of
-    pages and between 0 and 1; content is null without text. On a single page
-    both are 1.
+    mean logarithm of the number of pages that have the same text; both in
+    logarithms to the number of pages, ``UNSEEN_PAGES`` more than were seen, and
+    between 0 and 1. content is null without text. share is a doubtful path's
+    mean share of its pages' text.
     """
-    seen = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("h")).mapInArrow(
-        _observe, "host string, path long, parent long, style long, content long, n long"
-    )
-    both = seen.groupBy("host", "path", "style", "content").agg(F.sum("n").alias("n"), F.min("parent").alias("parent"))
-    styles = both.groupBy("host", "path", "style").agg(F.sum("n").alias("n"), F.min("parent").alias("parent"))
-    styles = styles.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.min("parent").alias("parent"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    both = seen.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("pages"), F.sum("share").alias("share"), F.count("share").alias("shares"))
+    styles = both.groupBy("host", "path", "style").agg(*[F.sum(c).alias(c) for c in ("n", "pages", "share", "shares")])
+    styles = styles.groupBy("host", "path").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"), *[F.sum(c).alias(c) for c in ("pages", "share", "shares")])
     texts = both.where("content <> 0").groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
-    texts = texts.groupBy("host", "path").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("st"))
+    texts = texts.groupBy("host", "path").agg(F.sum("n").alias("tt"), F.sum(F.col("n") * F.log("n")).alias("st"))
+    many = lambda n: F.log(F.col(n).cast("double") + UNSEEN_PAGES)
+    presentation = (F.log("t") - F.col("s") / F.col("t")) / many("t")
+    content = F.greatest(F.lit(0.0), 1 - F.col("st") / F.col("tt") / many("pages"))
+    share = F.when(F.col("shares") > 0, F.col("share") / F.col("shares"))
     joined = styles.join(texts, ["host", "path"], "left")
-    many = F.log(F.greatest("pages", F.lit(2)).cast("double"))
-    spread = F.when(F.col("pages") > 1, (F.log(F.col("pages").cast("double")) - F.col("s") / F.col("pages")) / many).otherwise(1.0)
-    content = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("st") / F.col("t") / many)).otherwise(1.0)
-    return joined.select("host", "path", "parent", "pages", spread.alias("presentation"), F.when(F.col("t").isNotNull(), content).alias("content"))
+    return joined.select("host", "path", "pages", presentation.alias("presentation"), F.when(F.col("tt").isNotNull(), content).alias("content"), share.alias("share"))
+
+
+def verdicts(tree: DataFrame) -> DataFrame:
+    """(host, path, low, cleared) of the paths that are of low importance, or named like side matter but are not."""
+    own = (1 - F.lit(GAMMA)) * F.col("presentation") + F.lit(GAMMA) * F.col("content")
+    prior = F.lit(PRIOR) + F.lit(1 - PRIOR) * F.greatest(F.lit(0.0), 2 * F.col("share") - 1)
+    out = tree.select("host", "path", F.coalesce(own < THRESHOLD, F.lit(False)).alias("low"), F.coalesce(prior >= 2 * THRESHOLD, F.lit(False)).alias("cleared"))
+    return out.where("low OR cleared")
 
 
-def _extract(batches):
+class _Stored:
+    __slots__ = ("paths", "parents", "doubtful", "owners", "blocks", "texts")
+
+    def __init__(self, *columns):
+        self.paths, self.parents, self.doubtful, self.owners, self.blocks, self.texts = columns
+
+
+def _join_pages(batches):
     for batch in batches:
-        ids, urls, sources, lows = (batch.column(k) for k in range(4))
-        texts = [main_text(parse(s or ""), set(low or ())) for s, low in zip(sources.to_pylist(), lows.to_pylist(), strict=True)]
+        ids, urls = batch.column(0), batch.column(1)
+        stored = zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)
+        texts = [kept_text(_Stored(*page), set(low or ()), set(cleared or ())) for page, low, cleared in zip(stored, batch.column(8).to_pylist(), batch.column(9).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["i", "u", "text", "n_chars"])
 
 
@@ -295,11 +351,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ignored, whatever their names. An empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "html-text")
-    base = pages.select(F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
-    tree = scratch.save(style_tree(base, "u", "h"), "tree")
-    own = (1 - F.lit(GAMMA)) * F.col("presentation") + F.lit(GAMMA) * F.coalesce("content", "presentation")
-    low = tree.where(F.col("pages") >= LEAST_PAGES).where("content IS NOT NULL").where(own < THRESHOLD)
-    low = low.groupBy("host").agg(F.collect_set("path").alias("low")).select(F.col("host").alias("__host"), "low")
-    out = base.withColumn("__page_host", host_of(F.col("u"))).join(low, F.col("__page_host") == F.col("__host"), "left")
-    done = out.select("i", "u", "h", "low").mapInArrow(_extract, base.select("i", "u").schema.add("text", "string").add("n_chars", "long"))
+    parsed = scratch.save(parsed_pages(pages, id_col, url_col, html_col), "parsed")
+    seen = observations(parsed)
+    judged = scratch.save(verdicts(style_tree(seen)), "verdicts")
+    # a path of a host comes back to each page that has it, not the host's whole list to each of its pages
+    own = seen.where("first").join(judged, ["host", "path"]).groupBy("page").agg(
+        F.collect_list(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_list(F.when(F.col("cleared"), F.col("path"))).alias("cleared")
+    )
+    whole = parsed.join(own, "page", "left").select("i", "u", "paths", "parents", "doubtful", "owners", "blocks", "texts", "low", "cleared")
+    done = whole.mapInArrow(_join_pages, parsed.select("i", "u").schema.add("text", "string").add("n_chars", "long"))
     return done.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", "n_chars")
