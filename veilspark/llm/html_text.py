@@ -266,36 +266,46 @@ def main_text(source: str, low: frozenset[int] | set[int] = frozenset(), cleared
     return kept_text(Page(source), low, cleared)
 
 
-_PAGE = "paths array<long>, parents array<int>, doubtful array<boolean>, owners array<int>, blocks array<int>, texts array<string>"
-_SEEN = "seen array<struct<path: long, style: long, content: long, first: boolean, share: double>>"
-_SEEN_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64()), ("first", pa.bool_()), ("share", pa.float64())]))
-#: Pages in one Arrow batch of parses.
-PAGES = 64
+_SEEN = "seen array<struct<page: int, host: string, path: long, style: long, content: long, first: boolean, share: double>>"
+_SEEN_TYPE = pa.list_(pa.struct([("page", pa.int32()), ("host", pa.string()), ("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64()), ("first", pa.bool_()), ("share", pa.float64())]))
+_SEEN_NAMES = ("page", "host", "path", "style", "content", "first", "share")
+_LISTS = (("paths", pa.int64()), ("parents", pa.int32()), ("doubtful", pa.bool_()), ("owners", pa.int32()), ("blocks", pa.int32()), ("texts", pa.string()))
+#: Pages, and bytes of html, of one lot of parses.
+LOT_PAGES, LOT_BYTES = 64, 1 << 20
 
 
 def _parse_pages(batches):
-    row = TaskContext.get().partitionId() << 40
+    lot = TaskContext.get().partitionId() << 32
     for whole in batches:
-        for a in range(0, whole.num_rows, PAGES):
-            batch = whole.slice(a, PAGES)
-            pages = [Page(x or "") for x in batch.column(2).to_pylist()]
-            seen = [[dict(zip(("path", "style", "content", "first", "share"), o, strict=True)) for o in p.observed()] for p in pages]
-            lists = [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in (("paths", pa.int64()), ("parents", pa.int32()), ("doubtful", pa.bool_()), ("owners", pa.int32()), ("blocks", pa.int32()), ("texts", pa.string()))]
-            number = pa.array(range(row, row + len(pages)), pa.int64())
-            row += len(pages)
-            yield pa.RecordBatch.from_arrays([number, batch.column(0), batch.column(1), *lists, pa.array(seen, _SEEN_TYPE)], names=["page", "i", "u", "paths", "parents", "doubtful", "owners", "blocks", "texts", "seen"])
+        sizes = [len(x) + 1 if x else 1 for x in whole.column(3).to_pylist()]
+        a = 0
+        while a < whole.num_rows:
+            b, size = a + 1, sizes[a]
+            while b < whole.num_rows and b - a < LOT_PAGES and size + sizes[b] <= LOT_BYTES:
+                size += sizes[b]
+                b += 1
+            batch = whole.slice(a, b - a)
+            pages = [Page(x or "") for x in batch.column(3).to_pylist()]
+            lists = [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in _LISTS]
+            parsed = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["i", "u", *[name for name, _ in _LISTS]])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parsed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(parsed)
+            seen = [dict(zip(_SEEN_NAMES, (k, host, *o), strict=True)) for k, (host, p) in enumerate(zip(batch.column(2).to_pylist(), pages, strict=True)) for o in p.observed()]
+            yield pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([seen], _SEEN_TYPE)], names=["lot", "pages", "seen"])
+            lot, a = lot + 1, b
 
 
 def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page with a number of its own, host, nodes, pieces of text and observations. Save it before use."""
-    base = pages.select(F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
-    schema = T.StructType([T.StructField("page", T.LongType()), *base.schema.fields[:2], *T.StructType.fromDDL(_PAGE).fields, *T.StructType.fromDDL(_SEEN).fields])
-    return base.mapInArrow(_parse_pages, schema).withColumn("host", host_of(F.col("u")))
+    """Lots of parsed pages, packed, with a number of their own and the observations in them. Save it before use."""
+    url = F.col(url_col).cast("string")
+    base = pages.select(F.col(id_col).alias("i"), url.alias("u"), host_of(url).alias("host"), F.col(html_col).cast("string").alias("h"))
+    return base.mapInArrow(_parse_pages, f"lot long, pages binary, {_SEEN}")
 
 
 def observations(parsed: DataFrame) -> DataFrame:
-    """(page, host, path, style, content, first, share) of the pages' nodes."""
-    return parsed.select("page", "host", F.explode("seen").alias("o")).select("page", "host", "o.*")
+    """(lot, page, host, path, style, content, first, share) of the pages' nodes."""
+    return parsed.select("lot", F.explode("seen").alias("o")).select("lot", "o.*")
 
 
 def style_tree(seen: DataFrame) -> DataFrame:
@@ -329,18 +339,25 @@ def verdicts(tree: DataFrame) -> DataFrame:
 
 
 class _Stored:
-    __slots__ = ("paths", "parents", "doubtful", "owners", "blocks", "texts")
+    __slots__ = tuple(name for name, _ in _LISTS)
 
     def __init__(self, *columns):
         self.paths, self.parents, self.doubtful, self.owners, self.blocks, self.texts = columns
 
 
 def _join_pages(batches):
-    for batch in batches:
-        ids, urls = batch.column(0), batch.column(1)
-        stored = zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)
-        texts = [kept_text(_Stored(*page), set(low or ()), set(cleared or ())) for page, low, cleared in zip(stored, batch.column(8).to_pylist(), batch.column(9).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["i", "u", "text", "n_chars"])
+    for lots in batches:
+        for blob, verdict in zip(lots.column(0).to_pylist(), lots.column(1).to_pylist(), strict=True):
+            batch = pa.ipc.open_stream(blob).read_next_batch()
+            low, cleared = [set() for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
+            for v in verdict or ():
+                if v["low"]:
+                    low[v["page"]].add(v["path"])
+                if v["cleared"]:
+                    cleared[v["page"]].add(v["path"])
+            stored = zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)
+            texts = [kept_text(_Stored(*page), a, b) for page, a, b in zip(stored, low, cleared, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["i", "u", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -355,9 +372,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     seen = observations(parsed)
     judged = scratch.save(verdicts(style_tree(seen)), "verdicts")
     # a path of a host comes back to each page that has it, not the host's whole list to each of its pages
-    own = seen.where("first").join(judged, ["host", "path"]).groupBy("page").agg(
-        F.collect_list(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_list(F.when(F.col("cleared"), F.col("path"))).alias("cleared")
-    )
-    whole = parsed.join(own, "page", "left").select("i", "u", "paths", "parents", "doubtful", "owners", "blocks", "texts", "low", "cleared")
-    done = whole.mapInArrow(_join_pages, parsed.select("i", "u").schema.add("text", "string").add("n_chars", "long"))
+    own = seen.where("first").select("lot", "page", "host", "path").join(judged, ["host", "path"])
+    own = own.groupBy("lot").agg(F.collect_list(F.struct("page", "path", "low", "cleared")).alias("verdict"))
+    whole = parsed.select("lot", "pages").join(own, "lot", "left").select("pages", "verdict")
+    schema = T.StructType([T.StructField("i", pages.schema[id_col].dataType), T.StructField("u", T.StringType())])
+    done = whole.mapInArrow(_join_pages, schema.add("text", "string").add("n_chars", "long"))
     return done.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", "n_chars")
