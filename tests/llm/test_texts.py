@@ -116,23 +116,69 @@ def test_lm_scores(spark, monkeypatch, hot):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_bloom_counts():
+def test_bloom_levels():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 3000, dtype=np.uint64) & ~np.uint64(0xFFFF)
     c = rng.integers(1, 1000, 3000)
     level = lm_score.levels_of(c)
-
-    class Batch:
-        def column(self, k):
-            import pyarrow as pa
-
-            return [pa.array([0]), pa.array([0]), pa.array([h.tobytes()]), pa.array([level.astype(np.uint8).tobytes()]), pa.array([int(level.sum())])][k]
-
-    (out,) = lm_score._fill(12.0)[0]([Batch()])
-    f = lm_score.LogFrequencyFilter(1, [(0, 0, out.column(2)[0].as_py(), out.column(3)[0].as_py())])
-    got = f.counts(h, 0)
-    assert (lm_score.levels_of(np.maximum(got, 1)) >= level).mean() > 0.99 and (got / c < 2).mean() > 0.95
-    assert (f.counts(rng.integers(0, 2**63, 3000, dtype=np.uint64), 0) == 0).mean() > 0.9
+    probes = int((level - 1).sum()) * lm_score.LEVEL_PROBES + len(h) * 20
+    block = lm_score._build(lm_score._PAIRS, lm_score._high48(h), level.astype(np.uint8).tobytes(), probes, 20)
+    got = block.levels(h)
+    assert (got >= level).all() and (got == level).mean() > 0.995
+    assert not block.levels(rng.integers(0, 2**63, 100_000, dtype=np.uint64)).any()
+    number = rng.integers(1, 1 << lm_score.DIGITS, 3000)
+    bits = int(np.bitwise_count(number.astype(np.uint64)).sum())
+    block = lm_score._build(lm_score._SUMS, lm_score._high48(h), number.astype(np.uint16).tobytes(), bits * lm_score.DIGIT_PROBES, 12)
+    assert (block.numbers(h) == number).mean() > 0.99
+
+
+def test_encoded_sums():
+    rng = np.random.default_rng(2)
+    distinct = rng.integers(1, 10_000, 2000)
+    total = distinct * rng.uniform(1, 50, 2000)
+    q, b = lm_score.decode(lm_score.encode(total, distinct))
+    assert np.abs(q / total - 1).max() < 0.006 and np.abs(b - distinct / (total + distinct)).max() <= 1 / 16
+    assert lm_score.decode(np.array([lm_score.PLAIN]))[0][0] == 1.0
+
+
+def test_probabilities_add_up_to_one(spark):
+    """Over the whole vocabulary and one unknown word, after rare, common and hot histories and after an unknown one."""
+    docs = table(spark, "documents", "/root/testdata/sf0.01").select("text")
+    model = lm_score.train(docs)
+    lm, rows = model.whole_filter(), model.vocabulary.collect()
+    words_ = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    n = np.array([r["n"] for r in rows])
+    assert n.sum() == model.n_tokens and len(words_) == model.n_words
+    everything = np.append(words_, np.uint64(12345 << 20))
+    rng = np.random.default_rng(3)
+    for low, high, count in ((1, 1, 12), (2, 2, 12), (3, 10, 8), (11, 50, 8), (51, 500, 8), (501, 10**9, 8)):
+        picked = rng.choice(np.flatnonzero((n >= low) & (n <= high) & (words_ != lm_score.END)), count)
+        for v in [*words_[picked], lm_score.START, np.uint64(999 << 40)]:
+            total = lm_score.probabilities(lm, model.figures, everything, np.full(len(everything), v)).sum()
+            assert abs(total - 1) < 0.01
+
+
+def test_lm_against_plain_counts(spark):
+    """Scores of a small corpus equal the formula over plain counts."""
+    texts = ["a b a c", "a b", "b c c c c d", "e", "", "a b a b a b"] * 3 + ["new words here", "a z b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = texts[:15]
+    q = lambda c: float(lm_score._MIDDLE[lm_score.levels_of(np.array([c]))[0]]) if c else 0.0
+    seqs = [["<s>", *t.split(), "</s>"] for t in train]
+    one, two = Counter(w for t in seqs for w in t[1:]), Counter(p for t in seqs for p in zip(t, t[1:]))
+    mass = sum(q(c) + 1 for c in one.values()) + 1
+    follow = {v: [q(c) for (a, _), c in two.items() if a == v] for v in {a for a, _ in two}}
+
+    def p(w, v):
+        single = (q(one[w]) + 1) / mass
+        if v not in follow:
+            return single
+        total, n = sum(follow[v]), len(follow[v])
+        return q(two[v, w]) / total * total / (total + n) + n / (total + n) * single
+
+    for r in lm_score.score_texts(docs, docs.where("doc_id < 15")).collect():
+        seq = ["<s>", *texts[r.doc_id].split(), "</s>"]
+        assert r.score == pytest.approx(sum(math.log10(p(w, v)) for v, w in zip(seq, seq[1:])), abs=0.05 * len(seq))
 
 
 def test_lm_edge_cases(spark):

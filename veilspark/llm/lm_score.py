@@ -1,21 +1,33 @@
 """Language-model scores from a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-Words and word pairs of the training texts are counted over the whole corpus.
-A count c is kept as its level ``1 + floor(log_BASE c)``: the filter gets the
-n-gram with each level up to its own, so that probing levels until one misses
-gives the level back. The filter is cut into blocks by hash range; its blocks
-are built in parallel, each from the n-grams of its range. Pairs that occurred
-once are left to smoothing (``MIN_PAIR``).
-
-Each entry has ``BITS_PER_ENTRY`` bits at every size of the corpus. A filter of
-at most ``MAX_FILTER_BYTES`` is sent to the workers. A larger one stays where
-its blocks are built: the distinct n-grams of each batch of texts go to the
-block of their hash range, and their levels come back to the batch. Both ways
-read the same bits and give the same scores.
-
-P(w | v) = L * c(v, w) / c(v) + (1 - L) * (c(w) + 1) / (N + V + 1) with counts
-read from the filter, where L = LAMBDA * c(v) / (c(v) + DOUBT): rare words say
-little about what follows them. An unseen word has count 0.
+Words and word pairs of the training texts are counted over the whole corpus,
+those that occur once as well. A count c is kept as its level ``1 + floor(log_BASE c)``:
+the filter gets the n-gram with each level up to its own, so that probing
+levels until one misses gives the level back, and the middle of the level's
+counts, written q(c), stands for the count.
+
+P(w | v) = (1 - B(v)) * q(v, w) / Q(v) + B(v) * (q(w) + 1) / Z
+
+Q(v) is the sum of q(v, w) over the words seen after v, and B(v) the
+Witten-Bell share T(v) / (Q(v) + T(v)) of new words, T(v) being the number of
+distinct ones. Q in steps of 1 % and B in steps of 1/16 are in the filter too,
+as the digits of one number, found by membership probes. So the probabilities
+after a word v add up to 1, whatever the levels round off; Z makes those of
+single words do, with one unknown word. After an unknown v the single word's
+probability is the whole.
+
+A word that does not follow v must not seem to: the first level of a pair is
+probed ``SAFETY + log2(vocabulary)`` times, so that all false followers of v
+together are under 1 / 2**SAFETY pairs on average, at every size of the corpus.
+
+The filter is cut into blocks by hash range, built in parallel. Pairs go to the
+range of their first word; those of the most frequent words (``HOT_SHARE`` of
+all tokens and more, so at most 1 / HOT_SHARE words) are dealt by the pair, and
+their sums are put together afterwards. A filter of at most ``MAX_FILTER_BYTES``
+is sent to the workers. A larger one stays where its blocks are built: the
+distinct n-grams of each batch of texts go to the block of their range, and
+their levels come back to the batch. Both ways read the same bits and give the
+same scores.
 
 Words counted for the base score are exact: the ``HOT_WORDS`` most frequent
 ones go to the workers as a sorted table, all others by a join on the word.
@@ -24,6 +36,7 @@ ones go to the workers as a sorted table, all others by a join on the word.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +49,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import words
 from .stage import Scratch
 
-BASE, PROBES, LAMBDA, DOUBT = 1.5, 2, 0.5, 5.0
-MIN_PAIR = 2
-#: Bits of the filter for each entry, and the most bytes that are sent to a worker.
-BITS_PER_ENTRY, MAX_FILTER_BYTES = 12, 64 << 20
+BASE, MAX_LEVEL = 1.5, 64
+#: Probes of a level, of a digit, and those of a pair's first level beyond log2 of the vocabulary.
+LEVEL_PROBES, DIGIT_PROBES, SAFETY = 12, 14, 14
+#: Steps of Q(v), their digits, and digits of B(v).
+FINE, SUM_DIGITS, SHARE_DIGITS = 1.01, 12, 4
+#: The most bytes of the filter that are sent to a worker.
+MAX_FILTER_BYTES = 64 << 20
+#: Share of all tokens from which a word's pairs are dealt by the pair.
+HOT_SHARE = 1 / 512
 #: Texts, in bytes, whose n-grams are asked for together where the filter is not sent, and n-grams probed at once.
 ASK_BYTES, PROBE_BLOCK = 8 << 20, 1 << 20
 HOT_WORDS = 1 << 20
 FLUSH_TOKENS = 1 << 21
-MAX_LEVEL = 64
 
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xD6E8FEB86659FD93)
 _LOW16, _HIGH = np.uint64(16), ~np.uint64(0xFFFF)
+_WORDS, _PAIRS, _SUMS = 0, 1, 2
 
 
 def _pairs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -70,10 +88,13 @@ def _sequences(column: pa.Array, limit: int = words.CHUNK_BYTES):
         yield chunk, w, v, bounds
 
 
-def _cuts(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of the hash ranges in sorted hashes."""
-    edge = np.searchsorted(h, (np.arange(1, buckets, dtype=np.uint64)) << np.uint64(64 - int(math.log2(buckets)))) if buckets > 1 else np.zeros(0, np.int64)
-    return np.concatenate(([0], edge, [len(h)]))
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Hash range of each hash; ``buckets`` is a power of two."""
+    return (h >> np.uint64(64 - int(math.log2(buckets)))).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
+
+
+def _pair_bucket(v: np.ndarray, pair: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    return _bucket(np.where(np.isin(v, hot), pair, v) if len(hot) else v, buckets)
 
 
 def _high48(h: np.ndarray) -> bytes:
@@ -81,160 +102,285 @@ def _high48(h: np.ndarray) -> bytes:
     return np.ascontiguousarray((h >> _LOW16).view(np.uint16).reshape(-1, 4)[:, :3]).tobytes()
 
 
-def _counted(hashes: list[np.ndarray], buckets: int, kind: int):
-    h, c = np.unique(np.concatenate(hashes), return_counts=True)
-    cuts = _cuts(h, buckets)
-    for b in range(buckets):
-        x, y = cuts[b], cuts[b + 1]
-        if y > x:
-            own = h[x:y]
-            yield kind, b, _high48(own) if kind else own.tobytes(), c[x:y].astype(np.uint32).tobytes()
+def _unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 4), np.uint16)
+    out[:, :3] = np.frombuffer(blob, np.uint16).reshape(-1, 3)
+    return out.view(np.uint64).ravel() << _LOW16
+
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal rows."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-def _count(buckets: int):
-    def run(batches):
-        one, two, n = [], [], 0
 
-        def flush():
-            rows = [*_counted(one, buckets, 0), *_counted(two, buckets, 1)] if one else []
-            if rows:
-                k, b, h, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=["kind", "bucket", "h", "c"])
+def _flushed(take, schema: pa.Schema):
+    """Tokens of a partition in lots of ``FLUSH_TOKENS``, each turned to rows by ``take(w, v)``."""
 
+    def run(batches):
+        held, n = [], 0
         for batch in batches:
             for _, w, v, _ in _sequences(batch.column(0)):
-                one.append(w)
-                two.append(_pairs(v, w))
+                held.append((w, v))
                 n += len(w)
                 if n >= FLUSH_TOKENS:
-                    yield from flush()
-                    one, two, n = [], [], 0
-        yield from flush()
+                    yield from pa.Table.from_pylist(list(take(*map(np.concatenate, zip(*held, strict=True)))), schema).to_batches()
+                    held, n = [], 0
+        if held:
+            yield from pa.Table.from_pylist(list(take(*map(np.concatenate, zip(*held, strict=True)))), schema).to_batches()
 
-    return run, "kind int, bucket int, h binary, c binary"
+    return run
 
 
-def _unpack(blob: bytes, kind: int) -> np.ndarray:
-    if not kind:
-        return np.frombuffer(blob, np.uint64)
-    out = np.zeros((len(blob) // 6, 4), np.uint16)
-    out[:, :3] = np.frombuffer(blob, np.uint16).reshape(-1, 3)
-    return out.view(np.uint64).ravel() << _LOW16
+def _count_words(buckets: int):
+    def take(w, v):
+        h, c = np.unique(w, return_counts=True)
+        edge = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            x, y = edge[b], edge[b + 1]
+            yield {"bucket": int(b), "h": h[x:y].tobytes(), "c": c[x:y].astype(np.uint32).tobytes()}
+
+    return _flushed(take, pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("c", pa.binary())])), "bucket int, h binary, c binary"
+
+
+def _count_pairs(buckets: int, hot: np.ndarray):
+    def take(w, v):
+        h, first, c = np.unique(_pairs(v, w) & _HIGH, return_index=True, return_counts=True)
+        own = v[first]
+        bucket = _pair_bucket(own, h, hot, buckets)
+        order = np.lexsort((own, bucket))
+        h, own, c, bucket = h[order], own[order], c[order].astype(np.uint32), bucket[order]
+        edge = np.searchsorted(bucket, np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            x, y = edge[b], edge[b + 1]
+            starts = _runs(own[x:y])
+            followers = np.diff(np.append(starts, y - x)).astype(np.uint32)
+            yield {"bucket": int(b), "v": _high48(own[x:y][starts]), "followers": followers.tobytes(), "h": _high48(h[x:y]), "c": c[x:y].tobytes()}
+
+    schema = pa.schema([("bucket", pa.int32()), *[(name, pa.binary()) for name in ("v", "followers", "h", "c")]])
+    return _flushed(take, schema), "bucket int, v binary, followers binary, h binary, c binary"
 
 
 def levels_of(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(c) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """All counts of one hash range: words as rows, pairs as one row of packed hashes and levels."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    h = np.concatenate([_unpack(x, kind) for x in table.column("h").to_pylist()])
-    c = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("c").to_pylist()]).astype(np.int64)
+#: Middle of the count range of each level.
+_MIDDLE = np.concatenate(([0.0], [(max(1.0, BASE ** (j - 1)) + max(1.0, BASE**j)) / 2 if j > 2 else float(j) for j in range(1, MAX_LEVEL)]))
+
+
+def _summed(h: np.ndarray, c: np.ndarray, *more: np.ndarray):
+    """Distinct hashes in order, their summed counts, and the first of each further column."""
     order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    h, c = h[first], np.add.reduceat(c, first)
-    if kind:
-        keep = c >= MIN_PAIR
-        h, c = h[keep], c[keep]
-    level = levels_of(c) if len(c) else np.zeros(0, np.int64)
-    packed = {"packed": [h.tobytes()], "levels": [level.astype(np.uint8).tobytes()], "entries": [int(level.sum())]}
-    head = pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "word": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "packed": pa.array(packed["packed"], pa.binary()), "levels": pa.array(packed["levels"], pa.binary()), "entries": pa.array(packed["entries"], pa.int64())})
-    if kind:
-        return head
-    m = len(h)
-    rows = pa.table({"kind": pa.array([0] * m, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()), "word": pa.array(h.view(np.int64)), "n": pa.array(c), "packed": pa.nulls(m, pa.binary()), "levels": pa.nulls(m, pa.binary()), "entries": pa.nulls(m, pa.int64())})
-    return pa.concat_tables([head, rows])
-
-
-def _places(h: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray) -> np.ndarray:
-    g = words.mix((h & ~np.uint64(0xFFFF)) + np.asarray(level).astype(np.uint64) * _C + np.uint64(probe) * _D)
-    return (g >> np.uint64(8)) % size
-
-
-def _block(packed: bytes, levels: bytes, n: int, per_entry: float) -> tuple[int, bytes]:
-    """Size in bits and bits of the filter of one hash range."""
-    h, level = np.frombuffer(packed, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64)
-    size = max(64, int(n * per_entry) // 64 * 64)
-    block = np.zeros(size, np.uint8)
-    each = np.repeat(h, level)
-    step = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
-    for p in range(PROBES):
-        block[_places(each, step, p, np.uint64(size)).astype(np.int64)] = 1
-    return size, np.packbits(block, bitorder="little").tobytes()
-
-
-def _fill(per_entry: float):
-    def run(batches):
-        for batch in batches:
-            kinds, buckets, entries = (batch.column(k).to_pylist() for k in (0, 1, 4))
-            bits, sizes = [], []
-            for packed, levels, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), entries, strict=True):
-                size, block = _block(packed, levels, n, per_entry)
-                bits.append(block)
-                sizes.append(size)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["kind", "bucket", "size", "bits"])
+    h = h[order]
+    first = _runs(h)
+    return h[first], np.add.reduceat(c[order], first), *[m[order][first] for m in more]
 
-    return run, "kind int, bucket int, size long, bits binary"
 
+def _gather_words(table: pa.Table) -> pa.Table:
+    """All counts of one hash range: words as rows, and one row with the range's part of the filter."""
+    h, c = _summed(
+        np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]),
+        np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("c").to_pylist()]).astype(np.int64),
+    )
+    level, m = levels_of(c), len(h)
+    head = {"packed": [_high48(h)], "levels": [level.astype(np.uint8).tobytes()], "probes": [int(level.sum()) * LEVEL_PROBES], "mass": [float((_MIDDLE[level] + 1).sum())]}
+    kinds = {"word": pa.int64(), "n": pa.int64(), "packed": pa.binary(), "levels": pa.binary(), "probes": pa.int64(), "mass": pa.float64()}
+    bucket = table.column("bucket")[0].as_py()
+    one = pa.table({"bucket": pa.array([bucket], pa.int32()), **{k: pa.array(head.get(k, [None]), t) for k, t in kinds.items()}})
+    rows = {"word": pa.array(h.view(np.int64)), "n": pa.array(c)}
+    return pa.concat_tables([one, pa.table({"bucket": pa.array([bucket] * m, pa.int32()), **{k: rows.get(k, pa.nulls(m, t)) for k, t in kinds.items()}})])
+
+
+def encode(total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """The number whose digits keep Q(v) and B(v)."""
+    fine = np.minimum(np.rint(np.log(total) / math.log(FINE)).astype(np.int64), (1 << SUM_DIGITS) - 1)
+    share = np.minimum((distinct / (total + distinct) * (1 << SHARE_DIGITS)).astype(np.int64), (1 << SHARE_DIGITS) - 1)
+    return fine | share << SUM_DIGITS
+
+
+def decode(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Q(v) and B(v)."""
+    number = number.astype(np.int64)
+    return FINE ** (number & ((1 << SUM_DIGITS) - 1)), ((number >> SUM_DIGITS) + 0.5) / (1 << SHARE_DIGITS)
+
+
+#: The number of a word with one follower, once: most words, which have no digits in the filter.
+PLAIN = int(encode(np.ones(1), np.ones(1))[0])
+DIGITS = SUM_DIGITS + SHARE_DIGITS
+
+
+def _gather_pairs(hot: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        """One row with the range's part of the filter, and a row of sums for each hot word."""
+        blobs = {k: table.column(k).to_pylist() for k in ("v", "followers", "h", "c")}
+        followers = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs["followers"]])
+        v = np.repeat(np.concatenate([_unpack(x) for x in blobs["v"]]), followers)
+        c = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs["c"]]).astype(np.int64)
+        h, c, v = _summed(np.concatenate([_unpack(x) for x in blobs["h"]]), c, v)
+        level = levels_of(c)
+        own, at, distinct = np.unique(v, return_inverse=True, return_counts=True)
+        total = np.bincount(at, _MIDDLE[level], len(own))
+        is_hot = np.isin(own, hot & _HIGH)
+        number = encode(total, distinct)
+        kept = ~is_hot & (number != PLAIN)
+        bits = np.bitwise_count(number[kept].astype(np.uint64)).sum()
+        head = {
+            "packed": [_high48(h)], "levels": [level.astype(np.uint8).tobytes()], "firsts": [len(h)], "probes": [int((level - 1).sum()) * LEVEL_PROBES],
+            "sum_packed": [_high48(own[kept])], "sum_numbers": [number[kept].astype(np.uint16).tobytes()], "sum_probes": [int(bits) * DIGIT_PROBES],
+        }
+        n = int(is_hot.sum())
+        kinds = {"hot": pa.int64(), "total": pa.float64(), "followers": pa.int64(), "packed": pa.binary(), "levels": pa.binary(), "firsts": pa.int64(), "probes": pa.int64(), "sum_packed": pa.binary(), "sum_numbers": pa.binary(), "sum_probes": pa.int64()}
+        bucket = table.column("bucket")[0].as_py()
+        one = pa.table({"bucket": pa.array([bucket], pa.int32()), **{k: pa.array(head.get(k, [None]), t) for k, t in kinds.items()}})
+        rows = {"hot": pa.array(own[is_hot].view(np.int64)), "total": pa.array(total[is_hot]), "followers": pa.array(distinct[is_hot].astype(np.int64))}
+        return pa.concat_tables([one, pa.table({"bucket": pa.array([bucket] * n, pa.int32()), **{k: rows.get(k, pa.nulls(n, t)) for k, t in kinds.items()}})])
 
-#: Middle of the count range of each level.
-_MIDDLE = np.concatenate(([0.0], [(max(1.0, BASE ** (j - 1)) + max(1.0, BASE**j)) / 2 if j > 2 else float(j) for j in range(1, MAX_LEVEL)]))
+    return run
 
 
-class LogFrequencyFilter:
-    """Counts of n-grams, read by repeated membership probes."""
-
-    def __init__(self, buckets: int, blocks):
-        self.shift = np.uint64(64 - int(math.log2(buckets))) if buckets > 1 else None
-        self.size = np.full(2 * buckets, 64, np.uint64)
-        self.offset = np.zeros(2 * buckets, np.int64)
-        self.buckets = buckets
-        at, parts = 8, [bytes(8)]
-        for kind, bucket, size, bits in blocks:
-            self.size[kind * buckets + bucket], self.offset[kind * buckets + bucket] = size, at * 8
-            parts.append(bits)
-            at += len(bits)
-        self.bits = np.frombuffer(b"".join(parts), np.uint8)
-
-    def counts(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """Middle of the count range of each n-gram's level; 0 for those not found."""
-        return _MIDDLE[self.levels(h, kind)]
-
-    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
-        block = np.full(len(h), kind * self.buckets, np.int64)
-        if self.shift is not None:
-            block += (h >> self.shift).astype(np.int64)
-        size, offset = self.size[block], self.offset[block]
-        level = np.zeros(len(h), np.int64)
+_WORD_COLUMNS = "bucket int, word long, n long, packed binary, levels binary, probes long, mass double"
+_PAIR_COLUMNS = "bucket int, hot long, total double, followers long, packed binary, levels binary, firsts long, probes long, sum_packed binary, sum_numbers binary, sum_probes long"
+_BLOCK_COLUMNS = "kind int, bucket int, packed binary, levels binary, probes long"
+
+
+class Block:
+    """The bits of the filter for one kind of n-gram and one hash range.
+
+    ``first`` is the number of probes of an n-gram's first level.
+    """
+
+    def __init__(self, size: int, bits: np.ndarray, first: int):
+        self.size, self.bits, self.first = np.uint64(size), bits, first
+
+    @staticmethod
+    def places(h: np.ndarray, salt, probe: int, size: np.uint64, seeds=None) -> np.ndarray:
+        a, b = seeds if seeds is not None else Block.seeds(h, salt)
+        return (a + np.uint64(probe) * b + np.uint64((probe**3 - probe) // 6)) % size
+
+    @staticmethod
+    def seeds(h: np.ndarray, salt) -> tuple[np.ndarray, np.ndarray]:
+        a = words.mix((h & _HIGH) + np.asarray(salt).astype(np.uint64) * _C)
+        return a >> np.uint64(8), words.mix(a ^ _D) >> np.uint64(8)
+
+    @classmethod
+    def build(cls, entries: list[tuple[np.ndarray, np.ndarray | int, int]], probes: int, first: int = LEVEL_PROBES) -> Block:
+        """``entries``: hashes, their salts and the number of probes; ``probes``: all of them together."""
+        size = max(64, -(-int(probes / math.log(2)) // 64) * 64)
+        bits = np.zeros(size, bool)
+        for h, salt, times in entries:
+            for a in range(0, len(h), PROBE_BLOCK):
+                part = h[a : a + PROBE_BLOCK]
+                seeds = cls.seeds(part, salt if np.isscalar(salt) else salt[a : a + PROBE_BLOCK])
+                for k in range(times):
+                    bits[cls.places(part, salt, k, np.uint64(size), seeds)] = True
+        return cls(size, np.packbits(bits, bitorder="little"), first)
+
+    def has(self, h: np.ndarray, salt: int, times: int) -> np.ndarray:
+        a, b = self.seeds(h, salt)
         alive = np.arange(len(h))
+        for k in range(times):
+            place = self.places(h, salt, k, self.size, (a, b)).astype(np.int64)
+            hit = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            if not hit.all():
+                alive, a, b = alive[hit], a[hit], b[hit]
+                if not len(alive):
+                    break
+        out = np.zeros(len(h), bool)
+        out[alive] = True
+        return out
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        level, alive = np.zeros(len(h), np.uint8), np.arange(len(h))
         for j in range(1, MAX_LEVEL):
-            hit = np.ones(len(alive), bool)
-            for p in range(PROBES):
-                place = offset[alive] + _places(h[alive], j, p, size[alive]).astype(np.int64)
-                hit &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            alive = alive[hit]
+            alive = alive[self.has(h[alive], j, self.first if j == 1 else LEVEL_PROBES)]
             if not len(alive):
                 break
             level[alive] = j
         return level
 
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Digits put together; ``PLAIN`` where there are none."""
+        out = np.zeros(len(h), np.uint16)
+        for j in range(DIGITS):
+            out |= self.has(h, j, DIGIT_PROBES).astype(np.uint16) << np.uint16(j)
+        out[out == 0] = PLAIN
+        return out
+
+
+def _build(kind: int, packed: bytes, levels: bytes, probes: int, first: int) -> Block:
+    h = _unpack(packed)
+    if kind == _SUMS:
+        number = np.frombuffer(levels, np.uint16).astype(np.int64)
+        return Block.build([(h[number >> j & 1 == 1], j, DIGIT_PROBES) for j in range(DIGITS)], probes)
+    level = np.frombuffer(levels, np.uint8)
+    entries = [(h, 1, first)] + [(h[level >= j], j, LEVEL_PROBES) for j in range(2, int(level.max(initial=0)) + 1)]
+    return Block.build(entries, probes, first)
+
+
+def _fill(first: int):
+    def run(batches):
+        for batch in batches:
+            kinds, buckets, packed, levels, probes = (batch.column(k).to_pylist() for k in range(5))
+            blocks = [_build(k, p, x, n, first if k == _PAIRS else LEVEL_PROBES) for k, p, x, n in zip(kinds, packed, levels, probes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(b.size) for b in blocks], pa.int64()), pa.array([b.bits.tobytes() for b in blocks], pa.binary())], names=["kind", "bucket", "size", "bits"])
+
+    return run, "kind int, bucket int, size long, bits binary"
+
+
+class LogFrequencyFilter:
+    """Levels of words and pairs and numbers of histories, read by repeated membership probes."""
+
+    def __init__(self, buckets: int, hot: np.ndarray, blocks: dict[tuple[int, int], Block]):
+        self.buckets, self.hot, self.blocks = buckets, hot, blocks
+
+    def _each(self, kind: int, h: np.ndarray, bucket: np.ndarray, empty: int, read) -> np.ndarray:
+        out = np.full(len(h), empty, np.uint16 if kind == _SUMS else np.uint8)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            block = self.blocks.get((kind, int(b)))
+            if block is not None:
+                at = order[edge[b] : edge[b + 1]]
+                out[at] = read(block, h[at])
+        return out
+
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level of each word, and the number of what follows it."""
+        bucket = _bucket(h, self.buckets)
+        return self._each(_WORDS, h, bucket, 0, Block.levels), self._each(_SUMS, h, bucket, PLAIN, Block.numbers)
+
+    def pairs(self, v: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        return self._each(_PAIRS, pair, _pair_bucket(v, pair, self.hot, self.buckets), 0, Block.levels)
+
 
 class AnsweredLevels:
-    """Counts of the n-grams of one batch of texts, from the levels that the hash ranges sent back."""
+    """What the hash ranges sent back for one batch of texts."""
 
-    def __init__(self, grams: tuple[np.ndarray, np.ndarray], levels: tuple[np.ndarray, np.ndarray]):
-        self.grams, self.found = grams, levels
+    def __init__(self, own: np.ndarray, levels: np.ndarray, numbers: np.ndarray, pairs: np.ndarray, pair_levels: np.ndarray):
+        self.own, self.levels, self.numbers = own, levels, numbers
+        order = np.argsort(pairs, kind="stable")
+        self.pair, self.pair_levels = pairs[order], pair_levels[order]
 
-    def counts(self, h: np.ndarray, kind: int) -> np.ndarray:
-        return _MIDDLE[self.found[kind][np.searchsorted(self.grams[kind], h & _HIGH)]]
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.own, h & _HIGH)
+        return self.levels[at], self.numbers[at]
 
+    def pairs(self, v: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        return self.pair_levels[np.searchsorted(self.pair, pair & _HIGH)]
 
-def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct words and pairs of the texts, as far as the filter reads their hashes."""
-    one, two = zip(*((np.unique(w & _HIGH), np.unique(_pairs(v, w) & _HIGH)) for _, w, v, _ in _sequences(column)), strict=True)
-    return np.unique(np.concatenate(one)), np.unique(np.concatenate(two))
+
+def _grams(column: pa.Array, hot: np.ndarray, buckets: int):
+    """Distinct words (with the start) and pairs of the texts by hash range, as far as the filter reads their hashes."""
+    w, v = (np.concatenate(x) for x in zip(*((w, v) for _, w, v, _ in _sequences(column)), strict=True))
+    own = np.unique(np.append(w, START) & _HIGH)
+    pair, first = np.unique(_pairs(v, w) & _HIGH, return_index=True)
+    bucket = _pair_bucket(v[first], pair, hot, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return own, _bucket(own, buckets), pair[order], bucket[order]
 
 
 def _deal(batches):
@@ -266,52 +412,79 @@ def _dealt(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, hot: np.ndarray):
+    schema = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary())])
+
     def run(batches):
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, own_bucket, pair, pair_bucket = _grams(_dealt(blob).column(1), hot, buckets)
                 rows = []
-                for kind, h in enumerate(_grams(_dealt(blob).column(1))):
-                    cuts = _cuts(h, buckets)
-                    rows += [(kind, b, _high48(h[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
-                k, b, h = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.binary())], names=["batch", "kind", "bucket", "h"])
+                for kind, h, bucket in ((_WORDS, own, own_bucket), (_PAIRS, pair, pair_bucket)):
+                    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+                    rows += [{"batch": number, "kind": kind, "bucket": int(b), "h": _high48(h[edge[b] : edge[b + 1]])} for b in np.flatnonzero(np.diff(edge))]
+                yield from pa.Table.from_pylist(rows, schema).to_batches()
 
     return run, "batch long, kind int, bucket int, h binary"
 
 
-def _answer(asked: pa.Table, block: pa.Table) -> pa.Table:
-    """Levels of the n-grams of one hash range, for each batch of texts that has some."""
-    n = asked.num_rows
-    blobs = asked.column("h").to_pylist()
-    found = [np.zeros(0, np.uint8)]
-    if n:
-        blocks = [(0, 0, *_block(*(block.column(k)[0].as_py() for k in ("packed", "levels", "entries")), float(BITS_PER_ENTRY)))] if block.num_rows else []
-        lm, h = LogFrequencyFilter(1, blocks), _unpack(b"".join(blobs), 1)
-        found += [lm.levels(h[a : a + PROBE_BLOCK], 0).astype(np.uint8) for a in range(0, len(h), PROBE_BLOCK)]
-    found = np.concatenate(found)
-    ends = np.cumsum([len(x) // 6 for x in blobs])
-    levels = [x.tobytes() for x in np.split(found, ends[:-1])] if n else []
-    return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
+def _answer(first: int):
+    def run(asked: pa.Table, parts: pa.Table) -> pa.Table:
+        """Levels (and numbers) of the n-grams of one hash range, for each batch of texts that has some."""
+        blobs = asked.column("h").to_pylist()
+        h = _unpack(b"".join(blobs))
+        levels, numbers = np.zeros(len(h), np.uint8), np.full(len(h), PLAIN, np.uint16)
+        for k, packed, own, probes in zip(*(parts.column(c).to_pylist() for c in ("kind", "packed", "levels", "probes")), strict=True):
+            block = _build(k, packed, own, probes, first if k == _PAIRS else LEVEL_PROBES)
+            for a in range(0, len(h), PROBE_BLOCK):
+                if k == _SUMS:
+                    numbers[a : a + PROBE_BLOCK] = block.numbers(h[a : a + PROBE_BLOCK])
+                else:
+                    levels[a : a + PROBE_BLOCK] = block.levels(h[a : a + PROBE_BLOCK])
+        ends = np.cumsum([len(x) // 6 for x in blobs])[:-1]
+        split = lambda x: pa.array([y.tobytes() for y in np.split(x, ends)] if blobs else [], pa.binary())
+        return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "levels": split(levels), "numbers": split(numbers)})
+
+    return run
 
 
 def _score_answered(get, schema: pa.Schema):
     def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = _dealt(dealt.column("docs")[0].as_py())
+        docs, model = _dealt(dealt.column("docs")[0].as_py()), get()
         answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         level = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
-        grams = _grams(docs.column(1))
-        lm = AnsweredLevels(grams, (level[: len(grams[0])], level[len(grams[0]) :]))
-        return pa.Table.from_batches(_scores(docs, lm, get(), dealt.column("batch")[0].as_py() << 24)).cast(schema)
+        number = np.frombuffer(b"".join(answers.column("numbers").to_pylist()), np.uint16)
+        own, _, pair, _ = _grams(docs.column(1), model["hot"], model["buckets"])
+        n = len(own)
+        lm = AnsweredLevels(own, level[:n], number[:n], pair, level[n:])
+        return pa.Table.from_batches(_scores(docs, lm, model, dealt.column("batch")[0].as_py() << 24)).cast(schema)
 
     return run
 
 
+def probabilities(lm, model: dict, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """P(w | v) of each pair of word hashes."""
+    distinct, own = np.unique(np.concatenate((w, v)), return_inverse=True)
+    level, number = lm.words(distinct)
+    single = (_MIDDLE[level] + 1.0) / (model["mass"] + 1.0)
+    total, share = decode(number)
+    at = np.searchsorted(model["hot"], distinct)
+    hot = model["hot"][np.minimum(at, len(model["hot"]) - 1)] == distinct if len(model["hot"]) else np.zeros(len(distinct), bool)
+    if hot.any():
+        total[hot], share[hot] = model["hot_total"][at[hot]], model["hot_share"][at[hot]]
+    known = (level > 0) | (distinct == START) & (model["texts"] > 0)
+    w, v = own[: len(w)], own[len(w) :]
+    p = np.where(known[v], share[v], 1.0) * single[w]
+    both = np.flatnonzero(known[v] & known[w])
+    h = distinct[v[both]]
+    p[both] += (1 - share[v[both]]) * _MIDDLE[lm.pairs(h, _pairs(h, distinct[w[both]]))] / total[v[both]]
+    return np.minimum(p, 1.0)
+
+
 def _scores(batch: pa.RecordBatch, lm, model: dict, row: int):
-    """Scored texts; ``lm`` gives the counts of words and pairs."""
+    """Scored texts; ``lm`` gives the levels of words and pairs."""
     names = ["row", "i", "n_tokens", "hot_known", "hot_sum", "score", "cold"]
     hot_words, hot_counts = model["hot_words"], model["hot_counts"]
-    total, n_texts = model["N"] + model["V"] + 1.0, max(model["texts"], 1)
     for chunk, w, v, bounds in _sequences(batch.column(1)):
         distinct, own = np.unique(w, return_inverse=True)
         at = np.minimum(np.searchsorted(hot_words, distinct), max(len(hot_words) - 1, 0))
@@ -319,16 +492,7 @@ def _scores(batch: pa.RecordBatch, lm, model: dict, row: int):
         logs = np.where(hot, np.log10(np.where(hot, hot_counts[at] if len(hot_words) else 0, 0) + 1.0), 0.0)
         cuts = bounds[:-1]
         hot_sum, hot_known = np.add.reduceat(logs[own], cuts), np.add.reduceat(hot[own].astype(np.int64), cuts)
-        c = lm.counts(distinct, 0)
-        single = (c + 1.0) / total
-        before = np.empty(len(w))
-        before[1:] = c[own[:-1]]
-        before[cuts] = n_texts
-        pair = lm.counts(_pairs(v, w), 1)
-        follow = np.minimum(pair / np.maximum(before, 1.0), 1.0) * (before > 0)
-        trust = LAMBDA * before / (before + DOUBT)
-        p = trust * follow + (1 - trust) * single[own]
-        score = np.add.reduceat(np.log10(p), cuts)
+        score = np.add.reduceat(np.log10(probabilities(lm, model, w, v)), cuts)
         cold = ~hot[own]
         n_cold = np.concatenate(([0], np.cumsum(np.add.reduceat(cold.astype(np.int64), cuts)))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(n_cold), pa.array(w[cold].view(np.int64)))
@@ -354,6 +518,79 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["h", "c"])
 
 
+@dataclass
+class LanguageModel:
+    """Counts of the training texts, as tables and as the parts of the filter, and the figures of the whole."""
+
+    vocabulary: DataFrame  # word, n
+    parts: DataFrame  # kind, bucket, packed, levels, probes
+    partitions: int
+    buckets: int
+    n_tokens: int
+    n_words: int
+    filter_bytes: int
+    first: int  # probes of a pair's first level
+    figures: dict = field(default_factory=dict)  # sent to the workers
+
+    def whole_filter(self) -> LogFrequencyFilter:
+        """The filter on the driver: at most ``MAX_FILTER_BYTES``, which ``score_texts`` sees to."""
+        run, schema = _fill(self.first)
+        rows = self.parts.mapInArrow(run, schema).collect()
+        blocks = {(r["kind"], r["bucket"]): Block(r["size"], np.frombuffer(r["bits"], np.uint8), self.first if r["kind"] == _PAIRS else LEVEL_PROBES) for r in rows}
+        return LogFrequencyFilter(self.buckets, self.figures["hot"], blocks)
+
+
+def train(training: DataFrame, text_col: str = "text", scratch: Scratch | None = None) -> LanguageModel:
+    """Model of the texts of ``training``: two passes, one counts words and one pairs."""
+    scratch = scratch or Scratch(training.sparkSession, "lm-score")
+    learn = training.select(F.col(text_col).cast("string").alias("x"))
+    # hash ranges follow the number of input partitions, so that one stays small as the corpus grows
+    partitions = max(1, learn.rdd.getNumPartitions())
+    buckets = 1 << max(5, math.ceil(math.log2(2 * partitions)))
+    run, schema = _count_words(buckets)
+    counted = scratch.save(learn.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_gather_words, _WORD_COLUMNS), "words")
+    vocabulary = counted.where("word IS NOT NULL").select("word", "n")
+    size = counted.agg(F.sum("n"), F.count("word"), F.max(F.when(F.col("word") == int(END.astype(np.int64)), F.col("n"))), F.sum("mass"), F.sum("probes")).first()
+    n_tokens, n_words, texts, mass = int(size[0] or 0), int(size[1]), int(size[2] or 0), float(size[3] or 0.0)
+    often = [r["word"] for r in vocabulary.where(F.col("n") >= F.lit(max(1.0, n_tokens * HOT_SHARE))).select("word").collect()]
+    often = np.unique(np.append(np.array(often, np.int64).view(np.uint64), START))
+    run, schema = _count_pairs(buckets, often)
+    paired = scratch.save(learn.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_gather_pairs(often), _PAIR_COLUMNS), "pairs")
+    heads = paired.where("packed IS NOT NULL")
+    first = SAFETY + max(1, math.ceil(math.log2(n_words + 2)))
+    sums = {r["hot"]: r for r in paired.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("total").alias("total"), F.sum("followers").alias("followers")).collect()}
+    hot = np.array([h for h in often if int((h & _HIGH).astype(np.int64)) in sums], np.uint64)
+    rows = [sums[int((h & _HIGH).astype(np.int64))] for h in hot]
+    total, followers = np.array([r["total"] for r in rows], float), np.array([r["followers"] for r in rows], float)
+    parts = [
+        counted.where("packed IS NOT NULL").select(F.lit(_WORDS).alias("kind"), "bucket", "packed", "levels", "probes"),
+        heads.select(F.lit(_PAIRS).alias("kind"), "bucket", "packed", "levels", (F.col("probes") + F.col("firsts") * first).alias("probes")),
+        heads.select(F.lit(_SUMS).alias("kind"), "bucket", F.col("sum_packed").alias("packed"), F.col("sum_numbers").alias("levels"), F.col("sum_probes").alias("probes")),
+    ]
+    parts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    probes = parts.agg(F.sum("probes")).first()[0] or 0
+    figures = {"hot": often, "hot_total": np.ones(len(often)), "hot_share": np.ones(len(often)), "mass": mass, "texts": texts, "buckets": buckets}
+    at = np.searchsorted(often, hot)
+    figures["hot_total"][at], figures["hot_share"][at] = total, followers / (total + followers)
+    return LanguageModel(vocabulary, parts, partitions, buckets, n_tokens, n_words, int(probes / math.log(2) / 8), first, figures)
+
+
+def _frequent(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words, at most ``HOT_WORDS``, and their counts."""
+    per_level = vocabulary.groupBy(F.floor(F.log2(F.col("n"))).alias("l")).agg(F.count("*").alias("k")).orderBy(F.desc("l")).collect()
+    least, have = None, 0
+    for r in per_level:
+        if have + r["k"] > HOT_WORDS:
+            break
+        least, have = r["l"], have + r["k"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    packed = vocabulary.where(F.floor(F.log2(F.col("n"))) >= least).mapInArrow(_pack, "h binary, c binary").collect()
+    h, c = (np.concatenate([np.frombuffer(r[k], kind) for r in packed]) for k, kind in (("h", np.uint64), ("c", np.int64)))
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
 def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -366,59 +603,34 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-score")
     base = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("x"))
-    learn = training.select(F.col(text_col).cast("string").alias("x"))
-    # hash ranges follow the number of input partitions, so that one stays small as the corpus grows
-    buckets = 1 << max(5, math.ceil(math.log2(4 * max(1, learn.rdd.getNumPartitions()))))
-    run, schema = _count(buckets)
-    counted = learn.mapInArrow(run, schema)
-    gathered = counted.groupBy("kind", "bucket").applyInArrow(_gather, "kind int, bucket int, word long, n long, packed binary, levels binary, entries long")
-    gathered = scratch.save(gathered, "counts")
-    vocabulary = gathered.where("word IS NOT NULL").select("word", "n")
-    size = vocabulary.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("word") == int(END.astype(np.int64)), F.col("n")))).first()
-    n_tokens, n_words, n_texts = int(size[0] or 0), int(size[1]), int(size[2] or 0)
-    entries = gathered.where("packed IS NOT NULL").agg(F.sum("entries")).first()[0] or 0
-    packed_blocks = gathered.where("packed IS NOT NULL").select("kind", "bucket", "packed", "levels", "entries")
-    sent_whole = entries * BITS_PER_ENTRY <= MAX_FILTER_BYTES * 8
-    run, schema = _fill(float(BITS_PER_ENTRY))
-    blocks = packed_blocks.mapInArrow(run, schema).collect() if sent_whole else []
-    per_level = vocabulary.groupBy(F.floor(F.log2(F.col("n"))).alias("l")).agg(F.count("*").alias("k")).orderBy(F.desc("l")).collect()
-    least, have = None, 0
-    for r in per_level:
-        if have + r["k"] > HOT_WORDS:
-            break
-        least, have = r["l"], have + r["k"]
-    hot_words, hot_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if least is not None:
-        packed = vocabulary.where(F.floor(F.log2(F.col("n"))) >= least).mapInArrow(_pack, "h binary, c binary").collect()
-        hot_words = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in packed])
-        hot_counts = np.concatenate([np.frombuffer(r["c"], np.int64) for r in packed])
-        order = np.argsort(hot_words)
-        hot_words, hot_counts = hot_words[order], hot_counts[order]
-    model = {"filter": LogFrequencyFilter(buckets, blocks), "hot_words": hot_words, "hot_counts": hot_counts, "N": n_tokens, "V": n_words, "texts": n_texts}
+    lm = train(training, text_col, scratch)
+    sent_whole = lm.filter_bytes <= MAX_FILTER_BYTES
+    hot_words, hot_counts = _frequent(lm.vocabulary)
+    model = {**lm.figures, "filter": lm.whole_filter() if sent_whole else None, "hot_words": hot_words, "hot_counts": hot_counts}
     sent = spark.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("i", base.schema["i"].dataType)])
     schema = schema.add("n_tokens", "long").add("hot_known", "long").add("hot_sum", "double").add("score", "double").add("cold", T.ArrayType(T.LongType()))
     if sent_whole:
         scored = base.mapInArrow(_score(lambda: sent.value), schema)
     else:
-        dealt = scratch.save(base.mapInArrow(_deal, "batch long, docs binary"), "dealt")
-        run, asks = _ask(buckets)
+        dealt = scratch.save(base.mapInArrow(_deal, T.StructType().add("batch", "long").add("docs", "binary")), "dealt")
+        run, asks = _ask(lm.buckets, lm.figures["hot"])
         # a range's group of asks follows the texts, its block the training texts: more texts are dealt to copies of the block
-        copies = max(1, math.ceil(base.rdd.getNumPartitions() / max(1, learn.rdd.getNumPartitions())))
+        copies = max(1, math.ceil(base.rdd.getNumPartitions() / lm.partitions))
         asked = dealt.mapInArrow(run, asks).withColumn("copy", F.pmod("batch", F.lit(copies)).cast("int"))
-        copied = packed_blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        by = ["kind", "bucket", "copy"]
-        answered = asked.groupBy(*by).cogroup(copied.groupBy(*by)).applyInArrow(_answer, "batch long, kind int, bucket int, levels binary")
+        parts = lm.parts.withColumn("asked", F.when(F.col("kind") == _SUMS, _WORDS).otherwise(F.col("kind")))
+        copied = parts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        answered = asked.groupBy("kind", "bucket", "copy").cogroup(copied.groupBy("asked", "bucket", "copy")).applyInArrow(_answer(lm.first), "batch long, kind int, bucket int, levels binary, numbers binary")
         scored = dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(_score_answered(lambda: sent.value, to_arrow_schema(schema)), schema)
     scored = scratch.save(scored, "scored")
-    rare = scored.select("row", F.explode("cold").alias("word")).join(vocabulary, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("cold_sum"), F.count("*").alias("cold_known"))
+    rare = scored.select("row", F.explode("cold").alias("word")).join(lm.vocabulary, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("cold_sum"), F.count("*").alias("cold_known"))
     out = scored.drop("cold").join(rare, "row", "left")
-    width = math.log10(n_tokens + n_words + 1)
+    width = math.log10(lm.n_tokens + lm.n_words + 1)
     return out.select(
         F.col("i").alias(id_col),
         "n_tokens",
         (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"),
+        F.lit(lm.n_tokens).cast("long").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("cold_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(width)).alias("base_score"),
         "score",
     )
