@@ -67,6 +67,70 @@ def test_crf_marginals_by_enumeration():
         assert np.allclose(got[a:b], good / z)
 
 
+def test_crf_document_odds_by_enumeration():
+    """The likelihood that fitting climbs, its gradient, and the marginals under both document labels."""
+    from itertools import product
+
+    from veilspark.llm.crf import Crf
+
+    crf = Crf(np.zeros((1, 1)))
+    crf.moves = np.array([[0.4, -0.6], [-0.2, 0.7]])
+    odds, bounds, tie = np.array([0.5, -1.2, 2.0, 0.1, -0.4]), np.array([0, 3, 5]), np.array([0.5, 1.0, 1.5, 0.8, 1.2])
+    logit, sides = crf.document_odds(odds, tie, bounds)
+    for d, (a, b) in enumerate(((0, 3), (3, 5))):
+        z, good, joint = [0.0, 0.0], [np.zeros(b - a), np.zeros(b - a)], [np.zeros((2, 2)), np.zeros((2, 2))]
+        for label in (0, 1):
+            for y in product((0, 1), repeat=b - a):
+                score = sum(odds[a + t] * y[t] + tie[a + t] * (y[t] == label) for t in range(b - a))
+                p = math.exp(score + sum(crf.moves[y[t], y[t + 1]] for t in range(b - a - 1)))
+                z[label] += p
+                good[label] += p * np.array(y)
+                for t in range(b - a - 1):
+                    joint[label][y[t], y[t + 1]] += p
+        assert logit[d] == pytest.approx(math.log(z[1] / z[0]))
+        for label in (0, 1):
+            assert np.allclose(sides[label][0][a:b], good[label] / z[label])
+            assert np.allclose(sides[label][1][a:b].sum(axis=0), (joint[label] / z[label]).ravel())
+
+
+def test_transitions_change_line_labels():
+    """Documents of noisy lines that keep their kind for a while: transitions are learned and used."""
+    rng = np.random.default_rng(0)
+    n, lines = 600, 12
+    switch = rng.random((n, lines)) < 0.06
+    kind = ((rng.integers(0, 2, n)[:, None] + np.cumsum(switch, axis=1)) % 2).ravel()
+    labels = (kind.reshape(n, lines).mean(axis=1) > 0.5).astype(int)
+    x = (kind * 1.0 + rng.normal(0, 0.8, n * lines))[:, None]
+    x = np.hstack([x, np.zeros((n * lines, quality.N_FEATURES - 1))])
+    size, bounds = np.full(n * lines, 40), np.arange(0, n * lines + 1, lines)
+    model = quality.fit_lines(x, size, bounds, labels)
+    value, good = model.score(x, size, bounds)
+    assert ((value >= 0.5) == labels).mean() > 0.85
+    moves, model.crf.moves = model.crf.moves, np.zeros((2, 2))
+    assert moves[0, 0] + moves[1, 1] > moves[0, 1] + moves[1, 0] + 0.5
+    without = model.score(x, size, bounds)[1]
+    assert ((without >= 0.5) != (good >= 0.5)).mean() > 0.02
+    assert ((good >= 0.5) == kind).mean() > ((without >= 0.5) == kind).mean()
+
+
+def test_score_by_enumeration():
+    """The document's score from the marginals of all label sequences."""
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    x, size, bounds = rng.normal(size=(60, quality.N_FEATURES)), rng.integers(1, 90, 60), np.arange(0, 61, 4)
+    model = quality.fit_lines(x, size, bounds, rng.integers(0, 2, 15))
+    value, _ = model.score(x, size, bounds)
+    odds = model.crf.odds(model.crf.codes(x, bounds))
+    for d in range(15):
+        o, weight, good, z = odds[4 * d : 4 * d + 4], size[4 * d : 4 * d + 4] + 1.0, np.zeros(4), 0.0
+        for y in product((0, 1), repeat=4):
+            p = math.exp(o @ y + sum(model.crf.moves[y[t], y[t + 1]] for t in range(3)))
+            z, good = z + p, good + p * np.array(y)
+        mean = min(max(float((good / z) @ weight / weight.sum()), 1e-4), 1 - 1e-4)
+        assert value[d] == pytest.approx(1 / (1 + math.exp(-(model.scale * math.log(mean / (1 - mean)) + model.shift))))
+
+
 def test_mixing(spark, docs, labels):
     out = mixing.mix(docs, domains_of(labels), "domain", MIX_WEIGHTS)
     rows = out.collect()

@@ -3,6 +3,12 @@
 Observations are binned line features; a weight per feature and bin adds up to
 the line's log-odds of good, and a table of four transitions ties neighbours.
 All chains of a batch advance together, one line per step.
+
+Only documents are labelled. In fitting, the labels of their lines are latent:
+a document's label is one more node, tied to each of its lines, and the weights
+and transitions maximise the likelihood of the documents' labels (a hidden
+conditional random field). What the lines are, and how they follow each other,
+comes out of that.
 """
 
 from __future__ import annotations
@@ -39,12 +45,15 @@ class Crf:
         return self.weights[codes].sum(axis=1) + self.weights[-1]
 
     def marginals(self, odds: np.ndarray, bounds: np.ndarray, pairs: bool = False):
-        """P(good) of each line by forward-backward; with ``pairs`` also the expected transitions and log Z."""
+        """P(good) of each line by forward-backward.
+
+        With ``pairs`` also P(a, b) of each line (rows; 0 at first lines) and its
+        predecessor as columns 2 a + b, and log Z of each chain.
+        """
         length = np.diff(bounds)
         order = np.argsort(-length, kind="stable")
         start, steps = bounds[:-1][order], int(length.max(initial=0))
         active = np.searchsorted(-length[order], -np.arange(1, steps + 1), side="right")
-        # ratios alpha(good)/alpha(bad) in log space suffice for two labels
         m = self.moves
         a = np.zeros((len(odds), 2))
         b = np.zeros((len(odds), 2))
@@ -69,36 +78,41 @@ class Crf:
         first = np.zeros(len(odds), bool)
         first[bounds[:-1][length > 0]] = True
         at = np.flatnonzero(~first)
-        expected = np.zeros((2, 2))
+        joint = np.zeros((len(odds), 4))
         for i in (0, 1):
             for j in (0, 1):
-                expected[i, j] = np.exp(a[at - 1, i] + m[i, j] + j * odds[at] + b[at, j] - z[at]).sum()
-        return good, expected
+                joint[at, 2 * i + j] = np.exp(a[at - 1, i] + m[i, j] + j * odds[at] + b[at, j] - z[at])
+        log_z = np.zeros(len(length))
+        log_z[length > 0] = z[bounds[:-1][length > 0]]
+        return good, joint, log_z
 
-    def fit(self, codes: np.ndarray, labels: np.ndarray, bounds: np.ndarray, *, rounds: int, l2: float = 1.0, rate: float = 0.15) -> None:
-        """Penalised maximum likelihood by Adam on all lines.
+    def document_odds(self, odds: np.ndarray, tie: np.ndarray, bounds: np.ndarray):
+        """Log-odds of a good document, and the marginals and pairs of its lines under a bad and a good one."""
+        sides = [self.marginals(odds + sign * tie, bounds, pairs=True) for sign in (-1, 1)]
+        filled = np.add.reduceat(tie, bounds[:-1])  # what lines that agree with a bad document add
+        return sides[1][2] - sides[0][2] - filled, sides
 
-        The penalty on the transitions grows with the number of lines: labels
-        copied from documents hardly ever change inside one, and transitions
-        fitted freely would drown what the lines themselves show.
+    def fit(self, codes: np.ndarray, labels: np.ndarray, bounds: np.ndarray, tie: np.ndarray, *, rounds: int, l2: float = 1.0, rate: float = 0.1) -> None:
+        """Penalised maximum likelihood of the documents' ``labels`` by Adam; every document has a line.
+
+        ``tie`` is how much each line weighs for its document's label. Weights
+        and transitions have the same penalty.
         """
         size = 3 * self.edges.shape[0] * self.width + 1
         if not len(self.weights):
             self.weights = np.zeros(size)
-        first = np.zeros(len(labels), bool)
-        first[bounds[:-1][np.diff(bounds) > 0]] = True
-        at = np.flatnonzero(~first)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (labels[at - 1], labels[at]), 1)
+        doc = np.repeat(np.arange(len(labels)), np.diff(bounds))
         flat = codes.ravel()
         state = [np.zeros(size + 4), np.zeros(size + 4)]
         for step in range(1, rounds + 1):
-            good, expected = self.marginals(self.odds(codes), bounds, pairs=True)
-            gap = labels - good
+            logit, sides = self.document_odds(self.odds(codes), tie, bounds)
+            gap = labels - 1 / (1 + np.exp(-np.clip(logit, -40, 40)))  # the expectations under both labels differ by this share
+            own = gap[doc]
+            line = own * (sides[1][0] - sides[0][0])
             grad = np.zeros(size + 4)
-            grad[: size - 1] = np.bincount(flat, np.repeat(gap, codes.shape[1]), size - 1) - l2 * self.weights[:-1]
-            grad[size - 1] = gap.sum()
-            grad[size:] = (seen - expected).ravel() - 0.05 * len(labels) * self.moves.ravel()
+            grad[: size - 1] = np.bincount(flat, np.repeat(line, codes.shape[1]), size - 1) - l2 * self.weights[:-1]
+            grad[size - 1] = line.sum()
+            grad[size:] = own @ (sides[1][1] - sides[0][1]) - l2 * self.moves.ravel()
             state[0] = 0.9 * state[0] + 0.1 * grad
             state[1] = 0.99 * state[1] + 0.01 * grad**2
             move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)

@@ -4,11 +4,10 @@ Every line gets features of its characters and words and of its neighbours;
 forward-backward gives its probability of being good, and the mean over lines,
 weighted by length, is the document's quality, calibrated to a probability.
 
-Fitting uses at most ``max_docs`` labelled documents, those with the smallest
-hash of the id (a documented bound; scoring covers all documents). Only line
-features of the sample reach the driver. Lines take their document's label;
-lines of bad documents that the first fit finds clearly good are relabelled
-before a second fit, as bad documents often hold some good lines.
+Fitting uses at most ``MAX_DOCS`` labelled documents of at most ``MAX_LINES``
+lines, those with the smallest hash of the id (documented bounds; scoring
+covers all documents and lines). Only line features of the sample reach the
+driver. The labels of the lines are latent: see ``crf``.
 """
 
 from __future__ import annotations
@@ -25,8 +24,10 @@ from .crf import Crf
 
 #: Inner bin edges: shares of the sample's lines below them, dense at the top, where noise shows.
 SHARES = (0.05, 0.2, 0.4, 0.6, 0.8, 0.88, 0.93, 0.96, 0.98, 0.992)
-MAX_DOCS = 5000
-ROUNDS = (120, 60)
+MAX_DOCS, MAX_LINES = 5000, 1000
+ROUNDS = 120
+#: How much all lines of a document weigh together for its label, for each line that it has.
+TIE = 0.5
 
 _LETTER = {name: np.zeros(256, bool) for name in ("upper", "lower", "digit")}
 _LETTER["upper"][65:91] = True
@@ -141,6 +142,13 @@ def _sigmoid(v):
     return 1 / (1 + np.exp(-np.clip(v, -40, 40)))
 
 
+def ties(size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The weight of each line for its document's label: its share of the length, times the number of lines."""
+    lines = np.diff(bounds)
+    weight = size + 1.0
+    return TIE * weight * np.repeat(lines / np.add.reduceat(weight, bounds[:-1]), lines)
+
+
 def fit_lines(x: np.ndarray, size: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> QualityModel:
     prior = (labels.sum() + 1) / (len(labels) + 2)
     if len(np.unique(labels)) < 2:
@@ -148,13 +156,7 @@ def fit_lines(x: np.ndarray, size: np.ndarray, bounds: np.ndarray, labels: np.nd
     edges = np.stack([_edges(x[:, k]) for k in range(x.shape[1])])
     crf = Crf(edges)
     codes = crf.codes(x, bounds)
-    doc = np.repeat(np.arange(len(labels)), np.diff(bounds))
-    crf.fit(codes, labels[doc], bounds, rounds=ROUNDS[0])
-    good = crf.marginals(crf.odds(codes), bounds)
-    lines = labels[doc] | (good > 0.99)
-    lonely = np.bincount(doc, lines, len(labels)) == np.diff(bounds)
-    lines = np.where(lonely[doc], labels[doc], lines)
-    crf.fit(codes, lines, bounds, rounds=ROUNDS[1])
+    crf.fit(codes, labels, bounds, ties(size, bounds), rounds=ROUNDS)
     g = _logit(_weighted(crf.marginals(crf.odds(codes), bounds), size, bounds))
     scale, shift = 1.0, 0.0
     for _ in range(50):  # Newton steps of a logistic regression on one variable
@@ -189,8 +191,9 @@ def fit(
     folds: int = 5,
     held_out: int = 0,
     max_docs: int = MAX_DOCS,
+    max_lines: int = MAX_LINES,
 ) -> QualityModel:
-    """Model from at most ``max_docs`` labelled documents outside the held-out fold.
+    """Model from at most ``max_docs`` labelled documents outside the held-out fold, without those of over ``max_lines`` lines.
 
     Rows with a null id or label are ignored; repeated labels of an id count as
     their largest. Without labels of both kinds the model gives every text the
@@ -206,9 +209,11 @@ def fit(
     def run(batches):
         for batch in batches:
             for first, x, size, bounds in line_features(batch.column(1)):
-                rows = [(x[a:b].astype(np.float32).tobytes(), size[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                short = np.flatnonzero(np.diff(bounds) <= max_lines)
+                values = [x[bounds[k] : bounds[k + 1]].astype(np.float32).tobytes() for k in short]
+                sizes = [size[bounds[k] : bounds[k + 1]].tobytes() for k in short]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(rows)), pa.array(np.diff(bounds)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+                    [batch.column(0).take(pa.array(first + short)), pa.array(np.diff(bounds)[short]), pa.array(values, pa.binary()), pa.array(sizes, pa.binary())],
                     schema=schema,
                 )
 
