@@ -289,7 +289,7 @@ def _parse_pages(batches):
             lists = [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in _LISTS]
             parsed = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["i", "u", *[name for name, _ in _LISTS]])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parsed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, parsed.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_batch(parsed)
             seen = [dict(zip(_SEEN_NAMES, (k, host, *o), strict=True)) for k, (host, p) in enumerate(zip(batch.column(2).to_pylist(), pages, strict=True)) for o in p.observed()]
             yield pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([seen], _SEEN_TYPE)], names=["lot", "pages", "seen"])
