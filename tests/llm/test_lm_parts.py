@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.helpers import edge_cases, empty_docs
@@ -29,4 +30,8 @@ def test_parts_edge_cases(spark, monkeypatch):
     parts = scores(cases.repartition(5), cases)
     assert [x[:3] for x in parts] == [x[:3] for x in whole]
     assert [x[4] for x in parts] == pytest.approx([x[4] for x in whole], rel=1e-9)
+    inside = scores(cases, F.lit(True))
+    assert [x[:3] for x in inside] == [x[:3] for x in whole] and [x[4] for x in inside] == pytest.approx([x[4] for x in whole], rel=1e-9)
     assert lm_score.score_texts(empty_docs(spark), cases).count() == 0
+    assert lm_score.score_texts(empty_docs(spark), F.lit(True)).count() == 0
+    assert {(r.n_known, r.train_tokens) for r in lm_score.score_texts(cases, F.lit(False)).collect()} == {(0, 0)}

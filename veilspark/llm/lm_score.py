@@ -24,13 +24,15 @@ The filter is cut into blocks by hash range, built in parallel. Pairs go to the
 range of their first word; those of the most frequent words (``HOT_SHARE`` of
 all tokens and more, so at most 1 / HOT_SHARE words) are dealt by the pair, and
 their sums are put together afterwards. A filter of at most ``MAX_FILTER_BYTES``
-is sent to the workers. A larger one stays where its blocks are built: the
-distinct n-grams of each batch of texts go to the block of their range, and
-their levels come back to the batch. Both ways read the same bits and give the
-same scores.
+is sent to the workers. A larger one never leaves the tasks that build its
+blocks: the distinct n-grams of each batch of texts go to their range once,
+with their counts in the training texts; the range adds the counts, builds its
+block, and sends what the block says back to the batches. Both ways probe the
+same bits and give the same scores.
 
 Words counted for the base score are exact: the ``HOT_WORDS`` most frequent
-ones go to the workers as a sorted table, all others by a join on the word.
+ones go to the workers as a sorted table and all others by a join on the word,
+or the ranges send the counts back with the levels.
 """
 
 from __future__ import annotations
@@ -40,25 +42,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from . import words
 from .stage import Scratch
 
 BASE, MAX_LEVEL = 1.5, 64
 #: Probes of a level, of a digit, and those of a pair's first level beyond log2 of the vocabulary.
-LEVEL_PROBES, DIGIT_PROBES, SAFETY = 12, 14, 14
+LEVEL_PROBES, DIGIT_PROBES, SAFETY = 12, 20, 12
 #: Steps of Q(v), their digits, and digits of B(v).
 FINE, SUM_DIGITS, SHARE_DIGITS = 1.01, 12, 4
 #: The most bytes of the filter that are sent to a worker.
 MAX_FILTER_BYTES = 64 << 20
 #: Share of all tokens from which a word's pairs are dealt by the pair.
 HOT_SHARE = 1 / 512
-#: Texts, in bytes, whose n-grams are asked for together where the filter is not sent, and n-grams probed at once.
+#: Texts, in bytes, whose n-grams go to their ranges together where the filter is not sent, and n-grams probed at once.
 ASK_BYTES, PROBE_BLOCK = 8 << 20, 1 << 20
 HOT_WORDS = 1 << 20
 FLUSH_TOKENS = 1 << 21
@@ -66,10 +69,28 @@ FLUSH_TOKENS = 1 << 21
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xD6E8FEB86659FD93)
-_LOW16, _HIGH = np.uint64(16), ~np.uint64(0xFFFF)
 _WORDS, _PAIRS, _SUMS = 0, 1, 2
 
 
+_INT, _LONG, _DOUBLE, _BYTES = pa.int32(), pa.int64(), pa.float64(), pa.binary()
+_WORD_COLUMNS = {"bucket": _INT, "word": _LONG, "n": _LONG, "packed": _BYTES, "levels": _BYTES, "probes": _LONG, "mass": _DOUBLE}
+_PAIR_COLUMNS = {
+    "bucket": _INT, "hot": _LONG, "total": _DOUBLE, "followers": _LONG, "packed": _BYTES, "levels": _BYTES, "firsts": _LONG, "probes": _LONG,
+    "sum_packed": _BYTES, "sum_numbers": _BYTES, "sum_probes": _LONG,
+}
+_WORD_ANSWERS = {"batch": _LONG, "bucket": _INT, "levels": _BYTES, "counts": _BYTES, "word": _LONG, "n": _LONG, "words": _LONG, "tokens": _LONG, "mass": _DOUBLE}
+_PAIR_ANSWERS = {"batch": _LONG, "bucket": _INT, "levels": _BYTES, "numbers": _BYTES, "hot": _LONG, "total": _DOUBLE, "followers": _LONG}
+
+
+def _rows(kinds: dict[str, pa.DataType], columns: dict, n: int) -> pa.Table:
+    """``n`` rows of a table with these columns; those not given are null."""
+    return pa.table({name: pa.array(columns[name], kind) if name in columns else pa.nulls(n, kind) for name, kind in kinds.items()})
+
+
+def _schema(kinds: dict[str, pa.DataType]) -> T.StructType:
+    return from_arrow_schema(pa.schema(list(kinds.items())))
+
+
 def _pairs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return words.mix(v * _C ^ words.mix(w + _D))
 
@@ -97,17 +118,6 @@ def _pair_bucket(v: np.ndarray, pair: np.ndarray, hot: np.ndarray, buckets: int)
     return _bucket(np.where(np.isin(v, hot), pair, v) if len(hot) else v, buckets)
 
 
-def _high48(h: np.ndarray) -> bytes:
-    """Hashes without their lowest 16 bits, which the filter does not read."""
-    return np.ascontiguousarray((h >> _LOW16).view(np.uint16).reshape(-1, 4)[:, :3]).tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 4), np.uint16)
-    out[:, :3] = np.frombuffer(blob, np.uint16).reshape(-1, 3)
-    return out.view(np.uint64).ravel() << _LOW16
-
-
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal rows."""
     new = np.ones(len(columns[0]), bool)
@@ -148,7 +158,7 @@ def _count_words(buckets: int):
 
 def _count_pairs(buckets: int, hot: np.ndarray):
     def take(w, v):
-        h, first, c = np.unique(_pairs(v, w) & _HIGH, return_index=True, return_counts=True)
+        h, first, c = np.unique(_pairs(v, w), return_index=True, return_counts=True)
         own = v[first]
         bucket = _pair_bucket(own, h, hot, buckets)
         order = np.lexsort((own, bucket))
@@ -158,7 +168,7 @@ def _count_pairs(buckets: int, hot: np.ndarray):
             x, y = edge[b], edge[b + 1]
             starts = _runs(own[x:y])
             followers = np.diff(np.append(starts, y - x)).astype(np.uint32)
-            yield {"bucket": int(b), "v": _high48(own[x:y][starts]), "followers": followers.tobytes(), "h": _high48(h[x:y]), "c": c[x:y].tobytes()}
+            yield {"bucket": int(b), "v": own[x:y][starts].tobytes(), "followers": followers.tobytes(), "h": h[x:y].tobytes(), "c": c[x:y].tobytes()}
 
     schema = pa.schema([("bucket", pa.int32()), *[(name, pa.binary()) for name in ("v", "followers", "h", "c")]])
     return _flushed(take, schema), "bucket int, v binary, followers binary, h binary, c binary"
@@ -186,13 +196,10 @@ def _gather_words(table: pa.Table) -> pa.Table:
         np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]),
         np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("c").to_pylist()]).astype(np.int64),
     )
-    level, m = levels_of(c), len(h)
-    head = {"packed": [_high48(h)], "levels": [level.astype(np.uint8).tobytes()], "probes": [int(level.sum()) * LEVEL_PROBES], "mass": [float((_MIDDLE[level] + 1).sum())]}
-    kinds = {"word": pa.int64(), "n": pa.int64(), "packed": pa.binary(), "levels": pa.binary(), "probes": pa.int64(), "mass": pa.float64()}
-    bucket = table.column("bucket")[0].as_py()
-    one = pa.table({"bucket": pa.array([bucket], pa.int32()), **{k: pa.array(head.get(k, [None]), t) for k, t in kinds.items()}})
-    rows = {"word": pa.array(h.view(np.int64)), "n": pa.array(c)}
-    return pa.concat_tables([one, pa.table({"bucket": pa.array([bucket] * m, pa.int32()), **{k: rows.get(k, pa.nulls(m, t)) for k, t in kinds.items()}})])
+    level, bucket = levels_of(c), table.column("bucket")[0].as_py()
+    head = {"packed": [h.tobytes()], "levels": [level.astype(np.uint8).tobytes()], "probes": [int(level.sum()) * LEVEL_PROBES], "mass": [float((_MIDDLE[level] + 1).sum())]}
+    rows = {"bucket": [bucket] * len(h), "word": h.view(np.int64), "n": c}
+    return pa.concat_tables([_rows(_WORD_COLUMNS, {"bucket": [bucket], **head}, 1), _rows(_WORD_COLUMNS, rows, len(h))])
 
 
 def encode(total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
@@ -213,40 +220,38 @@ PLAIN = int(encode(np.ones(1), np.ones(1))[0])
 DIGITS = SUM_DIGITS + SHARE_DIGITS
 
 
+def _range_parts(h: np.ndarray, v: np.ndarray, c: np.ndarray, hot: np.ndarray):
+    """Of the pairs of one range: hashes and levels; first words that are not hot, their numbers and probes; sums of hot words."""
+    level = levels_of(c) if len(c) else np.zeros(0, np.int64)
+    own, at, distinct = np.unique(v, return_inverse=True, return_counts=True)
+    total = np.bincount(at, _MIDDLE[level], len(own))
+    is_hot = np.isin(own, hot)
+    number = encode(total, distinct) if len(own) else np.zeros(0, np.int64)
+    kept = ~is_hot & (number != PLAIN)
+    probes = int(np.bitwise_count(number[kept].astype(np.uint64)).sum()) * DIGIT_PROBES
+    return h, level, (own[kept], number[kept].astype(np.uint16), probes), (own[is_hot], total[is_hot], distinct[is_hot].astype(np.int64))
+
+
 def _gather_pairs(hot: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         """One row with the range's part of the filter, and a row of sums for each hot word."""
         blobs = {k: table.column(k).to_pylist() for k in ("v", "followers", "h", "c")}
         followers = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs["followers"]])
-        v = np.repeat(np.concatenate([_unpack(x) for x in blobs["v"]]), followers)
+        v = np.repeat(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs["v"]]), followers)
         c = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs["c"]]).astype(np.int64)
-        h, c, v = _summed(np.concatenate([_unpack(x) for x in blobs["h"]]), c, v)
-        level = levels_of(c)
-        own, at, distinct = np.unique(v, return_inverse=True, return_counts=True)
-        total = np.bincount(at, _MIDDLE[level], len(own))
-        is_hot = np.isin(own, hot & _HIGH)
-        number = encode(total, distinct)
-        kept = ~is_hot & (number != PLAIN)
-        bits = np.bitwise_count(number[kept].astype(np.uint64)).sum()
+        h, c, v = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs["h"]]), c, v)
+        h, level, numbers, hots = _range_parts(h, v, c, hot)
         head = {
-            "packed": [_high48(h)], "levels": [level.astype(np.uint8).tobytes()], "firsts": [len(h)], "probes": [int((level - 1).sum()) * LEVEL_PROBES],
-            "sum_packed": [_high48(own[kept])], "sum_numbers": [number[kept].astype(np.uint16).tobytes()], "sum_probes": [int(bits) * DIGIT_PROBES],
+            "packed": [h.tobytes()], "levels": [level.astype(np.uint8).tobytes()], "firsts": [len(h)], "probes": [int((level - 1).sum()) * LEVEL_PROBES],
+            "sum_packed": [numbers[0].tobytes()], "sum_numbers": [numbers[1].tobytes()], "sum_probes": [numbers[2]],
         }
-        n = int(is_hot.sum())
-        kinds = {"hot": pa.int64(), "total": pa.float64(), "followers": pa.int64(), "packed": pa.binary(), "levels": pa.binary(), "firsts": pa.int64(), "probes": pa.int64(), "sum_packed": pa.binary(), "sum_numbers": pa.binary(), "sum_probes": pa.int64()}
         bucket = table.column("bucket")[0].as_py()
-        one = pa.table({"bucket": pa.array([bucket], pa.int32()), **{k: pa.array(head.get(k, [None]), t) for k, t in kinds.items()}})
-        rows = {"hot": pa.array(own[is_hot].view(np.int64)), "total": pa.array(total[is_hot]), "followers": pa.array(distinct[is_hot].astype(np.int64))}
-        return pa.concat_tables([one, pa.table({"bucket": pa.array([bucket] * n, pa.int32()), **{k: rows.get(k, pa.nulls(n, t)) for k, t in kinds.items()}})])
+        rows = {"bucket": [bucket] * len(hots[0]), "hot": hots[0].view(np.int64), "total": hots[1], "followers": hots[2]}
+        return pa.concat_tables([_rows(_PAIR_COLUMNS, {"bucket": [bucket], **head}, 1), _rows(_PAIR_COLUMNS, rows, len(hots[0]))])
 
     return run
 
 
-_WORD_COLUMNS = "bucket int, word long, n long, packed binary, levels binary, probes long, mass double"
-_PAIR_COLUMNS = "bucket int, hot long, total double, followers long, packed binary, levels binary, firsts long, probes long, sum_packed binary, sum_numbers binary, sum_probes long"
-_BLOCK_COLUMNS = "kind int, bucket int, packed binary, levels binary, probes long"
-
-
 class Block:
     """The bits of the filter for one kind of n-gram and one hash range.
 
@@ -263,7 +268,7 @@ class Block:
 
     @staticmethod
     def seeds(h: np.ndarray, salt) -> tuple[np.ndarray, np.ndarray]:
-        a = words.mix((h & _HIGH) + np.asarray(salt).astype(np.uint64) * _C)
+        a = words.mix(h + np.asarray(salt).astype(np.uint64) * _C)
         return a >> np.uint64(8), words.mix(a ^ _D) >> np.uint64(8)
 
     @classmethod
@@ -312,7 +317,7 @@ class Block:
 
 
 def _build(kind: int, packed: bytes, levels: bytes, probes: int, first: int) -> Block:
-    h = _unpack(packed)
+    h = np.frombuffer(packed, np.uint64)
     if kind == _SUMS:
         number = np.frombuffer(levels, np.uint16).astype(np.int64)
         return Block.build([(h[number >> j & 1 == 1], j, DIGIT_PROBES) for j in range(DIGITS)], probes)
@@ -360,27 +365,46 @@ class LogFrequencyFilter:
 class AnsweredLevels:
     """What the hash ranges sent back for one batch of texts."""
 
-    def __init__(self, own: np.ndarray, levels: np.ndarray, numbers: np.ndarray, pairs: np.ndarray, pair_levels: np.ndarray):
-        self.own, self.levels, self.numbers = own, levels, numbers
+    def __init__(self, own: np.ndarray, levels: np.ndarray, pairs: np.ndarray, pair_levels: np.ndarray, histories: np.ndarray, numbers: np.ndarray):
+        self.own, self.levels = own, levels
         order = np.argsort(pairs, kind="stable")
         self.pair, self.pair_levels = pairs[order], pair_levels[order]
+        order = np.argsort(histories, kind="stable")
+        self.histories, self.numbers = np.append(histories[order], ~np.uint64(0)), np.append(numbers[order], np.uint16(PLAIN))
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.own, h & _HIGH)
-        return self.levels[at], self.numbers[at]
+        known = np.searchsorted(self.own, h)
+        level = np.where(h == START, 0, self.levels[np.minimum(known, len(self.own) - 1)])
+        at = np.searchsorted(self.histories, h)
+        return level, np.where(self.histories[at] == h, self.numbers[at], PLAIN)  # a word at a text's end has no followers here
 
     def pairs(self, v: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        return self.pair_levels[np.searchsorted(self.pair, pair & _HIGH)]
+        return self.pair_levels[np.searchsorted(self.pair, pair)]
+
+
+def _tokens(docs: pa.RecordBatch):
+    """Words of a batch (i, x, scored, trained), their predecessors, and whether they are trained on."""
+    parts = []
+    for chunk, w, v, bounds in _sequences(docs.column(1)):
+        trained = docs.column(3).slice(chunk.first, chunk.n_docs).to_numpy(zero_copy_only=False)
+        parts.append((w, v, np.repeat(trained.astype(bool), np.diff(bounds))))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
 
+def _word_lots(w: np.ndarray, trained: np.ndarray, buckets: int):
+    """Distinct words in order, their counts in training texts, and the bounds of the hash ranges."""
+    h, own = np.unique(w, return_inverse=True)
+    return h, np.bincount(own, trained, len(h)).astype(np.uint32), np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
 
-def _grams(column: pa.Array, hot: np.ndarray, buckets: int):
-    """Distinct words (with the start) and pairs of the texts by hash range, as far as the filter reads their hashes."""
-    w, v = (np.concatenate(x) for x in zip(*((w, v) for _, w, v, _ in _sequences(column)), strict=True))
-    own = np.unique(np.append(w, START) & _HIGH)
-    pair, first = np.unique(_pairs(v, w) & _HIGH, return_index=True)
-    bucket = _pair_bucket(v[first], pair, hot, buckets)
-    order = np.argsort(bucket, kind="stable")
-    return own, _bucket(own, buckets), pair[order], bucket[order]
+
+def _pair_lots(w: np.ndarray, v: np.ndarray, trained: np.ndarray, hot: np.ndarray, buckets: int):
+    """Distinct pairs by range and first word: their first words, counts in training texts, and the bounds of the ranges."""
+    h, first, own = np.unique(_pairs(v, w), return_index=True, return_inverse=True)
+    before = v[first]
+    bucket = _pair_bucket(before, h, hot, buckets)
+    order = np.lexsort((before, bucket))
+    count = np.bincount(own, trained, len(h)).astype(np.uint32)
+    return h[order], before[order], count[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def _deal(batches):
@@ -402,7 +426,7 @@ def _deal(batches):
             if held and size + more > ASK_BYTES:
                 yield flush()
                 number, held, size = number + 1, [], 0
-            held.append(pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in (0, 1)], names=["i", "x"]))
+            held.append(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns], names=batch.schema.names))
             size += more
     if held:
         yield flush()
@@ -412,38 +436,81 @@ def _dealt(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
 
 
-def _ask(buckets: int, hot: np.ndarray):
-    schema = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary())])
-
+def _per_batch(rows_of, schema: pa.Schema):
     def run(batches):
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, own_bucket, pair, pair_bucket = _grams(_dealt(blob).column(1), hot, buckets)
-                rows = []
-                for kind, h, bucket in ((_WORDS, own, own_bucket), (_PAIRS, pair, pair_bucket)):
-                    edge = np.searchsorted(bucket, np.arange(buckets + 1))
-                    rows += [{"batch": number, "kind": kind, "bucket": int(b), "h": _high48(h[edge[b] : edge[b + 1]])} for b in np.flatnonzero(np.diff(edge))]
-                yield from pa.Table.from_pylist(rows, schema).to_batches()
-
-    return run, "batch long, kind int, bucket int, h binary"
-
-
-def _answer(first: int):
-    def run(asked: pa.Table, parts: pa.Table) -> pa.Table:
-        """Levels (and numbers) of the n-grams of one hash range, for each batch of texts that has some."""
-        blobs = asked.column("h").to_pylist()
-        h = _unpack(b"".join(blobs))
-        levels, numbers = np.zeros(len(h), np.uint8), np.full(len(h), PLAIN, np.uint16)
-        for k, packed, own, probes in zip(*(parts.column(c).to_pylist() for c in ("kind", "packed", "levels", "probes")), strict=True):
-            block = _build(k, packed, own, probes, first if k == _PAIRS else LEVEL_PROBES)
-            for a in range(0, len(h), PROBE_BLOCK):
-                if k == _SUMS:
-                    numbers[a : a + PROBE_BLOCK] = block.numbers(h[a : a + PROBE_BLOCK])
-                else:
-                    levels[a : a + PROBE_BLOCK] = block.levels(h[a : a + PROBE_BLOCK])
-        ends = np.cumsum([len(x) // 6 for x in blobs])[:-1]
-        split = lambda x: pa.array([y.tobytes() for y in np.split(x, ends)] if blobs else [], pa.binary())
-        return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "levels": split(levels), "numbers": split(numbers)})
+                yield from pa.Table.from_pylist([{"batch": number, **row} for row in rows_of(_dealt(blob))], schema).to_batches()
+
+    return run
+
+
+def _ask_words(buckets: int):
+    def rows_of(docs):
+        w, _, trained = _tokens(docs)
+        h, c, edge = _word_lots(w, trained, buckets)
+        return [{"bucket": int(b), "h": h[edge[b] : edge[b + 1]].tobytes(), "c": c[edge[b] : edge[b + 1]].tobytes()} for b in np.flatnonzero(np.diff(edge))]
+
+    return _per_batch(rows_of, pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("h", pa.binary()), ("c", pa.binary())])), "batch long, bucket int, h binary, c binary"
+
+
+def _ask_pairs(buckets: int, hot: np.ndarray):
+    def rows_of(docs):
+        w, v, trained = _tokens(docs)
+        h, before, c, edge = _pair_lots(w, v, trained, hot, buckets)
+        out = []
+        for b in np.flatnonzero(np.diff(edge)):
+            x, y = edge[b], edge[b + 1]
+            starts = _runs(before[x:y])
+            followers = np.diff(np.append(starts, y - x)).astype(np.uint32)
+            out.append({"bucket": int(b), "v": before[x:y][starts].tobytes(), "followers": followers.tobytes(), "h": h[x:y].tobytes(), "c": c[x:y].tobytes()})
+        return out
+
+    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *[(name, pa.binary()) for name in ("v", "followers", "h", "c")]])
+    return _per_batch(rows_of, schema), "batch long, bucket int, v binary, followers binary, h binary, c binary"
+
+
+def _joined(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """A column of packed arrays as one, and the ends of its rows."""
+    parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    return np.concatenate(parts), np.cumsum([len(x) for x in parts])[:-1]
+
+
+def _split(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.split(values, ends)]
+
+
+def _answer_words(asked: pa.Table) -> pa.Table:
+    """Levels and counts of one hash range's words for each batch, the range's sums, and its most frequent words."""
+    (h, ends), (c, _) = _joined(asked, "h", np.uint64), _joined(asked, "c", np.uint32)
+    distinct, own = np.unique(h, return_inverse=True)
+    n = np.bincount(own, c, len(distinct)).astype(np.int64)
+    seen, bucket = n > 0, asked.column("bucket")[0].as_py()
+    level = levels_of(n[seen])
+    block = _build(_WORDS, distinct[seen].tobytes(), level.astype(np.uint8).tobytes(), int(level.sum()) * LEVEL_PROBES, LEVEL_PROBES)
+    batches = asked.column("batch").to_pylist()
+    answers = {"batch": batches, "bucket": [bucket] * len(batches), "levels": _split(block.levels(distinct)[own], ends), "counts": _split(n[own], ends)}
+    often = np.flatnonzero(n >= max(1.0, n.sum() * HOT_SHARE))
+    sums = {"bucket": [bucket], "words": [int(seen.sum())], "tokens": [int(n.sum())], "mass": [float((_MIDDLE[level] + 1).sum())]}
+    hot = {"bucket": [bucket] * len(often), "word": distinct[often].view(np.int64), "n": n[often]}
+    return pa.concat_tables([_rows(_WORD_ANSWERS, answers, len(batches)), _rows(_WORD_ANSWERS, sums, 1), _rows(_WORD_ANSWERS, hot, len(often))])
+
+
+def _answer_pairs(hot: np.ndarray, first: int):
+    def run(asked: pa.Table) -> pa.Table:
+        """Levels of one hash range's pairs and numbers of their first words for each batch, and sums of the hot words."""
+        (h, ends), (c, _), (v, v_ends), (followers, _) = (_joined(asked, k, t) for k, t in (("h", np.uint64), ("c", np.uint32), ("v", np.uint64), ("followers", np.uint32)))
+        distinct, at, own = np.unique(h, return_index=True, return_inverse=True)
+        n = np.bincount(own, c, len(distinct)).astype(np.int64)
+        seen = n > 0
+        packed, level, numbers, hots = _range_parts(distinct[seen], np.repeat(v, followers)[at[seen]], n[seen], hot)
+        block = _build(_PAIRS, packed.tobytes(), level.astype(np.uint8).tobytes(), int((level - 1).sum()) * LEVEL_PROBES + len(level) * first, first)
+        sums = _build(_SUMS, numbers[0].tobytes(), numbers[1].tobytes(), numbers[2], LEVEL_PROBES)
+        batches, bucket = asked.column("batch").to_pylist(), asked.column("bucket")[0].as_py()
+        words_, word = np.unique(v, return_inverse=True)
+        answers = {"batch": batches, "bucket": [bucket] * len(batches), "levels": _split(block.levels(distinct)[own], ends), "numbers": _split(sums.numbers(words_)[word], v_ends)}
+        extra = {"bucket": [bucket] * len(hots[0]), "hot": hots[0].view(np.int64), "total": hots[1], "followers": hots[2]}
+        return pa.concat_tables([_rows(_PAIR_ANSWERS, answers, len(batches)), _rows(_PAIR_ANSWERS, extra, len(hots[0]))])
 
     return run
 
@@ -451,13 +518,21 @@ def _answer(first: int):
 def _score_answered(get, schema: pa.Schema):
     def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
         docs, model = _dealt(dealt.column("docs")[0].as_py()), get()
-        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        level = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
-        number = np.frombuffer(b"".join(answers.column("numbers").to_pylist()), np.uint16)
-        own, _, pair, _ = _grams(docs.column(1), model["hot"], model["buckets"])
-        n = len(own)
-        lm = AnsweredLevels(own, level[:n], number[:n], pair, level[n:])
-        return pa.Table.from_batches(_scores(docs, lm, model, dealt.column("batch")[0].as_py() << 24)).cast(schema)
+        w, v, trained = _tokens(docs)
+        own, _, _ = _word_lots(w, trained, model["buckets"])
+        pair, before, _, edge = _pair_lots(w, v, trained, model["hot"], model["buckets"])
+        bucket = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        histories = before[_runs(before, bucket)] if len(before) else before
+        answers = answers.sort_by("bucket")
+        of_words, of_pairs = answers.filter(pa.compute.is_valid(answers.column("counts"))), answers.filter(pa.compute.is_valid(answers.column("numbers")))
+        (levels, _), (counts, _) = _joined(of_words, "levels", np.uint8), _joined(of_words, "counts", np.int64)
+        (pair_levels, _), (numbers, _) = _joined(of_pairs, "levels", np.uint8), _joined(of_pairs, "numbers", np.uint16)
+        lm = AnsweredLevels(own, levels, pair, pair_levels, histories, numbers)
+        scored = docs.filter(docs.column(2))
+        seen = counts > 0
+        tables = {**model, "hot_words": own[seen], "hot_counts": counts[seen]}
+        rows = [b for b in _scores(scored, lm, tables, dealt.column("batch")[0].as_py() << 24)] if scored.num_rows else []
+        return pa.Table.from_batches([b.cast(schema) for b in rows], schema) if rows else schema.empty_table()
 
     return run
 
@@ -524,7 +599,6 @@ class LanguageModel:
 
     vocabulary: DataFrame  # word, n
     parts: DataFrame  # kind, bucket, packed, levels, probes
-    partitions: int
     buckets: int
     n_tokens: int
     n_words: int
@@ -548,20 +622,17 @@ def train(training: DataFrame, text_col: str = "text", scratch: Scratch | None =
     partitions = max(1, learn.rdd.getNumPartitions())
     buckets = 1 << max(5, math.ceil(math.log2(2 * partitions)))
     run, schema = _count_words(buckets)
-    counted = scratch.save(learn.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_gather_words, _WORD_COLUMNS), "words")
+    counted = scratch.save(learn.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_gather_words, _schema(_WORD_COLUMNS)), "words")
     vocabulary = counted.where("word IS NOT NULL").select("word", "n")
     size = counted.agg(F.sum("n"), F.count("word"), F.max(F.when(F.col("word") == int(END.astype(np.int64)), F.col("n"))), F.sum("mass"), F.sum("probes")).first()
     n_tokens, n_words, texts, mass = int(size[0] or 0), int(size[1]), int(size[2] or 0), float(size[3] or 0.0)
     often = [r["word"] for r in vocabulary.where(F.col("n") >= F.lit(max(1.0, n_tokens * HOT_SHARE))).select("word").collect()]
     often = np.unique(np.append(np.array(often, np.int64).view(np.uint64), START))
     run, schema = _count_pairs(buckets, often)
-    paired = scratch.save(learn.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_gather_pairs(often), _PAIR_COLUMNS), "pairs")
+    paired = scratch.save(learn.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_gather_pairs(often), _schema(_PAIR_COLUMNS)), "pairs")
     heads = paired.where("packed IS NOT NULL")
     first = SAFETY + max(1, math.ceil(math.log2(n_words + 2)))
-    sums = {r["hot"]: r for r in paired.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("total").alias("total"), F.sum("followers").alias("followers")).collect()}
-    hot = np.array([h for h in often if int((h & _HIGH).astype(np.int64)) in sums], np.uint64)
-    rows = [sums[int((h & _HIGH).astype(np.int64))] for h in hot]
-    total, followers = np.array([r["total"] for r in rows], float), np.array([r["followers"] for r in rows], float)
+    sums = paired.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("total").alias("total"), F.sum("followers").alias("followers")).collect()
     parts = [
         counted.where("packed IS NOT NULL").select(F.lit(_WORDS).alias("kind"), "bucket", "packed", "levels", "probes"),
         heads.select(F.lit(_PAIRS).alias("kind"), "bucket", "packed", "levels", (F.col("probes") + F.col("firsts") * first).alias("probes")),
@@ -569,10 +640,8 @@ def train(training: DataFrame, text_col: str = "text", scratch: Scratch | None =
     ]
     parts = parts[0].unionByName(parts[1]).unionByName(parts[2])
     probes = parts.agg(F.sum("probes")).first()[0] or 0
-    figures = {"hot": often, "hot_total": np.ones(len(often)), "hot_share": np.ones(len(often)), "mass": mass, "texts": texts, "buckets": buckets}
-    at = np.searchsorted(often, hot)
-    figures["hot_total"][at], figures["hot_share"][at] = total, followers / (total + followers)
-    return LanguageModel(vocabulary, parts, partitions, buckets, n_tokens, n_words, int(probes / math.log(2) / 8), first, figures)
+    figures = _hot_figures(often, sums, mass, texts, buckets)
+    return LanguageModel(vocabulary, parts, buckets, n_tokens, n_words, int(probes / math.log(2) / 8), first, figures)
 
 
 def _frequent(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -591,46 +660,83 @@ def _frequent(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_SCORED = "hot_known long, hot_sum double, score double, cold array<long>"
+
+
+def _hot_figures(often: np.ndarray, sums: list, mass: float, texts: int, buckets: int) -> dict:
+    """What every worker needs of the whole: the hot words with Q and B, and the figures of single words."""
+    figures = {"hot": often, "hot_total": np.ones(len(often)), "hot_share": np.ones(len(often)), "mass": mass, "texts": texts, "buckets": buckets}
+    if sums:
+        at = np.searchsorted(often, np.array([r["hot"] for r in sums], np.int64).view(np.uint64))
+        total, followers = np.array([r["total"] for r in sums], float), np.array([r["followers"] for r in sums], float)
+        figures["hot_total"][at], figures["hot_share"][at] = total, followers / (total + followers)
+    return figures
+
+
+def score_texts(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Tokens are words and one end per text. ``training`` has the texts to learn
-    from in ``text_col``. base_score adds log10((c + 1) / (N + V + 1)) with exact
-    counts, score the log10 probabilities of the model. Null and empty texts
-    have one token, the end. Without training texts all counts are 0. Repeated
-    rows are rows of their own; other columns are ignored, whatever their names.
+    from in ``text_col``, or is a condition on ``docs``. base_score adds
+    log10((c + 1) / (N + V + 1)) with exact counts, score the log10
+    probabilities of the model. Null and empty texts have one token, the end.
+    Without training texts all counts are 0. Repeated rows are rows of their
+    own; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-score")
-    base = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("x"))
-    lm = train(training, text_col, scratch)
-    sent_whole = lm.filter_bytes <= MAX_FILTER_BYTES
-    hot_words, hot_counts = _frequent(lm.vocabulary)
-    model = {**lm.figures, "filter": lm.whole_filter() if sent_whole else None, "hot_words": hot_words, "hot_counts": hot_counts}
-    sent = spark.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("i", base.schema["i"].dataType)])
-    schema = schema.add("n_tokens", "long").add("hot_known", "long").add("hot_sum", "double").add("score", "double").add("cold", T.ArrayType(T.LongType()))
-    if sent_whole:
-        scored = base.mapInArrow(_score(lambda: sent.value), schema)
+    inside = isinstance(training, Column)
+    condition = F.coalesce(training, F.lit(False)) if inside else F.lit(False)
+    base = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("x"), F.lit(True).alias("scored"), condition.alias("trained"))
+    learn = base.where("trained").select("x") if inside else training.select(F.col(text_col).cast("string").alias("x"))
+    kind = base.schema["i"].dataType
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("i", kind), T.StructField("n_tokens", T.LongType()), *T.StructType.fromDDL(_SCORED).fields])
+    lm = train(learn, "x", scratch) if _fits(learn) else None
+    if lm and lm.filter_bytes <= MAX_FILTER_BYTES:
+        hot_words, hot_counts = _frequent(lm.vocabulary)
+        sent = spark.sparkContext.broadcast({**lm.figures, "filter": lm.whole_filter(), "hot_words": hot_words, "hot_counts": hot_counts})
+        scored = scratch.save(base.select("i", "x").mapInArrow(_score(lambda: sent.value), schema), "scored")
+        rare = scored.select("row", F.explode("cold").alias("word")).join(lm.vocabulary, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("cold_sum"), F.count("*").alias("cold_known"))
+        out, n_tokens, n_words = scored.drop("cold").join(rare, "row", "left"), lm.n_tokens, lm.n_words
     else:
-        dealt = scratch.save(base.mapInArrow(_deal, T.StructType().add("batch", "long").add("docs", "binary")), "dealt")
-        run, asks = _ask(lm.buckets, lm.figures["hot"])
-        # a range's group of asks follows the texts, its block the training texts: more texts are dealt to copies of the block
-        copies = max(1, math.ceil(base.rdd.getNumPartitions() / lm.partitions))
-        asked = dealt.mapInArrow(run, asks).withColumn("copy", F.pmod("batch", F.lit(copies)).cast("int"))
-        parts = lm.parts.withColumn("asked", F.when(F.col("kind") == _SUMS, _WORDS).otherwise(F.col("kind")))
-        copied = parts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        answered = asked.groupBy("kind", "bucket", "copy").cogroup(copied.groupBy("asked", "bucket", "copy")).applyInArrow(_answer(lm.first), "batch long, kind int, bucket int, levels binary, numbers binary")
-        scored = dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(_score_answered(lambda: sent.value, to_arrow_schema(schema)), schema)
-    scored = scratch.save(scored, "scored")
-    rare = scored.select("row", F.explode("cold").alias("word")).join(lm.vocabulary, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("cold_sum"), F.count("*").alias("cold_known"))
-    out = scored.drop("cold").join(rare, "row", "left")
-    width = math.log10(lm.n_tokens + lm.n_words + 1)
+        every = base if inside else base.unionByName(learn.select(F.lit(None).cast(kind).alias("i"), "x", F.lit(False).alias("scored"), F.lit(True).alias("trained")))
+        out, n_tokens, n_words = _by_ranges(every, schema, scratch)
+        out = out.withColumns({"cold_sum": F.lit(0.0), "cold_known": F.lit(0)})
+    width = math.log10(n_tokens + n_words + 1)
     return out.select(
         F.col("i").alias(id_col),
         "n_tokens",
         (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
-        F.lit(lm.n_tokens).cast("long").alias("train_tokens"),
+        F.lit(n_tokens).cast("long").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("cold_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(width)).alias("base_score"),
         "score",
     )
+
+
+def _fits(learn: DataFrame) -> bool:
+    """Whether the filter may be small enough to be sent: a corpus of more than that many words can have as many pairs."""
+    size = learn.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    return size <= MAX_FILTER_BYTES
+
+
+def _by_ranges(base: DataFrame, schema: T.StructType, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """Scores of the rows (i, x, scored, trained) with the filter in its ranges; N and V."""
+    spark = base.sparkSession
+    buckets = 1 << max(5, math.ceil(math.log2(2 * max(1, base.rdd.getNumPartitions()))))
+    dealt = scratch.save(base.mapInArrow(_deal, "batch long, docs binary"), "dealt")
+    run, asks = _ask_words(buckets)
+    of_words = scratch.save(dealt.mapInArrow(run, asks).groupBy("bucket").applyInArrow(_answer_words, _schema(_WORD_ANSWERS)), "words")
+    size = of_words.agg(F.sum("tokens"), F.sum("words"), F.sum("mass"), F.max(F.when(F.col("word") == int(END.astype(np.int64)), F.col("n")))).first()
+    n_tokens, n_words, mass, texts = int(size[0] or 0), int(size[1] or 0), float(size[2] or 0.0), int(size[3] or 0)
+    often = [r["word"] for r in of_words.where(F.col("n") >= F.lit(max(1.0, n_tokens * HOT_SHARE))).select("word").collect()]
+    often = np.unique(np.append(np.array(often, np.int64).view(np.uint64), START))
+    first = SAFETY + max(1, math.ceil(math.log2(n_words + 2)))
+    run, asks = _ask_pairs(buckets, often)
+    of_pairs = scratch.save(dealt.mapInArrow(run, asks).groupBy("bucket").applyInArrow(_answer_pairs(often, first), _schema(_PAIR_ANSWERS)), "pairs")
+    sums = of_pairs.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("total").alias("total"), F.sum("followers").alias("followers")).collect()
+    sent = spark.sparkContext.broadcast(_hot_figures(often, sums, mass, texts, buckets))
+    columns = ["batch", "bucket", "levels", "counts", "numbers"]
+    answers = of_words.where("counts IS NOT NULL").withColumn("numbers", F.lit(None).cast("binary")).select(*columns)
+    answers = answers.unionByName(of_pairs.where("numbers IS NOT NULL").withColumn("counts", F.lit(None).cast("binary")).select(*columns))
+    scored = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score_answered(lambda: sent.value, to_arrow_schema(schema)), schema)
+    return scored.drop("cold"), n_tokens, n_words

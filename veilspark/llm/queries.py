@@ -54,7 +54,7 @@ def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     remainder = quality.fold(F.col("doc_id"), 7)
-    scored = lm_score.score_texts(docs, docs.where(remainder != 2))
+    scored = lm_score.score_texts(docs, remainder != 2)
     return scored.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
