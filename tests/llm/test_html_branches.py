@@ -78,3 +78,13 @@ def test_tree_against_plain_counts(spark):
         else:
             assert tree[key].content is None
         assert tree[key].pages == len(contents)
+
+
+def test_verdicts_by_a_join_give_the_same(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    extra = spark.createDataFrame([(10**6 + k, f"http://h.org/{k}", f"<div>same</div><div class='ad'>x</div><p>own {k}</p>") for k in range(9)], "page_id long, url string, html string")
+    every = pages.select("page_id", "url", "html").unionByName(extra)
+    sent = sorted(html_text.extract(every).collect())
+    monkeypatch.setattr(html_text, "SENT_VERDICTS", -1)
+    assert sorted(html_text.extract(every).collect()) == sent
+    assert next(r.text for r in sent if r.page_id == 10**6) == "own 0"

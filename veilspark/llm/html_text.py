@@ -270,6 +270,8 @@ _SEEN = "seen array<struct<page: int, host: string, path: long, style: long, con
 _SEEN_TYPE = pa.list_(pa.struct([("page", pa.int32()), ("host", pa.string()), ("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64()), ("first", pa.bool_()), ("share", pa.float64())]))
 _SEEN_NAMES = ("page", "host", "path", "style", "content", "first", "share")
 _LISTS = (("paths", pa.int64()), ("parents", pa.int32()), ("doubtful", pa.bool_()), ("owners", pa.int32()), ("blocks", pa.int32()), ("texts", pa.string()))
+#: Verdicts that are sent to the workers, some 100 bytes each; more come back to the pages by a join.
+SENT_VERDICTS = 100_000
 #: Pages, and bytes of html, of one lot of parses.
 LOT_PAGES, LOT_BYTES = 64, 1 << 20
 
@@ -287,7 +289,7 @@ def _parse_pages(batches):
             batch = whole.slice(a, b - a)
             pages = [Page(x or "") for x in batch.column(3).to_pylist()]
             lists = [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in _LISTS]
-            parsed = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["i", "u", *[name for name, _ in _LISTS]])
+            parsed = pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["i", "u", "host", *[name for name, _ in _LISTS]])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, parsed.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_batch(parsed)
@@ -345,19 +347,36 @@ class _Stored:
         self.paths, self.parents, self.doubtful, self.owners, self.blocks, self.texts = columns
 
 
-def _join_pages(batches):
+def _texts(blob: bytes, verdict_of) -> pa.RecordBatch:
+    """The texts of a lot; ``verdict_of(page, host, paths)`` gives its low and its cleared paths."""
+    batch = pa.ipc.open_stream(blob).read_next_batch()
+    hosts = batch.column(2).to_pylist()
+    stored = zip(*(batch.column(k).to_pylist() for k in range(3, 9)), strict=True)
+    texts = [kept_text(_Stored(*page), *verdict_of(k, hosts[k], page[0])) for k, page in enumerate(stored)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["i", "u", "text", "n_chars"])
+
+
+def _with_sent(get):
+    def run(batches):
+        low, cleared = get()
+        for lots in batches:
+            for blob in lots.column(0).to_pylist():
+                yield _texts(blob, lambda _, host, paths: tuple({p for p in paths if (host, p) in known} for known in (low, cleared)))
+
+    return run
+
+
+def _with_joined(batches):
     for lots in batches:
         for blob, verdict in zip(lots.column(0).to_pylist(), lots.column(1).to_pylist(), strict=True):
-            batch = pa.ipc.open_stream(blob).read_next_batch()
-            low, cleared = [set() for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
+            own = {}
             for v in verdict or ():
+                low, cleared = own.setdefault(v["page"], (set(), set()))
                 if v["low"]:
-                    low[v["page"]].add(v["path"])
+                    low.add(v["path"])
                 if v["cleared"]:
-                    cleared[v["page"]].add(v["path"])
-            stored = zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)
-            texts = [kept_text(_Stored(*page), a, b) for page, a, b in zip(stored, low, cleared, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["i", "u", "text", "n_chars"])
+                    cleared.add(v["path"])
+            yield _texts(blob, lambda page, _host, _paths, own=own: own.get(page, (frozenset(), frozenset())))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -367,14 +386,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own; null hosts share one tree under the empty host. Other columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
-    scratch = Scratch(pages.sparkSession, "html-text")
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "html-text")
     parsed = scratch.save(parsed_pages(pages, id_col, url_col, html_col), "parsed")
     seen = observations(parsed)
     judged = scratch.save(verdicts(style_tree(seen)), "verdicts")
-    # a path of a host comes back to each page that has it, not the host's whole list to each of its pages
-    own = seen.where("first").select("lot", "page", "host", "path").join(judged, ["host", "path"])
-    own = own.groupBy("lot").agg(F.collect_list(F.struct("page", "path", "low", "cleared")).alias("verdict"))
-    whole = parsed.select("lot", "pages").join(own, "lot", "left").select("pages", "verdict")
     schema = T.StructType([T.StructField("i", pages.schema[id_col].dataType), T.StructField("u", T.StringType())])
-    done = whole.mapInArrow(_join_pages, schema.add("text", "string").add("n_chars", "long"))
+    schema = schema.add("text", "string").add("n_chars", "long")
+    if judged.count() <= SENT_VERDICTS:
+        rows = judged.collect()
+        sent = spark.sparkContext.broadcast(tuple({(r["host"], r["path"]) for r in rows if r[name]} for name in ("low", "cleared")))
+        done = parsed.select("pages").mapInArrow(_with_sent(lambda: sent.value), schema)
+    else:
+        # a path of a host comes back to each page that has it, not the host's whole list to each of its pages
+        own = seen.where("first").select("lot", "page", "host", "path").join(judged, ["host", "path"])
+        own = own.groupBy("lot").agg(F.collect_list(F.struct("page", "path", "low", "cleared")).alias("verdict"))
+        done = parsed.select("lot", "pages").join(own, "lot", "left").select("pages", "verdict").mapInArrow(_with_joined, schema)
     return done.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", "n_chars")
