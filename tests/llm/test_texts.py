@@ -132,14 +132,21 @@ def test_score_by_enumeration():
 
 
 def test_mixing(spark, docs, labels):
-    out = mixing.mix(docs, domains_of(labels), "domain", MIX_WEIGHTS)
+    out, mixture = mixing.mix_with_report(docs, domains_of(labels), "domain", MIX_WEIGHTS)
     rows = out.collect()
     assert len(rows) == docs.count() and all(r.rate >= 0 and r.copies in (math.floor(r.rate), math.ceil(r.rate)) for r in rows)
     known = {r.doc_id: r.domain for r in domains_of(labels).collect()}
-    by = {}
+    by, tokens = {}, Counter()
     for r in rows:
         by.setdefault(known.get(r.doc_id), []).append(r.rate)
-    assert np.mean(by["clean"]) > 0.9 and np.mean(by["toxic"]) < 0.3 and min(by["clean"]) > 0
+        tokens[known.get(r.doc_id)] += r.rate * r.n_tokens
+    assert np.mean(by["clean"]) > 0.9 and np.mean(by["toxic"]) < 0.3 and np.mean(np.array(by["clean"]) > 0) > 0.99
+    # by the true labels, the mixture is near its targets
+    labelled = sum(tokens[k] for k in MIX_WEIGHTS)
+    for k, weight in MIX_WEIGHTS.items():
+        assert abs(tokens[k] / labelled - weight) < 0.04, (k, tokens, mixture, {k: np.mean(np.array(v) > 0) for k, v in by.items()})
+    share = dict(zip(mixture.domains, np.array(mixture.achieved) / sum(mixture.achieved)))
+    assert all(abs(share[k] - w) < 0.04 for k, w in MIX_WEIGHTS.items())
     # the same steps in NumPy over documents instead of posterior cells
     p = np.array([[r.posterior[k] for k in sorted(r.posterior)] for r in rows])
     t = np.array([r.n_tokens for r in rows], float)
@@ -149,18 +156,80 @@ def test_mixing(spark, docs, labels):
     rate, before = np.ones(len(t)), math.inf
     for _ in range(mixing.STEPS):
         gap = ((t * rate) @ p - target) / np.maximum(base, 1e-9)
-        loss = (((t * rate) @ p - target) ** 2 / np.maximum(base, 1e-9)).sum() / base.sum()
+        loss = ((gap**2 * base).sum() + mixing.RIDGE * (t * (rate - 1) ** 2).sum()) / base.sum()
         if loss < 1e-8 or before - loss < 1e-4 * loss:
             break
         before = loss
-        rate = np.maximum(np.where(p[:, share > 0].sum(axis=1) >= 0.5, mixing.LEAST_RATE, 0), rate - mixing.STEP * (p @ gap))
+        rate = np.maximum(0, rate - mixing.STEP * (p @ gap + mixing.RIDGE * (rate - 1)))
     assert np.allclose(rate, [r.rate for r in rows], atol=1e-6)
 
 
+def test_posteriors_by_brute_force(spark, docs, labels):
+    """Weights, regressions and posteriors against plain counts of the hashed words."""
+    import re
+
+    few = docs.where("length(text) < 3000 AND NOT text rlike '[A-Z][A-Z]'").limit(150).cache()
+    known = {r.doc_id: r.domain for r in domains_of(labels).collect() if r.domain}
+    texts = {r.doc_id: r.text for r in few.collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\W\d_]+", t.lower())
+        n = len(w) + 1
+        noise = len(re.findall(r"[A-Z][A-Z]|[!#$%&*|]", t))
+        sets[i] = set(w) | {f"#noise{min(4 * noise // n, 4)}", f"#rich{5 * len(set(w)) // n}/{min(int(math.log2(n)), 8)}"}
+    every = spark.createDataFrame([(w,) for w in set().union(*sets.values())], "w string")
+    bucket = {r.w: r.b for r in every.select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    sample = {i: known[i] for i in texts if i in known}
+    domains = sorted(set(sample.values()))
+    n_all, n_dom = len(sample), Counter(sample.values())
+    n_word, n_both = Counter(), Counter()
+    for i, k in sample.items():
+        for w in sets[i]:
+            n_word[bucket[w]] += 1
+            n_both[bucket[w], k] += 1
+
+    def weight(both, word, dom, total):
+        if word <= 0:
+            return 0.0
+        share = word / total
+        expected = share * dom
+        deviation = (both - expected) ** 2 / (expected * (1 - dom / total) + 0.5)
+        return math.log((both + mixing.PSEUDO_DOCS * share) / (dom + mixing.PSEUDO_DOCS) / share) * (1 - mixing.CHANCE / deviation) if deviation > mixing.CHANCE else 0.0
+
+    def inputs(i, out):
+        """1, length and bounded sums; ``out``: the domain of a labelled document that is left out."""
+        sums = {}
+        for w in sets[i]:
+            b = bucket[w]
+            for k in domains:
+                off = out is not None
+                both, dom = n_both[b, k] - (k == out), n_dom[k] - (k == out)
+                sums[w[0] == "#", k] = sums.get((w[0] == "#", k), 0.0) + weight(both, n_word[b] - off, dom, n_all - off)
+        against = [np.clip(sums.get((style, k), 0.0) - sums.get((style, domains[0]), 0.0), -mixing.MOST, mixing.MOST) for style in (False, True) for k in domains[1:]]
+        return [1.0, math.log2(len(re.findall(r"[^\W\d_]+", texts[i].lower())) + 1) / 10, *against]
+
+    x = np.array([inputs(i, k) for i, k in sample.items()])
+    factors = []
+    for k in domains:
+        y, f = np.array([own == k for own in sample.values()], float), np.zeros(x.shape[1])
+        penalty = np.diag([1e-3] + [mixing.PENALTY] * (x.shape[1] - 1))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ f))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ f)
+            f += step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
+        factors.append(f)
+    for r in mixing.mix(few, domains_of(labels), "domain", MIX_WEIGHTS).collect():
+        p = 1 / (1 + np.exp(-np.array(factors) @ inputs(r.doc_id, None)))
+        assert np.allclose([r.posterior[k] for k in domains], p / p.sum(), atol=0.0015)
+
+
 def test_mixing_edge_cases(spark, docs, labels):
     cases = edge_cases(spark).unionByName(docs.limit(300), allowMissingColumns=True)
     assert mixing.mix(cases, domains_of(labels), "domain", MIX_WEIGHTS).count() == cases.count()
     assert mixing.mix(empty_docs(spark), domains_of(labels), "domain", MIX_WEIGHTS).count() == 0
+    unlabelled = mixing.mix(cases, domains_of(labels).where("false"), "domain", MIX_WEIGHTS).collect()
+    assert len(unlabelled) == cases.count() and {r.rate for r in unlabelled} == {1.0}
+    assert {tuple(sorted(r.posterior)) for r in unlabelled} == {tuple(sorted(MIX_WEIGHTS))}
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 50])
