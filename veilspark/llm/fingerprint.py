@@ -5,6 +5,10 @@ has occurred before. For each of ``SLOTS`` hash functions the ``PICK`` k-mers
 with the smallest values are taken, kept in the order of the text, and hashed
 as a tuple. The share of equal slots of two fingerprints falls with the edit
 distance, also where two texts have the same words in another order.
+
+A run of over ``LONG_RUN`` bytes without white space (a text in a script that
+writes none, or data) counts as a sequence of words of ``RUN_CHARS`` characters,
+one from each character on, so that an edit inside it stays local.
 """
 
 from __future__ import annotations
@@ -13,13 +17,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words
+from .stage import Scratch
 
 K, SLOTS, PICK = 3, 64, 2
-_PLACES = np.uint64((1 << 24) - 1)
+LONG_RUN, RUN_CHARS = 64, 6
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1 << 40, 1 << 62, SLOTS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 62, SLOTS, dtype=np.uint64)
@@ -27,6 +34,29 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 PARTITION_ROWS = 20_000
 
 
+def _open_runs(chunk: words.Chunk) -> words.Chunk:
+    """The chunk with every long run as its overlapping pieces of characters."""
+    long = np.flatnonzero(chunk.end - chunk.start > LONG_RUN)
+    if not len(long):
+        return chunk
+    first = (chunk.data & 0xC0) != 0x80  # bytes that start a character
+    begins = np.append(np.flatnonzero(first), len(chunk.data))
+    a, b = np.searchsorted(begins, chunk.start[long]), np.searchsorted(begins, chunk.end[long])
+    count = np.maximum(b - a - RUN_CHARS + 1, 1)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(a, count) + step
+    start = begins[at]
+    end = np.minimum(begins[np.minimum(at + RUN_CHARS, len(begins) - 1)], np.repeat(chunk.end[long], count))
+    short = np.ones(len(chunk.start), bool)
+    short[long] = False
+    order = np.argsort(np.concatenate((chunk.start[short], start)), kind="stable")
+    merge = lambda x, y: np.concatenate((x, y))[order]
+    hashes = merge(chunk.hash[short], words.hash_spans(chunk.data, start, end))
+    doc = merge(chunk.doc[short], np.repeat(chunk.doc[long], count))
+    bounds = np.searchsorted(doc, np.arange(chunk.n_docs + 1))
+    return words.Chunk(chunk.first, chunk.n_docs, chunk.data, chunk.offsets, doc, merge(chunk.start[short], start), merge(chunk.end[short], end), hashes, bounds)
+
+
 def numbered_kmers(chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of (k-mer, earlier occurrences in the text) in text order, and their bounds."""
     hashes, bounds = words.shingle_hashes(chunk, K)
@@ -48,21 +78,23 @@ def order_minhash(column: pa.Array) -> np.ndarray:
     """(texts, SLOTS) 16-bit tuple hashes; texts without words have all bits set."""
     out = np.full((len(column), SLOTS), 0xFFFF, np.uint16)
     for chunk in words.word_chunks(column, limit=1 << 19):
-        hashes, bounds = numbered_kmers(chunk)
+        hashes, bounds = numbered_kmers(_open_runs(chunk))
         full = np.flatnonzero(np.diff(bounds))
         if not len(full):
             continue
         cuts = bounds[full]
         size = np.diff(np.append(cuts, len(hashes)))
-        local = (np.arange(len(hashes)) - np.repeat(cuts, size)).astype(np.uint64) & _PLACES
+        # the low bits of each value give way to the place: 24, or 36 in a text with more k-mers, which has a chunk to itself
+        places = np.uint64((1 << (24 if size.max() <= 1 << 24 else 36)) - 1)
+        local = (np.arange(len(hashes)) - np.repeat(cuts, size)).astype(np.uint64)
         for s in range(SLOTS):
-            v = (hashes * _A[s] + _B[s]) & ~_PLACES
+            v = (hashes * _A[s] + _B[s]) & ~places
             v |= local
             low = np.minimum.reduceat(v, cuts)
-            p1 = cuts + (low & _PLACES).astype(np.int64)
+            p1 = cuts + (low & places).astype(np.int64)
             v[p1] = _TOP
             low2 = np.minimum.reduceat(v, cuts)
-            p2 = np.where(low2 == _TOP, p1, cuts + (low2 & _PLACES).astype(np.int64))
+            p2 = np.where(low2 == _TOP, p1, cuts + (low2 & places).astype(np.int64))
             first, second = hashes[np.minimum(p1, p2)], hashes[np.maximum(p1, p2)]
             h = words.mix(words.mix(first + np.uint64(s)) ^ (second * np.uint64(0xC2B2AE3D27D4EB4F)))
             out[chunk.first + full, s] = (h >> np.uint64(48)).astype(np.uint16)
@@ -88,38 +120,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base.mapInArrow(run, base.select("i").schema.add("fingerprint", "string")).withColumnRenamed("i", id_col)
 
 
-def _with_next(batches):
-    """Rows in order of (part, order): each with the next one's text; extra rows only serve as a next one."""
-    held = None  # (part, id, text, print) of the last row, which still waits for its next one
+_PAIR = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+def _compared(pairs: list[tuple]) -> list[pa.Array]:
+    """Columns ``_PAIR`` of pairs of neighbours, each (text, print)."""
+    edited = []
+    for (text, _), (after, _) in pairs:
+        n = len(text)
+        edited.append(text[: n - n // 2] + after[: n // 2])
+    new = order_minhash(pa.array(edited, pa.string()))
+    own, after = np.stack([a[1] for a, _ in pairs]), np.stack([b[1] for _, b in pairs])
+    packed = lambda prints: pa.array([row.astype(">u2").tobytes() for row in prints], pa.binary())
+    return [
+        pa.array([len(a[0]) for a, _ in pairs], pa.int64()),
+        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
+        packed(own), packed(new), pa.array(likeness(own, new)), pa.array(likeness(own, after)),
+    ]
+
+
+def _within(batches):
+    """Rows of one ordered range, each compared with the next one; its first and last text come out as well."""
+    part, held, top = TaskContext.get().partitionId(), None, None
+
+    def row(ids, text, top_text, columns=None):
+        n = len(ids)
+        columns = columns or [pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), ids, pa.array(text, pa.string()), pa.array(top_text, pa.string()), *columns], names=["part", "i", "text", "top", *_NAMES])
+
     for batch in batches:
-        part, ids, texts, extra = (batch.column(k).to_pylist() for k in range(4))
-        texts = [t or "" for t in texts]
-        prints = order_minhash(pa.array(texts, pa.string()))
-        rows = list(zip(part, ids, texts, prints, extra, strict=True))
-        chain = ([held] if held else []) + rows
-        held = chain[-1] if not chain[-1][4] else None
-        pairs = [(a, b) for a, b in zip(chain, chain[1:], strict=False) if not a[4] and a[0] == b[0]]
-        if not pairs:
+        texts = batch.column(1).to_pylist()
+        chain = list(zip(texts, order_minhash(batch.column(1)), strict=True))
+        ids = batch.column(0)
+        if top is None and texts:
+            top = texts[0]
+        if held is not None and texts:
+            ids = pa.concat_arrays([held[0], ids])
+            chain = [held[1], *chain]
+        if not chain:
             continue
-        edited = []
-        for a, b in pairs:
-            n = len(a[2])
-            edited.append(a[2][: n - n // 2] + b[2][: n // 2])
-        new = order_minhash(pa.array(edited, pa.string()))
-        own = np.stack([a[3] for a, _ in pairs])
-        after = np.stack([b[3] for _, b in pairs])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([a[1] for a, _ in pairs], pa.int64()),
-                pa.array([len(a[2]) for a, _ in pairs], pa.int64()),
-                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                pa.array(_hex(own), pa.string()),
-                pa.array(_hex(new), pa.string()),
-                pa.array(likeness(own, new)),
-                pa.array(likeness(own, after)),
-            ],
-            names=["i", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
+        held = ids.slice(len(ids) - 1, 1), chain[-1]
+        if len(chain) > 1:
+            n = len(chain) - 1
+            yield row(ids.slice(0, n), [None] * n, [None] * n, _compared(list(zip(chain, chain[1:], strict=False))))
+    if held is not None:
+        yield row(held[0], [held[1][0]], [top])
+
+
+def _between(batches):
+    """Last rows of the ranges, compared with the next range's first."""
+    for batch in batches:
+        if batch.num_rows:
+            pairs = list(zip(*(zip(c.to_pylist(), order_minhash(c), strict=True) for c in batch.columns[1:3]), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_compared(pairs)], names=["i", *_NAMES])
 
 
 def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,36 +181,32 @@ def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The next document is the one after it in descending id (after the last, the
     first); in the edited text the last half of the code points is replaced by
-    the start of the next document. Of rows with one id, the smaller text comes
-    first; null ids come last. Null texts are empty. Other columns are ignored,
-    whatever their names. An empty table gives an empty result; a single row is
-    its own next one.
-
-    The texts are dealt once, by ranges of ids whose bounds come from a pass
-    over the ids alone. The first row of each range is also sent to the range
-    before it, so that no task needs the order of all rows.
+    the start of the next document. Rows with one id are ordered by a hash of
+    their texts; null ids come last. Null texts are empty. Other columns are
+    ignored, whatever their names. An empty table gives an empty result; a
+    single row is its own next one.
+
+    The texts are dealt once, by ranges of ids; each range is compared inside
+    its own task, and only the first and last text of each range meet those of
+    its neighbours, by a join.
     """
-    smallest = -(2**63)
-    base = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("x"))
-    key = F.coalesce("i", F.lit(smallest))
-    n, parts = base.count(), 1
-    if n > PARTITION_ROWS:
-        parts = max(2, -(-n // PARTITION_ROWS))
-    cuts = sorted({int(c) for c in base.select(key.alias("k")).agg(F.percentile_approx("k", [j / parts for j in range(1, parts)], 10_000)).first()[0] or []}) if parts > 1 else []
-    # ranges from the top: range 0 holds the largest ids
-    part = sum((F.when(key < c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int") if len(cuts) <= 64 else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: key < c))
-    dealt = base.select(part.alias("part"), key.alias("k"), "i", "x", F.lit(False).alias("extra"))
-    tops = sorted(((r["part"], r["top"]) for r in dealt.groupBy("part").agg(F.max("k").alias("top")).collect()))
-    if not tops:
-        return _named(base.sparkSession.createDataFrame([], "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"), docs, id_col)
-    before = {top: tops[j - 1][0] for j, (_, top) in enumerate(tops)}  # the first range's top goes to the last range
-    places = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])
-    extra = dealt.where(F.col("k").isin(list(before))).select(places[F.col("k")].alias("part"), "k", "i", "x", F.lit(True).alias("extra"))
-    extra = extra.groupBy("part", "k", "i", "extra").agg(F.min("x").alias("x")).select(*dealt.columns)
-    ordered = dealt.unionByName(extra).repartition(max(len(tops), 1), "part").sortWithinPartitions("part", "extra", F.desc("k"), "x")
-    out = ordered.select("part", "i", "x", "extra").mapInArrow(_with_next, "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return _named(out, docs, id_col)
-
-
-def _named(out: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
-    return out.withColumn("i", F.col("i").cast(docs.schema[id_col].dataType)).withColumnRenamed("i", id_col)
+    scratch = Scratch(docs.sparkSession, "fingerprint")
+    base = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("x"))
+    parts = max(1, -(-base.count() // PARTITION_ROWS))
+    # rows of one id can be many: they are dealt by their texts and, where those are equal, by row
+    order = [F.desc_nulls_last("i"), F.asc("h"), F.asc("r")]
+    keyed = base.withColumns({"h": F.xxhash64("x"), "r": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("i", "x")
+    kind = T.StructType([T.StructField("i", base.schema["i"].dataType), *T.StructType.fromDDL(_PAIR).fields])
+    schema = T.StructType([*T.StructType.fromDDL("part int").fields, kind["i"], *T.StructType.fromDDL("text string, top string").fields, *kind.fields[1:]])
+    inside = scratch.save(ordered.mapInArrow(_within, schema), "inside")
+    last = inside.where("text IS NOT NULL").select("part", "i", "text", "top")
+    # the next range that is not empty; after the last one the first. One small row for each range.
+    by_part = Window.orderBy("part")
+    least = F.min("part").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follow = last.select("part", F.coalesce(F.lead("part").over(by_part), least).alias("next"))
+    tops = last.select(F.col("part").alias("next"), F.col("top").alias("after"))
+    edges = last.select("part", "i", "text").join(follow, "part").join(tops, "next").select("i", "text", "after").mapInArrow(_between, kind)
+    whole = inside.where("text IS NULL").select("i", *_NAMES).unionByName(edges)
+    shown = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return whole.withColumns(shown).withColumnRenamed("i", id_col)
