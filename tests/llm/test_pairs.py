@@ -130,7 +130,8 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontaminate.drop_leaking(docs, items).collect()} == {100, 101, 102, 103}
 
 
-def test_leak_recall_at_the_limit():
+@pytest.mark.parametrize("indels", [False, True])
+def test_leak_recall_at_the_limit(indels):
     rng = random.Random(11)
     vocab = np.random.default_rng(3).integers(1, 2**62, 2000).astype(np.uint64)
     items = [np.array([vocab[rng.randrange(2000)] for _ in range(rng.randint(10, 50))], np.uint64) for _ in range(80)]
@@ -138,8 +139,13 @@ def test_leak_recall_at_the_limit():
     hit = total = 0
     for q, it in enumerate(items):
         t = list(it)
-        for _ in range(int(0.2 * len(it))):
-            t[rng.randrange(len(t))] = np.uint64(rng.randrange(2**62))
+        for k in range(int(0.2 * len(it)) // (2 if indels else 1) * (2 if indels else 1)):
+            if not indels:
+                t[rng.randrange(len(t))] = np.uint64(rng.randrange(2**62))
+            elif k % 2:
+                del t[rng.randrange(len(t))]
+            else:
+                t.insert(rng.randrange(len(t)), np.uint64(rng.randrange(2**62)))
         body = np.array([np.uint64(rng.randrange(2**62)) for _ in range(20)] + t + [np.uint64(rng.randrange(2**62)) for _ in range(20)], np.uint64)
         found = {i for _, items_, _ in index.matches(index.lookup(body), np.zeros(len(body), np.int64)) for i in items_}
         total, hit = total + 1, hit + (q in found)
@@ -154,6 +160,55 @@ def test_leak_edge_cases(spark):
     assert decontaminate.find_leaks(edge_cases(spark), items.where("false")).count() == 0
 
 
+def test_short_items_and_string_ids(spark):
+    items = spark.createDataFrame([("one", "alpha"), ("two", "beta gamma"), ("four", "a b c d"), ("none", " !! "), ("five", "p q r s t")], "item_id string, text string")
+    docs = spark.createDataFrame(
+        [("007", "x Alpha, y beta gamma"), ("7", "beta x gamma alphas"), ("z", "a b c d a b c d"), ("e", "q r s t"), ("f", "p q r s X p q Y s t"), (None, "alpha"), ("n", None)], "doc_id string, text string"
+    )
+    got = sorted((str(r.doc_id), r.item_id, r.word_start, r.n_words, r.edits) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == [("007", "one", 1, 1, 0), ("007", "two", 3, 2, 0), ("None", "one", 0, 1, 0), ("f", "five", 0, 5, 1), ("z", "four", 0, 4, 0)]
+    leak = docs.withColumnRenamed("text", "leak")
+    assert sorted(str(r.doc_id) for r in decontaminate.drop_leaking(leak, items, text_col="leak").collect()) == ["7", "None", "e", "n"]
+
+
+def test_leaks_by_brute_force(spark):
+    """Every (document, item) pair within the edit limit that plain dynamic programming finds, and none else."""
+    rng = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = {k: [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 6, 9, 14, 25]))] for k in range(14)}
+    texts = {}
+    for d in range(40):
+        body = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 30))]
+        if d % 2:
+            t = list(items[rng.randrange(14)])
+            for _ in range(rng.randrange(0, len(t) // 5 + 2)):
+                t[rng.randrange(len(t))] = "other"
+            body[len(body) // 2 : len(body) // 2] = t
+        texts[d] = body
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {}
+    for d, body in texts.items():
+        for k, it in items.items():
+            n, most = len(it), int(0.2 * len(it))
+            found = [(distance(body[s : s + n], it), s) for s in range(len(body) - n + 1)]
+            if found and min(found)[0] <= most:
+                want[d, k] = min(found)
+    docs = spark.createDataFrame([(d, " ".join(b)) for d, b in texts.items()], "doc_id long, text string")
+    given = spark.createDataFrame([(k, " ".join(it)) for k, it in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.word_start) for r in decontaminate.find_leaks(docs, given).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert all(got[key][0] == want[key][0] for key in got) or sum(got[k] == want[k] for k in got) >= 0.9 * len(got)
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))

@@ -18,6 +18,8 @@ with at most ``floor(rate * words)`` word edits is a match.
 * Walks drift apart with length, so that items of ``LONG`` words or more go
   another way: a match shares at least words - 2 - 3 * edits word triples with
   its own item, and every window that does is a candidate. None is lost.
+* Items of less than ``SHORT`` words allow no edit: every sequence of as many
+  words is looked up among them.
 * Candidates are verified by the exact edit distance.
 
 Items go to the workers in blocks of at most ``ITEM_WORDS`` words: the size of
@@ -34,15 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words
+from .stage import unused_name
 
 WALKS, BANDS, SAMPLES = 4, 6, 2
 SYMBOLS = 4096
 #: Words of the items in one broadcast block: 8 bytes each and as much again for the index.
 ITEM_WORDS = 2_000_000
 WINDOW_BLOCK = 1 << 15
-MIN_WORDS = 5
+SHORT = 5
 #: Words from which an item's candidates come from shared triples, if a match must share ``LEAST_SHARED`` of them.
 LONG, LEAST_SHARED = 60, 8
 
@@ -109,18 +113,27 @@ def edit_distances(symbols: np.ndarray, start: np.ndarray, items: list[np.ndarra
 class ItemIndex:
     """Band tables of one block of items."""
 
-    def __init__(self, ids: np.ndarray, hashes: list[np.ndarray], rate: float):
+    def __init__(self, ids, hashes: list[np.ndarray], rate: float):
         self.ids = ids
         self.vocab = np.unique(np.concatenate(hashes))
         self.items = [self.symbols(h) for h in hashes]
         length = np.array([len(h) for h in hashes])
         self.edits = np.floor(rate * length + 1e-9).astype(np.int64)
-        self.lengths = np.unique(length)
-        self.triples = np.unique(np.concatenate([self.triple(x, np.arange(len(x) - 2)) for x in self.items]))
+        short = (length < SHORT) & (self.edits == 0) | (length < 3)
+        self.edits[short] = 0
+        self.short = {}
+        for n in np.unique(length[short]):
+            own = np.flatnonzero(short & (length == n))
+            keys = self.sequence(np.concatenate([self.items[i] for i in own]), np.arange(len(own)) * n, int(n))
+            order = np.argsort(keys, kind="stable")
+            self.short[int(n)] = keys[order], own[order]
+        self.lengths = np.unique(length[~short])
+        of_items = [self.triple(self.items[i], np.arange(length[i] - 2)) for i in np.flatnonzero(~short)]
+        self.triples = np.unique(np.concatenate(of_items)) if of_items else np.zeros(0, np.uint64)
         self.slack = {int(n): int(np.floor(rate * n + 1e-9)) for n in self.lengths}
         long = (length >= LONG) & (length - 2 - 3 * self.edits >= LEAST_SHARED)
         self.long_lengths = np.unique(length[long])
-        walked = np.flatnonzero(~long)
+        walked = np.flatnonzero(~long & ~short)
         self.tables = []
         if len(walked):
             flat = np.concatenate([self.items[i] for i in walked])
@@ -144,6 +157,13 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         return np.where(self.vocab[at] == h, at + 1, 0).astype(np.int64)
 
+    @staticmethod
+    def sequence(symbols: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = words.mix(h ^ symbols[at + k].astype(np.uint64) * _KEY[0])
+        return h
+
     @staticmethod
     def triple(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = words.mix(symbols[at].astype(np.uint64) + np.uint64(1 << 40))
@@ -163,7 +183,7 @@ class ItemIndex:
         words with e edits has n - e words and n - 2 - 3e triples of the items.
         """
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(symbols):
+        if len(symbols) < 3 or not len(self.lengths):
             return none
         known = symbols > 0
         cum_words = np.concatenate(([0], np.cumsum(known)))
@@ -199,6 +219,7 @@ class ItemIndex:
 
         Of long items, those that can be the best of their document.
         """
+        yield from self.short_matches(symbols, doc)
         start, length = self.windows(symbols, doc)
         long = np.isin(length, self.long_lengths)
         if long.any():
@@ -229,6 +250,26 @@ class ItemIndex:
                 ok = d <= self.edits[item]
                 yield s[w][ok], item[ok], d[ok]
 
+    def short_matches(self, symbols: np.ndarray, doc: np.ndarray):
+        """Places where an item without edits stands as it is; of each document and item the first."""
+        for n, (table, order) in self.short.items():
+            at = np.flatnonzero(symbols[: len(symbols) - n + 1] > 0)
+            if not len(at):
+                continue
+            at = at[doc[at] == doc[at + n - 1]]
+            key = self.sequence(symbols, at, n)
+            low = np.searchsorted(table, key, "left")
+            hit = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == key)
+            at, low = at[hit], low[hit]
+            count = np.searchsorted(table, key[hit], "right") - low
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at, item = np.repeat(at, count), order[np.repeat(low, count) + step]
+            same = np.ones(len(at), bool)
+            for k in range(n):
+                same &= symbols[at + k] == np.array([self.items[i][k] for i in item], np.int64)
+            at, item = at[same], item[same]
+            _, first = np.unique(doc[at] * len(self.items) + item, return_index=True)
+            yield at[first], item[first], np.zeros(len(first), np.int64)
 
     def long_matches(self, symbols: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray):
         """Matches of long items among their windows, which are counted by the triples of each item."""
@@ -266,8 +307,8 @@ def _normal_words(column: pa.Array, limit: int = words.CHUNK_BYTES):
     return words.word_chunks(column, lower=True, strip_punct=True, limit=limit)
 
 
-def _search(index_of):
-    schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("word_start", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int64())])
+def _search(index_of, item_kind: pa.DataType):
+    names = ["doc", "item", "word_start", "n_words", "edits"]
 
     def run(batches):
         index: ItemIndex = index_of()
@@ -292,36 +333,35 @@ def _search(index_of):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(doc[start])),
-                    pa.array(index.ids[item]),
+                    pa.array([index.ids[k] for k in item], item_kind),
                     pa.array(start - first[doc[start]]),
                     pa.array(np.array([len(index.items[i]) for i in item], np.int64)),
                     pa.array(d),
                 ],
-                schema=schema,
+                names=names,
             )
 
-    return run, "doc long, item long, word_start long, n_words long, edits long"
+    return run
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str):
     """Word hashes of the items, in blocks of bounded size that are read one after the other."""
-    schema = pa.schema([("item", pa.int64()), ("h", pa.binary())])
-
     def run(batches):
         for batch in batches:
             for chunk in _normal_words(batch.column(1)):
                 bounds = chunk.bounds
                 ids = batch.column(0).slice(chunk.first, chunk.n_docs)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([chunk.hash[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([chunk.hash[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["item", "h"])
 
-    hashed = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("x")).where("i IS NOT NULL").mapInArrow(run, "item long, h binary")
-    hashed = hashed.where(F.length("h") >= 8 * MIN_WORDS).dropDuplicates(["item", "h"])
+    base = items.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("x")).where("item IS NOT NULL")
+    hashed = base.mapInArrow(run, T.StructType([base.schema["item"], T.StructField("h", T.BinaryType())]))
+    hashed = hashed.where(F.length("h") > 0).dropDuplicates(["item", "h"])
     total = hashed.agg(F.sum(F.length("h") / 8)).first()[0] or 0
     n = max(1, int(-(-2 * total // ITEM_WORDS)))
     for k in range(n if total else 0):
         rows = hashed.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).orderBy("item", "h").collect()
         if rows:
-            yield np.array([r.item for r in rows], np.int64), [np.frombuffer(r.h, np.uint64) for r in rows]
+            yield [r.item for r in rows], [np.frombuffer(r.h, np.uint64) for r in rows]
 
 
 def find_leaks(
@@ -338,26 +378,24 @@ def find_leaks(
 
     A match is a window of as many words as the item, inside one document, with
     at most ``floor(rate * words)`` word insertions, deletions or substitutions;
-    ties in edits go to the first window. Items with fewer than 5 words, null
-    texts or null ids are not searched; null and empty documents have no
-    matches. Repeated documents give repeated rows; repeated items one each.
+    ties in edits go to the first window. Items without words or with null ids
+    are not searched; null and empty documents have no matches. Ids can be of
+    any type. Repeated documents give repeated rows; repeated items one each.
     Other columns are ignored, whatever their names. Empty tables give an empty
     result.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("x"))
+    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("x"))
+    kind = T.StructType([base.schema["doc"], T.StructField("item", items.schema[item_col].dataType)])
+    kind = kind.add("word_start", "long").add("n_words", "long").add("edits", "long")
     parts = []
-    for ids, hashes in _item_blocks(items, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast((ids, hashes))
-        run, schema = _search(lambda sent=sent: ItemIndex(*sent.value, rate))
-        parts.append(base.mapInArrow(run, schema))
-    if not parts:
-        kind = T.StructType().add("doc", "long").add("item", "long").add("word_start", "long").add("n_words", "long").add("edits", "long")
-        parts = [spark.createDataFrame([], kind)]
-    found = reduce(DataFrame.union, parts)
+    for block in _item_blocks(items, item_col, item_text_col):
+        sent = spark.sparkContext.broadcast(block)
+        parts.append(base.mapInArrow(_search(lambda sent=sent: ItemIndex(*sent.value, rate), to_arrow_schema(kind).field("item").type), kind))
+    found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], kind)
     return found.select(
-        F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col),
-        F.col("item").cast(items.schema[item_col].dataType).alias(item_col),
+        F.col("doc").alias(id_col),
+        F.col("item").alias(item_col),
         "word_start",
         "n_words",
         "edits",
@@ -366,6 +404,11 @@ def find_leaks(
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that hold a near copy of an item; rows with a null id are kept."""
-    bad = find_leaks(docs, items, id_col, text_col, **how).select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__leak"), "left_anti")
+    """``docs`` without the documents that hold a near copy of an item; rows with a null id or text are kept.
+
+    Rows with the id of such a document go with it. Columns keep their names
+    and order, whatever they are called; repeated rows stay repeated.
+    """
+    key = unused_name(docs, "leak")
+    bad = find_leaks(docs, items, id_col, text_col, **how).select(F.col(id_col).alias(key)).distinct()
+    return docs.join(bad, docs[id_col] == bad[key], "left_anti")
