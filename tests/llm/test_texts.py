@@ -432,6 +432,53 @@ def test_redirects_carry_blocks(spark):
     assert got == [(None, "block"), (None, "block"), (None, "allow"), (None, "allow"), ("com/de/", "block")]
 
 
+LINKS = [
+    ("http://x.com/a/page", "#top", "http://x.com/a/page"), ("http://x.com/a/page", "mailto:me@x.com", None), ("http://x.com/a/page", "javascript:go()", None),
+    ("http://x.com/a/page", "b", "http://x.com/a/b"), ("http://x.com/a/b/page?q", "../c?d=..", "http://x.com/a/c?d=.."), ("http://x.com/a/b/c", "..", "http://x.com/a/"),
+    ("http://x.com", "d", "http://x.com/d"), ("https://x.com/a", "//y.org/../z", "https://y.org/../z"), ("http://x.com/a/b", "/./e/../f/.", "http://x.com/f/"),
+    ("http://x.com/a/b?q#f", "?r", "http://x.com/a/b?r"), ("http://x.com/a", "", None), ("http://x.com/a", "../../../g", "http://x.com/g"), ("http://x.com/a", "http://Z.com/..x", "http://Z.com/..x"),
+]
+
+
+def test_links_resolve(spark):
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(LINKS)], "k long, base string, link string")
+    got = [r.r for r in df.select("k", url_filter.resolve(F.col("base"), F.col("link")).alias("r")).orderBy("k").collect()]
+    assert got == [c for _, _, c in LINKS]
+
+
+def test_fragments_and_comments_carry_nothing(spark):
+    got = judged(
+        spark,
+        ("http://y.net/a/page", '<link rel="canonical" href="#top"><link rel=canonical href="mailto:x@x.com/de/">'),
+        ("http://y.net/b", '<!-- <link rel=canonical href="http://x.com/de/1"> -->'),
+        ("http://y.net/c", '<base href="http://x.com/de/"><link rel="alternate canonical" href="1">'),
+        ("http://y.net/d", '<link rel=canonical href="/e"><link rel=canonical href="http://x.com/de/1">'),
+    )
+    assert [v for _, v in got] == ["allow", "allow", "block", "block"]
+
+
+def test_aliases_equal_the_sql(spark, tmp_path):
+    """Components of redirects in SQL, by a recursive query, on pages with chains and cycles."""
+    import duckdb
+
+    from veilspark.llm import queries
+
+    rng = random.Random(8)
+    hosts = ["a.org", "example.org", "x.com", "y.com", "z.net"]
+    url = lambda k: f"http://{hosts[k % 5]}/{['es', 'en', 'fr', 'de', 'it'][k % 7 % 5]}/{k}"
+    rows = []
+    for k in range(120):
+        link = {0: f'<link rel="canonical" href="{url(rng.randrange(120))}">', 1: f'<meta http-equiv="refresh" content="0;url=/{rng.choice("ab")}{k % 9}">', 2: '<link rel=canonical href="#x">', 3: '<link rel=canonical href="next">'}
+        rows.append((k, url(k), f"<html>{link.get(rng.randrange(7), '')}</html>"))
+    rows += [(500, None, None), (501, "no scheme", "x"), (502, url(3), "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in url_filter.judge(df, rules(spark)).select("page_id", "host", "path", "rule", "verdict", "aliases").collect())
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    want = con.sql(f"SELECT page_id, host, path, rule, verdict, aliases FROM ({queries.ORACLES['op7_url_filter']})").fetchall()
+    assert [tuple(str(x) for x in r) for r in got] == [tuple(str(x) for x in r) for r in sorted(want)] and max(r[5] for r in got) > 2
+
+
 def test_url_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string, rule string")
     assert url_filter.judge(df, rules(spark)).count() == 0

@@ -109,24 +109,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op7_url_filter": r"""
-        WITH parts AS (
-            SELECT page_id, url, html,
-                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
-                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
-            FROM pages
-        ), rules(action, rule_host, rule_path) AS (
+        WITH RECURSIVE rules(action, rule_host, rule_path) AS (
             VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ), tags AS (
+            SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b[^>]*>')) AS tag, 'href' AS name
+            FROM (SELECT url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages) WHERE contains(url, '://')
+            UNION ALL
+            SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), 'url'
+            FROM (SELECT url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages) WHERE contains(url, '://')
+        ), links AS (
+            SELECT url, replace(CASE name WHEN 'href' THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+                                ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) END, '&amp;', '&') AS link
+            FROM tags
+        ), targets AS (
+            SELECT url, CASE
+                WHEN link = '' THEN NULL
+                WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+                WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                WHEN starts_with(link, '//') THEN 'http:' || link
+                WHEN starts_with(link, '#') THEN url
+                WHEN starts_with(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || link
+                WHEN starts_with(link, '?') THEN regexp_extract(url, '^(.*?://[^?#]*)', 1, 's') || link
+                ELSE regexp_extract(regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || '/' || regexp_extract(url, '^.*?://[^/?#]*/?([^?#]*)', 1, 's'), '^(.*/)', 1, 's') || link
+            END AS target
+            FROM links
+        ), urls AS (
+            SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT target FROM targets WHERE target IS NOT NULL
+        ), parts AS (
+            SELECT url, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+                   regexp_extract(url, '^.*?://[^?#]*(\?[^#]*)', 1, 's') AS query
+            FROM urls
+        ), named AS (
+            SELECT *, CASE WHEN host <> '' THEN host || CASE path WHEN '' THEN '/' ELSE path END || query END AS node FROM parts
         ), best AS (
-            SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+            SELECT url, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
                    arg_max(action, length(rule_host || rule_path)) AS action
-            FROM parts JOIN rules
-              ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-            GROUP BY page_id
+            FROM named JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY url
+        ), edges AS (
+            SELECT a.node AS a, b.node AS b FROM targets t JOIN named a ON a.url = t.url JOIN named b ON b.url = t.target
+            WHERE a.node IS NOT NULL AND b.node IS NOT NULL AND a.node <> b.node
+        ), both_ways AS (
+            SELECT a, b FROM edges UNION SELECT b, a FROM edges
+        ), reach(n, m) AS (
+            SELECT a, a FROM both_ways UNION SELECT r.n, e.b FROM reach r JOIN both_ways e ON r.m = e.a
+        ), spread AS (
+            SELECT n, count(DISTINCT m) AS aliases, bool_or(action = 'allow') AS allows, bool_or(action = 'block') AS blocks
+            FROM reach LEFT JOIN named ON named.node = m LEFT JOIN best USING (url) GROUP BY n
         )
-        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict, 1::BIGINT AS aliases
-        FROM parts LEFT JOIN best USING (page_id)
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+               coalesce(action, CASE WHEN allows THEN 'allow' WHEN blocks THEN 'block' ELSE 'allow' END) AS verdict,
+               coalesce(aliases, 1)::BIGINT AS aliases
+        FROM pages LEFT JOIN named USING (url) LEFT JOIN best USING (url) LEFT JOIN spread ON node = n
     """,
     "op10_html_extraction": r"""
         WITH body AS (

@@ -38,30 +38,58 @@ def address(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(path), _query_of(url)))
 
 
-def _resolved(base: Column, link: Column) -> Column:
-    """A link of a page as an absolute URL; ``.`` and ``..`` segments stay as they are."""
-    root = F.concat(F.lit("http://"), host_of(base))
+def _without_dots(path: Column) -> Column:
+    """The path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), whole).otherwise(path)
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """A link on a page of that URL, or below that ``base``, as an absolute URL; null for other schemes (``mailto:``) and empty links."""
+    scheme = F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1), F.lit(":"))
+    root = F.concat(scheme, F.lit("//"), host_of(base))
     folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     return (
-        F.when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(root, link))
+        F.when(link == "", None)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("#"), base)
         .when(link.startswith("?"), F.concat(root, path_of(base), link))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+        .when(link.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)), rest))
     )
 
 
+def _tags(html: Column, pattern: str, value: str) -> Column:
+    """The values that a pattern finds in all tags of another one."""
+    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda tag: F.regexp_extract(tag, value, 1))
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b) addresses: a page and where its canonical link or its refresh leads."""
+    """(a, b) addresses: a page and where its canonical links and its refreshes lead.
+
+    Links are resolved against the page's URL or its ``base``; fragments lead to
+    the page itself, and comments have no links.
+    """
     html = F.col(html_col)
-    canonical = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    href = F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    target = F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     some = pages.where(F.col(url_col).contains("://") & (F.lower(html).contains("canonical") | F.lower(html).contains("refresh")))
-    links = some.select(F.col(url_col).alias("u"), F.explode(F.array(href, target)).alias("link")).where("link <> ''")
+    some = some.select(F.col(url_col).alias("u"), F.regexp_replace(html, r"(?s)<!--.*?(-->|$)", "").alias("h"))
+    href = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+    canonical = _tags(F.col("h"), r"""(?is)<link\b[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b[^>]*>""", href)
+    refresh = _tags(F.col("h"), r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""")
+    own_base = F.element_at(F.concat(_tags(F.col("h"), r"(?is)<base\b[^>]*>", href), F.array(F.lit(""))), 1)
+    links = some.select("u", F.coalesce(resolve(F.col("u"), own_base), F.col("u")).alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''")
     links = links.withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&")))
-    return links.select(address(F.col("u")).alias("a"), address(_resolved(F.col("u"), F.col("link"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return links.select(address(F.col("u")).alias("a"), address(resolve(F.col("base"), F.col("link"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame, key: str, host: str, path: str) -> DataFrame:
