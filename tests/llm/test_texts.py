@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tests.llm.helpers import edge_cases, empty_docs, words_of
 from veilspark.llm import fingerprint, html_text, lm_score, mixing, quality, token_count, url_filter
-from veilspark.llm.queries import MIX_WEIGHTS, URL_RULES, domains_of
+from veilspark.llm.queries import MIX_WEIGHTS, URL_RULES, VOCABULARY, domains_of
 
 
 def table(spark, name, sf=SF):
@@ -324,7 +324,7 @@ def test_lm_edge_cases(spark):
 
 @pytest.fixture(scope="module")
 def counter():
-    with open(token_count.DEFAULT_VOCABULARY, "rb") as f:
+    with open(VOCABULARY, "rb") as f:
         return token_count.Counter(f.read())
 
 
@@ -333,7 +333,7 @@ def test_edits_equal_a_fresh_count(counter):
     parts = ["a", "b", "'s", "'", "t", "re", " ", "  ", "\n", "\t", "1", "23", "!", "é", "日本", "😀", " don't", " I'll"]
     for _ in range(400):
         text = "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 5, 60, 700])))
-        tree = token_count.SegmentTree(text, counter)
+        tree = token_count.SegmentTree.build(text, counter)
         for _ in range(4):
             at, deleted = rng.randint(0, len(text) + 2), rng.choice([0, 1, 3, 150])
             new = "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 20])))
@@ -345,21 +345,42 @@ def test_edits_equal_a_fresh_count(counter):
 
 
 def test_edit_touches_little(counter):
-    tree = token_count.SegmentTree("some words of a long text " * 5000, counter)
+    tree = token_count.SegmentTree.build("some words of a long text " * 5000, counter)
     assert tree.edit(60_000, 4, "new words") < 20
 
 
 def test_token_count_tables(spark, counter):
     cases = edge_cases(spark)
     edits = spark.createDataFrame([(8, 1, 5, 4, "NEW "), (8, 0, 0, 1, ""), (3, 0, None, None, None), (99, 0, 0, 0, "x")], "doc_id long, seq long, at long, deleted long, inserted string")
-    rows = token_count.count_tokens(token_count.with_edits(cases, edits), edits_col="__edits").collect()
+    edited, name = token_count.with_edits(cases, edits)
+    rows = token_count.count_tokens(edited, edits_col=name, vocabulary=VOCABULARY).collect()
     assert len(rows) == cases.count()
     r = next(r for r in rows if r.doc_id == 8)
     text = ("long text of words " * 4000)[1:]
     text = text[:5] + "NEW " + text[9:]
     assert (r.edited_chars, r.edited_tokens) == (len(text), len(counter.encoding.encode_ordinary(text)))
     assert all(x.n_tokens == x.edited_tokens for x in rows if x.doc_id != 8)
-    assert token_count.count_tokens(empty_docs(spark)).count() == 0
+    assert token_count.count_tokens(empty_docs(spark), vocabulary=VOCABULARY).count() == 0
+    clash = cases.withColumn("edits", F.lit(1)).withColumn("edited_id", F.lit(2))
+    again, name = token_count.with_edits(clash, edits)
+    assert set(clash.columns) < set(again.columns) and name not in clash.columns and again.count() == cases.count()
+
+
+def test_kept_trees_take_edits_after_edits(spark, counter, monkeypatch):
+    """Edits go to kept trees: nothing but the touched pre-tokens is encoded, and the trees that come out take more."""
+    rng = random.Random(3)
+    texts = ["some plain words of a text " * n for n in (0, 1, 40, 900)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    trees = token_count.build_trees(docs, VOCABULARY)
+    for _ in range(3):
+        change = [(rng.randrange(len(t) + 1), rng.choice([0, 5, 200]), rng.choice(["", "new", " it's 12 é"])) for t in texts]
+        edits = spark.createDataFrame([(k, [c]) for k, c in enumerate(change)], "i long, e array<struct<at: bigint, deleted: bigint, inserted: string>>")
+        out = {r.i: r for r in token_count.apply_edits(trees.join(edits, "i"), VOCABULARY, "e").collect()}
+        texts = [t[:a] + new + t[a + d :] for t, (a, d, new) in zip(texts, change)]
+        for k, t in enumerate(texts):
+            assert (out[k].text, out[k].edited_tokens, sum(out[k].tokens), sum(out[k].lengths)) == (t, len(counter.encoding.encode_ordinary(t)), out[k].edited_tokens, len(t))
+        assert out[3].n_reencoded < 120
+        trees = spark.createDataFrame([(r.i, r.text, r.lengths, r.tokens) for r in out.values()], trees.schema)
 
 
 @pytest.mark.parametrize("rows", [20_000, 40])

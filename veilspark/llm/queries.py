@@ -58,13 +58,17 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: Vocabulary file of a public tokenizer, on the driver.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two edits in every document: 16 code points at a third give way to its first 24; its last 8 go in at two thirds."""
     text = F.coalesce("text", F.lit(""))
     n = F.length(text)
     edit = lambda at, deleted, inserted: F.struct(at.cast("long").alias("at"), F.lit(deleted).cast("long").alias("deleted"), inserted.alias("inserted"))
     edits = F.array(edit(F.floor(n / 3), 16, F.substring(text, 1, 24)), edit(F.floor(2 * n / 3), 0, F.right(text, F.lit(8))))
-    return token_count.count_tokens(_table(spark, sf_dir, "documents").withColumn("edits", edits), edits_col="edits")
+    return token_count.count_tokens(_table(spark, sf_dir, "documents").withColumn("edits", edits), edits_col="edits", vocabulary=VOCABULARY)
 
 
 #: (action, host, path)
