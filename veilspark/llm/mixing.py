@@ -43,8 +43,8 @@ PSEUDO_DOCS = 4.0
 #: Squared deviations from chance, in variances, that a weight has to exceed.
 CHANCE = 8.0
 #: Bound of the sums of weights, Newton steps, and penalty of the regression.
-MOST, NEWTON, PENALTY = 12.0, 10, 1.0
-STEPS, STEP, RIDGE = 60, 1.5, 0.02
+MOST, NEWTON, PENALTY = 12.0, 8, 1.0
+STEPS, STEP, RIDGE = 40, 1.5, 0.03
 
 
 def _words(text: Column) -> Column:
@@ -92,12 +92,10 @@ def _inputs(k: int) -> list[Column]:
     return [F.lit(1.0), F.log2(F.col("__tokens") + 1.0) / 10, *against]
 
 
-def _linear(inputs: list[Column], factors: list[float]) -> Column:
-    return sum((x * F.lit(float(f)) for x, f in zip(inputs, factors, strict=True)), F.lit(0.0))
-
-
-def _likely(inputs: list[Column], factors: list[float]) -> Column:
-    return 1 / (1 + F.exp(-_linear(inputs, factors)))
+def _likely(inputs: Column, factors: list[float]) -> Column:
+    """Logistic function of the product of an array of inputs and the factors, which stay one literal in every step's plan."""
+    products = F.zip_with(inputs, F.array(*[F.lit(float(f)) for f in factors]), lambda x, f: x * f)
+    return 1 / (1 + F.exp(-F.aggregate(products, F.lit(0.0), lambda total, x: total + x)))
 
 
 @dataclass
@@ -114,25 +112,25 @@ class DomainModel:
         rows = _features(df.withColumn("__row", F.monotonically_increasing_id()), [F.col("__row"), F.col("__i")])
         found = rows.join(F.broadcast(self.weights), "__b", "left")
         scored = found.groupBy("__row", "__i", "__tokens").agg(*_sums([F.coalesce(f"w{j}", F.lit(0.0)) for j in range(k)]))
-        odds = scored.select("__i", "__tokens", *[_likely(_inputs(k), f).alias(f"__o{j}") for j, f in enumerate(self.factors)])
+        seen = scored.select("__i", "__tokens", F.array(*_inputs(k)).alias("__x"))
+        odds = seen.select("__i", "__tokens", *[_likely(F.col("__x"), f).alias(f"__o{j}") for j, f in enumerate(self.factors)])
         total = sum((F.col(f"__o{j}") for j in range(k)), F.lit(1e-12))
         return odds.select("__i", "__tokens", F.array(*[F.round(F.col(f"__o{j}") / total, 3) for j in range(k)]).alias("__p"))
 
 
-def _regressions(scored: DataFrame, domains: list[str]) -> list[list[float]]:
-    """Factors of each domain's penalised logistic regression on ``scored`` (__k and the sums), by Newton steps."""
-    inputs = _inputs(len(domains))
-    n = len(inputs)
+def _regressions(seen: DataFrame, domains: list[str]) -> list[list[float]]:
+    """Factors of each domain's penalised logistic regression on ``seen`` (__k and the array of inputs __x), by Newton steps."""
+    n = 2 * len(domains)
     pairs = [(a, b) for a in range(n) for b in range(a + 1)]
     factors = np.zeros((len(domains), n))
     penalty = np.diag([1e-3] + [PENALTY] * (n - 1))
+    rows = seen.select(*[(F.col("__k") == k).cast("double").alias(f"y{j}") for j, k in enumerate(domains)], "__x", *[F.col("__x")[a].alias(f"x{a}") for a in range(n)])
     for _ in range(NEWTON):
+        likely = rows.withColumns({f"p{j}": _likely(F.col("__x"), list(factors[j])) for j in range(len(domains))})
         aggregates = []
-        for j, k in enumerate(domains):
-            p = _likely(inputs, list(factors[j]))
-            gap, spread = F.when(F.col("__k") == k, 1.0).otherwise(0.0) - p, p * (1 - p)
-            aggregates += [F.sum(gap * x) for x in inputs] + [F.sum(spread * inputs[a] * inputs[b]) for a, b in pairs]
-        values = np.array(scored.agg(*[c.alias(f"v{i}") for i, c in enumerate(aggregates)]).first(), float).reshape(len(domains), -1)
+        for j in range(len(domains)):
+            aggregates += [F.sum(F.expr(f"(y{j} - p{j}) * x{a}")) for a in range(n)] + [F.sum(F.expr(f"p{j} * (1 - p{j}) * x{a} * x{b}")) for a, b in pairs]
+        values = np.array(likely.agg(*[c.alias(f"v{i}") for i, c in enumerate(aggregates)]).first(), float).reshape(len(domains), -1)
         moved = 0.0
         for j in range(len(domains)):
             hessian = np.zeros((n, n))
@@ -173,8 +171,9 @@ def fit_domains(
     # each labelled document without its own counts
     own = [(F.col("__k") == k).cast("double") for k in domains]
     left_out = [_weight(F.col(f"n{j}") - own[j], F.col("n") - 1, F.lit(float(totals[k])) - own[j], n_all - 1) for j, k in enumerate(domains)]
-    scored = scratch.save(rows.join(counts, "__b").groupBy("__row", "__k", "__tokens").agg(*_sums(left_out)).coalesce(8), "left-out")
-    return DomainModel(domains, weights, _regressions(scored, domains))
+    scored = rows.join(counts, "__b").groupBy("__row", "__k", "__tokens").agg(*_sums(left_out))
+    seen = scratch.save(scored.select("__k", F.array(*_inputs(len(domains))).alias("__x")).coalesce(4), "left-out")
+    return DomainModel(domains, weights, _regressions(seen, domains))
 
 
 def _rate(posterior: str, residuals: list[list[float]]) -> Column:
