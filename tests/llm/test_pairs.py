@@ -38,14 +38,57 @@ def test_join_equals_brute_force(spark):
     assert {r.doc_id: r.n_shingles for r in got} == sizes
 
 
-def test_join_through_trees_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SEED_ROUNDS", 1)
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_join_through_trees_and_blocks(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     texts = dict(enumerate(near_copies(5, 45, edits=6)))
     got = ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(texts)[0]
 
 
+def test_join_equals_brute_force_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    by_shingle, links = {}, []
+    for i, s in sets.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    seen = set()
+    for ids in by_shingle.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                if (a, b) not in seen:
+                    seen.add((a, b))
+                    if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        links.append((a, b))
+    assert got == components(sorted(texts), links)
+
+
+def test_prefixes_share_a_key():
+    """Of two sets at the threshold, whatever the levels, the prefixes meet."""
+    rng = np.random.default_rng(4)
+    levels = rng.integers(0, 20, ngram_join.CELLS).astype(np.uint8)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        common = int(np.ceil(0.8 * n))
+        pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate((pool[:common], pool[n : n + int(rng.integers(0, 3))])))
+        keys, bounds = ngram_join.prefixes(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), levels, 80, 100)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(keys[: bounds[1]], keys[bounds[1] :]))
+
+
+def test_trees_find_the_links_and_hot_sets_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "EDGES_PER_SET", 3)
+    texts = {f"{k:03d}": t for k, t in enumerate(near_copies(7, 50, edits=3) + near_copies(8, 5))}
+    got = ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(texts)[0]
+
+
 def test_join_edge_cases(spark):
     got = ngram_join.jaccard_components(edge_cases(spark)).collect()
     by = {}
@@ -66,7 +109,7 @@ def test_tree_loses_no_pair():
     sets = [np.unique(np.concatenate((rng.permutation(base)[: rng.integers(60, 80)], rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)))) for _ in range(120)]
     sizes, maps = np.array([len(s) for s in sets]), np.stack([sigtree.bitmap(s) for s in sets])
     tree = sigtree.SignatureTree(sizes, maps, np.arange(120))
-    found = {frozenset((int(a), int(b))) for i, j in sigtree.dual_traversal(tree, None, 80, 100) for a, b in zip(i, j)}
+    found = {frozenset((int(a), int(b))) for i, j, _ in sigtree.dual_traversal(tree, None, 80, 100) for a, b in zip(i, j)}
     for a in range(120):
         for b in range(a):
             n = len(np.intersect1d(sets[a], sets[b]))

@@ -1,19 +1,23 @@
 """N-gram Jaccard join: word-shingle sets linked at an exact Jaccard threshold.
 
-1. One pass over the texts: the set of distinct word shingles (64-bit hashes),
-   its size, a 128-bit fingerprint of the whole set, and band keys of its
-   min-hashes. Texts with one fingerprint form a class; only classes go on, so
-   that any number of exact copies is one row.
-2. Classes that share a band key are candidates. Five min-hashes a band and 50
-   bands miss a pair with Jaccard 0.8 with a probability below 3e-9.
-3. Seeding: in each key's group the members are tested, exactly, against one
-   centre, a linear number of tests; links contract big groups of near copies
-   to few components before any pair is enumerated.
-4. Groups that still hold several components are joined by signature trees
-   (``sigtree``): dual traversal prunes by size range, by the bound on the
-   overlap from the OR-combined bitmaps, and by known components. Groups above
-   ``BLOCK`` sets are dealt as pairs of blocks to many tasks. Surviving pairs
-   are verified on the full sets.
+1. One pass over the texts counts shingles roughly, in ``CELLS`` cells, so that
+   frequent ones are known. The order (cell's level, hash) of the shingles is
+   the same everywhere; how well the cells count only decides how long the work
+   takes.
+2. One pass makes the set of distinct word shingles (64-bit hashes) of each
+   text, its size, a 128-bit fingerprint of the whole set, and its keys: the
+   first ``n - ceil(t n) + 1`` shingles in that order, the rarest ones. Two sets
+   that reach the threshold t share a key. Texts with one fingerprint form a
+   class; only classes go on, so that any number of exact copies is one row.
+3. The sets that share a key are a group. Its signature trees (``sigtree``) are
+   the candidate search: dual traversal prunes by size range, by the bound on
+   the overlap from the OR-combined bitmaps, and by known components. First
+   each set meets the best ``TESTS`` sets of the group's main component, a
+   linear number; what is verified on the full sets contracts the group, and
+   after ``ROUNDS`` rounds all pairs of different components that the bounds
+   leave are taken. No pair that links is lost.
+4. Groups of over ``BLOCK`` sets are contracted first, each set against a centre
+   of the group, and then dealt to many tasks.
 5. Components of the verified links, then back to all documents.
 """
 
@@ -26,44 +30,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from . import sigtree, words
 from .components import connected_components
-from .stage import Scratch
+from .stage import Scratch, unused_name
 
-ROWS, BANDS = 5, 50
+#: Cells of the rough counts, one byte each when sent, and those that travel together.
+CELLS, CELL_BLOCK = 1 << 22, 1 << 16
 BLOCK = 1024
 #: Ids sent to all workers at once: 8 bytes each, so at most 32 MB; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Rounds before the trees, and tests of one set in each: they only save the trees work.
-SEED_ROUNDS, SEED_TESTS = 4, 4
-
-_rng = np.random.default_rng(20240229)
-_A = (_rng.integers(0, 2**31, ROWS * BANDS, dtype=np.int64) * 2 + 1).astype(np.uint32)
-_B = (_rng.integers(0, 2**31, ROWS * BANDS, dtype=np.int64) * 2 + 1).astype(np.uint32)
-
-
-def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) keys of non-empty sets given as concatenated hashes."""
-    n = len(bounds) - 1
-    low = np.empty((ROWS * BANDS, n), np.uint32)
-    for a, b in words.pieces(bounds, 1 << 15):
-        part = hashes[bounds[a] : bounds[b]]
-        cuts = bounds[a:b] - bounds[a]
-        lo, hi = part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint32)
-        for k in range(ROWS * BANDS):
-            x = lo * _A[k]
-            x += hi * _B[k]
-            x ^= x >> np.uint32(15)
-            low[k, a:b] = np.minimum.reduceat(x, cuts)
-    keys = np.empty((n, BANDS), np.uint64)
-    for band in range(BANDS):
-        h = np.full(n, band + 1, np.uint64)
-        for k in range(band * ROWS, band * ROWS + ROWS):
-            h = words.mix(h ^ (low[k].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        keys[:, band] = h
-    return keys
+#: Rounds before all pairs are taken, and tests of one set in each: they only save work.
+ROUNDS, TESTS = 3, 4
+#: Edges that meet one set in one task, and sets with more that are dealt in parts.
+EDGES_PER_SET, SALTED_SETS = 1000, 100_000
 
 
 def _fingerprint(s: np.ndarray) -> bytes:
@@ -77,25 +59,66 @@ def _sets(column, width: int):
         yield chunk.first, *words.distinct_per_doc(hashes, bounds)
 
 
-def _signatures(width: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(7)) % np.uint64(CELLS)).astype(np.int64)
 
+
+def _rough_counts(width: int):
+    def run(batches):
+        counts = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for _, hashes, _ in _sets(batch.column(0), width):
+                np.add.at(counts, _cell(hashes), 1)
+        for a in range(0, CELLS, CELL_BLOCK):
+            part = counts[a : a + CELL_BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // CELL_BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+    return run, "block int, counts binary"
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    """Levels of one block of cells: log2 of the count."""
+    total = np.zeros(CELL_BLOCK, np.uint64)
+    for blob in table.column("counts").to_pylist():
+        total += np.frombuffer(blob, np.uint32)
+    level = np.ceil(np.log2(total + 1.0)).astype(np.uint8)
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
+
+
+def shingle_levels(base: DataFrame, width: int) -> np.ndarray:
+    """Level of each cell: ``CELLS`` bytes at any size of the corpus."""
+    run, schema = _rough_counts(width)
+    rows = base.mapInArrow(run, schema).groupBy("block").applyInArrow(_add_counts, "block int, levels binary").collect()
+    levels = np.zeros(CELLS, np.uint8)
+    for r in rows:
+        levels[r["block"] * CELL_BLOCK : (r["block"] + 1) * CELL_BLOCK] = np.frombuffer(r["levels"], np.uint8)
+    return levels
+
+
+def prefixes(hashes: np.ndarray, bounds: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each set, concatenated, and their bounds."""
+    size = np.diff(bounds)
+    count = np.where(size > 0, size - -(-num * size // den) + 1, 0)
+    own = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((hashes, levels[_cell(hashes)], own))
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], size)
+    return hashes[order][place < np.repeat(count, size)], np.concatenate(([0], np.cumsum(count)))
+
+
+def _signatures(width: int, num: int, den: int, get):
     def run(batches):
+        levels = get()
         for batch in batches:
             ids = batch.column(0)
             for first, hashes, bounds in _sets(batch.column(1), width):
                 sizes = np.diff(bounds)
-                full = np.flatnonzero(sizes)
-                fps = [None] * len(sizes)
-                for d in full:
-                    fps[d] = _fingerprint(hashes[bounds[d] : bounds[d + 1]])
-                lists = np.zeros(len(sizes) + 1, np.int32)
-                lists[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
-                flat = band_keys(hashes, np.concatenate((bounds[full], bounds[-1:]))).ravel() if len(full) else np.zeros(0, np.uint64)
-                keys = pa.ListArray.from_arrays(pa.array(lists), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), keys], schema=schema)
+                fps = [_fingerprint(hashes[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                keys, ends = prefixes(hashes, bounds, levels, num, den)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), lists], names=["doc", "n", "fp", "keys"])
 
-    return run, "doc long, n long, fp binary, keys array<long>"
+    return run
 
 
 def _full_sets(width: int):
@@ -128,28 +151,63 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _verified(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of edges (a, b), those whose sets reach the threshold."""
+    """Of edges (a, b), those whose sets reach the threshold. A set with many edges is dealt in parts."""
+    many = edges.groupBy("b").agg(F.ceil(F.count("*") / EDGES_PER_SET).cast("int").alias("copies")).where("copies > 1")
     a = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     b = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    near = edges.join(a, "a").join(b, "b").where(f"na * {den} >= nb * {num} AND nb * {den} >= na * {num}")
+    on = ["b"]
+    if 0 < many.count() <= SALTED_SETS:
+        many = F.broadcast(many)
+        edges = edges.join(many, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        b = b.join(many, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        on = ["b", "part"]
+    near = edges.join(a, "a").join(b, on).where(f"na * {den} >= nb * {num} AND nb * {den} >= na * {num}")
     common = near.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), pandas_udf(_overlap, "long")("ia", "ib").alias("common"))
     return common.where(f"common * {den} >= (total - common) * {num}").select("a", "b")
 
 
-def _tree_pairs(num: int, den: int):
+def _main(comp: np.ndarray, size: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Mask of a group's main component: the largest; where all are single sets, the one most like the others."""
+    if size.max() > 1:
+        return comp == comp[np.lexsort((comp, -size))[0]]
+    bits = np.unpackbits(maps.view(np.uint8), axis=1)
+    score = bits @ bits.sum(axis=0, dtype=np.int64) / np.maximum(bits.sum(axis=1), 1)
+    out = np.zeros(len(comp), bool)
+    out[np.argmax(score)] = True
+    return out
+
+
+def _best(i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Places of the ``TESTS`` pairs with the largest bounds of each i."""
+    order = np.lexsort((j, -bound, i))
+    first = np.concatenate(([True], i[order][1:] != i[order][:-1]))
+    rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+    return order[rank < TESTS]
+
+
+def _tree_pairs(num: int, den: int, every: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, comp = pdf["fp"].to_numpy(), pd.factorize(pdf["comp"])[0]
-        number, names = pd.factorize(fp)
+        """Candidate pairs of the groups of a task: all, or the best of each set outside the main component."""
+        number, names = pd.factorize(pdf["fp"].to_numpy())
+        comp = pd.factorize(pdf["comp"])[0]
         maps = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-        n, block = pdf["n"].to_numpy(), pdf["block"].to_numpy()
+        n, size, block = pdf["n"].to_numpy(), pdf["size"].to_numpy(), pdf["block"].to_numpy()
         p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        tree = lambda rows: sigtree.SignatureTree(n[rows], maps[rows], comp[rows])
         found = []
         for rows in pdf.groupby("key", sort=False).indices.values():
-            sides = [rows[block[rows] == x] for x in ((p,) if p == q else (p, q))]
+            if every:
+                sides = [rows[block[rows] == x] for x in ((p,) if p == q else (p, q))]
+            else:
+                main = _main(comp[rows], size[rows], maps[rows])
+                sides = [rows[~main], rows[main]]
             if not all(len(s) for s in sides):
                 continue
-            trees = [sigtree.SignatureTree(n[s], maps[s], comp[s]) for s in sides]
-            for i, j in sigtree.dual_traversal(trees[0], trees[1] if p != q else None, num, den):
+            trees = [tree(s) for s in sides]
+            for i, j, bound in sigtree.dual_traversal(trees[0], trees[1] if len(trees) > 1 else None, num, den):
+                if not every:
+                    best = _best(i, j, bound)
+                    i, j = i[best], j[best]
                 a, b = number[sides[0][i]], number[sides[-1][j]]
                 found.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -158,6 +216,44 @@ def _tree_pairs(num: int, den: int):
     return run
 
 
+def _by_trees(rest: DataFrame, sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Distinct candidate pairs of the groups in ``rest`` (key, fp, comp, size, members, least).
+
+    Groups of one block that have the same smallest member go to one task; of
+    bigger groups, which come here only to take ``every`` pair, each task gets
+    two blocks. Their blocks follow the sizes and then the bitmaps, so that most
+    pairs of blocks end at the roots of their trees.
+    """
+    blocks: Column = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = rest.select("key", "fp", "comp", "size", "least", blocks.alias("nb")).join(sets.select("fp", "n", "bits"), "fp")
+    if every:
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp", F.lit("block")), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    else:
+        dealt = dealt.withColumns({"block": F.lit(0), "other": F.lit(0)})
+    big = F.when(F.col("nb") > 1, F.col("key"))
+    dealt = dealt.select("key", "fp", "comp", "size", "n", "bits", "block", "least", big.alias("big"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    pairs = dealt.groupBy("least", "big", "p", "q").applyInPandas(_tree_pairs(num, den, every), "a binary, b binary")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _open_groups(cands: DataFrame, comp: DataFrame, round_: int, scratch: Scratch) -> DataFrame:
+    """(key, fp, comp, size, members, least, centre) of the groups with several components, one of those with the same members."""
+    grown = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "fp")
+    member = cands.select("key", "fp").join(grown, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    state = scratch.save(member, "members")
+    open_ = state.groupBy("key").agg(
+        F.min("comp").alias("c0"),
+        F.max("comp").alias("c1"),
+        F.count("*").alias("members"),
+        F.min("fp").alias("least"),
+        F.max_by(F.struct("fp", "comp"), F.struct("size", F.xxhash64("fp", F.lit(round_)))).alias("centre"),
+        F.bit_xor(F.xxhash64("fp")).alias("x0"),
+        F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"),
+    )
+    open_ = open_.where("c0 <> c1").groupBy("members", "x0", "x1").agg(*[F.min_by(c, "key").alias(c) for c in ("least", "centre")], F.min("key").alias("key"))
+    return state.join(open_.select("key", "members", "least", "centre"), "key")
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -165,6 +261,7 @@ def jaccard_components(
 
     Two texts link when ``100 * |A & B| >= percent * |A | B|`` of their sets of
     distinct word shingles. component_id is the smallest id reachable by links.
+    Ids can be of any type that has an order.
 
     Null and empty texts, or texts without words: n_shingles 0, linked with
     nothing, component_id their own id. Texts with fewer words than ``width``
@@ -176,48 +273,35 @@ def jaccard_components(
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     num, den = percent, 100
-    # the id can be of any type; inside, rows carry it as a long
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("txt"))
-    run, schema = _signatures(width)
-    signed = scratch.save(base.mapInArrow(run, schema), "signatures")
+    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("txt"))
+    levels = spark.sparkContext.broadcast(shingle_levels(base.select("txt"), width))
+    schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>").fields])
+    signed = scratch.save(base.mapInArrow(_signatures(width, num, den, lambda: levels.value), schema), "signatures")
     classes = scratch.save(
         signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes"
     )
     keyed = classes.select("fp", F.explode("keys").alias("key"))
-    centres = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("fp").alias("centre")).where("members > 1")
-    cands = scratch.save(keyed.join(centres, "key").select("key", "fp", "centre"), "candidates")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    cands = scratch.save(keyed.join(shared, "key").select("key", "fp"), "candidates")
     wanted = scratch.save(cands.select("fp").distinct().join(classes.select("fp", "least"), "fp").select(F.col("least").alias("doc")).distinct(), "wanted")
     n_wanted = wanted.count()
     if n_wanted:
         run, schema = _full_sets(width)
         keep = base.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, base["doc"].eqNullSafe(wanted["doc"]), "left_semi")
         sets = scratch.save(keep.select("txt").mapInArrow(run, schema).dropDuplicates(["fp"]), "sets")
-        edges = cands.where("fp <> centre").groupBy("fp").agg(F.min("centre").alias("b")).select(F.col("fp").alias("a"), "b")
-        links = scratch.save(_verified(edges, sets, num, den), "seeds")
-        comp = scratch.save(connected_components(links, "a", "b", scratch), "components")
-        for round_ in range(SEED_ROUNDS):
-            grown = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "fp")
-            member = cands.select("key", "fp").join(grown, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
-            state = scratch.save(member, "members")
-            open_ = state.groupBy("key").agg(
-                F.min("comp").alias("c0"),
-                F.max("comp").alias("c1"),
-                F.count("*").alias("members"),
-                F.min("fp").alias("least"),
-                F.max_by(F.struct("fp", "comp"), F.struct("size", F.xxhash64("fp", F.lit(round_)))).alias("centre"),
-                F.bit_xor(F.xxhash64("fp")).alias("x0"),
-                F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"),
-            )
-            # of the keys with the very same members, one is enough
-            open_ = open_.where("c0 <> c1").groupBy("members", "x0", "x1").agg(*[F.min_by(c, "key").alias(c) for c in ("least", "centre")], F.min("key").alias("key"))
-            rest = state.join(open_.select("key", "members", "least", "centre"), "key")
-            if round_ < SEED_ROUNDS - 1:
-                # each set outside is tested against a few members of the largest component it shares a key with
-                tests = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("fp", "centre.fp").alias("h"), F.col("centre.fp").alias("b")))), 1, SEED_TESTS)
-                more = rest.where("comp <> centre.comp").groupBy("fp").agg(tests.alias("t")).select(F.col("fp").alias("a"), F.explode("t.b").alias("b"))
+        comp = spark.createDataFrame([], "node binary, component binary")
+        for round_ in range(ROUNDS + 1):
+            groups = _open_groups(cands, comp, round_, scratch)
+            if round_ == ROUNDS:
+                pairs = _by_trees(groups, sets, num, den, True)
             else:
-                more = _by_trees(rest, sets, num, den)
-            comp = _absorb(comp, scratch.save(_verified(more, sets, num, den), "links"), scratch)
+                small = _by_trees(groups.where(F.col("members") <= BLOCK), sets, num, den, False)
+                # of a big group each set is tested against a member of its largest component
+                tests = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("fp", "centre.fp").alias("h"), F.col("centre.fp").alias("b")))), 1, TESTS)
+                big = groups.where((F.col("members") > BLOCK) & (F.col("comp") != F.col("centre.comp"))).groupBy("fp").agg(tests.alias("t"))
+                pairs = small.unionByName(big.select(F.col("fp").alias("a"), F.explode("t.b").alias("b")))
+            pairs = scratch.save(pairs, "pairs")
+            comp = _absorb(comp, scratch.save(_verified(pairs, sets, num, den), "links"), scratch)
         named = classes.select("fp", "least").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
         least = named.groupBy("comp").agg(F.min("least").alias("component"))
         named = named.join(least, "comp").select("fp", "component")
@@ -225,11 +309,10 @@ def jaccard_components(
         named = classes.select("fp", F.col("least").alias("component"))
     sizes = classes.select("fp", "copies")
     out = signed.select("doc", "n", "fp").join(named.join(sizes, "fp"), "fp", "left")
-    kind = docs.schema[id_col].dataType
     return out.select(
-        F.col("doc").cast(kind).alias(id_col),
+        F.col("doc").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc").cast(kind).alias("component_id"),
+        F.coalesce("component", "doc").alias("component_id"),
         F.coalesce("copies", F.lit(1).cast("long")).alias("class_size"),
     )
 
@@ -245,28 +328,13 @@ def _absorb(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(merged.unionByName(fresh), "components")
 
 
-def _by_trees(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct candidate pairs of the groups in ``rest`` (key, fp, comp, members, least).
-
-    Groups of one block that have the same smallest member go to one task, at
-    most ``BANDS`` of them; bigger groups are dealt by pairs of blocks.
-    """
-    blocks: Column = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rest.select("key", "fp", "comp", "least", blocks.alias("nb")).join(sets.select("fp", "n", "bits"), "fp")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp", F.lit("block")), "nb").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    big = F.when(F.col("nb") > 1, F.col("key"))
-    dealt = dealt.select("key", "fp", "comp", "n", "bits", "block", "least", big.alias("big"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    pairs = dealt.groupBy("least", "big", "p", "q").applyInPandas(_tree_pairs(num, den), "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest, exact copies of a row once.
+    """The rows of ``docs`` whose id is its component's smallest.
 
-    Rows with a null id are kept.
+    Rows with a null id are kept. Rows that repeat an id are one document and
+    stay or go together. Columns keep their names, whatever they are called.
     """
     groups = jaccard_components(docs, id_col, text_col, **how)
-    losers = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_loser")).distinct()
-    kept = docs.join(losers, F.col(id_col) == F.col("_loser"), "left_anti")
-    return kept
+    key = unused_name(docs, "loser")
+    losers = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(key)).distinct()
+    return docs.join(losers, docs[id_col] == losers[key], "left_anti")

@@ -46,23 +46,26 @@ class SignatureTree:
             )
 
 
-def survivors(left: tuple, right: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Mask of the node pairs that may hold a pair with overlap/union >= num/den."""
+def survivors(left: tuple, right: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of the node pairs that may hold a pair with overlap/union >= num/den, and the largest likeness of those left."""
     lm, ll, lh, le, lc = left
     rm, rl, rh, re, rc = right
     ok = (lh[i] * den >= num * rl[j]) & (rh[j] * den >= num * ll[i])
     ok &= (lc[i] != rc[j]) | (lc[i] < 0)
     at = np.flatnonzero(ok)
+    bound = np.zeros(0)
     if len(at):
         a, b = i[at], j[at]
         common = np.bitwise_count(lm[a] & rm[b]).sum(axis=1).astype(np.int64)
         most = np.minimum(common + np.minimum(le[a], re[b]), np.minimum(lh[a], rh[b]))
-        ok[at] = most * (num + den) >= num * (ll[a] + rl[b])
-    return ok
+        keep = most * (num + den) >= num * (ll[a] + rl[b])
+        ok[at] = keep
+        bound = (most / np.maximum(ll[a] + rl[b] - most, 1))[keep]
+    return ok, bound
 
 
 def dual_traversal(a: SignatureTree, b: SignatureTree | None, num: int, den: int):
-    """Yields arrays of candidate positions (in a's rows, in b's rows); b None joins a with itself."""
+    """Yields arrays of candidate positions (in a's rows, in b's rows) and bounds of likeness; b None joins a with itself."""
     own = b is None
     b = a if own else b
     top_a, top_b = len(a.levels) - 1, len(b.levels) - 1
@@ -76,15 +79,15 @@ def dual_traversal(a: SignatureTree, b: SignatureTree | None, num: int, den: int
             half = len(i) // 2
             stack += [(la, lb, i[:half], j[:half]), (la, lb, i[half:], j[half:])]
             continue
-        keep = survivors(a.levels[la], b.levels[lb], i, j, num, den)
+        keep, bound = survivors(a.levels[la], b.levels[lb], i, j, num, den)
         i, j = i[keep], j[keep]
         if not len(i):
             continue
         if la == 0 and lb == 0:
             if own:
-                i, j = i[i != j], j[i != j]
+                i, j, bound = i[i != j], j[i != j], bound[i != j]
             if len(i):
-                yield a.order[i], b.order[j]
+                yield a.order[i], b.order[j], bound
             continue
         down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
         i, j = _children(i, j, len(a.levels[la - 1][1]) if down_a else 0, len(b.levels[lb - 1][1]) if down_b else 0)
