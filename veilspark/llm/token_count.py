@@ -212,22 +212,27 @@ def _build(get):
     return run
 
 
-def _apply(get):
-    names = ["i", "n_chars", "n_pre_tokens", "n_tokens", "edited_chars", "edited_tokens", "n_reencoded", "text", "lengths", "tokens"]
+def _apply(get, keep: bool):
+    names = ["i", "n_chars", "n_pre_tokens", "n_tokens", "edited_chars", "edited_tokens", "n_reencoded", *(["text", "lengths", "tokens"] if keep else [])]
 
     def run(batches):
         counter = get()
-        for batch in batches:
-            rows, after = [], []
-            for text, lengths, tokens, change in zip(batch.column(1).to_pylist(), _arrays(batch.column(2)), _arrays(batch.column(3)), batch.column(4).to_pylist(), strict=True):
-                tree = SegmentTree(text, lengths, tokens, counter)
-                before = tree.n_chars, len(lengths), tree.n_tokens
-                again = sum(tree.edit(int(e["at"] or 0), int(e["deleted"] or 0), e["inserted"] or "") for e in change or () if e)
-                rows.append((*before, tree.n_chars, tree.n_tokens, again))
-                after.append((tree.text if again or change else text, np.concatenate(tree.lengths), np.concatenate(tree.tokens)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            texts, lengths, tokens = zip(*after, strict=True) if after else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(texts, pa.string()), _lists(list(lengths)), _lists(list(tokens))], names=names)
+        for whole in batches:
+            for a in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(a, TEXTS)
+                rows, after = [], []
+                for text, lengths, tokens, change in zip(batch.column(1), _arrays(batch.column(2)), _arrays(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+                    tree = SegmentTree(text.as_py(), lengths, tokens, counter)
+                    before = tree.n_chars, len(lengths), tree.n_tokens
+                    again = sum(tree.edit(int(e["at"] or 0), int(e["deleted"] or 0), e["inserted"] or "") for e in change or () if e)
+                    rows.append((*before, tree.n_chars, tree.n_tokens, again))
+                    if keep:
+                        after.append((tree.text, np.concatenate(tree.lengths), np.concatenate(tree.tokens)))
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                if keep:
+                    texts, lengths, tokens = zip(*after, strict=True)
+                    columns += [pa.array(texts, pa.string()), _lists(list(lengths)), _lists(list(tokens))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return run
 
@@ -246,17 +251,17 @@ def build_trees(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     return base.mapInArrow(_build(_counter(docs.sparkSession, vocabulary)), schema)
 
 
-def apply_edits(trees: DataFrame, vocabulary: str, edits_col: str | None = None) -> DataFrame:
+def apply_edits(trees: DataFrame, vocabulary: str, edits_col: str | None = None, *, keep: bool = True) -> DataFrame:
     """Rows (i, n_chars, n_pre_tokens, n_tokens, edited_chars, edited_tokens, n_reencoded, text, lengths, tokens) from kept trees.
 
     The last three are the trees after the edits, to be kept in place of the
-    others; where they are not selected nothing of them is written.
+    others; without ``keep`` they are left out.
     """
     none = F.lit(None).cast("array<struct<at: bigint, deleted: bigint, inserted: string>>")
     base = trees.select("i", "text", "lengths", "tokens", (F.col(edits_col) if edits_col else none).alias("e"))
     numbers = [T.StructField(name, T.LongType()) for name in ("n_chars", "n_pre_tokens", "n_tokens", "edited_chars", "edited_tokens", "n_reencoded")]
-    schema = T.StructType([base.schema["i"], *numbers, *base.schema.fields[1:4]])
-    return base.mapInArrow(_apply(_counter(trees.sparkSession, vocabulary)), schema)
+    schema = T.StructType([base.schema["i"], *numbers, *(base.schema.fields[1:4] if keep else [])])
+    return base.mapInArrow(_apply(_counter(trees.sparkSession, vocabulary), keep), schema)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, *, vocabulary: str) -> DataFrame:
@@ -271,7 +276,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path of the vocabulary file on the driver.
     """
     trees = Scratch(docs.sparkSession, "token-count").save(build_trees(docs, vocabulary, id_col, text_col, (edits_col,) if edits_col else ()), "trees")
-    return apply_edits(trees, vocabulary, "k0" if edits_col else None).drop("text", "lengths", "tokens").withColumnRenamed("i", id_col)
+    return apply_edits(trees, vocabulary, "k0" if edits_col else None, keep=False).withColumnRenamed("i", id_col)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", order_col: str = "seq") -> tuple[DataFrame, str]:
