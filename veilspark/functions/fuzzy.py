@@ -89,6 +89,21 @@ def may_match(text: Column, pattern: str, threshold: float) -> Column:
     return some
 
 
+def partial_udf():
+    """Column function (pattern, text) -> partial likeness, ignoring case."""
+
+    def run(patterns: pd.Series, texts: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for pair in zip(patterns.str.lower(), texts.str.lower(), strict=True):
+            if pair not in known:
+                known[pair] = partial_ratio(*pair)
+            out.append(known[pair])
+        return pd.Series(out, dtype=float)
+
+    return pandas_udf(run, "double")
+
+
 def _score_udf(pattern: str):
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: score(pattern, t)).astype(float)

@@ -26,6 +26,11 @@ def distance(a: Box, b: Box) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def vertical_distance(a: Box, b: Box) -> Column:
+    """Positive where b is below a."""
+    return b[1] - a[1]
+
+
 def same_line(a: Box, b: Box, threshold: int = 10) -> Column:
     return F.abs(b[1] - a[1]) <= threshold
 
@@ -38,6 +43,13 @@ def iou_at_least(a: Box, b: Box, threshold: float = 0.5) -> Column:
     return (iw > 0) & (ih > 0) & (union > 0) & (inter >= F.lit(threshold) * union)
 
 
+def clustered(order: Column, y: Column, max_distance: int = 50) -> Column:
+    """Aggregate: whether no two neighbours in ``order`` are more than ``max_distance`` apart vertically; true for a single box."""
+    ys = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), y.alias("y")))), lambda s: s["y"])
+    steps = F.zip_with(F.slice(ys, 1, F.size(ys) - 1), F.slice(ys, 2, F.size(ys)), lambda a, b: F.abs(b - a))
+    return F.forall(F.when(F.size(ys) > 1, steps).otherwise(F.array().cast("array<bigint>")), lambda d: d <= max_distance)
+
+
 def merged(prefix: str = "") -> list[Column]:
     """Aggregates of the enclosing box."""
     x, y, w, h = box(prefix)

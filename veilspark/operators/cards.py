@@ -10,18 +10,23 @@ from ..functions import text as X
 from . import layout
 
 RADIUS = 100
+#: What every candidate looks like before the rewrites, none of which changes a length: 16 characters that could be digits
+#: in groups of four, or inside one token.
+GROUPS = r"(?:[0-9lIOo]{4}(?:\s+|-)?){3}[0-9lIOo]{4}"
+IN_TOKEN = r"(?:[0-9lIOo][^\s0-9lIOo]*){16}"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, number): distinct 16-digit candidates of each text.
 
-    Texts with fewer than 16 characters that could be digits are left out
-    before the chain of rewrites. Candidates come from the joined text, and as
-    windows of the digits inside one token.
+    Candidates come from the joined text, and as windows of the digits inside
+    one token. Only texts that match ``GROUPS`` or ``IN_TOKEN`` go through the
+    chain of rewrites; no other text has a candidate.
     """
-    some = docs.where(F.regexp_count(F.col(text_col), F.lit(r"[0-9lIOo]")) >= 16)
+    some = docs.where(F.col(text_col).rlike(f"{GROUPS}|{IN_TOKEN}"))
     base = some.select(F.col(id_col), X.one_line(F.col(text_col)).alias("line"))
-    clean = base.select(id_col, "line", X.repair_digits(F.col("line")).alias("clean"))
+    grouped = F.when(F.col("line").rlike(GROUPS), X.repair_digits(F.col("line"))).otherwise("")
+    clean = base.select(id_col, "line", grouped.alias("clean"))
     whole = F.transform(F.regexp_extract_all("clean", F.lit(X.CARD_PATTERN), F.lit(0)), lambda m: F.translate(m, " -", ""))
     whole = F.filter(whole, lambda m: m.rlike(r"^\d{16}$"))
     could = F.filter(F.split("line", " "), lambda t: F.regexp_count(t, F.lit("[0-9lIOo]")) >= 16)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 _KERNEL = np.array([1, 4, 6, 4, 1], np.float64) / 16
@@ -108,5 +109,23 @@ def tall_invert_udf(width: int, channels: int):
     return pandas_udf(run, "binary")
 
 
+def gate_frames(images, key: str, order: str, reset=None):
+    """changed, of images (height, width, nChannels, data): a stream's first frame, one of another shape than the one before,
+    one after a ``reset``, or one that differs in ``FRAME_CHANGE`` of its pixels or more."""
+    w = Window.partitionBy(key).orderBy(order)
+    shape = F.struct("height", "width", "nChannels")
+    before = images.withColumns({"__data": F.lag("data").over(w), "__shape": F.lag(shape).over(w)})
+
+    def run(now: pd.Series, then: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+        rows = zip(now, then, height, width, channels, strict=True)
+        return pd.Series([change_fraction(gray(pixels(a, h, w, c)), gray(pixels(b, h, w, c))) if b is not None else 1.0 for a, b, h, w, c in rows], dtype=float)
+
+    same = F.col("__shape").eqNullSafe(shape) & F.col("__data").isNotNull()
+    fraction = F.when(same, pandas_udf(run, "double")("data", F.when(same, F.col("__data")), "height", "width", "nChannels")).otherwise(1.0)
+    marked = before.withColumn("fraction", fraction).drop("__data", "__shape")
+    fresh = reset if reset is not None else F.lit(False)
+    return marked.withColumn("changed", fresh | is_changed(F.col("fraction")))
+
+
 def is_changed(fraction: Column) -> Column:
     return fraction >= FRAME_CHANGE

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
+from ..functions import geometry as G
 from ..functions import text as X
 from . import layout
 
@@ -30,15 +31,41 @@ def approximate(docs: DataFrame, strings: list[str], id_col: str = "doc_id", tex
     return fuzzy.scored(base, strings, id_col, "line", threshold)
 
 
+def _places(found: DataFrame, toks: DataFrame, id_col: str) -> DataFrame:
+    """(id, part, string, score, b) of exact matches: the first token that contains the string, else the first token."""
+    pairs = found.join(toks.select(id_col, "ord", "text", "x", "y", "w", "h"), id_col)
+    hit = F.lower("text").contains(F.lower("string"))
+    place = F.min_by(F.struct("x", "y", "w", "h"), F.struct(F.when(hit, 0).otherwise(1), "ord"))
+    return pairs.where(hit | (F.col("ord") == 0)).groupBy(id_col, "part", "string", "score").agg(place.alias("b"))
+
+
+def _fuzzy_places(found: DataFrame, toks: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """As ``_places`` by likeness: around the tokens that are most like the string, else the first most like pair of
+    neighbours, else the first token."""
+    after = F.lead(F.struct("text", "x", "y", "w", "h")).over(Window.partitionBy(id_col).orderBy("ord"))
+    pairs = found.join(toks.select(id_col, "ord", "text", "x", "y", "w", "h", after.alias("next")), id_col)
+    one = fuzzy.partial_udf()("string", "text")
+    two = fuzzy.partial_udf()("string", F.concat_ws(" ", "text", "next.text"))
+    scored = pairs.withColumns({"one": one, "two": F.when(F.col("next").isNotNull(), two)})
+    keys = [id_col, "part", "string", "score"]
+    best = Window.partitionBy(*keys)
+    scored = scored.withColumns({"best": F.max("one").over(best), "best2": F.max("two").over(best)})
+    single, double = F.col("best") >= threshold, F.col("best2") >= threshold
+    chosen = F.when(single, F.col("one") == F.col("best")).when(double, F.col("two") == F.col("best2")).otherwise(F.col("ord") == 0)
+    rows = scored.where(chosen).withColumn("kind", F.when(single, 1).when(double, 2).otherwise(0))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) == 1
+    rows = rows.withColumn("first", first).where((F.col("kind") == 1) | F.col("first"))
+    boxes = F.when(F.col("kind") == 2, F.array(F.struct("x", "y", "w", "h"), F.struct("next.x", "next.y", "next.w", "next.h"))).otherwise(F.array(F.struct("x", "y", "w", "h")))
+    each = rows.select(*keys, F.explode(boxes).alias("e")).select(*keys, "e.x", "e.y", "e.w", "e.h")
+    return each.groupBy(*keys).agg(*G.merged()).select(*keys, F.struct("x", "y", "w", "h").alias("b"))
+
+
 def detect(docs: DataFrame, strings: list[str], id_col: str = "doc_id", text_col: str = "text", *, fuzzy_match: bool = False, threshold: float = THRESHOLD, max_free: int | None = MAX_FREE) -> DataFrame:
-    """Placed at the first token that contains the string, else at the first token."""
+    """Detections of the strings; exact ones are placed at a token that contains them, fuzzy ones where the likeness is."""
     strings = usable(strings, max_free)
     found = approximate(docs, strings, id_col, text_col, threshold) if fuzzy_match else exact(docs, strings, id_col, text_col)
     toks = layout.tokens(docs.join(found.select(id_col).distinct(), id_col, "left_semi"), id_col, text_col)
-    pairs = found.join(toks.select(id_col, "ord", "text", "x", "y", "w", "h"), id_col)
-    hit = F.lower("text").contains(F.lower("string"))
-    place = F.min_by(F.struct("x", "y", "w", "h"), F.struct(F.when(hit, 0).otherwise(1), "ord"))
-    best = pairs.where(hit | (F.col("ord") == 0)).groupBy(id_col, "part", "string", "score").agg(place.alias("b"))
+    best = _fuzzy_places(found, toks, id_col, threshold) if fuzzy_match else _places(found, toks, id_col)
     return best.select(
         id_col,
         "part",

@@ -14,8 +14,9 @@ REGISTRY = ("seed_phrase", "credit_card", "crypto_address", "personal_string", "
 def union(parts: list[DataFrame]) -> DataFrame:
     """All detections; det_ord is the registry's order, then each detector's own."""
     both = reduce(DataFrame.unionByName, parts)
-    rank = F.array_position(F.array(*[F.lit(t) for t in REGISTRY]), F.col("type"))
-    return both.withColumn("det_ord", rank * 1_000_000 + F.col("part")).drop("part")
+    place = F.array_position(F.array(*[F.lit(t) for t in REGISTRY]), F.col("type"))
+    rank = F.when(place > 0, place).otherwise(len(REGISTRY) + 1)  # the caller's own come last
+    return both.withColumn("det_ord", F.shiftleft(rank.cast("long"), 40) + F.col("part")).drop("part")
 
 
 def action(confidence: Column, blur: float = BLUR, warn: float = WARN) -> Column:
@@ -77,6 +78,12 @@ def summary(docs: DataFrame, dets: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
+def to_rows(dets: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Detections in the form of a report: type, confidence, preview, box as one array, action and metadata, never null."""
+    empty = F.create_map().cast("map<string,string>")
+    return dets.select(id_col, "type", "confidence", F.col("preview").alias("text_preview"), F.array("x", "y", "w", "h").alias("bounding_box"), "action", F.coalesce("metadata", empty).alias("metadata"))
+
+
 def log_rows(dets: DataFrame, sanitized: bool = True) -> DataFrame:
     """Rows of the detection log; previews are redacted unless told otherwise."""
     return dets.select(

@@ -27,6 +27,21 @@ def holds(triggers: DataFrame, key: str, ts: str, hold: str) -> DataFrame:
     return s.select(key, F.col("s.start").alias("hold_start"), F.col("s.end").alias("hold_end"), "n_triggers")
 
 
+def open_holds(triggers: DataFrame, key: str, ts: str) -> DataFrame:
+    """As ``holds`` without an automatic return: the first trigger opens one hold, which no time ends."""
+    s = triggers.where(F.col(ts).isNotNull()).groupBy(key).agg(F.min(ts).alias("hold_start"), F.count("*").alias("n_triggers"))
+    return s.select(key, "hold_start", F.lit(None).cast(triggers.schema[ts].dataType).alias("hold_end"), "n_triggers")
+
+
+def scene_actions(holds_: DataFrame, key: str, privacy: str, scene: str = "return_scene") -> DataFrame:
+    """(key, at, action, scene): the switches that holds with a scene to return to ask for, in a form that any client can play."""
+    start = F.struct(F.col("hold_start").alias("at"), F.lit("privacy").alias("action"), F.lit(privacy).alias("scene"))
+    end = F.struct(F.col("hold_end").alias("at"), F.lit("return").alias("action"), F.col(scene).alias("scene"))
+    # nothing is switched back where the hold does not end or no scene was known
+    both = F.filter(F.array(start, end), lambda s: s["at"].isNotNull() & s["scene"].isNotNull())
+    return holds_.select(key, F.explode(both).alias("s")).select(key, "s.*")
+
+
 def early_return(holds_: DataFrame, manual: DataFrame, key: str, ts: str) -> DataFrame:
     """hold_end cut at the first manual return inside the hold, by a union in order of time and no range join."""
     w = Window.partitionBy(key).orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -58,5 +73,7 @@ def running_count(rows: DataFrame, key: str, order: list[str], n: str, name: str
     return rows.withColumn(name, F.sum(n).over(w))
 
 
-def ui_state(connected: F.Column, blur: F.Column, warn: F.Column) -> F.Column:
-    return F.when(~connected, "disconnected").when(blur, "alert").when(warn, "warn").otherwise("clean")
+def ui_state(connected: F.Column, blur: F.Column, warn: F.Column, started: F.Column | None = None) -> F.Column:
+    """State to show; ``idle`` before anything was scanned, where ``started`` is given."""
+    idle = F.when(~started, "idle") if started is not None else F
+    return idle.when(~connected, "disconnected").when(blur, "alert").when(warn, "warn").otherwise("clean")

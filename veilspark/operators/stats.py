@@ -25,15 +25,48 @@ def rate(passed: Column, of: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.count(F.when(of & passed, 1)) / n)
 
 
+#: Value ranges that a key's rows are counted in before any is sorted.
+RANGES = 200
+
+
 def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], *, before: bool) -> DataFrame:
     """Values at exact positions of the sorted column, per key.
 
     ``before`` takes position ``max(0, int(n p) - 1)``, else ``min(int(n p), n - 1)``.
+    Rows are counted by ranges of values, whose bounds come from an approximate
+    pass and only decide how the work is dealt; then the distinct values of just
+    the range that holds a position are counted and walked through.
     """
-    ordered = rows.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1)
-    sized = ordered.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
-    at = lambda p: F.greatest(F.floor(F.col("__n") * F.lit(p)) - 1, F.lit(0)) if before else F.least(F.floor(F.col("__n") * F.lit(p)), F.col("__n") - 1)
-    return sized.groupBy(key).agg(*[F.max(F.when(F.col("__i") == at(p), F.col(value))).alias(name) for name, p in shares.items()])
+    known = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    cuts = sorted(set(known.agg(F.percentile_approx("v", [j / RANGES for j in range(1, RANGES)], 1000)).first()[0] or []))
+    # a sum of comparisons and no lambda, whose variables the optimiser loses where it infers a filter for the join below
+    dealt = known.withColumn("b", sum((F.when(F.col("v") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    by_key = Window.partitionBy("k").orderBy("b")
+    sized = dealt.groupBy("k", "b").agg(F.count("*").alias("n"))
+    sized = sized.withColumns({"start": F.coalesce(F.sum("n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("k"))})
+
+    def at(p: float) -> Column:
+        return F.greatest(F.floor(F.col("all") * F.lit(p)) - 1, F.lit(0)) if before else F.least(F.floor(F.col("all") * F.lit(p)), F.col("all") - 1)
+
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(p).alias("at")) for name, p in shares.items()]))
+    places = sized.select("k", "b", "n", "start", wanted.alias("w")).where("w.at >= start AND w.at < start + n").select(F.col("k").alias("pk"), F.col("b").alias("pb"), "w.name", (F.col("w.at") - F.col("start")).alias("offset"))
+    same = F.col("k").eqNullSafe(F.col("pk")) & (F.col("b") == F.col("pb"))  # rows with a null key are a key of their own
+    few = dealt.join(places.select("pk", "pb").distinct(), same, "left_semi").groupBy("k", "b", "v").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = few.withColumn("end", F.sum("n").over(within))
+    found = reached.join(places, same).where("offset >= end - n AND offset < end")
+    return found.groupBy(F.col("k").alias(key)).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+
+
+def spread(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, runs, avg, min, max) of the values that are not null."""
+    v = F.col(value)
+    return rows.groupBy(key).agg(F.count(v).alias("runs"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+
+def session_totals(scans: DataFrame, key: str, detections: str = "n_detections") -> DataFrame:
+    """(key, frames, detections): what a session has scanned and found when it ends."""
+    return scans.groupBy(key).agg(F.count("*").alias("frames"), F.coalesce(F.sum(detections), F.lit(0)).cast("long").alias("detections"))
 
 
 def word_overlap(expected: Column, found: Column) -> Column:

@@ -167,7 +167,8 @@ def _scan(spark, d):
 
 
 def _raw(spark, d):
-    return scan.raw_detections(_docs(spark, d), CONFIG)
+    docs = _docs(spark, d)
+    return scan.raw_detections(docs, CONFIG, seeds.dictionary(docs))
 
 
 def scan_detections(spark, d):
@@ -181,7 +182,7 @@ def action_threshold(spark, d):
 
 def scan_summary(spark, d):
     docs = _docs(spark, d)
-    return pipeline.summary(docs, pipeline.with_actions(_raw(spark, d)))
+    return scan.summary(docs, CONFIG, seeds.dictionary(docs))
 
 
 def scan_top(spark, d):
@@ -278,6 +279,32 @@ def pause_filter(spark, d):
     return left.groupBy("user_id").agg(F.count("*").alias("n_events"), F.sum("event_id").alias("sum_id"))
 
 
+def latency_spread(spark, d):
+    return stats.spread(_table(spark, d, "events"), "event_type", "value").select("event_type", "runs", F.round("avg", 6).alias("avg"), "min", "max")
+
+
+def session_totals(spark, d):
+    """Frames and finds of each source's documents, a session each."""
+    docs = _docs(spark, d)
+    scanned = scan.summary(docs, CONFIG).join(docs.select("doc_id", "source"), "doc_id")
+    return stats.session_totals(scanned, "source")
+
+
+def clustered_lines(spark, d):
+    """Whether the digits of a document stand close together, and how far down they reach."""
+    t = layout.tokens(_docs(spark, d)).where(F.col("text").rlike("[0-9]"))
+    down = G.vertical_distance((F.lit(0), F.min("y"), F.lit(0), F.lit(0)), (F.lit(0), F.max("y"), F.lit(0), F.lit(0)))
+    return t.groupBy("doc_id").agg(G.clustered(F.col("ord"), F.col("y")).alias("clustered"), down.alias("reach"))
+
+
+def open_holds(spark, d):
+    return stateful.open_holds(_errors(spark, d), "user_id", "ts")
+
+
+def scene_actions(spark, d):
+    return stateful.scene_actions(hold_return_scene(spark, d).join(privacy_holds(spark, d), ["user_id", "hold_start"]), "user_id", "privacy")
+
+
 def ui_states(spark, d):
     e = _table(spark, d, "events")
     state = stateful.ui_state(F.col("value").isNotNull() & (F.col("value") >= 1), F.col("event_type") == "error", F.col("value") > 100)
@@ -313,7 +340,10 @@ def frame_inversion(spark, d):
 
 
 def _stream_root(spark, name: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def _run_stream(spark, name: str, stream: DataFrame) -> DataFrame:
@@ -351,7 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         digit_repair, card_candidates, card_detections, card_detections_orders, crypto_detections, api_key_matches, api_key_services,
         api_key_detections, personal_exact, personal_classify, personal_fuzzy, scan_detections, action_threshold, scan_summary, scan_top,
         iou_pairs, log_roundtrip, stats_counts, detection_rates, missed_types, word_overlap, percentiles_low, percentiles_high, frame_gate,
-        frame_sampling, privacy_holds, hold_early_return, hold_return_scene, pause_filter, ui_states, running_counts, frame_fractions,
+        frame_sampling, privacy_holds, hold_early_return, hold_return_scene, pause_filter, ui_states, running_counts, frame_fractions, latency_spread, session_totals, clustered_lines, open_holds, scene_actions,
         frame_inversion, stream_cards, stream_gate, stream_holds,
     )
 }

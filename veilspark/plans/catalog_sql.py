@@ -235,14 +235,26 @@ def _renamed(cte: str, tag: str) -> str:
     return cte
 
 
-#: detections(doc_id, det_ord, type, confidence, preview, x, y, w, h, action) of all detectors but the dictionary's.
+_SEEDS = f"""WITH {_layout()}, {_SPLIT}, {_DICTIONARY}, kept AS (SELECT * FROM words WHERE word IN (SELECT word FROM dictionary)),
+        gaps AS (SELECT *, CASE WHEN abs(y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, x, ord, sub)) > 50 THEN 1 ELSE 0 END AS g FROM kept),
+        runs AS (SELECT *, sum(g) OVER (PARTITION BY doc_id ORDER BY y, x, ord, sub ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM gaps)
+        SELECT doc_id, part, CASE WHEN count(*) IN (12, 24) THEN 0.95::DOUBLE WHEN count(*) BETWEEN 10 AND 14 OR count(*) BETWEEN 22 AND 26 THEN 0.8::DOUBLE
+                                  WHEN count(*) BETWEEN 15 AND 21 THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS confidence,
+               first(word ORDER BY y, x, ord, sub) || '...' || last(word ORDER BY y, x, ord, sub) AS preview,
+               min(x)::BIGINT AS x, min(y)::BIGINT AS y, (max(x + w) - min(x))::BIGINT AS w, (max(y + h) - min(y))::BIGINT AS h,
+               count(*) AS word_count, CASE WHEN count(*) <= 15 THEN '12' ELSE '24' END AS expected_count
+        FROM runs GROUP BY doc_id, part HAVING count(*) >= 12"""
+
+#: detections(doc_id, det_ord, type, confidence, preview, x, y, w, h, action) of all detectors.
 _RAW = f"""WITH
+    seed_all AS ({_SEEDS}),
     card_rows AS (WITH {_cards('documents')} {_CARD_SELECT}),
     wallet_all AS (WITH wallet_source AS (SELECT * FROM documents WHERE regexp_matches({_LINE}, '\\b[1-9A-HJ-NP-Za-km-z]{{32,44}}\\b')), {_layout('wallet_source')}, {_wallets('wallet_source')} SELECT * FROM wallet_detections),
     personal_all AS (WITH {_personal()} SELECT * FROM personal_detections),
     key_all AS (WITH {_KEYS} SELECT * FROM key_detections),
     unioned AS (
-        SELECT doc_id, 2000000 + part AS det_ord, 'credit_card' AS type, confidence, preview, x, y, w, h FROM card_rows
+        SELECT doc_id, 1000000 + part AS det_ord, 'seed_phrase' AS type, confidence, preview, x, y, w, h FROM seed_all
+        UNION ALL SELECT doc_id, 2000000 + part AS det_ord, 'credit_card' AS type, confidence, preview, x, y, w, h FROM card_rows
         UNION ALL SELECT doc_id, 3000000 + part, type, confidence, preview, x, y, w, h FROM wallet_all
         UNION ALL SELECT doc_id, 4000000 + part, type, confidence, preview, x, y, w, h FROM personal_all
         UNION ALL SELECT doc_id, 5000000 + part, type, confidence, preview, x, y, w, h FROM key_all
@@ -279,15 +291,7 @@ ORACLES: dict[str, str] = {
     "dictionary_words": f"WITH {_DICTIONARY} SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM dictionary",
     "dictionary_hits": f"""WITH {_layout()}, {_SPLIT}, {_DICTIONARY}
         SELECT doc_id, count(*) AS n_hits, count(DISTINCT word) AS n_distinct FROM words WHERE word IN (SELECT word FROM dictionary) GROUP BY doc_id""",
-    "seed_detections": f"""WITH {_layout()}, {_SPLIT}, {_DICTIONARY}, kept AS (SELECT * FROM words WHERE word IN (SELECT word FROM dictionary)),
-        gaps AS (SELECT *, CASE WHEN abs(y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, x, ord, sub)) > 50 THEN 1 ELSE 0 END AS g FROM kept),
-        runs AS (SELECT *, sum(g) OVER (PARTITION BY doc_id ORDER BY y, x, ord, sub ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM gaps)
-        SELECT doc_id, part, CASE WHEN count(*) IN (12, 24) THEN 0.95::DOUBLE WHEN count(*) BETWEEN 10 AND 14 OR count(*) BETWEEN 22 AND 26 THEN 0.8::DOUBLE
-                                  WHEN count(*) BETWEEN 15 AND 21 THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS confidence,
-               first(word ORDER BY y, x, ord, sub) || '...' || last(word ORDER BY y, x, ord, sub) AS preview,
-               min(x)::BIGINT AS x, min(y)::BIGINT AS y, (max(x + w) - min(x))::BIGINT AS w, (max(y + h) - min(y))::BIGINT AS h,
-               count(*) AS word_count, CASE WHEN count(*) <= 15 THEN '12' ELSE '24' END AS expected_count
-        FROM runs GROUP BY doc_id, part HAVING count(*) >= 12""",
+    "seed_detections": _SEEDS,
     "digit_repair": f"""WITH l AS (SELECT doc_id, {_LINE} AS line FROM documents), r AS (SELECT doc_id, line, {_repaired('line')} AS fixed FROM l)
         SELECT doc_id, md5(fixed) AS repaired, fixed <> line AS changed FROM r""",
     "card_candidates": f"""WITH {_candidates('documents')} SELECT doc_id, md5(number) AS number_md5, {_LUHN} AS luhn_ok, {_NETWORK} AS network,
@@ -342,6 +346,17 @@ ORACLES: dict[str, str] = {
         p AS (SELECT event_type, max(value) FILTER (WHERE i = least(floor(n * 0.5), n - 1)) AS p50, max(value) FILTER (WHERE i = least(floor(n * 0.95), n - 1)) AS p95,
                      max(value) FILTER (WHERE i = least(floor(n * 0.99), n - 1)) AS p99 FROM o GROUP BY event_type)
         SELECT *, CASE WHEN p95 < 300 THEN 'excellent' WHEN p95 < 500 THEN 'good' ELSE 'marginal' END AS advice, p95 <= 500 AS accepted FROM p""",
+    "latency_spread": """SELECT event_type, count(value) AS runs, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max FROM events GROUP BY event_type""",
+    "session_totals": f"""{_RAW}, found AS (SELECT doc_id, count(*) AS n FROM detections WHERE type <> 'seed_phrase' GROUP BY doc_id)
+        SELECT source, count(*) AS frames, coalesce(sum(n), 0)::BIGINT AS detections FROM documents LEFT JOIN found USING (doc_id) GROUP BY source""",
+    "clustered_lines": f"""WITH {_layout()}, d AS (SELECT doc_id, y, abs(y - lag(y) OVER (PARTITION BY doc_id ORDER BY ord)) AS step FROM toks WHERE regexp_matches(text, '[0-9]'))
+        SELECT doc_id, coalesce(max(step), 0) <= 50 AS clustered, (max(y) - min(y))::BIGINT AS reach FROM d GROUP BY doc_id""",
+    "open_holds": """SELECT user_id, min(ts) AS hold_start, NULL::TIMESTAMP AS hold_end, count(*) AS n_triggers FROM events WHERE event_type = 'error' AND ts IS NOT NULL GROUP BY user_id""",
+    "scene_actions": f"""WITH {_HOLDS}, r AS (
+            SELECT h.user_id, h.hold_start, h.hold_end, arg_max(e.event_type, e.ts) AS return_scene FROM holds h
+            LEFT JOIN events e ON e.user_id = h.user_id AND e.event_type <> 'error' AND e.ts < h.hold_start GROUP BY ALL)
+        SELECT user_id, hold_start AS at, 'privacy' AS action, 'privacy' AS scene FROM r
+        UNION ALL SELECT user_id, hold_end, 'return', return_scene FROM r WHERE return_scene IS NOT NULL""",
     "frame_gate": """WITH g AS (SELECT conv_id, row_number() OVER o = 1 OR text IS DISTINCT FROM lag(text) OVER o AS changed FROM conversations
             WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, count(*) AS n_frames, count(*) FILTER (WHERE changed) AS n_changed FROM g GROUP BY conv_id""",

@@ -12,6 +12,7 @@ class ScanConfig:
     min_word_count: int = 12
     networks: tuple[str, ...] = ("BTC", "ETH", "SOL")
     strings: tuple[str, ...] = ()
+    fuzzy: bool = False
     fuzzy_threshold: float = 85
     max_free: int = 3
     api_keys: bool = True
@@ -45,3 +46,21 @@ def from_dict(values: dict) -> ScanConfig:
     known = {f.name for f in fields(ScanConfig)} - {"unknown"}
     own = {k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known}
     return ScanConfig(**own, unknown=tuple(sorted(set(values) - known)))
+
+
+def from_yaml(path: str) -> ScanConfig:
+    """Settings from a YAML file on the driver; an empty file, or none, gives the defaults."""
+    import os
+
+    import yaml  # optional: only this function needs it
+
+    if not os.path.exists(path):
+        return ScanConfig()
+    with open(path, encoding="utf-8") as f:
+        try:
+            values = yaml.safe_load(f)
+        except yaml.YAMLError as e:
+            raise ValueError(f"{path} is no YAML: {e}") from e
+    if values is not None and not isinstance(values, dict):
+        raise ValueError(f"{path} holds no settings")
+    return from_dict(values or {})

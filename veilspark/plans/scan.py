@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import api_keys, cards, crypto, layout, personal, pipeline, seeds
 from .config import ScanConfig
 
+Detector = Callable[[DataFrame], DataFrame]
 
-def raw_detections(docs: DataFrame, config: ScanConfig, words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Detections of all detectors that the settings switch on, in registry order."""
-    parts = [cards.detect(docs, id_col, text_col), crypto.detect(docs, id_col, text_col, config.networks)]
+
+def detectors(config: ScanConfig, words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Detector] | None = None) -> dict[str, Detector]:
+    """What the settings switch on, in registry order, and the caller's own: each a function from documents to detections
+    (id, part, type, confidence, preview, x, y, w, h, metadata)."""
+    found: dict[str, Detector] = {}
     if words is not None:
-        parts.insert(0, seeds.detect(layout.tokens(docs, id_col, text_col), words, id_col, min_words=config.min_word_count))
+        found["seed_phrase"] = lambda docs: seeds.detect(layout.tokens(docs, id_col, text_col), words, id_col, min_words=config.min_word_count)
+    found["credit_card"] = lambda docs: cards.detect(docs, id_col, text_col)
+    found["crypto_address"] = lambda docs: crypto.detect(docs, id_col, text_col, config.networks)
     if config.strings:
-        parts.append(personal.detect(docs, list(config.strings), id_col, text_col, max_free=config.max_free))
+        found["personal_string"] = lambda docs: personal.detect(docs, list(config.strings), id_col, text_col, fuzzy_match=config.fuzzy, threshold=config.fuzzy_threshold, max_free=config.max_free)
     if config.api_keys:
-        parts.append(api_keys.detect(docs, id_col, text_col))
-    return pipeline.union(parts)
+        found["api_key"] = lambda docs: api_keys.detect(docs, id_col, text_col)
+    return found | (extra or {})
+
+
+def run(docs: DataFrame, chosen: dict[str, Detector]) -> tuple[DataFrame, int]:
+    """All detections, and how many detectors ran: one that cannot be planned is named in a warning and left out."""
+    parts = []
+    for name, detect in chosen.items():
+        try:
+            part = detect(docs)
+            part.schema  # noqa: B018 - analysis is where a faulty detector fails
+        except Exception:  # noqa: BLE001 - whatever is wrong with one, the others go on
+            logging.getLogger(__name__).warning("detector %s failed and was left out", name, exc_info=True)
+        else:
+            parts.append(part)
+    if not parts:
+        raise ValueError("no detector could run")
+    return pipeline.union(parts), len(parts)
+
+
+def raw_detections(docs: DataFrame, config: ScanConfig, words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Detections of all detectors that the settings switch on, in registry order."""
+    return run(docs, detectors(config, words, id_col, text_col))[0]
+
+
+def summary(docs: DataFrame, config: ScanConfig, words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, with the number of detectors that ran."""
+    raw, n = run(docs, detectors(config, words, id_col, text_col))
+    return pipeline.summary(docs, pipeline.with_actions(raw, config.blur, config.warn), id_col, text_col, n)
 
 
 def detections(docs: DataFrame, config: ScanConfig, words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

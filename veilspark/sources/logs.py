@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "timestamp string, type string, confidence double, text string, bounding_box array<bigint>, action string"
@@ -27,13 +27,21 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").load(path).select("image.*")
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Empties a log; one that does not exist stays so."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def cycled(frames: DataFrame, n: int, order: str) -> DataFrame:
-    """``n`` rows (tick, ...) that go through the frames again and again in order."""
-    from pyspark.sql import Window
+    """``n`` rows (tick, ...) that go through the frames again and again in order of ``order``, which is unique.
 
-    numbered = frames.withColumn("__k", F.row_number().over(Window.orderBy(order)) - 1)
-    count = numbered.count()
+    Only the values of ``order`` are numbered, without the frames.
+    """
+    ranks = frames.select(order).distinct()
+    count = ranks.count()
     if not count:
         raise ValueError("no frames to cycle through")
+    numbered = ranks.withColumn("__k", F.row_number().over(Window.orderBy(order)) - 1)
     ticks = frames.sparkSession.range(n).select(F.col("id").alias("tick"), (F.col("id") % count).cast("int").alias("__k"))
-    return ticks.join(numbered, "__k").drop("__k")
+    return ticks.join(numbered, "__k").join(frames, order).drop("__k")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass
 
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class KeyPattern:
@@ -44,6 +47,19 @@ BUILT_IN: tuple[KeyPattern, ...] = (
 )
 
 
+def usable(spark, catalog: tuple[KeyPattern, ...]) -> tuple[KeyPattern, ...]:
+    """The patterns that compile; others are named in a warning and left out."""
+    good = []
+    for p in catalog:
+        try:
+            spark.range(1).select(F.lit("").rlike(p.pattern)).collect()
+        except Exception:  # noqa: BLE001 - a pattern that the engine refuses, whatever it says
+            logging.getLogger(__name__).warning("pattern of %s skipped: %s", p.service, p.pattern)
+        else:
+            good.append(p)
+    return tuple(good)
+
+
 def read_json(spark, path: str) -> tuple[KeyPattern, ...]:
     """Catalog from a JSON object of service to list of patterns; keys that start with ``_`` are notes.
 
@@ -59,4 +75,4 @@ def read_json(spark, path: str) -> tuple[KeyPattern, ...]:
     for service, entries in json.loads(rows[0][0]).items():
         if not service.startswith("_"):
             out += [KeyPattern(service, e["pattern"], e.get("description", service), float(e.get("confidence", 0.90))) for e in entries]
-    return tuple(out)
+    return usable(spark, tuple(out))
