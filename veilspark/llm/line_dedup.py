@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stage import Scratch
+from .stage import Scratch, unused_name
 
 SPACE = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -71,15 +71,17 @@ def drop_repeated_lines(
     A line goes if its key has at least ``min_chars`` code points and is found
     in at least ``min_docs`` distinct ids. Null or empty texts are one empty
     line, which stays. Rows that repeat an id are one document; null ids count
-    as one document together. Columns of ``docs`` named n_lines or n_dropped
-    are replaced. An empty table gives an empty result.
+    as one document together. A column of ``docs`` named n_lines or n_dropped
+    is left out of the result; all others keep their names. An empty table gives
+    an empty result.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.drop("n_lines", "n_dropped")
+    key, lines = unused_name(docs, "dropped_from"), unused_name(docs, "dropped")
     pairs = scratch.save(docs.select(F.col(id_col).alias("doc"), F.explode(_hashes(F.col(text_col), min_chars)).alias("h")), "lines")
     hot = pairs.groupBy("h", "doc").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h")
     hot = scratch.save(hot, "hot")
-    own = pairs.join(hot, "h").groupBy("doc").agg(F.collect_set("h").alias("__hot")).withColumnRenamed("doc", "__doc")
-    joined = docs.join(own, F.col(id_col).eqNullSafe(F.col("__doc")), "left").select(*[docs[c] for c in docs.columns], "__hot")
+    own = pairs.join(hot, "h").groupBy("doc").agg(F.collect_set("h").alias(lines)).withColumnRenamed("doc", key)
+    joined = docs.join(own, docs[id_col].eqNullSafe(own[key]), "left").select(*[docs[c] for c in docs.columns], own[lines])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_assemble(docs.columns.index(text_col)), schema)

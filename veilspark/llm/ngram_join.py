@@ -236,8 +236,8 @@ def _by_trees(rest: DataFrame, sets: DataFrame, num: int, den: int, every: bool)
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _open_groups(cands: DataFrame, comp: DataFrame, round_: int, scratch: Scratch) -> DataFrame:
-    """(key, fp, comp, size, members, least, centre) of the groups with several components, one of those with the same members."""
+def _open_groups(cands: DataFrame, comp: DataFrame, round_: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(key, fp, comp, size, members, least, centre) of the groups with several components, one of those with the same members; and its table."""
     grown = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "fp")
     member = cands.select("key", "fp").join(grown, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
     state = scratch.save(member, "members")
@@ -251,7 +251,7 @@ def _open_groups(cands: DataFrame, comp: DataFrame, round_: int, scratch: Scratc
         F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"),
     )
     open_ = open_.where("c0 <> c1").groupBy("members", "x0", "x1").agg(*[F.min_by(c, "key").alias(c) for c in ("least", "centre")], F.min("key").alias("key"))
-    return state.join(open_.select("key", "members", "least", "centre"), "key")
+    return state.join(open_.select("key", "members", "least", "centre"), "key"), state
 
 
 def jaccard_components(
@@ -291,7 +291,7 @@ def jaccard_components(
         sets = scratch.save(keep.select("txt").mapInArrow(run, schema).dropDuplicates(["fp"]), "sets")
         comp = spark.createDataFrame([], "node binary, component binary")
         for round_ in range(ROUNDS + 1):
-            groups = _open_groups(cands, comp, round_, scratch)
+            groups, state = _open_groups(cands, comp, round_, scratch)
             if round_ == ROUNDS:
                 pairs = _by_trees(groups, sets, num, den, True)
             else:
@@ -301,7 +301,10 @@ def jaccard_components(
                 big = groups.where((F.col("members") > BLOCK) & (F.col("comp") != F.col("centre.comp"))).groupBy("fp").agg(tests.alias("t"))
                 pairs = small.unionByName(big.select(F.col("fp").alias("a"), F.explode("t.b").alias("b")))
             pairs = scratch.save(pairs, "pairs")
-            comp = _absorb(comp, scratch.save(_verified(pairs, sets, num, den), "links"), scratch)
+            links = scratch.save(_verified(pairs, sets, num, den), "links")
+            before, comp = comp, _absorb(comp, links, scratch)
+            for done in (state, pairs, links, *([before] if round_ else [])):
+                scratch.drop(done)
         named = classes.select("fp", "least").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
         least = named.groupBy("comp").agg(F.min("least").alias("component"))
         named = named.join(least, "comp").select("fp", "component")
