@@ -38,7 +38,7 @@ from .components import connected_components
 from .stage import Scratch, unused_name
 
 #: Cells of the rough counts, one byte each when sent, and those that travel together.
-CELLS, CELL_BLOCK = 1 << 22, 1 << 16
+CELLS, CELL_BLOCK = 1 << 20, 1 << 16
 BLOCK = 1024
 #: Ids sent to all workers at once: 8 bytes each, so at most 32 MB; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
@@ -195,7 +195,22 @@ def _tree_pairs(num: int, den: int, every: bool):
         p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
         tree = lambda rows: sigtree.SignatureTree(n[rows], maps[rows], comp[rows])
         found = []
-        for rows in pdf.groupby("key", sort=False).indices.values():
+
+        def emit(a, b):
+            found.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
+
+        key = pd.factorize(pdf["key"])[0]
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        groups = np.split(order, starts[1:])
+        # groups that fit in one node are walked together
+        small = [g for g in groups if len(g) <= sigtree.FANOUT] if p == q else []
+        if small:
+            for i, j, _ in sigtree.within_nodes(small, n, maps, comp, num, den):
+                emit(number[i], number[j])
+        for rows in groups:
+            if len(rows) <= sigtree.FANOUT and p == q:
+                continue
             if every:
                 sides = [rows[block[rows] == x] for x in ((p,) if p == q else (p, q))]
             else:
@@ -208,8 +223,7 @@ def _tree_pairs(num: int, den: int, every: bool):
                 if not every:
                     best = _best(i, j, bound)
                     i, j = i[best], j[best]
-                a, b = number[sides[0][i]], number[sides[-1][j]]
-                found.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
+                emit(number[sides[0][i]], number[sides[-1][j]])
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
 
@@ -282,7 +296,11 @@ def jaccard_components(
     )
     keyed = classes.select("fp", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    cands = scratch.save(keyed.join(shared, "key").select("key", "fp"), "candidates")
+    every = scratch.save(keyed.join(shared, "key").select("key", "fp"), "shared")
+    # of the keys with the very same sets, one is enough
+    same = every.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("fp")).alias("x0"), F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"))
+    cands = scratch.save(every.join(same.groupBy("members", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "key"), "candidates")
+    scratch.drop(every)
     wanted = scratch.save(cands.select("fp").distinct().join(classes.select("fp", "least"), "fp").select(F.col("least").alias("doc")).distinct(), "wanted")
     n_wanted = wanted.count()
     if n_wanted:
