@@ -40,6 +40,8 @@ from .stage import Scratch, unused_name
 #: Cells of the rough counts, one byte each when sent, and those that travel together.
 CELLS, CELL_BLOCK = 1 << 20, 1 << 16
 BLOCK = 1024
+#: Rows of small groups that go to Python together, on average: a call for each group costs more than its pairs.
+LOT_ROWS = 4000
 #: Ids sent to all workers at once: 8 bytes each, so at most 32 MB; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Rounds before all pairs are taken, and tests of one set in each: they only save work.
@@ -230,11 +232,11 @@ def _tree_pairs(num: int, den: int, every: bool):
     return run
 
 
-def _by_trees(rest: DataFrame, sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+def _by_trees(rest: DataFrame, sets: DataFrame, num: int, den: int, every: bool, lots: int) -> DataFrame:
     """Distinct candidate pairs of the groups in ``rest`` (key, fp, comp, size, members, least).
 
-    Groups of one block that have the same smallest member go to one task; of
-    bigger groups, which come here only to take ``every`` pair, each task gets
+    Groups of one block are dealt in ``lots`` by their smallest member, so that
+    those that share sets tend to meet; of bigger groups, which come here only to take ``every`` pair, each task gets
     two blocks. Their blocks follow the sizes and then the bitmaps, so that most
     pairs of blocks end at the roots of their trees.
     """
@@ -245,8 +247,9 @@ def _by_trees(rest: DataFrame, sets: DataFrame, num: int, den: int, every: bool)
     else:
         dealt = dealt.withColumns({"block": F.lit(0), "other": F.lit(0)})
     big = F.when(F.col("nb") > 1, F.col("key"))
-    dealt = dealt.select("key", "fp", "comp", "size", "n", "bits", "block", "least", big.alias("big"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    pairs = dealt.groupBy("least", "big", "p", "q").applyInPandas(_tree_pairs(num, den, every), "a binary, b binary")
+    lot = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("least"), F.lit(lots)))
+    dealt = dealt.select("key", "fp", "comp", "size", "n", "bits", "block", lot.alias("lot"), big.alias("big"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    pairs = dealt.groupBy("lot", "big", "p", "q").applyInPandas(_tree_pairs(num, den, every), "a binary, b binary")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -310,10 +313,11 @@ def jaccard_components(
         comp = spark.createDataFrame([], "node binary, component binary")
         for round_ in range(ROUNDS + 1):
             groups, state = _open_groups(cands, comp, round_, scratch)
+            lots = max(1, -(-state.count() // LOT_ROWS))
             if round_ == ROUNDS:
-                pairs = _by_trees(groups, sets, num, den, True)
+                pairs = _by_trees(groups, sets, num, den, True, lots)
             else:
-                small = _by_trees(groups.where(F.col("members") <= BLOCK), sets, num, den, False)
+                small = _by_trees(groups.where(F.col("members") <= BLOCK), sets, num, den, False, lots)
                 # of a big group each set is tested against a member of its largest component
                 tests = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("fp", "centre.fp").alias("h"), F.col("centre.fp").alias("b")))), 1, TESTS)
                 big = groups.where((F.col("members") > BLOCK) & (F.col("comp") != F.col("centre.comp"))).groupBy("fp").agg(tests.alias("t"))
