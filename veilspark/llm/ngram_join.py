@@ -118,29 +118,30 @@ def _signatures(width: int, num: int, den: int, get):
                 fps = [_fingerprint(hashes[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 keys, ends = prefixes(hashes, bounds, levels, num, den)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), lists], names=["doc", "n", "fp", "keys"])
+                bits = [sigtree.bitmap(hashes[a:b]).tobytes() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), lists, pa.array(bits, pa.binary())], names=["doc", "n", "fp", "keys", "bits"])
 
     return run
 
 
 def _full_sets(width: int):
-    schema = pa.schema([("fp", pa.binary()), ("n", pa.int64()), ("items", pa.binary()), ("bits", pa.binary())])
-
     def run(batches):
         for batch in batches:
             for _, hashes, bounds in _sets(batch.column(0), width):
                 rows = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([_fingerprint(s) for s in rows], pa.binary()),
-                        pa.array([len(s) for s in rows], pa.int64()),
-                        pa.array([s.tobytes() for s in rows], pa.binary()),
-                        pa.array([sigtree.bitmap(s).tobytes() for s in rows], pa.binary()),
-                    ],
-                    schema=schema,
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in rows], pa.binary()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["fp", "n", "items"])
+
+    return run, "fp binary, n long, items binary"
+
 
-    return run, "fp binary, n long, items binary, bits binary"
+def _items(edges: DataFrame, classes: DataFrame, base: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(fp, n, items) of the sets that some edge has: only these are made again, from the texts of their classes."""
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
+    ids = scratch.save(ends.join(classes.select("fp", "least"), "fp").select(F.col("least").alias("id")).distinct(), "ids")
+    run, schema = _full_sets(width)
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # an id with several texts gives sets that no edge has, and repeated rows give sets twice: neither changes a link
+    return scratch.save(base.join(few, base["doc"].eqNullSafe(few["id"]), "left_semi").select("txt").mapInArrow(run, schema), "items")
 
 
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -292,10 +293,10 @@ def jaccard_components(
     num, den = percent, 100
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("txt"))
     levels = spark.sparkContext.broadcast(shingle_levels(base.select("txt"), width))
-    schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>").fields])
+    schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>, bits binary").fields])
     signed = scratch.save(base.mapInArrow(_signatures(width, num, den, lambda: levels.value), schema), "signatures")
     classes = scratch.save(
-        signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes"
+        signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes"
     )
     keyed = classes.select("fp", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
@@ -304,12 +305,8 @@ def jaccard_components(
     same = every.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("fp")).alias("x0"), F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"))
     cands = scratch.save(every.join(same.groupBy("members", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "key"), "candidates")
     scratch.drop(every)
-    wanted = scratch.save(cands.select("fp").distinct().join(classes.select("fp", "least"), "fp").select(F.col("least").alias("doc")).distinct(), "wanted")
-    n_wanted = wanted.count()
-    if n_wanted:
-        run, schema = _full_sets(width)
-        keep = base.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, base["doc"].eqNullSafe(wanted["doc"]), "left_semi")
-        sets = scratch.save(keep.select("txt").mapInArrow(run, schema).dropDuplicates(["fp"]), "sets")
+    if not cands.isEmpty():
+        sets = classes.select("fp", "n", "bits")
         comp = spark.createDataFrame([], "node binary, component binary")
         for round_ in range(ROUNDS + 1):
             groups, state = _open_groups(cands, comp, round_, scratch)
@@ -323,9 +320,10 @@ def jaccard_components(
                 big = groups.where((F.col("members") > BLOCK) & (F.col("comp") != F.col("centre.comp"))).groupBy("fp").agg(tests.alias("t"))
                 pairs = small.unionByName(big.select(F.col("fp").alias("a"), F.explode("t.b").alias("b")))
             pairs = scratch.save(pairs, "pairs")
-            links = scratch.save(_verified(pairs, sets, num, den), "links")
+            items = _items(pairs, classes, base, width, scratch)
+            links = scratch.save(_verified(pairs, items, num, den), "links")
             before, comp = comp, _absorb(comp, links, scratch)
-            for done in (state, pairs, links, *([before] if round_ else [])):
+            for done in (state, pairs, items, links, *([before] if round_ else [])):
                 scratch.drop(done)
         named = classes.select("fp", "least").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
         least = named.groupBy("comp").agg(F.min("least").alias("component"))
