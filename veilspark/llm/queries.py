@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, line_dedup, lm_score, mixing, ngram_join, quality, token_count, url_filter
+from . import circulant, code_sql, decontaminate, fingerprint, html_text, line_dedup, lm_score, mixing, ngram_join, quality, token_count, url_filter, vector_codes, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,21 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = circulant.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", width=2, percent=80)
+    return groups.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` as a long, null where it does not fit."""
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000, weight="one")
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -109,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_circulant_minhash": op12_circulant_minhash,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -204,4 +222,5 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256
         FROM keyed LEFT JOIN hot USING (k) GROUP BY doc_id
     """,
+    "op11_vector_codes": code_sql.text(),
 }
