@@ -10,9 +10,9 @@ from ..sources.patterns import BUILT_IN, KeyPattern
 from . import layout
 
 
-def first_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: tuple[KeyPattern, ...] = BUILT_IN) -> DataFrame:
-    """(id, part, service, description, confidence, match): at most one row per service and text."""
-    line = docs.select(F.col(id_col), X.one_line(F.col(text_col)).alias("line"))
+def first_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: tuple[KeyPattern, ...] = BUILT_IN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, part, service, description, confidence, match): at most one row per service and text, with the columns to ``keep``."""
+    line = docs.select(F.col(id_col), *keep, X.one_line(F.col(text_col)).alias("line"))
     options = []
     for k, service in enumerate(dict.fromkeys(p.service for p in catalog)):
         pick = None
@@ -22,7 +22,7 @@ def first_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             pick = F.when(match != "", row) if pick is None else pick.when(match != "", row)
         options.append(pick)
     hits = F.filter(F.array(*options), lambda h: h.isNotNull())
-    return line.select(id_col, F.explode(hits).alias("m")).select(id_col, "m.*")
+    return line.select(id_col, *keep, F.explode(hits).alias("m")).select(id_col, *keep, "m.*")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: tuple[KeyPattern, ...] = BUILT_IN) -> DataFrame:

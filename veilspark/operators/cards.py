@@ -16,23 +16,23 @@ GROUPS = r"(?:[0-9lIOo]{4}(?:\s+|-)?){3}[0-9lIOo]{4}"
 IN_TOKEN = r"(?:[0-9lIOo][^\s0-9lIOo]*){16}"
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, number): distinct 16-digit candidates of each text.
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, number): distinct 16-digit candidates of each text, with the columns to ``keep``.
 
     Candidates come from the joined text, and as windows of the digits inside
     one token. Only texts that match ``GROUPS`` or ``IN_TOKEN`` go through the
     chain of rewrites; no other text has a candidate.
     """
     some = docs.where(F.col(text_col).rlike(f"{GROUPS}|{IN_TOKEN}"))
-    base = some.select(F.col(id_col), X.one_line(F.col(text_col)).alias("line"))
+    base = some.select(F.col(id_col), *keep, X.one_line(F.col(text_col)).alias("line"))
     grouped = F.when(F.col("line").rlike(GROUPS), X.repair_digits(F.col("line"))).otherwise("")
-    clean = base.select(id_col, "line", grouped.alias("clean"))
+    clean = base.select(id_col, *keep, "line", grouped.alias("clean"))
     whole = F.transform(F.regexp_extract_all("clean", F.lit(X.CARD_PATTERN), F.lit(0)), lambda m: F.translate(m, " -", ""))
     whole = F.filter(whole, lambda m: m.rlike(r"^\d{16}$"))
     could = F.filter(F.split("line", " "), lambda t: F.regexp_count(t, F.lit("[0-9lIOo]")) >= 16)
     digits = F.filter(F.transform(could, lambda t: F.regexp_replace(X.repair_digits(t), r"\D", "")), lambda d: F.length(d) >= 16)
     windows = F.flatten(F.transform(digits, lambda d: F.transform(F.sequence(F.lit(1), F.length(d) - 15), lambda i: F.substring(d, i, F.lit(16)))))
-    return clean.select(id_col, F.explode(F.array_distinct(F.concat(whole, windows))).alias("number"))
+    return clean.select(id_col, *keep, F.explode(F.array_distinct(F.concat(whole, windows))).alias("number"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,12 +18,12 @@ def usable(strings: list[str], max_free: int | None = MAX_FREE) -> list[str]:
     return [s for s in (strings if max_free is None else strings[:max_free]) if s.strip()]
 
 
-def exact(docs: DataFrame, strings: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, part, string, score): score 100 where the text contains the string, ignoring case."""
+def exact(docs: DataFrame, strings: list[str], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, part, string, score): score 100 where the text contains the string, ignoring case; with the columns to ``keep``."""
     line = F.lower(X.one_line(F.col(text_col)))
     hits = [F.when(line.contains(s.lower()), F.struct(F.lit(k).cast("long").alias("part"), F.lit(s).alias("string"), F.lit(100.0).alias("score"))) for k, s in enumerate(strings)]
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return docs.select(F.col(id_col), F.explode(found).alias("m")).select(id_col, "m.*")
+    return docs.select(F.col(id_col), *keep, F.explode(found).alias("m")).select(id_col, *keep, "m.*")
 
 
 def approximate(docs: DataFrame, strings: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

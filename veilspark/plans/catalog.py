@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,21 +12,10 @@ from ..functions import text as X
 from ..operators import api_keys, cards, crypto, frames, layout, personal, pipeline, seeds, stateful, stats
 from ..sources import logs
 from ..streaming import scans as streaming
-from . import scan
-from .catalog_sql import ORACLES
-from .config import ScanConfig
-
-STRINGS = ("Apache License", "Version 2.0", "pathetic")
-CONFIG = ScanConfig(strings=STRINGS)
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _docs(spark, d):
-    return _table(spark, d, "documents")
-
+from . import live_catalog, scan
+from .catalog_base import CONFIG, STRINGS, customer_text, docs_of, stream_of, stream_root, table
+from .catalog_sql import ORACLES as TABLE_ORACLES
+from .live_sql import ORACLES as LIVE_ORACLES
 
 def _secrets(spark: SparkSession, d: str) -> DataFrame:
     """A text per order that holds an address of each network, a card and a key, made from the order's key."""
@@ -46,7 +34,7 @@ def _secrets(spark: SparkSession, d: str) -> DataFrame:
     hint = F.when(F.col("o_orderkey") % 3 == 0, F.lit(" Exp 12/27 CVV 123")).otherwise(F.lit(""))
     key = F.concat(F.lit("AKIA"), F.upper(F.left(md, F.lit(16))))
     text = F.concat(F.lit("eth "), eth, F.lit("\n\n\n\n\n\n\n\nsol "), sol, F.lit("\n\n\n\n\n\n\n\nbtc "), btc, F.lit("\n\n\n\n\n\n\n\n"), card, hint, F.lit("\n\n\n\n\n\n\n\n"), key)
-    return _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 def _long(*names: str) -> list[Column]:
@@ -54,17 +42,17 @@ def _long(*names: str) -> list[Column]:
 
 
 def tokens_layout(spark, d):
-    t = layout.tokens(_docs(spark, d))
+    t = layout.tokens(docs_of(spark, d))
     return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("line_no").alias("last_line"), F.sum("x").alias("sum_x"), F.sum("w").alias("sum_w"), F.max(F.col("x") + F.col("w")).alias("right_edge"))
 
 
 def tokens_split(spark, d):
-    t = layout.split_words(layout.tokens(_docs(spark, d)))
+    t = layout.split_words(layout.tokens(docs_of(spark, d)))
     return t.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.col("x") + F.col("w")).cast("long").alias("sum_right"), F.max("sub").alias("most_sub"))
 
 
 def box_geometry(spark, d):
-    t = layout.tokens(_docs(spark, d))
+    t = layout.tokens(docs_of(spark, d))
     w = Window.partitionBy("doc_id").orderBy("ord")
     nxt = t.withColumns({"b" + c: F.lead(c).over(w) for c in "xywh"})
     a, b = G.box(), G.box("b")
@@ -77,40 +65,40 @@ def box_geometry(spark, d):
 
 
 def box_merge(spark, d):
-    return layout.tokens(_docs(spark, d)).groupBy("doc_id").agg(*G.merged())
+    return layout.tokens(docs_of(spark, d)).groupBy("doc_id").agg(*G.merged())
 
 
 def consecutive_runs(spark, d):
-    t = layout.tokens(_docs(spark, d)).where(F.col("text").rlike(r"[0-9]"))
+    t = layout.tokens(docs_of(spark, d)).where(F.col("text").rlike(r"[0-9]"))
     r = layout.runs(t, "doc_id", ["y", "x", "ord"], 50, 3)
     return r.groupBy("doc_id", "run").agg(F.count("*").alias("n"), *G.merged())
 
 
 def dictionary_words(spark, d):
-    return seeds.dictionary(_docs(spark, d))
+    return seeds.dictionary(docs_of(spark, d))
 
 
 def dictionary_hits(spark, d):
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     hits = seeds.word_hits(layout.tokens(docs), seeds.dictionary(docs))
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.countDistinct("word").alias("n_distinct"))
 
 
 def seed_detections(spark, d):
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     out = seeds.detect(layout.tokens(docs), seeds.dictionary(docs))
     return out.select("doc_id", "part", "confidence", "preview", "x", "y", "w", "h", F.col("metadata")["word_count"].cast("long").alias("word_count"), F.col("metadata")["expected_count"].alias("expected_count"))
 
 
 def digit_repair(spark, d):
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     line = X.one_line(F.col("text"))
     fixed = X.repair_digits(line)
     return docs.select("doc_id", F.md5(fixed.cast("binary")).alias("repaired"), (fixed != line).alias("changed"))
 
 
 def card_candidates(spark, d):
-    c = cards.candidates(_docs(spark, d))
+    c = cards.candidates(docs_of(spark, d))
     return c.select("doc_id", F.md5(F.col("number").cast("binary")).alias("number_md5"), X.luhn_ok(F.col("number")).alias("luhn_ok"), X.card_network(F.col("number")).alias("network"), X.ends_preview(F.col("number"), 4).alias("preview"))
 
 
@@ -120,7 +108,7 @@ def _card_rows(det):
 
 
 def card_detections(spark, d):
-    return _card_rows(cards.detect(_docs(spark, d)))
+    return _card_rows(cards.detect(docs_of(spark, d)))
 
 
 def card_detections_orders(spark, d):
@@ -133,41 +121,41 @@ def crypto_detections(spark, d):
 
 
 def api_key_matches(spark, d):
-    both = _docs(spark, d).select("doc_id", "text").unionByName(_secrets(spark, d).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
+    both = docs_of(spark, d).select("doc_id", "text").unionByName(_secrets(spark, d).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
     return api_keys.first_matches(both).select("doc_id", "service", "description", "confidence", F.md5(F.col("match").cast("binary")).alias("match_md5"))
 
 
 def api_key_services(spark, d):
-    return api_keys.first_matches(_docs(spark, d)).groupBy("service").agg(F.count("*").alias("n_docs"))
+    return api_keys.first_matches(docs_of(spark, d)).groupBy("service").agg(F.count("*").alias("n_docs"))
 
 
 def api_key_detections(spark, d):
-    return api_keys.detect(_docs(spark, d)).select("doc_id", F.col("metadata")["service"].alias("service"), "confidence", "preview", "x", "y", "w", "h")
+    return api_keys.detect(docs_of(spark, d)).select("doc_id", F.col("metadata")["service"].alias("service"), "confidence", "preview", "x", "y", "w", "h")
 
 
 def personal_exact(spark, d):
-    return personal.detect(_docs(spark, d), list(STRINGS)).select("doc_id", "part", "confidence", "preview", "x", "y", "w", "h", F.col("metadata")["string_type"].alias("string_type"))
+    return personal.detect(docs_of(spark, d), list(STRINGS)).select("doc_id", "part", "confidence", "preview", "x", "y", "w", "h", F.col("metadata")["string_type"].alias("string_type"))
 
 
 def personal_classify(spark, d):
-    c = _table(spark, d, "customer")
-    text = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@mail.example"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("+1 555 "), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))).when(F.col("c_custkey") % 4 == 2, F.concat(F.col("c_custkey").cast("string"), F.lit(" Main Rd"))).otherwise(F.col("c_name"))
+    c = table(spark, d, "customer")
+    text = customer_text()
     return c.select("c_custkey", X.classify_personal(text).alias("kind"), X.mask(text).alias("masked"))
 
 
 def personal_fuzzy(spark, d):
     """Licence lines and toxic words with a letter off, in the lines of documents."""
-    docs = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
+    docs = docs_of(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
     return personal.approximate(docs, ["Apache Licence, Version 2.0", "patethic"], threshold=85.0).select("doc_id", "part", "score")
 
 
 def _scan(spark, d):
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     return scan.detections(docs, CONFIG, seeds.dictionary(docs))
 
 
 def _raw(spark, d):
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     return scan.raw_detections(docs, CONFIG, seeds.dictionary(docs))
 
 
@@ -181,7 +169,7 @@ def action_threshold(spark, d):
 
 
 def scan_summary(spark, d):
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     return scan.summary(docs, CONFIG, seeds.dictionary(docs))
 
 
@@ -211,16 +199,16 @@ def stats_counts(spark, d):
 
 def detection_rates(spark, d):
     """Labelled documents as cases: a low-quality one should have no blur, any other may (per source)."""
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     fired = pipeline.with_actions(_raw(spark, d)).select("doc_id").distinct().withColumn("fired", F.lit(True))
-    cases = docs.select("doc_id", "source").join(_table(spark, d, "labels"), "doc_id").join(fired, "doc_id", "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
+    cases = docs.select("doc_id", "source").join(table(spark, d, "labels"), "doc_id").join(fired, "doc_id", "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
     positive = F.col("toxic") == 1
     return cases.groupBy("source").agg(stats.rate(F.col("fired"), positive).alias("tp_rate"), stats.rate(F.col("fired"), ~positive).alias("fp_rate"), F.count("*").alias("n_cases"))
 
 
 def missed_types(spark, d):
     """Types that documents with an e-mail sign or a licence line should show, and did not."""
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     expected = F.filter(F.array(F.when(F.col("text").contains("token"), "api_key"), F.when(F.col("text").contains("License"), "personal_string")), lambda t: t.isNotNull())
     found = pipeline.with_actions(_raw(spark, d)).groupBy("doc_id").agg(F.collect_set("type").alias("types"))
     cases = docs.select("doc_id", expected.alias("expected")).join(found, "doc_id", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
@@ -230,33 +218,33 @@ def missed_types(spark, d):
 
 def word_overlap(spark, d):
     """How much of each conversation turn's words the turn before already had."""
-    c = _table(spark, d, "conversations")
+    c = table(spark, d, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     out = c.withColumn("before", before).where("before IS NOT NULL")
     return out.select("conv_id", "turn", F.round(stats.word_overlap(F.col("text"), F.col("before")), 9).alias("overlap"), (stats.word_overlap(F.col("text"), F.col("before")) > 0.8).alias("success"))
 
 
 def percentiles_low(spark, d):
-    return stats.percentiles(_table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, before=True)
+    return stats.percentiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, before=True)
 
 
 def percentiles_high(spark, d):
-    p = stats.percentiles(_table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, before=False)
+    p = stats.percentiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, before=False)
     return p.withColumn("advice", stats.recommendation(F.col("p95"))).withColumn("accepted", stats.verdict(F.lit(1.0), F.lit(0.0), F.col("p95")))
 
 
 def frame_gate(spark, d):
-    c = _table(spark, d, "conversations")
+    c = table(spark, d, "conversations")
     return stateful.change_gate(c, "conv_id", "turn", "text").groupBy("conv_id").agg(F.count("*").alias("n_frames"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
 
 
 def frame_sampling(spark, d):
-    e = _table(spark, d, "events")
+    e = table(spark, d, "events")
     return stateful.sample(e, "event_type", "ts", 1 / 3600).select("event_type", "event_id")
 
 
 def _errors(spark, d):
-    return _table(spark, d, "events").where("event_type = 'error'")
+    return table(spark, d, "events").where("event_type = 'error'")
 
 
 def privacy_holds(spark, d):
@@ -264,35 +252,35 @@ def privacy_holds(spark, d):
 
 
 def hold_early_return(spark, d):
-    manual = _table(spark, d, "events").where("event_type = 'login'")
+    manual = table(spark, d, "events").where("event_type = 'login'")
     return stateful.early_return(privacy_holds(spark, d), manual, "user_id", "ts")
 
 
 def hold_return_scene(spark, d):
-    other = _table(spark, d, "events").where("event_type <> 'error'")
+    other = table(spark, d, "events").where("event_type <> 'error'")
     return stateful.scene_before(other, privacy_holds(spark, d), "user_id", "ts", "event_type")
 
 
 def pause_filter(spark, d):
-    e = _table(spark, d, "events")
+    e = table(spark, d, "events")
     left = stateful.without_pauses(e, "user_id", "ts", "event_id", F.col("event_type") == "logout", F.col("event_type") == "login")
     return left.groupBy("user_id").agg(F.count("*").alias("n_events"), F.sum("event_id").alias("sum_id"))
 
 
 def latency_spread(spark, d):
-    return stats.spread(_table(spark, d, "events"), "event_type", "value").select("event_type", "runs", F.round("avg", 6).alias("avg"), "min", "max")
+    return stats.spread(table(spark, d, "events"), "event_type", "value").select("event_type", "runs", F.round("avg", 6).alias("avg"), "min", "max")
 
 
 def session_totals(spark, d):
     """Frames and finds of each source's documents, a session each."""
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     scanned = scan.summary(docs, CONFIG).join(docs.select("doc_id", "source"), "doc_id")
     return stats.session_totals(scanned, "source")
 
 
 def clustered_lines(spark, d):
     """Whether the digits of a document stand close together, and how far down they reach."""
-    t = layout.tokens(_docs(spark, d)).where(F.col("text").rlike("[0-9]"))
+    t = layout.tokens(docs_of(spark, d)).where(F.col("text").rlike("[0-9]"))
     down = G.vertical_distance((F.lit(0), F.min("y"), F.lit(0), F.lit(0)), (F.lit(0), F.max("y"), F.lit(0), F.lit(0)))
     return t.groupBy("doc_id").agg(G.clustered(F.col("ord"), F.col("y")).alias("clustered"), down.alias("reach"))
 
@@ -306,13 +294,13 @@ def scene_actions(spark, d):
 
 
 def ui_states(spark, d):
-    e = _table(spark, d, "events")
+    e = table(spark, d, "events")
     state = stateful.ui_state(F.col("value").isNotNull() & (F.col("value") >= 1), F.col("event_type") == "error", F.col("value") > 100)
     return e.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def running_counts(spark, d):
-    e = _table(spark, d, "events").withColumn("one", F.when(F.col("event_type") == "error", 1).otherwise(0).cast("long"))
+    e = table(spark, d, "events").withColumn("one", F.when(F.col("event_type") == "error", 1).otherwise(0).cast("long"))
     r = stateful.running_count(e, "user_id", ["ts", "event_id"], "one")
     return r.groupBy("user_id").agg(F.max("total").alias("total"), F.sum("total").alias("area"))
 
@@ -327,7 +315,7 @@ def _text_frame() -> Column:
 def frame_fractions(spark, d):
     """Turns of a conversation as frames of 16 x 3 bytes a row: changed share against the turn before."""
     data = _text_frame()
-    c = _table(spark, d, "conversations").select("conv_id", "turn", data.alias("data"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", data.alias("data"))
     c = c.withColumn("before", F.lag("data").over(Window.partitionBy("conv_id").orderBy("turn")))
     fraction = frames.tall_fraction_udf(16, 3)("data", "before")
     return c.select("conv_id", "turn", fraction.alias("fraction")).withColumn("changed", frames.is_changed(F.col("fraction")))
@@ -335,42 +323,29 @@ def frame_fractions(spark, d):
 
 def frame_inversion(spark, d):
     data = _text_frame()
-    c = _table(spark, d, "conversations").select("conv_id", "turn", data.alias("data"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", data.alias("data"))
     return c.select("conv_id", "turn", F.md5(frames.tall_invert_udf(16, 3)("data")).alias("frame_md5"), (frames.tall_invert_udf(16, 3)("data") != F.col("data")).alias("inverted"))
 
 
-def _stream_root(spark, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{folder.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-
-
 def _run_stream(spark, name: str, stream: DataFrame) -> DataFrame:
-    root = _stream_root(spark, name)
+    root = stream_root(spark, name)
     return streaming.to_table(stream, f"{root}/out", f"{root}/state")
 
 
-def _stream_of(spark, d, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    # as a pattern, the path can be a file or a folder of files
-    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
-
-
 def stream_cards(spark, d):
-    out = _run_stream(spark, "cards", streaming.card_candidates(_stream_of(spark, d, "documents"), "doc_id", "text"))
+    out = _run_stream(spark, "cards", streaming.card_candidates(stream_of(spark, d, "documents"), "doc_id", "text"))
     return out.select("doc_id", F.md5(F.col("number").cast("binary")).alias("number_md5"))
 
 
 def stream_gate(spark, d):
-    root = _stream_root(spark, "gate")
-    out = streaming.change_gate_table(_stream_of(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", f"{root}/out", f"{root}/state")
+    root = stream_root(spark, "gate")
+    out = streaming.change_gate_table(stream_of(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", f"{root}/out", f"{root}/state")
     return out.groupBy("conv_id").agg(F.count("*").alias("n_frames"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
 
 
 def stream_holds(spark, d):
     """Holds that are over when the stream ends: the watermark has passed them."""
-    errors = _stream_of(spark, d, "events").where("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
+    errors = stream_of(spark, d, "events").where("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
     return _run_stream(spark, "holds", streaming.holds(errors, "user_id", "ts", "24 hours"))
 
 
@@ -384,7 +359,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         frame_sampling, privacy_holds, hold_early_return, hold_return_scene, pause_filter, ui_states, running_counts, frame_fractions, latency_spread, session_totals, clustered_lines, open_holds, scene_actions,
         frame_inversion, stream_cards, stream_gate, stream_holds,
     )
-}
+} | live_catalog.QUERIES
+
+
+ORACLES: dict[str, str] = TABLE_ORACLES | LIVE_ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import api_keys, cards, crypto, layout, personal, pipeline, seeds
 from .config import ScanConfig
@@ -45,6 +46,33 @@ def run(docs: DataFrame, chosen: dict[str, Detector]) -> tuple[DataFrame, int]:
     return pipeline.union(parts), len(parts)
 
 
+def no_detections(spark: SparkSession, id_type: T.DataType, id_col: str = "doc_id") -> DataFrame:
+    """Detections of no detector, as ``pipeline.union`` has them."""
+    rest = "type string, confidence double, preview string, x long, y long, w long, h long, metadata map<string,string>, det_ord long"
+    return spark.createDataFrame([], T.StructType([T.StructField(id_col, id_type), *T.StructType.fromDDL(rest).fields]))
+
+
+def isolated(docs: DataFrame, chosen: dict[str, Detector], path: str, id_col: str = "doc_id") -> tuple[DataFrame, dict[str, str]]:
+    """All detections, and what was wrong with the detectors that failed, be it when they were planned or on some row.
+
+    Each detector's rows are saved below ``path`` before the next one runs, and
+    only those of detectors that finished are read.
+    """
+    parts, failed = [], {}
+    for name, detect in chosen.items():
+        try:
+            part = detect(docs)
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
+        except Exception as e:  # noqa: BLE001 - whatever is wrong with one, the others go on
+            logging.getLogger(__name__).warning("detector %s failed and was left out", name, exc_info=True)
+            failed[name] = f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"[:500]
+        else:
+            parts.append(docs.sparkSession.read.schema(part.schema).parquet(f"{path}/{name}"))
+    if not parts:
+        return no_detections(docs.sparkSession, docs.schema[id_col].dataType, id_col), failed
+    return pipeline.union(parts), failed
+
+
 def raw_detections(docs: DataFrame, config: ScanConfig, words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Detections of all detectors that the settings switch on, in registry order."""
     return run(docs, detectors(config, words, id_col, text_col))[0]
