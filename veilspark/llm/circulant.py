@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import set_groups, words
+from . import set_groups, sigtree, words
 from .stage import Scratch
 
 #: Coordinates of a band, and the probability that a pair at the threshold shares no band, or falls under the least likeness of a search.
@@ -94,7 +94,7 @@ def _signed(width: int, bands: int):
                 low = np.ascontiguousarray(minima.astype(np.uint8).T)
                 for k, d in enumerate(full):
                     fps[d] = set_groups.fingerprint(hashes[bounds[d] : bounds[d + 1]])
-                    payload[d] = low[k].tobytes()
+                    payload[d] = low[k].tobytes() + sigtree.bitmap(hashes[bounds[d] : bounds[d + 1]]).tobytes()
                 ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, bands, 0)))).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(minima).ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), keys, pa.array(payload, pa.binary())], names=["doc", "n", "fp", "keys", "payload"])
@@ -103,16 +103,28 @@ def _signed(width: int, bands: int):
 
 
 class SignatureSearch:
-    """Pairs by the number of equal coordinates, of which a byte each is kept: chance only adds matches."""
+    """Pairs by the number of equal coordinates, of which a byte each is kept (chance only adds matches), and by what
+    the sizes and a bitmap of the shingles leave possible."""
 
     def __init__(self, n, payload, comp, percent: int):
         self.n, self.comp, self.percent = n.astype(np.int64), comp, percent
-        self.low = np.frombuffer(b"".join(payload), np.uint8).reshape(len(n), -1)
-        self.least = least_matches(self.low.shape[1], percent)
+        raw = np.frombuffer(b"".join(payload), np.uint8).reshape(len(n), -1)
+        cut = raw.shape[1] - sigtree.BITS // 8
+        self.low, self.maps = np.ascontiguousarray(raw[:, :cut]), np.ascontiguousarray(raw[:, cut:]).view(np.uint64)
+        self.excess = self.n - np.bitwise_count(self.maps).sum(axis=1).astype(np.int64)
+        self.least = least_matches(cut, percent)
 
     def _may(self, i, j, matches):
+        """Places of the pairs that may link."""
         small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        return (matches >= self.least) & (self.comp[i] != self.comp[j]) & (small * 100 >= large * self.percent)
+        at = np.flatnonzero((matches >= self.least) & (self.comp[i] != self.comp[j]) & (small * 100 >= large * self.percent))
+        keep = []
+        for k in range(0, len(at), set_groups.PAIR_BLOCK):
+            own = at[k : k + set_groups.PAIR_BLOCK]
+            a, b = i[own], j[own]
+            most = np.bitwise_count(self.maps[a] & self.maps[b]).sum(axis=1).astype(np.int64) + np.minimum(self.excess[a], self.excess[b])
+            keep.append(own[np.minimum(most, small[own]) * (100 + self.percent) >= self.percent * (self.n[a] + self.n[b])])
+        return np.concatenate(keep) if keep else at
 
     def check(self, i, j):
         matches = (self.low[i] == self.low[j]).sum(axis=1)
@@ -125,12 +137,12 @@ class SignatureSearch:
         for at in range(0, len(a), step):
             rows = a[at : at + step]
             matches = (self.low[rows][:, None, :] == self.low[other][None, :, :]).sum(axis=2)
-            keep = self._may(rows[:, None], other[None, :], matches)
+            i, j = np.nonzero(matches >= self.least)
             if b is None:
-                keep &= np.arange(at, at + len(rows))[:, None] < np.arange(len(other))[None, :]
-            i, j = np.nonzero(keep)
-            if len(i):
-                yield i + at, j, matches[i, j]
+                i, j = i[i + at < j], j[i + at < j]
+            keep = self._may(rows[i], other[j], matches[i, j])
+            if len(keep):
+                yield i[keep] + at, j[keep], matches[i[keep], j[keep]]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 2, percent: int = 80) -> DataFrame:

@@ -47,7 +47,7 @@ class Search(Protocol):
     """Candidate search among the rows of a task."""
 
     def check(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mask of the pairs of rows that may link, and the likeness of those left."""
+        """Places of the pairs of rows that may link, and their likeness."""
 
     def across(self, a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places in ``a`` and ``b`` (None: ``a`` again) of the pairs that may link, and their likeness."""
@@ -143,7 +143,7 @@ def _small_groups(search: Search, groups: list[np.ndarray]):
         for a in range(0, len(i), PAIR_BLOCK):
             x, y = rows[i[a : a + PAIR_BLOCK]], rows[i[a : a + PAIR_BLOCK] + step]
             keep, _ = search.check(x, y)
-            if keep.any():
+            if len(keep):
                 yield x[keep], y[keep]
 
 
