@@ -30,7 +30,8 @@ def holds(marks_: DataFrame, key: str, ts: str, hold: str, *, auto_return: bool
     the next hold. Without ``auto_return`` only a return ends a hold; one that
     nothing ended has no hold_end. Scenes shown inside a hold are not remembered,
     since the client goes back to the one before. Of marks at one instant
-    triggers count first, then returns, then scenes in order of name.
+    triggers count first, then returns, then scenes in order of name. Rows
+    without a time do not count; those without a key are a stream of their own.
 
     Windows over the marks of a key, one shuffle: a key with a third of all
     rows is one sort in one task, which spills.
@@ -43,7 +44,8 @@ def holds(marks_: DataFrame, key: str, ts: str, hold: str, *, auto_return: bool
     if auto_return:
         fresh |= F.col("shot") + span < F.col(ts)
     number = F.sum(F.when((F.col("kind") == TRIGGER) & fresh, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    dealt = marks_.withColumns({"shot": last(TRIGGER), "back": last(RETURN)}).withColumn("number", number)
+    timed = marks_.where(F.col(ts).isNotNull())
+    dealt = timed.withColumns({"shot": last(TRIGGER), "back": last(RETURN)}).withColumn("number", number)
     # a return belongs to the hold before it, whose triggers all come first
     per_hold = Window.partitionBy(key, "number")
     own = lambda kind: F.when(F.col("kind") == kind, F.col(ts))

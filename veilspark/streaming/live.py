@@ -92,7 +92,7 @@ def holds(marks: DataFrame, key: str, ts: str, hold: str, *, late: str = "10 sec
         span = spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {hold}"))).first()[0]
     kind = marks.schema[key]
     out = T.StructType([T.StructField("key", kind.dataType), *T.StructType.fromDDL("start long, end long, n_triggers long, early boolean, back string").fields])
-    timed = marks.select(key, F.col(ts).cast("timestamp").alias("at"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), "kind", "scene").withWatermark("at", late)
+    timed = marks.where(F.col(ts).isNotNull()).select(key, F.col(ts).cast("timestamp").alias("at"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), "kind", "scene").withWatermark("at", late)
     ended = timed.groupBy(key).applyInPandasWithState(_step(span, privacy), out, T.StructType.fromDDL(_STATE), "append", GroupStateTimeout.EventTimeTimeout)
     moment = lambda c: F.timestamp_micros(c).cast(marks.schema[ts].dataType)
     return ended.select(F.col("key").alias(key), moment("start").alias("hold_start"), moment("end").alias("hold_end"), "n_triggers", "early", F.col("back").alias("return_scene"))
