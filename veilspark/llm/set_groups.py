@@ -74,11 +74,15 @@ def _full_sets(width: int):
     return run, "fp binary, n long, items binary"
 
 
-def save_classes(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """One numbered row (cls, fp, least, copies, n, keys, payload) for the rows of ``signed`` with one fingerprint."""
+def save_classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc, n, fp, keys, payload): all (doc, n, fp), and one numbered row (cls, fp, least, copies, n, keys, payload) for each fingerprint."""
+    signed = scratch.save(signed, "signatures")
     same = signed.where("fp IS NOT NULL").groupBy("fp")
     one = same.agg(F.min("doc").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "payload")])
-    return scratch.save(one.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes = scratch.save(one.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    rows = scratch.save(signed.select("doc", "n", "fp"), "rows")
+    scratch.drop(signed)
+    return rows, classes
 
 
 def _full(cands: DataFrame, classes: DataFrame, base: DataFrame, width: int, scratch: Scratch) -> DataFrame:
@@ -101,29 +105,34 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _meet(tests: DataFrame, side: str, sets: DataFrame) -> DataFrame:
-    """``tests`` with the size and items of the set on one side; a set with many tests is dealt in parts."""
+def _hot(tests: DataFrame, side: str) -> DataFrame | None:
+    """(side, parts) of the sets with more than ``TESTS_PER_SET`` tests."""
     many = tests.groupBy(side).agg(F.ceil(F.count("*") / TESTS_PER_SET).cast("int").alias("parts")).where("parts > 1")
     count = many.count()
+    return (F.broadcast(many) if count <= SENT_SETS else many) if count else None
+
+
+def _meet(tests: DataFrame, side: str, sets: DataFrame, many: DataFrame | None) -> DataFrame:
+    """``tests`` with the size and items of the set on one side; a set with many tests is dealt in parts."""
     own = sets.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("items").alias(f"items_{side}"))
-    if not count:
+    if many is None:
         return tests.join(own, side)
-    if count <= SENT_SETS:
-        many = F.broadcast(many)
     dealt = lambda df, part: df.join(many, side, "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
     tests = dealt(tests, lambda parts: F.pmod(F.xxhash64("a", "b"), parts).cast("int"))
     own = dealt(own, lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)))
     return tests.join(own, [side, "part"]).drop("part")
 
 
-def verified(pairs: DataFrame, names: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs of classes (a, b), those whose full sets reach the threshold."""
-    name = lambda side: names.select(F.col("cls").alias(side), F.struct("cls", "fp").alias(f"{side}_name"))
-    tests = pairs.join(name("a"), "a").join(name("b"), "b")
-    tests = tests.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("a_name.fp").alias("a"), F.col("b_name.fp").alias("b"))
-    near = _meet(_meet(tests, "a", sets), "b", sets).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
+def verified(pairs: DataFrame, names: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Saved pairs of classes (a, b), of those given the ones whose full sets reach the threshold."""
+    name = lambda side: names.select(F.col("cls").alias(f"c{side}"), F.col("fp").alias(side))
+    tests = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(name("a"), "ca").join(name("b"), "cb")
+    tests = scratch.save(tests, "tests")
+    near = _meet(_meet(tests, "a", sets, _hot(tests, "a")), "b", sets, _hot(tests, "b")).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
     common = near.select("ca", "cb", (F.col("n_a") + F.col("n_b")).alias("total"), pandas_udf(_overlap, "long")("items_a", "items_b").alias("common"))
-    return common.where(f"common * {den} >= (total - common) * {num}").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    links = scratch.save(common.where(f"common * {den} >= (total - common) * {num}").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+    scratch.drop(tests)
+    return links
 
 
 def _best(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> np.ndarray:
@@ -248,6 +257,19 @@ def _absorb(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(merged.unionByName(fresh), "components")
 
 
+def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (key, cls, least, members) of the keys of several classes; of keys with the very same classes one."""
+    keyed = classes.select("cls", F.explode("keys").alias("key"))
+    total = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    every = scratch.save(join_back(keyed, shared, ["key"], "members", total), "shared")
+    groups = every.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("least"), F.bit_xor(F.xxhash64("cls")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("x"), "cls")).alias("x1"))
+    groups = groups.groupBy("members", "x0", "x1", "least").agg(F.min("key").alias("key"))
+    cands = scratch.save(join_back(every, groups.select("key", "least", "members"), ["key"], "members", every.count()), "candidates")
+    scratch.drop(every)
+    return cands
+
+
 def class_components(classes: DataFrame, base: DataFrame, width: int, make, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Rows (fp, component, copies): component is the smallest ``least`` that links reach from the class.
 
@@ -255,18 +277,15 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
     come from; ``make(n, payloads, comp)`` is the search of a task's rows.
     """
     spark = classes.sparkSession
-    keyed = classes.select("cls", F.explode("keys").alias("key"))
-    total = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
-    # of the keys with the very same sets one is enough
-    groups = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("least"), F.bit_xor(F.xxhash64("cls")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("x"), "cls")).alias("x1"))
-    groups = groups.where("members > 1").groupBy("members", "x0", "x1", "least").agg(F.min("key").alias("key"))
-    cands = scratch.save(join_back(keyed, groups.select("key", "least", "members"), ["key"], "members", total), "candidates")
+    cands = _candidates(classes, scratch)
     comp = None
     if not cands.isEmpty():
-        names = classes.select("cls", "fp")
+        active = classes.join(cands.select("cls").distinct(), "cls", "left_semi")
+        active = scratch.save(active.select("cls", "fp", "n", "payload"), "active")
+        names = active.select("cls", "fp")
         sets = _full(cands, classes, base, width, scratch)
         pairs = scratch.save(cands.where("cls <> least").groupBy("cls").agg(F.min("least").alias("b")).select(F.col("cls").alias("a"), "b"), "pairs")
-        comp = _absorb(spark.createDataFrame([], "node long, component long"), scratch.save(verified(pairs, names, sets, num, den), "links"), scratch)
+        comp = _absorb(spark.createDataFrame([], "node long, component long"), verified(pairs, names, sets, num, den, scratch), scratch)
         state = cands
         for round_ in range(ROUNDS + 1):
             now = state.select("key", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
@@ -277,17 +296,17 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
             state, rows, every = groups, groups.count(), round_ == ROUNDS
             if not rows:
                 break
-            pairs = _searched(groups.where(F.col("members") <= BLOCK), classes, make, every, max(1, -(-rows // LOT_ROWS)))
+            pairs = _searched(groups.where(F.col("members") <= BLOCK), active, make, every, max(1, -(-rows // LOT_ROWS)))
             big = groups.where(F.col("members") > BLOCK)
             if every:
-                pairs = pairs.unionByName(_blocks(big, classes, make, num, den))
+                pairs = pairs.unionByName(_blocks(big, active, make, num, den))
             else:
                 # in a big group each set outside is tested against members of the main components
                 tests = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("cls", "main.pick").alias("h"), F.col("main.pick").alias("b")))), 1, TESTS)
                 far = big.where(~F.col("in_main")).groupBy("cls").agg(tests.alias("t"))
                 pairs = pairs.unionByName(far.select(F.col("cls").alias("a"), F.explode("t.b").alias("b")))
             pairs = scratch.save(pairs, "pairs")
-            links = scratch.save(verified(pairs, names, sets, num, den), "links")
+            links = verified(pairs, names, sets, num, den, scratch)
             before, comp = comp, _absorb(comp, links, scratch)
             for done in (pairs, links, before):
                 scratch.drop(done)
