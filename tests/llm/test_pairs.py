@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.helpers import components, edge_cases, empty_docs, shingles
-from veilspark.llm import decontaminate, line_dedup, ngram_join, sigtree
+from veilspark.llm import decontaminate, line_dedup, ngram_join, set_groups, sigtree
 from veilspark.llm.components import connected_components
 from veilspark.llm.stage import Scratch
 
@@ -40,8 +40,8 @@ def test_join_equals_brute_force(spark):
 
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_join_through_trees_and_blocks(spark, monkeypatch, rounds):
-    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(set_groups, "ROUNDS", rounds)
+    monkeypatch.setattr(set_groups, "BLOCK", 7)
     texts = dict(enumerate(near_copies(5, 45, edits=6)))
     got = ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(texts)[0]
@@ -83,7 +83,7 @@ def test_prefixes_share_a_key():
 
 
 def test_trees_find_the_links_and_hot_sets_are_salted(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "EDGES_PER_SET", 3)
+    monkeypatch.setattr(set_groups, "TESTS_PER_SET", 3)
     texts = {f"{k:03d}": t for k, t in enumerate(near_copies(7, 50, edits=3) + near_copies(8, 5))}
     got = ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(texts)[0]

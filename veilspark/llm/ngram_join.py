@@ -9,56 +9,26 @@
    first ``n - ceil(t n) + 1`` shingles in that order, the rarest ones. Two sets
    that reach the threshold t share a key. Texts with one fingerprint form a
    class; only classes go on, so that any number of exact copies is one row.
-3. The sets that share a key are a group. Its signature trees (``sigtree``) are
-   the candidate search: dual traversal prunes by size range, by the bound on
-   the overlap from the OR-combined bitmaps, and by known components. First
-   each set meets the best ``TESTS`` sets of the group's main component, a
-   linear number; what is verified on the full sets contracts the group, and
-   after ``ROUNDS`` rounds all pairs of different components that the bounds
-   leave are taken. No pair that links is lost.
-4. Groups of over ``BLOCK`` sets are contracted first, each set against a centre
-   of the group, and then dealt to many tasks.
-5. Components of the verified links, then back to all documents.
+3. The sets that share a key are a group, which ``set_groups`` contracts and
+   proves. Its signature trees (``sigtree``) are the candidate search: dual
+   traversal prunes by size range, by the bound on the overlap from the
+   OR-combined bitmaps, and by known components. No pair that links is lost.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
-from . import sigtree, words
-from .components import connected_components
+from . import set_groups, sigtree
+from .set_groups import fingerprint, shingle_sets
 from .stage import Scratch, unused_name
 
 #: Cells of the rough counts, one byte each when sent, and those that travel together.
 CELLS, CELL_BLOCK = 1 << 20, 1 << 16
-BLOCK = 1024
-#: Rows of small groups that go to Python together, on average: a call for each group costs more than its pairs.
-LOT_ROWS = 4000
-#: Ids sent to all workers at once: 8 bytes each, so at most 32 MB; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
-#: Rounds before all pairs are taken, and tests of one set in each: they only save work.
-ROUNDS, TESTS = 3, 4
-#: Edges that meet one set in one task, and sets with more that are dealt in parts.
-EDGES_PER_SET, SALTED_SETS = 1000, 100_000
-
-
-def _fingerprint(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-
-
-def _sets(column, width: int):
-    """Per chunk: first text, hashes, bounds of the distinct shingle sets."""
-    for chunk in words.word_chunks(column):
-        hashes, bounds = words.shingle_hashes(chunk, width)
-        yield chunk.first, *words.distinct_per_doc(hashes, bounds)
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -69,7 +39,7 @@ def _rough_counts(width: int):
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            for _, hashes, _ in _sets(batch.column(0), width):
+            for _, hashes, _ in shingle_sets(batch.column(0), width):
                 np.add.at(counts, _cell(hashes), 1)
         for a in range(0, CELLS, CELL_BLOCK):
             part = counts[a : a + CELL_BLOCK]
@@ -113,163 +83,36 @@ def _signatures(width: int, num: int, den: int, get):
         levels = get()
         for batch in batches:
             ids = batch.column(0)
-            for first, hashes, bounds in _sets(batch.column(1), width):
+            for first, hashes, bounds in shingle_sets(batch.column(1), width):
                 sizes = np.diff(bounds)
-                fps = [_fingerprint(hashes[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                fps = [fingerprint(hashes[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 keys, ends = prefixes(hashes, bounds, levels, num, den)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
                 bits = [sigtree.bitmap(hashes[a:b]).tobytes() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), lists, pa.array(bits, pa.binary())], names=["doc", "n", "fp", "keys", "bits"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), lists, pa.array(bits, pa.binary())], names=["doc", "n", "fp", "keys", "payload"])
 
     return run
 
 
-def _full_sets(width: int):
-    def run(batches):
-        for batch in batches:
-            for _, hashes, bounds in _sets(batch.column(0), width):
-                rows = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in rows], pa.binary()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["fp", "n", "items"])
-
-    return run, "fp binary, n long, items binary"
-
-
-def _items(edges: DataFrame, classes: DataFrame, base: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(fp, n, items) of the sets that some edge has: only these are made again, from the texts of their classes."""
-    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-    ids = scratch.save(ends.join(classes.select("fp", "least"), "fp").select(F.col("least").alias("id")).distinct(), "ids")
-    run, schema = _full_sets(width)
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # an id with several texts gives sets that no edge has, and repeated rows give sets twice: neither changes a link
-    return scratch.save(base.join(few, base["doc"].eqNullSafe(few["id"]), "left_semi").select("txt").mapInArrow(run, schema), "items")
-
-
-def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a), np.int64)
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-        both.sort()
-        out[k] = np.count_nonzero(both[1:] == both[:-1])
-    return pd.Series(out)
-
-
-def _verified(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of edges (a, b), those whose sets reach the threshold. A set with many edges is dealt in parts."""
-    many = edges.groupBy("b").agg(F.ceil(F.count("*") / EDGES_PER_SET).cast("int").alias("copies")).where("copies > 1")
-    a = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    b = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    on = ["b"]
-    if 0 < many.count() <= SALTED_SETS:
-        many = F.broadcast(many)
-        edges = edges.join(many, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-        b = b.join(many, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
-        on = ["b", "part"]
-    near = edges.join(a, "a").join(b, on).where(f"na * {den} >= nb * {num} AND nb * {den} >= na * {num}")
-    common = near.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), pandas_udf(_overlap, "long")("ia", "ib").alias("common"))
-    return common.where(f"common * {den} >= (total - common) * {num}").select("a", "b")
-
-
-def _main(comp: np.ndarray, size: np.ndarray, maps: np.ndarray) -> np.ndarray:
-    """Mask of a group's main component: the largest; where all are single sets, the one most like the others."""
-    if size.max() > 1:
-        return comp == comp[np.lexsort((comp, -size))[0]]
-    bits = np.unpackbits(maps.view(np.uint8), axis=1)
-    score = bits @ bits.sum(axis=0, dtype=np.int64) / np.maximum(bits.sum(axis=1), 1)
-    out = np.zeros(len(comp), bool)
-    out[np.argmax(score)] = True
-    return out
-
-
-def _best(i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """Places of the ``TESTS`` pairs with the largest bounds of each i."""
-    order = np.lexsort((j, -bound, i))
-    first = np.concatenate(([True], i[order][1:] != i[order][:-1]))
-    rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-    return order[rank < TESTS]
-
-
-def _tree_pairs(num: int, den: int, every: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Candidate pairs of the groups of a task: all, or the best of each set outside the main component."""
-        number, names = pd.factorize(pdf["fp"].to_numpy())
-        comp = pd.factorize(pdf["comp"])[0]
-        maps = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-        n, size, block = pdf["n"].to_numpy(), pdf["size"].to_numpy(), pdf["block"].to_numpy()
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        tree = lambda rows: sigtree.SignatureTree(n[rows], maps[rows], comp[rows])
-        found = []
-
-        def emit(a, b):
-            found.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
-
-        key = pd.factorize(pdf["key"])[0]
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-        groups = np.split(order, starts[1:])
-        # groups that fit in one node are walked together
-        small = [g for g in groups if len(g) <= sigtree.FANOUT] if p == q else []
-        if small:
-            for i, j, _ in sigtree.within_nodes(small, n, maps, comp, num, den):
-                emit(number[i], number[j])
-        for rows in groups:
-            if len(rows) <= sigtree.FANOUT and p == q:
-                continue
-            if every:
-                sides = [rows[block[rows] == x] for x in ((p,) if p == q else (p, q))]
-            else:
-                main = _main(comp[rows], size[rows], maps[rows])
-                sides = [rows[~main], rows[main]]
-            if not all(len(s) for s in sides):
-                continue
-            trees = [tree(s) for s in sides]
-            for i, j, bound in sigtree.dual_traversal(trees[0], trees[1] if len(trees) > 1 else None, num, den):
-                if not every:
-                    best = _best(i, j, bound)
-                    i, j = i[best], j[best]
-                emit(number[sides[0][i]], number[sides[-1][j]])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
+class TreeSearch:
+    """Signature trees of the rows of a task."""
 
-    return run
+    def __init__(self, n, payload, comp, num: int, den: int):
+        self.n, self.comp, self.num, self.den = n.astype(np.int64), comp, num, den
+        self.maps = np.frombuffer(b"".join(payload), np.uint64).reshape(len(n), -1)
+        excess = self.n - np.bitwise_count(self.maps).sum(axis=1).astype(np.int64)
+        self.leaves = (self.maps, self.n, self.n, excess, comp)
 
+    def check(self, i, j):
+        """Leaf by leaf, for groups that make a tree of one node."""
+        keep, bound = sigtree.survivors(self.leaves, self.leaves, i, j, self.num, self.den)
+        return np.flatnonzero(keep), bound
 
-def _by_trees(rest: DataFrame, sets: DataFrame, num: int, den: int, every: bool, lots: int) -> DataFrame:
-    """Distinct candidate pairs of the groups in ``rest`` (key, fp, comp, size, members, least).
+    def _tree(self, rows):
+        return sigtree.SignatureTree(self.n[rows], self.maps[rows], self.comp[rows])
 
-    Groups of one block are dealt in ``lots`` by their smallest member, so that
-    those that share sets tend to meet; of bigger groups, which come here only to take ``every`` pair, each task gets
-    two blocks. Their blocks follow the sizes and then the bitmaps, so that most
-    pairs of blocks end at the roots of their trees.
-    """
-    blocks: Column = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rest.select("key", "fp", "comp", "size", "least", blocks.alias("nb")).join(sets.select("fp", "n", "bits"), "fp")
-    if every:
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp", F.lit("block")), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    else:
-        dealt = dealt.withColumns({"block": F.lit(0), "other": F.lit(0)})
-    big = F.when(F.col("nb") > 1, F.col("key"))
-    lot = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("least"), F.lit(lots)))
-    dealt = dealt.select("key", "fp", "comp", "size", "n", "bits", "block", lot.alias("lot"), big.alias("big"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    pairs = dealt.groupBy("lot", "big", "p", "q").applyInPandas(_tree_pairs(num, den, every), "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _open_groups(cands: DataFrame, comp: DataFrame, round_: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(key, fp, comp, size, members, least, centre) of the groups with several components, one of those with the same members; and its table."""
-    grown = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "fp")
-    member = cands.select("key", "fp").join(grown, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
-    state = scratch.save(member, "members")
-    open_ = state.groupBy("key").agg(
-        F.min("comp").alias("c0"),
-        F.max("comp").alias("c1"),
-        F.count("*").alias("members"),
-        F.min("fp").alias("least"),
-        F.max_by(F.struct("fp", "comp"), F.struct("size", F.xxhash64("fp", F.lit(round_)))).alias("centre"),
-        F.bit_xor(F.xxhash64("fp")).alias("x0"),
-        F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"),
-    )
-    open_ = open_.where("c0 <> c1").groupBy("members", "x0", "x1").agg(*[F.min_by(c, "key").alias(c) for c in ("least", "centre")], F.min("key").alias("key"))
-    return state.join(open_.select("key", "members", "least", "centre"), "key"), state
+    def across(self, a, b):
+        return sigtree.dual_traversal(self._tree(a), None if b is None else self._tree(b), self.num, self.den)
 
 
 def jaccard_components(
@@ -293,62 +136,11 @@ def jaccard_components(
     num, den = percent, 100
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("txt"))
     levels = spark.sparkContext.broadcast(shingle_levels(base.select("txt"), width))
-    schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>, bits binary").fields])
-    signed = scratch.save(base.mapInArrow(_signatures(width, num, den, lambda: levels.value), schema), "signatures")
-    classes = scratch.save(
-        signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes"
-    )
-    keyed = classes.select("fp", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    every = scratch.save(keyed.join(shared, "key").select("key", "fp"), "shared")
-    # of the keys with the very same sets, one is enough
-    same = every.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("fp")).alias("x0"), F.bit_xor(F.xxhash64("fp", F.lit("x"))).alias("x1"))
-    cands = scratch.save(every.join(same.groupBy("members", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "key"), "candidates")
-    scratch.drop(every)
-    if not cands.isEmpty():
-        sets = classes.select("fp", "n", "bits")
-        comp = spark.createDataFrame([], "node binary, component binary")
-        for round_ in range(ROUNDS + 1):
-            groups, state = _open_groups(cands, comp, round_, scratch)
-            lots = max(1, -(-state.count() // LOT_ROWS))
-            if round_ == ROUNDS:
-                pairs = _by_trees(groups, sets, num, den, True, lots)
-            else:
-                small = _by_trees(groups.where(F.col("members") <= BLOCK), sets, num, den, False, lots)
-                # of a big group each set is tested against a member of its largest component
-                tests = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("fp", "centre.fp").alias("h"), F.col("centre.fp").alias("b")))), 1, TESTS)
-                big = groups.where((F.col("members") > BLOCK) & (F.col("comp") != F.col("centre.comp"))).groupBy("fp").agg(tests.alias("t"))
-                pairs = small.unionByName(big.select(F.col("fp").alias("a"), F.explode("t.b").alias("b")))
-            pairs = scratch.save(pairs, "pairs")
-            items = _items(pairs, classes, base, width, scratch)
-            links = scratch.save(_verified(pairs, items, num, den), "links")
-            before, comp = comp, _absorb(comp, links, scratch)
-            for done in (state, pairs, items, links, *([before] if round_ else [])):
-                scratch.drop(done)
-        named = classes.select("fp", "least").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
-        least = named.groupBy("comp").agg(F.min("least").alias("component"))
-        named = named.join(least, "comp").select("fp", "component")
-    else:
-        named = classes.select("fp", F.col("least").alias("component"))
-    sizes = classes.select("fp", "copies")
-    out = signed.select("doc", "n", "fp").join(named.join(sizes, "fp"), "fp", "left")
-    return out.select(
-        F.col("doc").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc").alias("component_id"),
-        F.coalesce("copies", F.lit(1).cast("long")).alias("class_size"),
-    )
-
-
-def _absorb(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components after further links, by the components of the components."""
-    old = comp.select(F.col("node"), F.col("component"))
-    ends = links.select("a", "b").join(old.toDF("a", "ca"), "a", "left").join(old.toDF("b", "cb"), "b", "left")
-    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    over = connected_components(ends, "a", "b", scratch)
-    merged = old.join(over.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    fresh = over.toDF("node", "component").join(old, "node", "left_anti")
-    return scratch.save(merged.unionByName(fresh), "components")
+    schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>, payload binary").fields])
+    rows, classes = set_groups.save_classes(base.mapInArrow(_signatures(width, num, den, lambda: levels.value), schema), scratch)
+    named = set_groups.class_components(classes, base, width, lambda n, payload, comp: TreeSearch(n, payload, comp, num, den), num, den, scratch)
+    out = set_groups.to_rows(rows, named)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_size")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

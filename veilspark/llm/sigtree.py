@@ -96,22 +96,6 @@ def dual_traversal(a: SignatureTree, b: SignatureTree | None, num: int, den: int
         stack.append((la - down_a, lb - down_b, i, j))
 
 
-def within_nodes(groups: list[np.ndarray], sizes: np.ndarray, bitmaps: np.ndarray, components: np.ndarray, num: int, den: int):
-    """As ``dual_traversal`` of each group with itself, for groups of rows that make a tree of one node."""
-    rows = np.concatenate(groups)
-    own = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    maps = bitmaps[rows]
-    excess = sizes[rows] - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
-    node = (maps, sizes[rows], sizes[rows], excess, components[rows])
-    for step in range(1, FANOUT):
-        i = np.flatnonzero(own[step:] == own[:-step])
-        for a in range(0, len(i), PAIR_BLOCK):
-            x = i[a : a + PAIR_BLOCK]
-            keep, bound = survivors(node, node, x, x + step, num, den)
-            if keep.any():
-                yield rows[x[keep]], rows[x[keep] + step], bound
-
-
 def _children(i, j, n_a, n_b):
     k = np.arange(FANOUT)
     if n_a:
