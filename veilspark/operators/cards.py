@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from . import layout
+from . import layout, spatial
 
 RADIUS = 100
 #: What every candidate looks like before the rewrites, none of which changes a length: 16 characters that could be digits
@@ -45,8 +45,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     parts = valid.select(id_col, "number", F.explode(grams(F.col("number"))).alias("gram"))
     touched = parts.join(shown, [id_col, "gram"]).select(id_col, "number", "ord", "x", "y", "w", "h").distinct()
     boxes = touched.groupBy(id_col, "number").agg(*G.merged())
-    near = boxes.join(toks.select(id_col, "ord", "text", *[F.col(c).alias("t" + c) for c in "xywh"]), id_col)
-    near = near.where(G.distance(G.box(), G.box("t")) <= RADIUS)
+    near = spatial.within(boxes, toks.select(id_col, "ord", "text", *[F.col(c).alias("t" + c) for c in "xywh"]), id_col, RADIUS)
     hints = near.groupBy(id_col, "number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda t: t["text"]), " ").alias("around"))
     found = boxes.join(hints, [id_col, "number"], "left").withColumn("around", F.coalesce("around", F.lit("")))
     found = found.withColumns({"has_expiry": F.col("around").rlike(X.EXPIRY_PATTERN), "has_cvv": F.col("around").rlike(X.CVV_PATTERN)})

@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHAR, LINE = 8, 20
+#: Elements of a chunk of running sums.
+CHUNK = 32
+
+
+def starts(values: Column, size: Callable[[Column], Column]) -> Column:
+    """Sums of the sizes of all values before each one, in the row.
+
+    ``values`` has to be a column of the table: it is cut into chunks, so that
+    neither the array nor a running sum is copied for each element.
+    """
+    cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / CHUNK) - 1, F.lit(0)).cast("int"))
+    chunks = F.transform(cuts, lambda k: F.transform(F.slice(values, k * CHUNK + 1, CHUNK), lambda v: size(v).cast("long")))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    before = F.aggregate(F.transform(chunks, total), F.array(F.lit(0).cast("long")), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))
+    before = F.slice(before, F.lit(1), F.size(cuts))
+    return F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(c, lambda _, j: b + total(F.slice(c, F.lit(1), j)))))
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ord, line_no, text, x, y, w, h, confidence): one row per token, ord counts from 0 in a document.
 
-    One shuffle by id; the window over lines reuses its partitioning.
+    All of it is computed inside the row before it is taken apart, so that no
+    token is shuffled.
     """
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    words = lines.select(id_col, "line_no", F.posexplode(F.filter(F.split("line", r"\s+"), lambda t: t != "")).alias("pos", "text"))
-    by_doc = Window.partitionBy(id_col).orderBy("line_no", "pos")
-    by_line = Window.partitionBy(id_col, "line_no").orderBy("pos")
-    out = words.withColumn("ord", F.row_number().over(by_doc) - 1)
-    before = F.coalesce(F.sum(F.length("text")).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.select(
+    words = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda line: F.filter(F.split(line, r"\s+"), lambda t: t != ""))
+    lines = docs.select(F.col(id_col), words.alias("words"))
+    lines = lines.select(id_col, "words", starts(F.col("words"), F.size).alias("first"))
+    each = lines.select(id_col, F.posexplode(F.arrays_zip("words", "first")).alias("line_no", "l")).where(F.size("l.words") > 0)
+    each = each.select(id_col, "line_no", F.col("l.words").alias("words"), F.col("l.first").alias("first"))
+    offsets = starts(F.col("words"), lambda t: F.length(t) + 1)
+    placed = each.select(id_col, "line_no", "first", F.posexplode(F.arrays_zip(F.col("words").alias("text"), offsets.alias("offset"))).alias("pos", "t"))
+    return placed.select(
         id_col,
-        F.col("ord").cast("long").alias("ord"),
+        (F.col("first") + F.col("pos")).cast("long").alias("ord"),
         F.col("line_no").cast("long").alias("line_no"),
-        "text",
-        ((before + F.col("pos")) * CHAR).cast("long").alias("x"),
+        F.col("t.text").alias("text"),
+        (F.col("t.offset") * CHAR).cast("long").alias("x"),
         (F.col("line_no") * LINE).cast("long").alias("y"),
-        (F.length("text") * CHAR).cast("long").alias("w"),
+        (F.length("t.text") * CHAR).cast("long").alias("w"),
         F.lit(LINE).cast("long").alias("h"),
         F.lit(1.0).alias("confidence"),
     )

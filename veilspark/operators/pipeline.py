@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spatial
+
 BLUR, WARN = 0.8, 0.6
 REGISTRY = ("seed_phrase", "credit_card", "crypto_address", "personal_string", "api_key")
 
@@ -27,34 +29,9 @@ def with_actions(dets: DataFrame, blur: float = BLUR, warn: float = WARN) -> Dat
     return dets.withColumn("action", action(F.col("confidence"), blur, warn)).where("action <> 'ignore'")
 
 
-_OVERLAP = """
-    least(a.x + a.w, d.x + d.w) > greatest(a.x, d.x) AND least(a.y + a.h, d.y + d.h) > greatest(a.y, d.y)
-    AND (least(a.x + a.w, d.x + d.w) - greatest(a.x, d.x)) * (least(a.y + a.h, d.y + d.h) - greatest(a.y, d.y))
-      >= {t} * (a.w * a.h + d.w * d.h
-                - (least(a.x + a.w, d.x + d.w) - greatest(a.x, d.x)) * (least(a.y + a.h, d.y + d.h) - greatest(a.y, d.y)))
-"""
-
-
 def merge_overlaps(dets: DataFrame, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """Greedy leaders in det_ord: a box joins the first leader it overlaps; the most confident member stays, first on ties.
-
-    A document's detections fold in one array; they are few.
-    """
-    cols = [c for c in dets.columns if c not in (id_col, "det_ord")]
-    lists = dets.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("det_ord", *[c for c in cols if c != "metadata"], F.to_json("metadata").alias("metadata")))).alias("ds"))
-    overlap = _OVERLAP.format(t=f"{threshold}D")
-    kind = lists.schema["ds"].dataType.elementType.simpleString()
-    fold = f"""
-        aggregate(ds, CAST(array() AS array<struct<leader:{kind},best:{kind}>>), (acc, d) ->
-          CASE WHEN exists(acc, g -> exists(array(g.leader), a -> {overlap}))
-          THEN transform(acc, (g, i) ->
-            CASE WHEN i + 1 = array_position(transform(acc, k -> exists(array(k.leader), a -> {overlap})), true)
-                      AND d.confidence > g.best.confidence
-            THEN struct(g.leader AS leader, d AS best) ELSE g END)
-          ELSE concat(acc, array(struct(d AS leader, d AS best))) END)
-    """
-    merged = lists.select(id_col, F.explode(F.expr(fold)).alias("g")).select(id_col, "g.best.*")
-    return merged.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+    """Greedy leaders in det_ord: a box joins the first leader it overlaps; the most confident member stays, first on ties."""
+    return spatial.merged(dets, id_col, "det_ord", "confidence", threshold)
 
 
 def ranked(dets: DataFrame, id_col: str = "doc_id") -> DataFrame:

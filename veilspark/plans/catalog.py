@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import api_keys, cards, crypto, frames, layout, personal, pipeline, seeds, stateful, stats
+from ..operators import api_keys, cards, crypto, frames, layout, personal, pipeline, seeds, spatial, stateful, stats
 from ..sources import logs
 from ..streaming import scans as streaming
 from . import live_catalog, scan
@@ -179,10 +179,15 @@ def scan_top(spark, d):
 
 
 def iou_pairs(spark, d):
-    """Pairs of overlapping detections in one document; a document has few."""
+    """Pairs of overlapping detections in one document."""
     r = pipeline.with_actions(_raw(spark, d)).select("doc_id", "det_ord", "x", "y", "w", "h")
-    b = r.select("doc_id", F.col("det_ord").alias("other"), *[F.col(c).alias("b" + c) for c in "xywh"])
-    return r.join(b, "doc_id").where("det_ord < other").where(G.iou_at_least(G.box(), G.box("b"))).groupBy("doc_id").agg(F.count("*").alias("n_pairs"))
+    return spatial.overlapping_pairs(r, "doc_id", "det_ord").groupBy("doc_id").agg(F.count("*").alias("n_pairs"))
+
+
+def token_overlaps(spark, d):
+    """Pairs of tokens that overlap when each is twice as wide and begins where the words of its line would be half as far apart."""
+    t = layout.tokens(docs_of(spark, d)).select("doc_id", "ord", F.floor(F.col("x") / 2).alias("x"), "y", (F.col("w") * 2).alias("w"), "h")
+    return spatial.overlapping_pairs(t, "doc_id", "ord").groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"))
 
 
 def log_roundtrip(spark, d):
@@ -355,7 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokens_layout, tokens_split, box_geometry, box_merge, consecutive_runs, dictionary_words, dictionary_hits, seed_detections,
         digit_repair, card_candidates, card_detections, card_detections_orders, crypto_detections, api_key_matches, api_key_services,
         api_key_detections, personal_exact, personal_classify, personal_fuzzy, scan_detections, action_threshold, scan_summary, scan_top,
-        iou_pairs, log_roundtrip, stats_counts, detection_rates, missed_types, word_overlap, percentiles_low, percentiles_high, frame_gate,
+        iou_pairs, token_overlaps, log_roundtrip, stats_counts, detection_rates, missed_types, word_overlap, percentiles_low, percentiles_high, frame_gate,
         frame_sampling, privacy_holds, hold_early_return, hold_return_scene, pause_filter, ui_states, running_counts, frame_fractions, latency_spread, session_totals, clustered_lines, open_holds, scene_actions,
         frame_inversion, stream_cards, stream_gate, stream_holds,
     )

@@ -318,6 +318,10 @@ ORACLES: dict[str, str] = {
             SELECT a.doc_id, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS iw, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS ih,
                    a.w * a.h + b.w * b.h AS total FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.det_ord < b.det_ord)
         SELECT doc_id, count(*) AS n_pairs FROM pairs WHERE iw > 0 AND ih > 0 AND iw * ih >= 0.5 * (total - iw * ih) GROUP BY doc_id""",
+    "token_overlaps": f"""WITH {_layout()}, wide AS (SELECT doc_id, ord, (x // 2)::BIGINT AS x, y, w * 2 AS w, h FROM toks), pairs AS (
+            SELECT a.doc_id, a.ord AS a, b.ord AS b, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS iw, a.h AS ih, a.w * a.h + b.w * b.h AS total
+            FROM wide a JOIN wide b ON a.doc_id = b.doc_id AND a.y = b.y AND a.ord < b.ord)
+        SELECT doc_id, count(*) AS n_pairs, sum(a)::BIGINT AS sum_a, sum(b)::BIGINT AS sum_b FROM pairs WHERE iw > 0 AND iw * ih >= 0.5 * (total - iw * ih) GROUP BY doc_id""",
     "log_roundtrip": f"""{_RAW} SELECT type, action, '[REDACTED]' AS text, count(*) AS n, sum(y)::BIGINT AS sum_y FROM detections
         WHERE doc_id % 7 <> 3 GROUP BY type, action""",
     "stats_counts": f"""{_RAW} SELECT 'type' AS dimension, type AS name, count(*) AS n FROM detections GROUP BY type
