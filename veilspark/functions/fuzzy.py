@@ -68,6 +68,81 @@ def score(pattern: str, text: str) -> float:
     return max(partial_ratio(p, t), token_set_ratio(p, t))
 
 
+def _pieces(n: int, threshold: float) -> list[tuple[int, int]]:
+    """Disjoint pieces of a pattern of n letters, one more than a match at the threshold has edits; none where letters are too few."""
+    count = int(2 * n * (1 - threshold / 100)) + 1
+    return [(n * k // count, n * (k + 1) // count) for k in range(count)] if count <= n else []
+
+
+class Pattern:
+    """A string to look for, with what its search needs."""
+
+    def __init__(self, string: str, threshold: float):
+        self.text, self.threshold = string.lower(), threshold
+        self.n, self.letters, self.words = len(self.text), set(self.text), set(self.text.split())
+        self.edits = int(2 * self.n * (1 - threshold / 100))
+        self.pieces = _pieces(self.n, threshold)
+        # an occurrence that overlaps one just found is passed over, so that every find looks that much further
+        self.reach = self.edits + max((b - a for a, b in self.pieces), default=0)
+
+    def _near(self, text: str) -> list[tuple[int, int]]:
+        """Stretches of the text in which a window that reaches the threshold lies, in order, each letter in one at most."""
+        spans = []
+        for a, b in self.pieces:
+            piece, at = self.text[a:b], -1
+            while (at := text.find(piece, at + 1)) >= 0:
+                lo, hi = max(0, at - a - self.reach), min(len(text), at - a + self.n + self.reach)
+                spans.append((lo, hi))
+                at += b - a - 1
+        out = []
+        for lo, hi in sorted(spans):
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+        return out
+
+    def partial(self, text: str) -> float:
+        """``partial_ratio`` where it reaches the threshold, else 0: only windows near an unchanged piece are compared."""
+        if self.text in text:
+            return 100.0
+        if self.n > len(text) or not self.pieces:
+            found = partial_ratio(self.text, text)
+            return found if found >= self.threshold else 0.0
+        best = 0.0
+        for lo, hi in self._near(text):
+            # windows are shorter than the pattern at the ends of the text alone
+            first = 1 if lo == 0 else lo + self.n
+            last = hi + self.n - 1 if hi == len(text) else hi
+            for end in range(first, last + 1):
+                a, b = max(0, end - self.n), min(end, len(text))
+                if text[b - 1] in self.letters and (b == len(text) or text[a] in self.letters or a == 0):
+                    best = max(best, ratio(self.text, text[a:b]))
+        return best if best >= self.threshold else 0.0
+
+    def token_set(self, text: str) -> float:
+        """``token_set_ratio`` where it reaches the threshold, else 0: lengths alone rule most texts out."""
+        other = set(text.split())
+        both = self.words & other
+        if not self.words or not other:
+            return 0.0
+        if both and (both == self.words or both == other):
+            return 100.0
+        base = " ".join(sorted(both))
+        one = (base + " " + " ".join(sorted(self.words - other))).strip()
+        size = len(base) + bool(both) + sum(map(len, other - both)) + len(other) - len(both) - 1
+        most = lambda a, b: 200.0 * min(a, b) / (a + b)
+        best = ratio(base, one) if both else 0.0
+        if max(most(len(one), size), most(len(base), size) if both else 0.0) >= self.threshold:
+            best = max(best, token_set_ratio(self.text, text))
+        return best if best >= self.threshold else 0.0
+
+    def score(self, text: str) -> float:
+        """``score`` where it reaches the threshold, else 0."""
+        low = text.lower()
+        return max(self.partial(low), self.token_set(low))
+
+
 def may_match(text: Column, pattern: str, threshold: float) -> Column:
     """False only where neither likeness can reach the threshold.
 
@@ -77,13 +152,10 @@ def may_match(text: Column, pattern: str, threshold: float) -> Column:
     """
     p = pattern.lower()
     n = len(p)
-    pieces = int(2 * n * (1 - threshold / 100)) + 1
     low = F.lower(text)
     some = F.length(text) <= 2 * n
-    if pieces <= n:
-        cuts = [n * k // pieces for k in range(pieces + 1)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            some = some | low.contains(p[a:b])
+    for a, b in _pieces(n, threshold):
+        some = some | low.contains(p[a:b])
     for word in p.split():
         some = some | low.contains(word)
     return some
@@ -104,9 +176,9 @@ def partial_udf():
     return pandas_udf(run, "double")
 
 
-def _score_udf(pattern: str):
+def _score_udf(pattern: str, threshold: float):
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: score(pattern, t)).astype(float)
+        return texts.map(Pattern(pattern, threshold).score).astype(float)
 
     return pandas_udf(run, "double")
 
@@ -116,7 +188,7 @@ def scored(docs: DataFrame, patterns: list[str], id_col: str, text_col: str, thr
     parts = []
     for k, pattern in enumerate(patterns):
         near = docs.where(may_match(F.col(text_col), pattern, threshold))
-        parts.append(near.select(id_col, F.lit(k).cast("long").alias("part"), F.lit(pattern).alias("string"), _score_udf(pattern)(text_col).alias("score")))
+        parts.append(near.select(id_col, F.lit(k).cast("long").alias("part"), F.lit(pattern).alias("string"), _score_udf(pattern, threshold)(text_col).alias("score")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -149,6 +149,13 @@ def personal_fuzzy(spark, d):
     return personal.approximate(docs, ["Apache Licence, Version 2.0", "patethic"], threshold=85.0).select("doc_id", "part", "score")
 
 
+def personal_fuzzy_places(spark, d):
+    """Whole documents: where a licence line, a toxic word and a key's head stand, each with letters off."""
+    wanted = ["Apache Licence, Version 2.0", "patethic", "BEGIN PRIVTE KEY"]
+    found = personal.detect(docs_of(spark, d), wanted, fuzzy_match=True, threshold=85.0)
+    return found.select("doc_id", "part", "confidence", "preview", "x", "y", "w", "h", F.col("metadata")["string_type"].alias("string_type"))
+
+
 def _scan(spark, d):
     docs = docs_of(spark, d)
     return scan.detections(docs, CONFIG, seeds.dictionary(docs))
@@ -359,7 +366,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tokens_layout, tokens_split, box_geometry, box_merge, consecutive_runs, dictionary_words, dictionary_hits, seed_detections,
         digit_repair, card_candidates, card_detections, card_detections_orders, crypto_detections, api_key_matches, api_key_services,
-        api_key_detections, personal_exact, personal_classify, personal_fuzzy, scan_detections, action_threshold, scan_summary, scan_top,
+        api_key_detections, personal_exact, personal_classify, personal_fuzzy, personal_fuzzy_places, scan_detections, action_threshold, scan_summary, scan_top,
         iou_pairs, token_overlaps, log_roundtrip, stats_counts, detection_rates, missed_types, word_overlap, percentiles_low, percentiles_high, frame_gate,
         frame_sampling, privacy_holds, hold_early_return, hold_return_scene, pause_filter, ui_states, running_counts, frame_fractions, latency_spread, session_totals, clustered_lines, open_holds, scene_actions,
         frame_inversion, stream_cards, stream_gate, stream_holds,
