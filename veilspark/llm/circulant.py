@@ -167,5 +167,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>, payload binary").fields])
     rows, classes = set_groups.save_classes(base.mapInArrow(_signed(width, bands_for(percent)), schema), scratch)
     named = set_groups.class_components(classes, base, width, lambda n, payload, comp: SignatureSearch(n, payload, comp, percent), percent, 100, scratch)
-    out = set_groups.to_rows(rows, named)
+    out = set_groups.to_rows(rows, named, scratch)
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_size")

@@ -139,7 +139,7 @@ def jaccard_components(
     schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>, payload binary").fields])
     rows, classes = set_groups.save_classes(base.mapInArrow(_signatures(width, num, den, lambda: levels.value), schema), scratch)
     named = set_groups.class_components(classes, base, width, lambda n, payload, comp: TreeSearch(n, payload, comp, num, den), num, den, scratch)
-    out = set_groups.to_rows(rows, named)
+    out = set_groups.to_rows(rows, named, scratch)
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_size")
 
 

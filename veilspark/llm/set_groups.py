@@ -212,7 +212,7 @@ def _searched(groups: DataFrame, classes: DataFrame, make, every: bool, lots: in
     return pairs.distinct()
 
 
-def _blocks(groups: DataFrame, classes: DataFrame, make, num: int, den: int) -> DataFrame:
+def _blocks(groups: DataFrame, classes: DataFrame, make, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Distinct pairs to test of bigger groups, each task getting two blocks of sets.
 
     Sets that link have sizes in one or in two neighbouring classes of size, so
@@ -224,7 +224,7 @@ def _blocks(groups: DataFrame, classes: DataFrame, make, num: int, den: int) ->
     rows = rows.withColumn("size", F.explode(F.array(size, size + 1))).withColumn("key", F.xxhash64("key", "size"))
     counts = rows.groupBy("key").agg(F.count("*").alias("members"), F.count(F.when(~F.col("in_main"), 1)).alias("rest"))
     counts = counts.where("rest > 0 AND members > 1").select("key", "members", F.ceil(F.col("rest") / BLOCK).cast("int").alias("outer"), F.ceil((F.col("members") - F.col("rest")) / BLOCK).cast("int").alias("inner"))
-    rows = join_back(rows, counts, ["key"], "members", rows.count())
+    rows = join_back(rows, scratch.save(counts, "counts"), ["key"], "members", rows.count())
     spread = F.xxhash64("cls", F.lit("block"))
     block = F.when(F.col("in_main"), F.col("outer") + F.pmod(spread, F.greatest("inner", F.lit(1)))).otherwise(F.pmod(spread, "outer")).cast("int")
     last = F.when(F.col("in_main"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
@@ -233,8 +233,8 @@ def _blocks(groups: DataFrame, classes: DataFrame, make, num: int, den: int) ->
     return rows.groupBy("key", "p", "q").applyInPandas(_task_pairs(make, True), "a long, b long").distinct()
 
 
-def _open(state: DataFrame, round_: int, total: int) -> DataFrame:
-    """Rows (key, cls, comp) of the groups with several components, with members, least, main, pick and in_main; of groups with the same members one."""
+def _open(state: DataFrame, round_: int, scratch: Scratch) -> DataFrame:
+    """Saved rows (key, cls, comp) of the groups with several components, with members, least, main, pick and in_main; of groups with the same members one."""
     one = F.xxhash64("cls")
     parts = state.groupBy("key", "comp").agg(
         F.count("*").alias("m"), F.min("cls").alias("least"), F.max_by("cls", F.xxhash64("cls", F.lit(round_))).alias("pick"), F.bit_xor(one).alias("x0"), F.bit_xor(F.xxhash64(F.lit("x"), "cls")).alias("x1")
@@ -243,8 +243,11 @@ def _open(state: DataFrame, round_: int, total: int) -> DataFrame:
         F.count("*").alias("comps"), F.sum("m").alias("members"), F.min("least").alias("least"), F.max_by(F.struct("comp", "pick"), F.struct("m", "pick")).alias("main"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1")
     )
     groups = groups.where("comps > 1").groupBy("members", "x0", "x1").agg(F.min("key").alias("key"), *[F.min_by(c, "key").alias(c) for c in ("least", "main")])
-    rows = join_back(state, groups.select("key", "least", "main", "members", F.col("members").alias("copies")), ["key"], "copies", total)
-    return rows.withColumn("in_main", F.col("comp") == F.col("main.comp"))
+    groups = scratch.save(groups.select("key", "least", "main", "members", F.col("members").alias("copies")), "groups")
+    rows = join_back(state, groups, ["key"], "copies", state.count()).withColumn("in_main", F.col("comp") == F.col("main.comp"))
+    rows = scratch.save(rows, "open")
+    scratch.drop(groups)
+    return rows
 
 
 def _absorb(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -262,11 +265,14 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = classes.select("cls", F.explode("keys").alias("key"))
     total = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = scratch.save(shared, "keys")
     every = scratch.save(join_back(keyed, shared, ["key"], "members", total), "shared")
     groups = every.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("least"), F.bit_xor(F.xxhash64("cls")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("x"), "cls")).alias("x1"))
     groups = groups.groupBy("members", "x0", "x1", "least").agg(F.min("key").alias("key"))
-    cands = scratch.save(join_back(every, groups.select("key", "least", "members"), ["key"], "members", every.count()), "candidates")
-    scratch.drop(every)
+    groups = scratch.save(groups.select("key", "least", "members"), "groups")
+    cands = scratch.save(join_back(every, groups, ["key"], "members", every.count()), "candidates")
+    for done in (shared, every, groups):
+        scratch.drop(done)
     return cands
 
 
@@ -290,7 +296,7 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
         for round_ in range(ROUNDS + 1):
             now = state.select("key", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
             now = scratch.save(now, "members")
-            groups = scratch.save(_open(now, round_, now.count()), "open")
+            groups = _open(now, round_, scratch)
             for done in (state, now):
                 scratch.drop(done)
             state, rows, every = groups, groups.count(), round_ == ROUNDS
@@ -299,7 +305,7 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
             pairs = _searched(groups.where(F.col("members") <= BLOCK), active, make, every, max(1, -(-rows // LOT_ROWS)))
             big = groups.where(F.col("members") > BLOCK)
             if every:
-                pairs = pairs.unionByName(_blocks(big, active, make, num, den))
+                pairs = pairs.unionByName(_blocks(big, active, make, num, den, scratch))
             else:
                 # in a big group each set outside is tested against members of the main components
                 tests = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("cls", "main.pick").alias("h"), F.col("main.pick").alias("b")))), 1, TESTS)
@@ -315,12 +321,13 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
     if comp is None:
         return named.select("fp", F.col("least").alias("component"), "copies")
     named = scratch.save(named.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component"), "named")
-    least = named.groupBy("comp").agg(F.min("least").alias("component"), F.count("*").alias("many"))
+    least = scratch.save(named.groupBy("comp").agg(F.min("least").alias("component"), F.count("*").alias("many")), "least")
     return join_back(named.select("fp", "copies", "comp"), least, ["comp"], "many", named.count()).select("fp", "component", "copies")
 
 
-def to_rows(signed: DataFrame, named: DataFrame) -> DataFrame:
+def to_rows(signed: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (doc, n, component, copies) of ``signed``; those without a set are alone."""
-    out = join_back(signed.where("fp IS NOT NULL").select("doc", "n", "fp"), named.withColumn("class_size", F.col("copies")), ["fp"], "copies", signed.count())
+    named = scratch.save(named.withColumn("class_size", F.col("copies")), "classes-named")
+    out = join_back(signed.where("fp IS NOT NULL").select("doc", "n", "fp"), named, ["fp"], "copies", signed.count())
     alone = signed.where("fp IS NULL").select("doc", "n", F.col("doc").alias("component"), F.lit(1).cast("long").alias("class_size"))
     return out.select("doc", "n", "component", "class_size").unionByName(alone)

@@ -35,17 +35,18 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
     """Every row with the columns of its group, nulls in a key being equal.
 
-    ``groups`` has one row for each key and its number of rows in ``copies``.
-    The fewer than ``HOT_PART`` hot groups are sent to all workers, the rest
+    ``groups`` is a saved or small table with one row for each key and its
+    number of rows in ``copies``. Fewer than ``HOT_PART`` groups are hot: their
+    hashed keys come to the driver, and they are sent to all workers. The rest
     meet their rows by a shuffle in which no key is hot.
     """
-    other = groups.select(*[F.col(k).alias(f"{k}__g") for k in keys], *[c for c in groups.columns if c not in keys])
-    hot = F.col(copies) * HOT_PART > total
-    same = lambda: [F.col(k).eqNullSafe(F.col(f"{k}__g")) for k in keys]
-    out = [c for c in [*rows.columns, *groups.columns] if c != copies]
-    out = list(dict.fromkeys(out))
-    few = F.broadcast(other.where(hot))
-    return (
-        rows.join(few, same()).select(*out)
-        .unionByName(rows.join(few, same(), "left_anti").join(other.where(~hot), same()).select(*out))
-    )
+    code = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.where(F.col(copies) * HOT_PART > total).select(code).distinct().collect()]
+    out = list(dict.fromkeys(c for c in [*rows.columns, *groups.columns] if c != copies))
+    named = lambda df: df.select(*[F.col(k).alias(f"{k}__g") for k in keys], *[c for c in groups.columns if c not in keys])
+    join = lambda left, right: left.join(right, [F.col(k).eqNullSafe(F.col(f"{k}__g")) for k in keys]).select(*out)
+    if not hot:
+        return join(rows, named(groups))
+    # a cold group whose hash is that of a hot one goes with it
+    apart = code.isin(hot)
+    return join(rows.where(apart), F.broadcast(named(groups.where(apart)))).unionByName(join(rows.where(~apart), named(groups.where(~apart))))
