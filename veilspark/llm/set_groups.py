@@ -21,7 +21,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from . import words
 from .components import connected_components
@@ -96,13 +95,28 @@ def _full(cands: DataFrame, classes: DataFrame, base: DataFrame, width: int, scr
     return sets if rows == kinds else scratch.save(sets.dropDuplicates(["fp"]), "sets")
 
 
-def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a), np.int64)
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-        both.sort()
-        out[k] = np.count_nonzero(both[1:] == both[:-1])
-    return pd.Series(out)
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Data and offsets of a binary column without nulls, not copied."""
+    _, offsets, data = column.buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+
+
+def _linked(num: int, den: int):
+    """Of rows (ca, cb, items_a, items_b) the names of those whose sets reach the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            (x, at), (y, to) = _bytes(batch.column(2)), _bytes(batch.column(3))
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                both = np.concatenate((x[at[k] : at[k + 1]].view(np.uint64), y[to[k] : to[k + 1]].view(np.uint64)))
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep[k] = common * den >= (len(both) - common) * num
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+    return run, "a long, b long"
 
 
 def _hot(tests: DataFrame, side: str) -> DataFrame | None:
@@ -129,8 +143,8 @@ def verified(pairs: DataFrame, names: DataFrame, sets: DataFrame, num: int, den:
     tests = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(name("a"), "ca").join(name("b"), "cb")
     tests = scratch.save(tests, "tests")
     near = _meet(_meet(tests, "a", sets, _hot(tests, "a")), "b", sets, _hot(tests, "b")).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
-    common = near.select("ca", "cb", (F.col("n_a") + F.col("n_b")).alias("total"), pandas_udf(_overlap, "long")("items_a", "items_b").alias("common"))
-    links = scratch.save(common.where(f"common * {den} >= (total - common) * {num}").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+    run, schema = _linked(num, den)
+    links = scratch.save(near.select("ca", "cb", "items_a", "items_b").mapInArrow(run, schema), "links")
     scratch.drop(tests)
     return links
 
