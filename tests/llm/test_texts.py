@@ -144,9 +144,9 @@ def test_mixing(spark, docs, labels):
     # by the true labels, the mixture is near its targets
     labelled = sum(tokens[k] for k in MIX_WEIGHTS)
     for k, weight in MIX_WEIGHTS.items():
-        assert abs(tokens[k] / labelled - weight) < 0.04, (k, tokens, mixture, {k: np.mean(np.array(v) > 0) for k, v in by.items()})
+        assert abs(tokens[k] / labelled - weight) < 0.03, (k, tokens, mixture, {k: np.mean(np.array(v) > 0) for k, v in by.items()})
     share = dict(zip(mixture.domains, np.array(mixture.achieved) / sum(mixture.achieved)))
-    assert all(abs(share[k] - w) < 0.04 for k, w in MIX_WEIGHTS.items())
+    assert all(abs(share[k] - w) < max(0.2 * w * (w < 0.5), 0.027) for k, w in MIX_WEIGHTS.items())
     # the same steps in NumPy over documents instead of posterior cells
     p = np.array([[r.posterior[k] for k in sorted(r.posterior)] for r in rows])
     t = np.array([r.n_tokens for r in rows], float)
@@ -156,11 +156,11 @@ def test_mixing(spark, docs, labels):
     rate, before = np.ones(len(t)), math.inf
     for _ in range(mixing.STEPS):
         gap = ((t * rate) @ p - target) / np.maximum(base, 1e-9)
-        loss = ((gap**2 * base).sum() + mixing.RIDGE * (t * (rate - 1) ** 2).sum()) / base.sum()
+        loss = (gap**2 * base).sum() / base.sum()
         if loss < 1e-8 or before - loss < 1e-4 * loss:
             break
         before = loss
-        rate = np.maximum(0, rate - mixing.STEP * (p @ gap + mixing.RIDGE * (rate - 1)))
+        rate = np.maximum(0, rate - mixing.STEP * (p @ gap))
     assert np.allclose(rate, [r.rate for r in rows], atol=1e-6)
 
 

@@ -13,11 +13,10 @@ so that the posteriors fit labels that were left out.
 Then nonnegative rates (expected copies of a document) are fitted so that the
 expected tokens of each domain, ``A_k = sum(rate * tokens * P(k))``, come closest
 to the targets in scaled least squares: projected gradient steps
-``rate <- max(0, rate - step * (sum_k P(k) (A_k - T_k) / S_k + RIDGE (rate - 1)))``,
-with S_k the domain's tokens at rate 1. There are far more documents than
-domains, so that many rates meet the targets; the ridge chooses those near 1
-copy, and no document goes for a small doubt. Each step is one distributed
-aggregate. Documents
+``rate <- max(0, rate - step * sum_k P(k) (A_k - T_k) / S_k)``, with S_k the
+domain's tokens at rate 1. There are far more documents than domains, so that
+many rates meet the targets; the steps start from 1 copy of each document, and
+so end at rates near that. Each step is one distributed aggregate. Documents
 with equal posteriors have equal rates through all steps, so the aggregate runs
 over tokens summed per posterior (rounded to 1/1000: a number of rows that does
 not grow with the corpus). The rate of a document is the same fold over the
@@ -44,7 +43,7 @@ PSEUDO_DOCS = 4.0
 CHANCE = 8.0
 #: Bound of the sums of weights, Newton steps, and penalty of the regression.
 MOST, NEWTON, PENALTY = 12.0, 8, 1.0
-STEPS, STEP, RIDGE = 40, 1.5, 0.03
+STEPS, STEP = 40, 1.5
 
 
 def _words(text: Column) -> Column:
@@ -182,7 +181,7 @@ def _rate(posterior: str, residuals: list[list[float]]) -> Column:
         return F.lit(1.0)
     history = ", ".join(f"array({', '.join(f'{x!r}D' for x in e)})" for e in residuals)
     push = " + ".join(f"{posterior}[{k}] * e[{k}]" for k in range(len(residuals[0])))
-    return F.expr(f"aggregate(array({history}), 1.0D, (rate, e) -> greatest(0.0D, rate - {STEP}D * ({push} + {RIDGE}D * (rate - 1.0D))))")
+    return F.expr(f"aggregate(array({history}), 1.0D, (rate, e) -> greatest(0.0D, rate - {STEP}D * ({push})))")
 
 
 @dataclass
@@ -207,16 +206,16 @@ def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float],
     share = [weights.get(k, 0.0) / total_weight for k in domains]
     lead = max(range(len(domains)), key=lambda k: share[k])
     targets = [s / share[lead] * base[lead] for s in share]
-    residuals, achieved, moved, before = [], base, 0.0, math.inf
+    residuals, achieved, before = [], base, math.inf
     for _ in range(steps):
         gaps = [(a - t) / max(b, 1e-9) for a, t, b in zip(achieved, targets, base, strict=True)]
-        loss = (sum(e * e * b for e, b in zip(gaps, base, strict=True)) + RIDGE * moved) / sum(base)
+        loss = sum(e * e * b for e, b in zip(gaps, base, strict=True)) / sum(base)
         if loss < 1e-8 or before - loss < 1e-4 * loss:
             break
         before = loss
         residuals.append(gaps)
         rate = _rate("__p", residuals)
-        *achieved, moved = (float(x or 0) for x in scored.agg(*sums(rate), F.sum(F.col("__tokens") * (rate - 1) * (rate - 1))).first())
+        achieved = [float(x or 0) for x in scored.agg(*sums(rate)).first()]
     return Mixture(domains, targets, achieved, residuals)
 
 
