@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from . import layout
 
 MAX_GAP = 50
@@ -16,8 +15,6 @@ def dictionary(docs: DataFrame, text_col: str = "text", size: int = 2048) -> Dat
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
     counted = words.where(F.col("word").rlike("^[a-z]{3,8}$")).groupBy("word").agg(F.count("*").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(size)
-    from pyspark.sql import Window
-
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word")).cast("long"))
 
 
@@ -40,16 +37,24 @@ def confidence(n: Column) -> Column:
 
 
 def word_hits(toks: DataFrame, words: DataFrame) -> DataFrame:
-    return layout.split_words(toks).join(F.broadcast(words.select("word")), "word", "left_semi")
+    """Words of the list; a list as small as it should be is sent to all workers by the planner, a large one is not."""
+    return layout.split_words(toks).join(words.select("word"), "word", "left_semi")
 
 
 def detect(toks: DataFrame, words: DataFrame, id_col: str = "doc_id", *, min_words: int = 12) -> DataFrame:
     """One row per run of at least ``min_words`` dictionary words; other words between them do not break it."""
     if min_words not in (12, 24):
         raise ValueError("min_words must be 12 or 24")
-    kept = layout.runs(word_hits(toks, words), id_col, ["y", "x", "ord", "sub"], MAX_GAP, min_words)
     place = F.struct("y", "x", "ord", "sub")
-    found = kept.groupBy(id_col, "run").agg(F.count("*").alias("word_count"), F.min_by("word", place).alias("first"), F.max_by("word", place).alias("last"), *G.merged())
+    # words of one height cannot break a run, so that a line is one row before anything is shuffled
+    lines = word_hits(toks, words).groupBy(id_col, "y").agg(F.count("*").alias("n"), F.min_by("word", place).alias("head"), F.max_by("word", place).alias("tail"), F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("low"))
+    w = Window.partitionBy(id_col).orderBy("y")
+    gap = F.col("y") - F.lag("y").over(w) > MAX_GAP
+    lines = lines.withColumn("run", F.sum(F.when(gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    found = lines.groupBy(id_col, "run").agg(
+        F.sum("n").alias("word_count"), F.min_by("head", "y").alias("first"), F.max_by("tail", "y").alias("last"),
+        F.min("x").alias("x"), F.min("y").alias("y"), (F.max("right") - F.min("x")).alias("w"), (F.max("low") - F.min("y")).alias("h"),
+    ).where(F.col("word_count") >= min_words)
     n = F.col("word_count")
     return found.select(
         id_col,

@@ -18,7 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents of a table with fewer pieces than there are cores (a small file of one row group), dealt to all of them.
+
+    Detectors work inside the row, so that the scan's pieces are their tasks. A
+    table of a corpus has more pieces than cores and stays as it is.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def customer_text() -> Column:
