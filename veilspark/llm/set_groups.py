@@ -81,6 +81,7 @@ def save_classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     classes = scratch.save(one.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows = scratch.save(signed.select("doc", "n", "fp"), "rows")
     scratch.drop(signed)
+    scratch.release()
     return rows, classes
 
 
@@ -119,6 +120,12 @@ def _linked(num: int, den: int):
     return run, "a long, b long"
 
 
+def _wanted(tests: DataFrame, side: str) -> DataFrame:
+    """The sets of one side of the tests (16 bytes each), sent to all workers if they are few."""
+    names = tests.select(side).distinct()
+    return F.broadcast(names) if names.count() <= SENT_IDS else names
+
+
 def _hot(tests: DataFrame, side: str) -> DataFrame | None:
     """(side, parts) of the sets with more than ``TESTS_PER_SET`` tests."""
     many = tests.groupBy(side).agg(F.ceil(F.count("*") / TESTS_PER_SET).cast("int").alias("parts")).where("parts > 1")
@@ -126,9 +133,11 @@ def _hot(tests: DataFrame, side: str) -> DataFrame | None:
     return (F.broadcast(many) if count <= SENT_SETS else many) if count else None
 
 
-def _meet(tests: DataFrame, side: str, sets: DataFrame, many: DataFrame | None) -> DataFrame:
-    """``tests`` with the size and items of the set on one side; a set with many tests is dealt in parts."""
+def _meet(tests: DataFrame, side: str, sets: DataFrame, wanted: DataFrame, many: DataFrame | None) -> DataFrame:
+    """``tests`` with the size and items of the set on one side, of the ``wanted`` ones; a set with many tests is dealt in parts."""
     own = sets.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("items").alias(f"items_{side}"))
+    # only the sets of this side are shuffled
+    own = own.join(wanted, side, "left_semi")
     if many is None:
         return tests.join(own, side)
     dealt = lambda df, part: df.join(many, side, "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
@@ -142,7 +151,7 @@ def verified(pairs: DataFrame, names: DataFrame, sets: DataFrame, num: int, den:
     name = lambda side: names.select(F.col("cls").alias(f"c{side}"), F.col("fp").alias(side))
     tests = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(name("a"), "ca").join(name("b"), "cb")
     tests = scratch.save(tests, "tests")
-    near = _meet(_meet(tests, "a", sets, _hot(tests, "a")), "b", sets, _hot(tests, "b")).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
+    near = _meet(_meet(tests, "a", sets, _wanted(tests, "a"), _hot(tests, "a")), "b", sets, _wanted(tests, "b"), _hot(tests, "b")).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
     run, schema = _linked(num, den)
     links = scratch.save(near.select("ca", "cb", "items_a", "items_b").mapInArrow(run, schema), "links")
     scratch.drop(tests)
@@ -287,6 +296,7 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     cands = scratch.save(join_back(every, groups, ["key"], "members", every.count()), "candidates")
     for done in (shared, every, groups):
         scratch.drop(done)
+    scratch.release()
     return cands
 
 
@@ -330,6 +340,7 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
             before, comp = comp, _absorb(comp, links, scratch)
             for done in (pairs, links, before):
                 scratch.drop(done)
+            scratch.release()
         scratch.drop(sets)
     named = classes.select("cls", "fp", "least", "copies")
     if comp is None:

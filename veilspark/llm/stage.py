@@ -6,6 +6,7 @@ again: an executor that dies takes no intermediate result with it.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,15 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         self._delete(df._scratch_path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of what is no longer used.
+
+        It does so when the driver's collector finds their owners gone, which in
+        a large heap may be after many rounds.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
