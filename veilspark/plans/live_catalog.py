@@ -9,7 +9,7 @@ from ..functions import sql
 from ..operators import live, seeds, stateful
 from ..streaming import actions as sink
 from ..streaming import live as streaming
-from ..streaming import scan_stream, scans
+from ..streaming import loop, scan_stream, scans
 from . import scan
 from .catalog_base import CONFIG, STRINGS, docs_of, customer_text, stream_of, stream_root, table
 
@@ -60,6 +60,16 @@ def stream_scan_log(spark: SparkSession, d: str) -> DataFrame:
     return log.agg(F.sum("rows").alias("n_rows"), F.sum("detections").alias("n_detections"), F.max("detectors_run").alias("detectors_run"), F.max("failed").alias("failed"))
 
 
+def stream_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as frames: gate, all detectors but the dictionary's, and what to show."""
+    root = stream_root(spark, "loop")
+    frames = stream_of(spark, d, "conversations").select("conv_id", "turn", "text")
+    states, _, _ = loop.Loop(root, scan.detectors(CONFIG, id_col="frame"), "conv_id", "turn").run(frames, f"{root}/state")
+    return states.groupBy("conv_id").agg(
+        F.count("*").alias("n_frames"), F.count(F.when(F.col("changed"), 1)).alias("n_changed"), F.coalesce(F.sum("n_detections"), F.lit(0)).alias("n_detections"), F.count(F.when(F.col("state") == "alert", 1)).alias("n_alerts")
+    )
+
+
 def _minute(doc_id: Column) -> Column:
     """Documents come a minute apart."""
     return F.timestamp_seconds(F.lit(1_704_067_200) + doc_id * 60)
@@ -91,4 +101,4 @@ def sql_findings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (live_holds, live_open_holds, stream_live_holds, stream_scene_actions, stream_scan, stream_scan_log, stream_type_counts, sql_scalars, sql_findings)}
+QUERIES = {f.__name__: f for f in (live_holds, live_open_holds, stream_live_holds, stream_scene_actions, stream_scan, stream_scan_log, stream_loop, stream_type_counts, sql_scalars, sql_findings)}

@@ -55,6 +55,21 @@ _SCAN = f"""{_RAW.replace("WITH", "WITH RECURSIVE", 1)},
            row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, det_ord) AS rank
     FROM kept JOIN detections USING (doc_id, det_ord)"""
 
+#: Turns as frames: what changed is scanned as a document of its own.
+_FRAMES = """gated AS (
+        SELECT conv_id, turn, text, conv_id::VARCHAR || '/' || turn::VARCHAR AS frame, row_number() OVER o = 1 OR text IS DISTINCT FROM lag(text) OVER o AS changed
+        FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)
+    ), documents AS (SELECT frame AS doc_id, text FROM gated WHERE changed)"""
+
+
+def _loop() -> str:
+    merged = _SCAN.replace("WITH RECURSIVE", f"WITH RECURSIVE {_FRAMES},", 1).replace("FROM detections)", "FROM detections WHERE type <> 'seed_phrase')", 1)
+    a = merged.rindex("SELECT doc_id, type, confidence, preview")
+    return f"""{merged[:a].rstrip()}, shown AS ({merged[a:]}), per AS (SELECT doc_id AS frame, count(*) AS n, bool_or(action = 'blur') AS blur FROM shown GROUP BY 1)
+        SELECT conv_id, count(*) AS n_frames, count(*) FILTER (changed) AS n_changed, coalesce(sum(n), 0)::BIGINT AS n_detections, count(*) FILTER (blur) AS n_alerts
+        FROM gated LEFT JOIN per USING (frame) GROUP BY conv_id"""
+
+
 _SHOWN = "CASE WHEN length('[' || service || '] ' || description) > 50 THEN left('[' || service || '] ' || description, 47) || '...' ELSE '[' || service || '] ' || description END"
 _NUMBER = "lpad(c_custkey::VARCHAR, 4, '4') || '11l1 11II 1O'"
 
@@ -69,6 +84,7 @@ ORACLES: dict[str, str] = {
     "scan_detections": _SCAN,
     "stream_scan": _SCAN,
     "stream_scan_log": f"""{_SCAN.replace("FROM detections)", "FROM detections WHERE type <> 'seed_phrase')", 1).replace("SELECT doc_id, type, confidence, preview, x::BIGINT", "SELECT (SELECT count(*) FROM documents) AS n_rows, count(*) AS n_detections, 4::BIGINT AS detectors_run, '' AS failed FROM (SELECT doc_id, type, confidence, preview, x::BIGINT")})""",
+    "stream_loop": _loop(),
     "stream_type_counts": f"""WITH {_candidates('documents')}, {_key_matches('documents')}, strings(string) AS (VALUES {", ".join(f"('{s}')" for s in _STRINGS)}),
         found AS (
             SELECT doc_id, 'credit_card' AS type FROM candidates WHERE {_LUHN}

@@ -14,29 +14,34 @@ def holds(triggers: DataFrame, key: str, ts: str, hold: str, late: str = "10 sec
     return s.select(key, F.col("s.start").alias("hold_start"), F.col("s.end").alias("hold_end"), "n_triggers")
 
 
-def change_gate_table(frames: DataFrame, key: str, order: str, value: str, path: str, checkpoint: str) -> DataFrame:
-    """(key, order, changed) of a stream over what there is, written to Parquet and read.
+def gated(batch: DataFrame, number: int, key: str, order: str, value: str, path: str) -> DataFrame:
+    """The rows of a micro-batch (key, order, value, changed), compared in order with those before them.
 
-    The rows of a micro-batch are compared in order by a window, which spills
-    and does not see how they are cut for Python. The last value of each key is
-    a table that each micro-batch reads and writes anew under its own number, so
-    that one that is run again gives the same rows.
+    A window does it, which spills and does not see how a batch is cut for
+    Python. The last value of each key is a table that each micro-batch reads
+    and writes anew under its own number, so that one that is run again gives
+    the same rows.
     """
-    spark = frames.sparkSession
     w = Window.partitionBy(key).orderBy("__new", order)
     place = F.struct("__new", order)
-    last_schema = frames.select(key, order, value).schema
+    rows = batch.select(key, order, value, F.lit(1).alias("__new"))
+    if number:
+        last = batch.sparkSession.read.schema(batch.select(key, order, value).schema).parquet(f"{path}/{number - 1}")
+        rows = rows.unionByName(last.withColumn("__new", F.lit(0)))
+    last = rows.groupBy(key).agg(F.max(place).alias("__at"), F.max_by(value, place).alias(value))
+    last.select(key, F.col(f"__at.{order}").alias(order), value).write.mode("overwrite").parquet(f"{path}/{number}")
+    changed = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
+    return rows.withColumn("changed", changed).where("__new = 1").drop("__new")
+
+
+def change_gate_table(frames: DataFrame, key: str, order: str, value: str, path: str, checkpoint: str) -> DataFrame:
+    """(key, order, changed) of a stream over what there is, written to Parquet and read."""
+    spark = frames.sparkSession
     schema = frames.select(key, order).schema.add("changed", "boolean")
 
     def gate(batch: DataFrame, number: int) -> None:
-        rows = batch.select(key, order, value, F.lit(1).alias("__new"))
-        if number:
-            last = batch.sparkSession.read.schema(last_schema).parquet(f"{path}-last/{number - 1}")
-            rows = rows.unionByName(last.withColumn("__new", F.lit(0)))
-        changed = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
-        rows.withColumn("changed", changed).where("__new = 1").select(key, order, "changed").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        last = rows.groupBy(key).agg(F.max(place).alias("__at"), F.max_by(value, place).alias(value))
-        last.select(key, F.col(f"__at.{order}").alias(order), value).write.mode("overwrite").parquet(f"{path}-last/{number}")
+        rows = gated(batch, number, key, order, value, f"{path}-last")
+        rows.select(key, order, "changed").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
     frames.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
