@@ -85,9 +85,10 @@ def save_classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     return rows, classes
 
 
-def _full(cands: DataFrame, classes: DataFrame, base: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(fp, n, items) of the classes in some group, made again from their texts."""
-    wanted = scratch.save(cands.select("cls").distinct().join(classes.select("cls", "least"), "cls").select(F.xxhash64("least").alias("id")).distinct(), "wanted")
+def _full(tests: DataFrame, base: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(fp, n, items) of the sets in ``tests``, made again from their texts."""
+    wanted = tests.select(F.xxhash64("least_a").alias("id")).union(tests.select(F.xxhash64("least_b"))).distinct()
+    wanted = scratch.save(wanted, "wanted")
     few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
     run, schema = _full_sets(width)
     # an id with several texts, or a hash of two ids, gives sets that no test has
@@ -120,12 +121,6 @@ def _linked(num: int, den: int):
     return run, "a long, b long"
 
 
-def _wanted(tests: DataFrame, side: str) -> DataFrame:
-    """The sets of one side of the tests (16 bytes each), sent to all workers if they are few."""
-    names = tests.select(side).distinct()
-    return F.broadcast(names) if names.count() <= SENT_IDS else names
-
-
 def _hot(tests: DataFrame, side: str) -> DataFrame | None:
     """(side, parts) of the sets with more than ``TESTS_PER_SET`` tests."""
     many = tests.groupBy(side).agg(F.ceil(F.count("*") / TESTS_PER_SET).cast("int").alias("parts")).where("parts > 1")
@@ -133,11 +128,9 @@ def _hot(tests: DataFrame, side: str) -> DataFrame | None:
     return (F.broadcast(many) if count <= SENT_SETS else many) if count else None
 
 
-def _meet(tests: DataFrame, side: str, sets: DataFrame, wanted: DataFrame, many: DataFrame | None) -> DataFrame:
-    """``tests`` with the size and items of the set on one side, of the ``wanted`` ones; a set with many tests is dealt in parts."""
+def _meet(tests: DataFrame, side: str, sets: DataFrame, many: DataFrame | None) -> DataFrame:
+    """``tests`` with the size and items of the set on one side; a set with many tests is dealt in parts."""
     own = sets.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("items").alias(f"items_{side}"))
-    # only the sets of this side are shuffled
-    own = own.join(wanted, side, "left_semi")
     if many is None:
         return tests.join(own, side)
     dealt = lambda df, part: df.join(many, side, "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
@@ -146,15 +139,32 @@ def _meet(tests: DataFrame, side: str, sets: DataFrame, wanted: DataFrame, many:
     return tests.join(own, [side, "part"]).drop("part")
 
 
-def verified(pairs: DataFrame, names: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+def _plausible(pairs: DataFrame, active: DataFrame, make) -> DataFrame:
+    """Of pairs of classes (a, b), those that the search leaves: far less is sent for that than full sets."""
+
+    def run(batches):
+        for pdf in batches:
+            k = len(pdf)
+            search = make(np.concatenate((pdf["n_a"], pdf["n_b"])), [*pdf["payload_a"], *pdf["payload_b"]], np.arange(2 * k))
+            keep, _ = search.check(np.arange(k), np.arange(k) + k)
+            yield pdf[["a", "b"]].iloc[np.sort(keep)]
+
+    side = lambda s: active.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("payload").alias(f"payload_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, active: DataFrame, base: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Saved pairs of classes (a, b), of those given the ones whose full sets reach the threshold."""
-    name = lambda side: names.select(F.col("cls").alias(f"c{side}"), F.col("fp").alias(side))
+    name = lambda side: active.select(F.col("cls").alias(f"c{side}"), F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
     tests = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(name("a"), "ca").join(name("b"), "cb")
     tests = scratch.save(tests, "tests")
-    near = _meet(_meet(tests, "a", sets, _wanted(tests, "a"), _hot(tests, "a")), "b", sets, _wanted(tests, "b"), _hot(tests, "b")).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
+    sets = _full(tests, base, width, scratch)
+    tests_ = tests.select("ca", "cb", "a", "b")
+    near = _meet(_meet(tests_, "a", sets, _hot(tests_, "a")), "b", sets, _hot(tests_, "b")).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
     run, schema = _linked(num, den)
     links = scratch.save(near.select("ca", "cb", "items_a", "items_b").mapInArrow(run, schema), "links")
-    scratch.drop(tests)
+    for done in (tests, sets):
+        scratch.drop(done)
     return links
 
 
@@ -311,11 +321,11 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
     comp = None
     if not cands.isEmpty():
         active = classes.join(cands.select("cls").distinct(), "cls", "left_semi")
-        active = scratch.save(active.select("cls", "fp", "n", "payload"), "active")
-        names = active.select("cls", "fp")
-        sets = _full(cands, classes, base, width, scratch)
-        pairs = scratch.save(cands.where("cls <> least").groupBy("cls").agg(F.min("least").alias("b")).select(F.col("cls").alias("a"), "b"), "pairs")
-        comp = _absorb(spark.createDataFrame([], "node long, component long"), verified(pairs, names, sets, num, den, scratch), scratch)
+        active = scratch.save(active.select("cls", "fp", "least", "n", "payload"), "active")
+        pairs = cands.where("cls <> least").groupBy("cls").agg(F.min("least").alias("b")).select(F.col("cls").alias("a"), "b")
+        pairs = scratch.save(_plausible(pairs, active, make), "pairs")
+        comp = _absorb(spark.createDataFrame([], "node long, component long"), verified(pairs, active, base, width, num, den, scratch), scratch)
+        scratch.release()
         state = cands
         for round_ in range(ROUNDS + 1):
             now = state.select("key", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
@@ -334,14 +344,13 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
                 # in a big group each set outside is tested against members of the main components
                 tests = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("cls", "main.pick").alias("h"), F.col("main.pick").alias("b")))), 1, TESTS)
                 far = big.where(~F.col("in_main")).groupBy("cls").agg(tests.alias("t"))
-                pairs = pairs.unionByName(far.select(F.col("cls").alias("a"), F.explode("t.b").alias("b")))
+                pairs = pairs.unionByName(_plausible(far.select(F.col("cls").alias("a"), F.explode("t.b").alias("b")), active, make))
             pairs = scratch.save(pairs, "pairs")
-            links = verified(pairs, names, sets, num, den, scratch)
+            links = verified(pairs, active, base, width, num, den, scratch)
             before, comp = comp, _absorb(comp, links, scratch)
             for done in (pairs, links, before):
                 scratch.drop(done)
             scratch.release()
-        scratch.drop(sets)
     named = classes.select("cls", "fp", "least", "copies")
     if comp is None:
         return named.select("fp", F.col("least").alias("component"), "copies")
