@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import connected_components
-from .stage import Scratch
+from .stage import Scratch, small_batches
 from .vectors import join_back
 
 #: Sets of a group that one task holds.
@@ -34,8 +34,10 @@ LOT_ROWS = 4000
 #: Groups of so many sets or fewer are compared pair by pair, all groups of a task together.
 SMALL = 8
 PAIR_BLOCK = 1 << 15
+#: Pairs of full sets that Python holds at once.
+PAIRS_AT_ONCE = 256
 #: Rounds before all pairs are taken, and tests of one set in each: they only save work.
-ROUNDS, TESTS = 2, 4
+ROUNDS, TESTS = 1, 4
 #: Tests that meet one set in one task, and sets with more of which a list is sent to all workers (12 bytes each).
 TESTS_PER_SET, SENT_SETS = 1000, 100_000
 #: Hashed ids (8 bytes each) that are sent to all workers; more meet the texts by a shuffle.
@@ -85,16 +87,15 @@ def save_classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     return rows, classes
 
 
-def _full(tests: DataFrame, base: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+def _full(tests: DataFrame, base: DataFrame, width: int, repeated: bool, scratch: Scratch) -> DataFrame:
     """(fp, n, items) of the sets in ``tests``, made again from their texts."""
     wanted = tests.select(F.xxhash64("least_a").alias("id")).union(tests.select(F.xxhash64("least_b"))).distinct()
     wanted = scratch.save(wanted, "wanted")
     few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
     run, schema = _full_sets(width)
     # an id with several texts, or a hash of two ids, gives sets that no test has
-    sets = scratch.save(base.withColumn("id", F.xxhash64("doc")).join(few, "id", "left_semi").select("txt").mapInArrow(run, schema), "sets")
-    rows, kinds = sets.agg(F.count("*"), F.countDistinct("fp")).first()
-    return sets if rows == kinds else scratch.save(sets.dropDuplicates(["fp"]), "sets")
+    sets = base.withColumn("id", F.xxhash64("doc")).join(few, "id", "left_semi").select("txt").mapInArrow(run, schema)
+    return scratch.save(sets.dropDuplicates(["fp"]) if repeated else sets, "sets")
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +122,10 @@ def _linked(num: int, den: int):
     return run, "a long, b long"
 
 
-def _hot(tests: DataFrame, side: str) -> DataFrame | None:
-    """(side, parts) of the sets with more than ``TESTS_PER_SET`` tests."""
+def _hot(tests: DataFrame, side: str, total: int) -> DataFrame | None:
+    """(side, parts) of the sets with more than ``TESTS_PER_SET`` of all tests."""
+    if total <= TESTS_PER_SET:
+        return None
     many = tests.groupBy(side).agg(F.ceil(F.count("*") / TESTS_PER_SET).cast("int").alias("parts")).where("parts > 1")
     count = many.count()
     return (F.broadcast(many) if count <= SENT_SETS else many) if count else None
@@ -153,16 +156,17 @@ def _plausible(pairs: DataFrame, active: DataFrame, make) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, active: DataFrame, base: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, active: DataFrame, base: DataFrame, width: int, num: int, den: int, repeated: bool, scratch: Scratch) -> DataFrame:
     """Saved pairs of classes (a, b), of those given the ones whose full sets reach the threshold."""
     name = lambda side: active.select(F.col("cls").alias(f"c{side}"), F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
     tests = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(name("a"), "ca").join(name("b"), "cb")
     tests = scratch.save(tests, "tests")
-    sets = _full(tests, base, width, scratch)
-    tests_ = tests.select("ca", "cb", "a", "b")
-    near = _meet(_meet(tests_, "a", sets, _hot(tests_, "a")), "b", sets, _hot(tests_, "b")).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
+    sets, total = _full(tests, base, width, repeated, scratch), tests.count()
+    named = tests.select("ca", "cb", "a", "b")
+    near = _meet(_meet(named, "a", sets, _hot(named, "a", total)), "b", sets, _hot(named, "b", total)).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
     run, schema = _linked(num, den)
-    links = scratch.save(near.select("ca", "cb", "items_a", "items_b").mapInArrow(run, schema), "links")
+    with small_batches(scratch.spark, PAIRS_AT_ONCE):
+        links = scratch.save(near.select("ca", "cb", "items_a", "items_b").mapInArrow(run, schema), "links")
     for done in (tests, sets):
         scratch.drop(done)
     return links
@@ -317,6 +321,8 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
     come from; ``make(n, payloads, comp)`` is the search of a task's rows.
     """
     spark = classes.sparkSession
+    # where an id has several rows, a text can be read more than once
+    repeated = not base.groupBy(F.xxhash64("doc")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     cands = _candidates(classes, scratch)
     comp = None
     if not cands.isEmpty():
@@ -324,7 +330,7 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
         active = scratch.save(active.select("cls", "fp", "least", "n", "payload"), "active")
         pairs = cands.where("cls <> least").groupBy("cls").agg(F.min("least").alias("b")).select(F.col("cls").alias("a"), "b")
         pairs = scratch.save(_plausible(pairs, active, make), "pairs")
-        comp = _absorb(spark.createDataFrame([], "node long, component long"), verified(pairs, active, base, width, num, den, scratch), scratch)
+        comp = _absorb(spark.createDataFrame([], "node long, component long"), verified(pairs, active, base, width, num, den, repeated, scratch), scratch)
         scratch.release()
         state = cands
         for round_ in range(ROUNDS + 1):
@@ -346,7 +352,7 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
                 far = big.where(~F.col("in_main")).groupBy("cls").agg(tests.alias("t"))
                 pairs = pairs.unionByName(_plausible(far.select(F.col("cls").alias("a"), F.explode("t.b").alias("b")), active, make))
             pairs = scratch.save(pairs, "pairs")
-            links = verified(pairs, active, base, width, num, den, scratch)
+            links = verified(pairs, active, base, width, num, den, repeated, scratch)
             before, comp = comp, _absorb(comp, links, scratch)
             for done in (pairs, links, before):
                 scratch.drop(done)
