@@ -72,7 +72,7 @@ def _action(confidence: str) -> str:
 
 def _findings(catalog: tuple[KeyPattern, ...], prefix: str) -> str:
     """Array of what a text shows: valid card numbers, wallet addresses under their first network, the first key of each service."""
-    line = _LINE
+    line = "line"  # of a lambda around all of it, so that it is joined once for a text
     row = lambda kind, preview, confidence: f"struct({literal(kind)} AS type, {preview} AS preview, {confidence} AS confidence, {_action(confidence)} AS action)"
     # a variable of a higher-order function cannot be given to an SQL function, so the checksum's body stands here
     cards = f"transform(filter({prefix}card_numbers(given), n -> {SCALARS['luhn_ok'][1].replace('given', 'n')}), n -> {row('credit_card', _ENDS.format('n', 4), '0.8D')})"
@@ -86,7 +86,8 @@ def _findings(catalog: tuple[KeyPattern, ...], prefix: str) -> str:
     for service in dict.fromkeys(p.service for p in catalog):
         shown = lambda p: literal(s if len(s := f"[{p.service}] {p.description}") <= 50 else f"{s[:47]}...")
         keys.append("CASE " + " ".join(f"WHEN {line} RLIKE {literal(p.pattern)} THEN {row('api_key', shown(p), f'{p.confidence}D')}" for p in catalog if p.service == service) + " END")
-    return f"concat({cards}, {wallets}, filter(array({', '.join(keys)}), k -> k IS NOT NULL))"
+    rest = f"concat({wallets}, filter(array({', '.join(keys)}), k -> k IS NOT NULL))"
+    return f"concat({cards}, element_at(transform(array({_LINE}), line -> {rest}), 1))"
 
 
 _ROW = "type STRING, preview STRING, confidence DOUBLE, action STRING"
