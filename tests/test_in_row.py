@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from tests.conftest import SF
 from veilspark.functions import sql
 from veilspark.operators import api_keys, cards, crypto, layout, personal, seeds, spatial
+from veilspark.plans import catalog
 
 
 def plan(df):
@@ -69,3 +71,11 @@ def test_whole_keys_stand_together():
 def test_findings_join_a_text_once():
     body = next(s for s in sql.statements() if "findings(given" in s)
     assert body.count(sql._LINE) == 1
+
+
+def test_orders_are_dealt_to_all_cores_and_texts_made_once(spark):
+    made = catalog._secrets(spark, SF)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # the filter on the text stands over the generator that makes it
+    shown = plan(made.where("text rlike 'x'"))
+    assert shown.index("RLIKE") < shown.index("Generate") and shown.count("md5") <= shown[shown.index("Generate") :].count("md5")
