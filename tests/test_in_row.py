@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from veilspark.functions import sql
@@ -79,3 +80,14 @@ def test_orders_are_dealt_to_all_cores_and_texts_made_once(spark):
     # the filter on the text stands over the generator that makes it
     shown = plan(made.where("text rlike 'x'"))
     assert shown.index("RLIKE") < shown.index("Generate") and shown.count("md5") <= shown[shown.index("Generate") :].count("md5")
+
+
+def test_texts_with_cards_are_found_by_their_long_tokens(spark):
+    """What the prefilter lets through, against the pattern that it stands for, and no pattern of a whole token at every place."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(("1", "l", "O", "7", "a", "-", "1", "é", "😀", " " if k % 3 else "4", "\n" if k % 5 else "x")) for _ in range(rng.randrange(60))) for k in range(400)]
+    texts += ["x" * 15 + "1" * 16, "1" * 15 + " 1", "1x" * 15, "1x" * 16, ""]
+    old = cards.GROUPS + r"|(?<!\S)(?:[^\s0-9lIOo]*+[0-9lIOo]){16}"
+    kept = docs(spark, *texts).select("text", cards._could("text").alias("could"), F.col("text").rlike(old).alias("old"))
+    assert {(True, True), (False, False)} == {(r.could, r.old) for r in kept.collect()}
+    assert "(?<!" not in plan(docs(spark, "x").where(cards._could("text"))) and "(?<!\\\\S)" not in sql.SCALARS["card_numbers"][1]

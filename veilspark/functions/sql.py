@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..operators.cards import GROUPS, IN_TOKEN
+from ..operators.cards import DIGIT, GROUPS, LONG_TOKEN
 from ..operators.crypto import PATTERNS
 from ..operators.pipeline import BLUR, WARN
 from ..sources.patterns import BUILT_IN, KeyPattern
@@ -57,10 +57,10 @@ SCALARS: dict[str, tuple[str, str]] = {
     ),
     "card_numbers": (
         "ARRAY<STRING>",
-        f"""CASE WHEN given IS NULL OR NOT given RLIKE {literal(f"{GROUPS}|{IN_TOKEN}")} THEN array() ELSE array_distinct(concat(
+        f"""CASE WHEN given IS NULL OR NOT (given RLIKE {literal(GROUPS)} OR exists(regexp_extract_all(given, {literal(LONG_TOKEN)}, 0), t -> regexp_count(t, '{DIGIT}') >= 16)) THEN array() ELSE array_distinct(concat(
             filter(transform(regexp_extract_all({_repair(_LINE)}, {literal(X.CARD_PATTERN)}, 0), m -> translate(m, ' -', '')), m -> m RLIKE '^\\\\d{{16}}$'),
             flatten(transform(
-                filter(transform(filter(split({_LINE}, ' '), t -> regexp_count(t, '[0-9lIOo]') >= 16), t -> regexp_replace({_repair("t")}, '\\\\D', '')), d -> length(d) >= 16),
+                filter(transform(filter(split({_LINE}, ' '), t -> regexp_count(t, '{DIGIT}') >= 16), t -> regexp_replace({_repair("t")}, '\\\\D', '')), d -> length(d) >= 16),
                 d -> transform(sequence(1, length(d) - 15), i -> substring(d, i, 16)))))) END""",
     ),
 }
