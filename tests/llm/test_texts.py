@@ -536,3 +536,11 @@ def test_html_edge_cases(spark):
     rows = {r.page_id: r for r in html_text.extract(df).collect()}
     assert rows[1].text == "" and rows[3].n_chars == 20_000 * 3 - 2 and rows[5].text == "deep"
     assert html_text.extract(df).count() == 6 and html_text.extract(df.where("false")).count() == 0
+
+
+def test_links_are_a_plan_of_moderate_size(spark):
+    """Each step's value is worked out once and not put in place of each of its uses."""
+    pages = spark.createDataFrame([("http://a.org/x/y", '<base href="../z/"><link rel="canonical" href="b?c=1&amp;d">')], "url string, html string")
+    edges = url_filter.link_edges(pages).where("a <> b")
+    assert len(edges._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert [tuple(r) for r in edges.collect()] == [("a.org/x/y", "a.org/z/b?c=1&d")]

@@ -74,6 +74,12 @@ def _tags(html: Column, pattern: str, value: str) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda tag: F.regexp_extract(tag, value, 1))
 
 
+def _fixed(value: Column) -> Column:
+    """Generator of one row with the value. The planner puts a plain expression in place of each of its uses when it moves a
+    filter; steps that each use the one before several times then grow to a plan that fills the driver's memory."""
+    return F.explode(F.array(value))
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b) addresses: a page and where its canonical links and its refreshes lead.
 
@@ -82,14 +88,17 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """
     html = F.col(html_col)
     some = pages.where(F.col(url_col).contains("://") & (F.lower(html).contains("canonical") | F.lower(html).contains("refresh")))
-    some = some.select(F.col(url_col).alias("u"), F.regexp_replace(html, r"(?s)<!--.*?(-->|$)", "").alias("h"))
+    some = some.select(F.col(url_col).alias("u"), _fixed(F.regexp_replace(html, r"(?s)<!--.*?(-->|$)", "")).alias("h"))
     href = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
     canonical = _tags(F.col("h"), r"""(?is)<link\b[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b[^>]*>""", href)
     refresh = _tags(F.col("h"), r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""")
     own_base = F.element_at(F.concat(_tags(F.col("h"), r"(?is)<base\b[^>]*>", href), F.array(F.lit(""))), 1)
-    links = some.select("u", F.coalesce(resolve(F.col("u"), own_base), F.col("u")).alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''")
-    links = links.withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&")))
-    return links.select(address(F.col("u")).alias("a"), address(resolve(F.col("base"), F.col("link"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    links = some.select("u", "h", F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''")
+    links = links.select("u", F.replace("link", F.lit("&amp;"), F.lit("&")).alias("link"), _fixed(own_base).alias("own"))
+    links = links.select("u", "link", _fixed(F.coalesce(resolve(F.col("u"), F.col("own")), F.col("u"))).alias("base"))
+    links = links.select("u", _fixed(resolve(F.col("base"), F.col("link"))).alias("target"))
+    ends = links.select("target", _fixed(address(F.col("u"))).alias("a")).select("a", _fixed(address(F.col("target"))).alias("b"))
+    return ends.where("a IS NOT NULL AND b IS NOT NULL")
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame, key: str, host: str, path: str) -> DataFrame:
