@@ -1,6 +1,7 @@
 """What is found in a document is placed in its row: plans without joins and shuffles, and results against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tests.conftest import SF
 from veilspark.functions import sql
 from veilspark.operators import api_keys, cards, crypto, layout, personal, seeds, spatial
 from veilspark.plans import catalog
+from veilspark.sources.patterns import BUILT_IN
 
 
 def plan(df):
@@ -91,3 +93,14 @@ def test_texts_with_cards_are_found_by_their_long_tokens(spark):
     kept = docs(spark, *texts).select("text", cards._could("text").alias("could"), F.col("text").rlike(old).alias("old"))
     assert {(True, True), (False, False)} == {(r.could, r.old) for r in kept.collect()}
     assert "(?<!" not in plan(docs(spark, "x").where(cards._could("text"))) and "(?<!\\\\S)" not in sql.SCALARS["card_numbers"][1]
+
+
+def test_fixed_texts_of_keys_are_in_their_patterns(spark):
+    assert all(p.needs in p.pattern.replace("\\.", ".") for p in BUILT_IN) and sum(p.needs != "" for p in BUILT_IN) == 21
+    assert "ontains" in plan(api_keys.first_matches(docs(spark, "x")))
+
+
+def test_the_dictionary_is_one_plan_for_all_joins(spark):
+    texts = docs(spark, "some words")
+    shown = plan(seeds.detect(layout.tokens(texts), seeds.dictionary(texts)))
+    assert len(re.findall(r"Filter isnotnull\(word#\d+\)\n[^\n]*TakeOrderedAndProject", shown)) == shown.count("TakeOrderedAndProject") == 3
