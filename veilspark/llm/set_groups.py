@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import connected_components
-from .stage import Scratch, small_batches
+from .stage import Scratch
 from .vectors import join_back
 
 #: Sets of a group that one task holds.
@@ -34,12 +34,12 @@ LOT_ROWS = 4000
 #: Groups of so many sets or fewer are compared pair by pair, all groups of a task together.
 SMALL = 8
 PAIR_BLOCK = 1 << 15
-#: Pairs of full sets that Python holds at once.
-PAIRS_AT_ONCE = 256
+#: Bytes of full sets that one task holds, on average.
+LOT_BYTES = 4 << 20
 #: Rounds before all pairs are taken, and tests of one set in each: they only save work.
 ROUNDS, TESTS = 1, 4
-#: Tests that meet one set in one task, and sets with more of which a list is sent to all workers (12 bytes each).
-TESTS_PER_SET, SENT_SETS = 1000, 100_000
+#: Sets that meet one set in one task, and sets (with their lots) of which a list is sent to all workers; more meet their lots by a shuffle.
+TESTS_PER_SET, SENT_SETS = 1000, 500_000
 #: Hashed ids (8 bytes each) that are sent to all workers; more meet the texts by a shuffle.
 SENT_IDS = 1_000_000
 
@@ -70,9 +70,9 @@ def _full_sets(width: int):
         for batch in batches:
             for _, hashes, bounds in shingle_sets(batch.column(0), width):
                 rows = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in rows], pa.binary()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["fp", "n", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in rows], pa.binary()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["fp", "items"])
 
-    return run, "fp binary, n long, items binary"
+    return run, "fp binary, items binary"
 
 
 def save_classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -87,15 +87,40 @@ def save_classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     return rows, classes
 
 
+def _lots(tests: DataFrame) -> DataFrame | None:
+    """``tests`` with the lot whose task compares them, None if there are none.
+
+    Tests of one bucket share their sets and stay together. A bucket with more
+    than a lot holds is cut into slices of its sets, and two slices meet in a lot.
+    """
+    end = lambda s: tests.select("bucket", F.col(f"c{s}").alias("x"), F.col(f"n_{s}").alias("n"))
+    sets = end("a").unionAll(end("b")).groupBy("bucket", "x", "n").agg(F.count("*").alias("k"))
+    held = sets.groupBy("bucket").agg(F.count("*").alias("sets"), (F.sum("n") * 8).alias("bytes"), (F.sum(F.col("n") * F.col("k")) * 8).alias("most"))
+    over = F.greatest(F.ceil(2 * F.col("bytes") / LOT_BYTES), F.ceil(F.col("sets") / TESTS_PER_SET))
+    held = held.withColumn("slices", F.when((F.col("bytes") <= LOT_BYTES) & (F.col("sets") <= TESTS_PER_SET), 1).otherwise(over).cast("int"))
+    sent = F.when(F.col("slices") == 1, F.col("bytes")).otherwise(F.least("most", F.col("bytes") * 2 * F.col("slices")))
+    total, slices = held.agg(F.sum(sent), F.max("slices")).first()
+    if total is None:
+        return None
+    part = [F.col("bucket")]
+    if slices > 1:
+        tests = tests.join(F.broadcast(held.where("slices > 1").select("bucket", "slices")), "bucket", "left")
+        part += [F.pmod(F.xxhash64(c), F.coalesce("slices", F.lit(1))) for c in ("ca", "cb")]
+    return tests.withColumn("lot", F.pmod(F.xxhash64(*part), F.lit(max(1, -(-total // LOT_BYTES)))).cast("int"))
+
+
 def _full(tests: DataFrame, base: DataFrame, width: int, repeated: bool, scratch: Scratch) -> DataFrame:
-    """(fp, n, items) of the sets in ``tests``, made again from their texts."""
-    wanted = tests.select(F.xxhash64("least_a").alias("id")).union(tests.select(F.xxhash64("least_b"))).distinct()
-    wanted = scratch.save(wanted, "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    """(lot, fp, items) of the sets in ``tests``, made again from their texts: each once for a lot that needs it."""
+    side = lambda s: tests.select(F.xxhash64(f"least_{s}").alias("id"), F.xxhash64(s).alias("code"), "lot")
+    wanted = scratch.save(side("a").unionAll(side("b")).groupBy("id", "code").agg(F.collect_set("lot").alias("lots")), "wanted")
+    count = wanted.count()
+    sent = lambda df, most: F.broadcast(df) if count <= most else df
     run, schema = _full_sets(width)
     # an id with several texts, or a hash of two ids, gives sets that no test has
-    sets = base.withColumn("id", F.xxhash64("doc")).join(few, "id", "left_semi").select("txt").mapInArrow(run, schema)
-    return scratch.save(sets.dropDuplicates(["fp"]) if repeated else sets, "sets")
+    sets = base.withColumn("id", F.xxhash64("doc")).join(sent(wanted.select("id").distinct(), SENT_IDS), "id", "left_semi").select("txt").mapInArrow(run, schema)
+    if repeated:
+        sets = sets.dropDuplicates(["fp"])
+    return sets.withColumn("code", F.xxhash64("fp")).join(sent(wanted.select("code", "lots"), SENT_SETS), "code").select(F.explode("lots").alias("lot"), "fp", "items")
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,43 +130,22 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked(num: int, den: int):
-    """Of rows (ca, cb, items_a, items_b) the names of those whose sets reach the threshold."""
-
-    def run(batches):
-        for batch in batches:
-            (x, at), (y, to) = _bytes(batch.column(2)), _bytes(batch.column(3))
-            keep = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                both = np.concatenate((x[at[k] : at[k + 1]].view(np.uint64), y[to[k] : to[k + 1]].view(np.uint64)))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[k] = common * den >= (len(both) - common) * num
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+    """Of the tests (ca, cb, a, b) of a lot, the classes of those whose sets reach the threshold."""
+
+    def run(sets: pa.Table, tests: pa.Table) -> pa.Table:
+        data, at = _bytes(pa.chunked_array(sets.column("items").chunks, pa.binary()).combine_chunks())
+        items = {fp: data[at[k] : at[k + 1]].view(np.uint64) for k, fp in enumerate(sets.column("fp").to_pylist())}
+        keep = np.zeros(len(tests), bool)
+        for k, (a, b) in enumerate(zip(tests.column("a").to_pylist(), tests.column("b").to_pylist(), strict=True)):
+            both = np.concatenate((items[a], items[b]))
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            keep[k] = common * den >= (len(both) - common) * num
+        return tests.select(["ca", "cb"]).filter(pa.array(keep)).rename_columns(["a", "b"])
 
     return run, "a long, b long"
 
 
-def _hot(tests: DataFrame, side: str, total: int) -> DataFrame | None:
-    """(side, parts) of the sets with more than ``TESTS_PER_SET`` of all tests."""
-    if total <= TESTS_PER_SET:
-        return None
-    many = tests.groupBy(side).agg(F.ceil(F.count("*") / TESTS_PER_SET).cast("int").alias("parts")).where("parts > 1")
-    count = many.count()
-    return (F.broadcast(many) if count <= SENT_SETS else many) if count else None
-
-
-def _meet(tests: DataFrame, side: str, sets: DataFrame, many: DataFrame | None) -> DataFrame:
-    """``tests`` with the size and items of the set on one side; a set with many tests is dealt in parts."""
-    own = sets.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("items").alias(f"items_{side}"))
-    if many is None:
-        return tests.join(own, side)
-    dealt = lambda df, part: df.join(many, side, "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
-    tests = dealt(tests, lambda parts: F.pmod(F.xxhash64("a", "b"), parts).cast("int"))
-    own = dealt(own, lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)))
-    return tests.join(own, [side, "part"]).drop("part")
-
-
 def _plausible(pairs: DataFrame, active: DataFrame, make) -> DataFrame:
     """Of pairs of classes (a, b), those that the search leaves: far less is sent for that than full sets."""
 
@@ -157,18 +161,25 @@ def _plausible(pairs: DataFrame, active: DataFrame, make) -> DataFrame:
 
 
 def verified(pairs: DataFrame, active: DataFrame, base: DataFrame, width: int, num: int, den: int, repeated: bool, scratch: Scratch) -> DataFrame:
-    """Saved pairs of classes (a, b), of those given the ones whose full sets reach the threshold."""
-    name = lambda side: active.select(F.col("cls").alias(f"c{side}"), F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
-    tests = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(name("a"), "ca").join(name("b"), "cb")
+    """Saved pairs of classes (a, b), of those given the ones whose full sets reach the threshold.
+
+    Full sets are what weighs, so that each goes once to the lot of its tests,
+    not once with each test. A test's bucket is the smallest class that one of
+    its two is tested with, which a family of copies has in common.
+    """
+    ends = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
+    near = active.drop("payload").join(ends.groupBy("cls").agg(F.least("cls", F.min("other")).alias("near")), "cls")
+    side = lambda s: near.select(F.col("cls").alias(f"c{s}"), F.col("fp").alias(s), F.col("least").alias(f"least_{s}"), F.col("n").alias(f"n_{s}"), F.col("near").alias(f"near_{s}"))
+    tests = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(side("a"), "ca").join(side("b"), "cb")
+    tests = tests.where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}").withColumn("bucket", F.least("near_a", "near_b")).drop("near_a", "near_b")
     tests = scratch.save(tests, "tests")
-    sets, total = _full(tests, base, width, repeated, scratch), tests.count()
-    named = tests.select("ca", "cb", "a", "b")
-    near = _meet(_meet(named, "a", sets, _hot(named, "a", total)), "b", sets, _hot(named, "b", total)).where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
+    dealt = _lots(tests)
+    if dealt is None:
+        return scratch.save(scratch.spark.createDataFrame([], "a long, b long"), "links")
+    sets = _full(dealt, base, width, repeated, scratch)
     run, schema = _linked(num, den)
-    with small_batches(scratch.spark, PAIRS_AT_ONCE):
-        links = scratch.save(near.select("ca", "cb", "items_a", "items_b").mapInArrow(run, schema), "links")
-    for done in (tests, sets):
-        scratch.drop(done)
+    links = scratch.save(sets.groupBy("lot").cogroup(dealt.select("lot", "ca", "cb", "a", "b").groupBy("lot")).applyInArrow(run, schema), "links")
+    scratch.drop(tests)
     return links
 
 
@@ -303,6 +314,7 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     total = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = scratch.save(shared, "keys")
+    scratch.release()
     every = scratch.save(join_back(keyed, shared, ["key"], "members", total), "shared")
     groups = every.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("least"), F.bit_xor(F.xxhash64("cls")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("x"), "cls")).alias("x1"))
     groups = groups.groupBy("members", "x0", "x1", "least").agg(F.min("key").alias("key"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import gc
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +28,6 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Batches of at most ``rows`` rows for Python inside the block, for tables of long rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 class Scratch:
     """Writes intermediate tables and deletes those that are no longer needed."""
 
