@@ -1,9 +1,9 @@
 """N-gram Jaccard join: word-shingle sets linked at an exact Jaccard threshold.
 
 1. One pass over the texts counts shingles roughly, in ``CELLS`` cells, so that
-   frequent ones are known. The order (cell's level, hash) of the shingles is
-   the same everywhere; how well the cells count only decides how long the work
-   takes.
+   frequent ones are known, and better known the larger the corpus is. The order
+   (cell's level, hash) of the shingles is the same everywhere; how well the
+   cells count only decides how long the work takes.
 2. One pass makes the set of distinct word shingles (64-bit hashes) of each
    text, its size, a 128-bit fingerprint of the whole set, and its keys: the
    first ``n - ceil(t n) + 1`` shingles in that order, the rarest ones. Two sets
@@ -12,7 +12,8 @@
 3. The sets that share a key are a group, which ``set_groups`` contracts and
    proves. Its signature trees (``sigtree``) are the candidate search: dual
    traversal prunes by size range, by the bound on the overlap from the
-   OR-combined bitmaps, and by known components. No pair that links is lost.
+   OR-combined bitmaps, and by known components. Large sets fill those bitmaps,
+   so that their pairs are bounded by wider ones. No pair that links is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from . import set_groups, sigtree
 from .set_groups import fingerprint, shingle_sets
 from .stage import Scratch, unused_name
 
-#: Cells of the rough counts, one byte each when sent, and those that travel together.
+#: Cells of the rough counts, two bytes each when sent, and those that travel together.
 CELLS, CELL_BLOCK = 1 << 20, 1 << 16
+#: Steps of a cell's level for each 1 of the count's root; chance moves the root by a half, however full the cells are.
+STEPS = 8
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -50,21 +53,21 @@ def _rough_counts(width: int):
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
-    """Levels of one block of cells: log2 of the count."""
+    """Levels of one block of cells: the count's root, so that a repeated shingle stands out in full cells too."""
     total = np.zeros(CELL_BLOCK, np.uint64)
     for blob in table.column("counts").to_pylist():
         total += np.frombuffer(blob, np.uint32)
-    level = np.ceil(np.log2(total + 1.0)).astype(np.uint8)
+    level = np.minimum(np.rint(STEPS * np.sqrt(total)), 65535).astype(np.uint16)
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
 
 
 def shingle_levels(base: DataFrame, width: int) -> np.ndarray:
-    """Level of each cell: ``CELLS`` bytes at any size of the corpus."""
+    """Level of each cell: two bytes for each of ``CELLS`` at any size of the corpus."""
     run, schema = _rough_counts(width)
     rows = base.mapInArrow(run, schema).groupBy("block").applyInArrow(_add_counts, "block int, levels binary").collect()
-    levels = np.zeros(CELLS, np.uint8)
+    levels = np.zeros(CELLS, np.uint16)
     for r in rows:
-        levels[r["block"] * CELL_BLOCK : (r["block"] + 1) * CELL_BLOCK] = np.frombuffer(r["levels"], np.uint8)
+        levels[r["block"] * CELL_BLOCK : (r["block"] + 1) * CELL_BLOCK] = np.frombuffer(r["levels"], np.uint16)
     return levels
 
 
@@ -89,7 +92,9 @@ def _signatures(width: int, num: int, den: int, get):
                 keys, ends = prefixes(hashes, bounds, levels, num, den)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
                 bits = [sigtree.bitmap(hashes[a:b]).tobytes() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), lists, pa.array(bits, pa.binary())], names=["doc", "n", "fp", "keys", "payload"])
+                wide = [set_groups.wide_bitmap(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                columns = [ids.slice(first, len(sizes)), pa.array(sizes), pa.array(fps, pa.binary()), lists, pa.array(bits, pa.binary()), pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "fp", "keys", "payload", "wide"])
 
     return run
 
@@ -136,7 +141,7 @@ def jaccard_components(
     num, den = percent, 100
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("txt"))
     levels = spark.sparkContext.broadcast(shingle_levels(base.select("txt"), width))
-    schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>, payload binary").fields])
+    schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("n long, fp binary, keys array<long>, payload binary, wide binary").fields])
     rows, classes = set_groups.save_classes(base.mapInArrow(_signatures(width, num, den, lambda: levels.value), schema), scratch)
     named = set_groups.class_components(classes, base, width, lambda n, payload, comp: TreeSearch(n, payload, comp, num, den), num, den, scratch)
     out = set_groups.to_rows(rows, named, scratch)

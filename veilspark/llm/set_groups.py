@@ -34,6 +34,8 @@ LOT_ROWS = 4000
 #: Groups of so many sets or fewer are compared pair by pair, all groups of a task together.
 SMALL = 8
 PAIR_BLOCK = 1 << 15
+#: Sets of more than so many tokens have a bitmap of a bit or two for each, as far as ``WIDEST``.
+LARGE, WIDEST = 1024, 1 << 16
 #: Bytes of full sets that one task holds, on average.
 LOT_BYTES = 4 << 20
 #: Rounds before all pairs are taken, and tests of one set in each: they only save work.
@@ -58,6 +60,26 @@ def fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def wide_bitmap(s: np.ndarray) -> bytes | None:
+    """Bitmap of a large set, with a power of two of bits."""
+    if len(s) <= LARGE:
+        return None
+    width = min(1 << (len(s) - 1).bit_length(), WIDEST)
+    bits = np.zeros(width, np.uint8)
+    bits[(s >> np.uint64(20)).astype(np.int64) % width] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """The largest overlap that the wide bitmaps of two sets leave; the wider one is folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y, n_a, n_b = y, x, n_b, n_a
+    y = np.bitwise_or.reduce(y.reshape(-1, len(x)))
+    excess = min(n_a - int(np.bitwise_count(x).sum()), n_b - int(np.bitwise_count(y).sum()))
+    return min(int(np.bitwise_count(x & y).sum()) + excess, n_a, n_b)
+
+
 def shingle_sets(column, width: int):
     """Per chunk of texts: first text, hashes and bounds of the distinct shingle sets."""
     for chunk in words.word_chunks(column):
@@ -76,10 +98,13 @@ def _full_sets(width: int):
 
 
 def save_classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of rows (doc, n, fp, keys, payload): all (doc, n, fp), and one numbered row (cls, fp, least, copies, n, keys, payload) for each fingerprint."""
+    """Of rows (doc, n, fp, keys, payload): all (doc, n, fp), and one numbered row (cls, fp, least, copies, n, keys, payload) for each fingerprint.
+
+    Rows can have ``wide`` bitmaps of the large sets.
+    """
     signed = scratch.save(signed, "signatures")
     same = signed.where("fp IS NOT NULL").groupBy("fp")
-    one = same.agg(F.min("doc").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "payload")])
+    one = same.agg(F.min("doc").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "payload", "wide") if c in signed.columns])
     classes = scratch.save(one.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows = scratch.save(signed.select("doc", "n", "fp"), "rows")
     scratch.drop(signed)
@@ -160,6 +185,21 @@ def _plausible(pairs: DataFrame, active: DataFrame, make) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
+def _far_apart(tests: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """``tests`` without the pairs of large sets whose wide bitmaps leave no link: a sixtieth of the full sets is sent for that."""
+    large = F.least("n_a", "n_b") > LARGE
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b, a, b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "wide_a", "wide_b"))
+            keep = [_most_common(x, i, y, j) * (num + den) >= num * (i + j) for i, j, x, y in zip(n_a, n_b, a, b, strict=True)]
+            yield batch.drop_columns(["wide_a", "wide_b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda s: wide.select(F.col("cls").alias(f"c{s}"), F.col("wide").alias(f"wide_{s}"))
+    left = tests.where(large).join(side("a"), "ca").join(side("b"), "cb").select(*tests.columns, "wide_a", "wide_b")
+    return tests.where(~large).unionByName(left.mapInArrow(run, tests.schema))
+
+
 def verified(pairs: DataFrame, active: DataFrame, base: DataFrame, width: int, num: int, den: int, repeated: bool, scratch: Scratch) -> DataFrame:
     """Saved pairs of classes (a, b), of those given the ones whose full sets reach the threshold.
 
@@ -168,11 +208,14 @@ def verified(pairs: DataFrame, active: DataFrame, base: DataFrame, width: int, n
     its two is tested with, which a family of copies has in common.
     """
     ends = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
-    near = active.drop("payload").join(ends.groupBy("cls").agg(F.least("cls", F.min("other")).alias("near")), "cls")
+    near = active.drop("payload", "wide").join(ends.groupBy("cls").agg(F.least("cls", F.min("other")).alias("near")), "cls")
     side = lambda s: near.select(F.col("cls").alias(f"c{s}"), F.col("fp").alias(s), F.col("least").alias(f"least_{s}"), F.col("n").alias(f"n_{s}"), F.col("near").alias(f"near_{s}"))
     tests = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(side("a"), "ca").join(side("b"), "cb")
     tests = tests.where(f"n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}").withColumn("bucket", F.least("near_a", "near_b")).drop("near_a", "near_b")
+    if "wide" in active.columns:
+        tests = _far_apart(tests, active.where("wide IS NOT NULL"), num, den)
     tests = scratch.save(tests, "tests")
+    scratch.release()
     dealt = _lots(tests)
     if dealt is None:
         return scratch.save(scratch.spark.createDataFrame([], "a long, b long"), "links")
@@ -339,7 +382,7 @@ def class_components(classes: DataFrame, base: DataFrame, width: int, make, num:
     comp = None
     if not cands.isEmpty():
         active = classes.join(cands.select("cls").distinct(), "cls", "left_semi")
-        active = scratch.save(active.select("cls", "fp", "least", "n", "payload"), "active")
+        active = scratch.save(active.drop("copies", "keys"), "active")
         pairs = cands.where("cls <> least").groupBy("cls").agg(F.min("least").alias("b")).select(F.col("cls").alias("a"), "b")
         pairs = scratch.save(_plausible(pairs, active, make), "pairs")
         comp = _absorb(spark.createDataFrame([], "node long, component long"), verified(pairs, active, base, width, num, den, repeated, scratch), scratch)
