@@ -103,6 +103,7 @@ def save_classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     Rows can have ``wide`` bitmaps of the large sets.
     """
     signed = scratch.save(signed, "signatures")
+    scratch.release()
     same = signed.where("fp IS NOT NULL").groupBy("fp")
     one = same.agg(F.min("doc").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "payload", "wide") if c in signed.columns])
     classes = scratch.save(one.withColumn("cls", F.monotonically_increasing_id()), "classes")
